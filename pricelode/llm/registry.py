@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pricelode.llm import idfiles, packing, simhash, suffix
+from pricelode.llm import idfiles, langid, packing, simhash, suffix
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_suffix_dedup": suffix.op2_suffix_dedup,
+        "op3_language_id": langid.op3_language_id,
         "op4_simhash": simhash.op4_simhash,
         "op9_packing": packing.op9_packing,
         "op10_token_ids": idfiles.op10_token_ids,
