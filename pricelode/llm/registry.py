@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pricelode.llm import idfiles, langid, packing, simhash, suffix
+from pricelode.llm import idfiles, langid, multiset, packing, simhash, suffix
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_suffix_dedup": suffix.op2_suffix_dedup,
         "op3_language_id": langid.op3_language_id,
         "op4_simhash": simhash.op4_simhash,
+        "op6_fingerprints": multiset.op6_fingerprints,
         "op9_packing": packing.op9_packing,
         "op10_token_ids": idfiles.op10_token_ids,
     }
