@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pricelode.llm import idfiles, langid, multiset, packing, simhash, suffix
+from pricelode.llm import idfiles, langid, mixing, multiset, packing, simhash, suffix
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_mixing": mixing.op1_mixing,
         "op2_suffix_dedup": suffix.op2_suffix_dedup,
         "op3_language_id": langid.op3_language_id,
         "op4_simhash": simhash.op4_simhash,
@@ -21,4 +22,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_mixing": mixing.op1_sql()}
