@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pricelode.llm import idfiles, langid, mixing, multiset, packing, simhash, suffix
+from pricelode.llm import idfiles, langid, mixing, multiset, packing, rules, simhash, suffix, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_language_id": langid.op3_language_id,
         "op4_simhash": simhash.op4_simhash,
         "op6_fingerprints": multiset.op6_fingerprints,
+        "op7_quality_rules": rules.op7_quality_rules,
+        "op8_warc": warc.op8_warc,
         "op9_packing": packing.op9_packing,
         "op10_token_ids": idfiles.op10_token_ids,
     }
