@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pricelode.llm import idfiles, langid, mixing, multiset, packing, rules, simhash, suffix, warc
+from pricelode.llm import cotrain, idfiles, langid, mixing, multiset, packing, rules, simhash, suffix, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_suffix_dedup": suffix.op2_suffix_dedup,
         "op3_language_id": langid.op3_language_id,
         "op4_simhash": simhash.op4_simhash,
+        "op5_quality_classifier": cotrain.op5_quality_classifier,
         "op6_fingerprints": multiset.op6_fingerprints,
         "op7_quality_rules": rules.op7_quality_rules,
         "op8_warc": warc.op8_warc,

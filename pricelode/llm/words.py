@@ -28,6 +28,11 @@ class Words:
         """Sum of a mask over words in each text."""
         return np.diff(np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])[self.upto])
 
+    def per_words_sum(self, values: np.ndarray) -> np.ndarray:
+        """Sum of values over words in each text."""
+        text = np.repeat(np.arange(len(self.upto) - 1), np.diff(self.upto))
+        return np.bincount(text, values, len(self.upto) - 1)
+
 
 def words_of(texts: list[str | None]) -> Words:
     parts = [text_bytes(t) for t in texts]
