@@ -39,7 +39,7 @@ from pricelode.llm.common import documents, new_path, partitions, slices, staged
 LENGTH = 400
 GRAM = 32
 SHARD_BYTES = 1 << 20
-SALT_ROWS = 2000
+SALT_ROWS = 500
 #: A long text is looked at in pieces of so many bytes, which overlap by LENGTH - 1.
 PIECE = 4 << 20
 
@@ -88,17 +88,22 @@ def segments(data: bytes, bounds: np.ndarray, length: int = LENGTH, gram: int =
     return key_text[first], whole[first], whole[last], hashes[key_at[first]]
 
 
-def suffix_array(codes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def pack_symbols(codes: np.ndarray) -> np.ndarray:
+    """The seven symbols (under 512) from every place on, as one number that sorts like them."""
+    n, packed = len(codes), np.zeros(len(codes), np.uint64)
+    for j in range(7):
+        packed <<= np.uint64(9)
+        packed[: max(0, n - j)] |= codes[j:].astype(np.uint64)
+    return packed
+
+
+def suffix_array(packed: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes sorted by their first ``depth`` symbols at least, and the rank (of the group) of every suffix.
 
     Larsson-Sadakane: start from packed groups of symbols, then sort each group not yet settled by the rank that
-    follows at the distance already sorted.  ``codes`` are under 512.
+    follows at the distance already sorted.
     """
-    n = len(codes)
-    packed = np.zeros(n, np.uint64)
-    for j in range(7):
-        packed <<= np.uint64(9)
-        packed[: n - j] |= codes[j:].astype(np.uint64)
+    n = len(packed)
     sa = np.argsort(packed)
     key = packed[sa]
     new = np.ones(n, bool)
@@ -128,32 +133,36 @@ def suffix_array(codes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]
     return sa, rank
 
 
-def common_prefixes(codes: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
+def common_prefixes(packed: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     """Common prefix of every suffix (by position) with the one before it in ``sa``, up to ``most`` symbols.
 
     Kasai's relation in text order: where the pair of position p - 1 stands one symbol to the left of p's pair and
-    starts with equal symbols, p has one less.  Only pairs not so continued compare symbols.
+    starts with equal symbols, p has one less.  Only pairs not so continued compare symbols, seven at a time.
     """
     n = len(sa)
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
+    first = packed >> np.uint64(54)
     begins = np.ones(n, bool)
-    begins[1:] = (before[1:] != before[:-1] + 1) | (before[:-1] < 0) | (before[1:] < 0) | (codes[:-1] != codes[before[:-1]])
+    begins[1:] = (before[1:] != before[:-1] + 1) | (before[:-1] < 0) | (before[1:] < 0) | (first[:-1] != first[before[:-1]])
     at = np.flatnonzero(begins & (before >= 0))
     value = np.zeros(n, np.int64)
     # a continued run of r positions needs a prefix of most + r at its head
     heads = np.flatnonzero(begins)
     limits = most + np.diff(np.append(heads, n))[np.searchsorted(heads, at)]
-    got, step = np.zeros(len(at), np.int64), np.arange(64)
-    for c in range(0, len(at), 1 << 14):
-        p, q, limit = (x[c : c + (1 << 14)] for x in (at, before[at], limits))
-        mine, todo = got[c : c + (1 << 14)], np.arange(len(p))
-        while len(todo):
-            xs, ys = (p[todo] + mine[todo])[:, None] + step, (q[todo] + mine[todo])[:, None] + step
-            same = (xs < n) & (ys < n) & (codes[np.minimum(xs, n - 1)] == codes[np.minimum(ys, n - 1)])
-            run = np.where(same.all(axis=1), 64, same.argmin(axis=1))
-            mine[todo] += run
-            todo = todo[(run == 64) & (mine[todo] < limit[todo])]
+    padded = np.concatenate([packed, np.zeros(8, np.uint64)])
+    got, todo = np.zeros(len(at), np.int64), np.arange(len(at))
+    p, q = at, before[at]
+    while len(todo):
+        unlike = padded[np.minimum(p[todo] + got[todo], n)] ^ padded[np.minimum(q[todo] + got[todo], n)]
+        same = unlike == 0
+        ended = todo[~same]
+        for shift in range(54, -1, -9):
+            got[ended] += unlike[~same] >> np.uint64(shift) == 0
+        got[todo[same]] += 7
+        todo = todo[same]
+        todo = todo[(got[todo] < limits[todo]) & (np.maximum(p[todo], q[todo]) + got[todo] < n)]
+    got = np.minimum(got, n - np.maximum(p, q))
     value[at] = got
     pos = np.arange(n)
     head = np.maximum.accumulate(np.where(begins, pos, 0))
@@ -165,13 +174,14 @@ def shard_repeats(parts: list[bytes], starts: list[int], length: int = LENGTH) -
     segment, and its class (equal strings have equal classes).  Segment i has ``starts[i]`` starts."""
     sizes = np.array([len(p) for p in parts])
     ends = np.cumsum(sizes + 1)
-    codes = np.zeros(int(ends[-1]), np.int64)  # 0 ends a segment
+    codes = np.zeros(int(ends[-1]), np.int16)  # 0 ends a segment
     mask = np.ones(len(codes), bool)
     mask[ends - 1] = False
-    codes[mask] = np.frombuffer(b"".join(parts), np.uint8).astype(np.int64) + 1
-    sa, _ = suffix_array(codes, length)
+    codes[mask] = np.frombuffer(b"".join(parts), np.uint8).astype(np.int16) + 1
+    packed = pack_symbols(codes)
+    sa, _ = suffix_array(packed, length)
     # suffixes within a group of equal first symbols may stand in any order; those shorter than a string can't be starts
-    prefix = common_prefixes(codes, sa, length)[sa]
+    prefix = common_prefixes(packed, sa, length)[sa]
     joined = prefix >= length
     repeated = joined.copy()
     repeated[:-1] |= joined[1:]
