@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pricelode.llm.common import documents, slices, text_key
+from pricelode.llm.common import documents, slices, staged, text_key
 
 BUCKETS = 1 << 15
 DIM = 16
@@ -183,14 +183,14 @@ def training_rows(docs: DataFrame, per_lang: int = PER_LANG) -> list[tuple[str,
     rated = learned.select("lang", F.xxhash64(k1, k2, "doc_id").alias("h"))
     n = F.count(F.lit(1))
     share = F.least(F.lit(1.0), F.lit(2.0 * per_lang) / n + 0.001)
-    per = rated.groupBy("lang").agg(share.alias("share"))
+    per = staged(rated.groupBy("lang").agg(share.alias("share")), "lang-shares")
     picked = learned.withColumn("h", F.xxhash64(k1, k2, "doc_id")).join(per, "lang")
     picked = picked.filter(F.col("h").cast("double") / F.lit(2.0**64) + 0.5 <= F.col("share"))
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
     picked = picked.select("lang", "h", "doc_id", k1.alias("k1"), k2.alias("k2"), "text")
     ranks = picked.select("lang", "h", "doc_id").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_lang)
-    ranks = ranks.groupBy("lang").agg(F.max("h").alias("most"))
-    picked = picked.join(F.broadcast(ranks), "lang").filter("h <= most")  # a row for each language
+    ranks = staged(ranks.groupBy("lang").agg(F.max("h").alias("most")), "lang-ranks")
+    picked = picked.join(ranks, "lang").filter("h <= most")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
