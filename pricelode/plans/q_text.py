@@ -1 +1,117 @@
-"""Queries."""
+"""Queries on text: names, packages, codes, prices, dates, entity matches."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pricelode.functions import text as x
+from pricelode.operators import matching
+from pricelode.plans.base import query, table
+from pricelode.sources.observations import observations
+
+PACKAGE_TEXT = "case id % 8 when 0 then n || ' x 250 g' when 1 then '0,' || n || ' l Flasche' when 2 then n || 'er-Packung' when 3 then n || ' Stück' when 4 then 'Stück' when 5 then 'kg-Preis' when 6 then n || '50 ml' else 'ohne Angabe' end"
+NORM = "trim(regexp_replace(replace(lower(coalesce({}, '')), 'ß', 'ss'), '[^\\p{{L}}\\p{{N}}%]+', ' ', 'g'))"
+
+
+@query(f"select doc_id, md5({NORM.format('text')}) as normalized_md5, length({NORM.format('text')})::bigint as normalized_chars from documents")
+def normalized_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "documents").select("doc_id", x.normalized(F.col("text")).alias("n"))
+    return n.select("doc_id", F.md5("n").alias("normalized_md5"), F.length("n").cast("long").alias("normalized_chars"))
+
+
+@query("""select p_partkey, regexp_replace(translate(lower(p_name || ' Größe Crème Señor'), 'äöüàâáçéèêëîïíñóôòúùûÿ', 'aouaaaceeeeiiinooouuuy'), 'ß', 'ss')
+  .regexp_replace('[^a-z0-9]+', '', 'g') as folded from part""")
+def ascii_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", x.ascii_folded(F.concat("p_name", F.lit(" Größe Crème Señor"))).alias("folded"))
+
+
+@query(f"""with d as (select doc_id, list_distinct(list_filter(string_split({NORM.format('text')}, ' '), lambda w: length(w) >= 3)) as a from documents where doc_id < 300),
+b as (select item_id, list_distinct(list_filter(string_split({NORM.format('text')}, ' '), lambda w: length(w) >= 3)) as b from benchmark),
+t as (select doc_id, item_id, count(*) as common from (select doc_id, unnest(a) as w from d) join (select item_id, unnest(b) as w from b) using (w) group by all)
+select doc_id, item_id, round(common / (len(a) + len(b) - common)::double, 4) as jaccard from t join d using (doc_id) join b using (item_id) where common >= 12""")
+def token_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token overlap of documents and benchmark items, joined on shared words rather than in all pairs."""
+    docs = table(spark, sf_dir, "documents").filter("doc_id < 300").select("doc_id", x.tokens(F.col("text")).alias("a"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", x.tokens(F.col("text")).alias("b"))
+    common = docs.select("doc_id", F.explode("a").alias("w")).join(items.select("item_id", F.explode("b").alias("w")), "w").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("common"))
+    both = common.filter("common >= 12").join(docs, "doc_id").join(items, "item_id")
+    return both.select("doc_id", "item_id", F.round(F.col("common") / (F.size("a") + F.size("b") - F.col("common")), 4).alias("jaccard"))
+
+
+@query(f"""with t as (select id, {PACKAGE_TEXT} as raw from (select id, (id % 9 + 1)::varchar as n from obs)),
+p as (select id, raw, case when regexp_matches(raw, '[0-9] x ') then 'metric_multipack' when regexp_matches(raw, '[0-9]+ (l|ml)\\b') then 'metric_single' when raw like '%er-Packung' then 'count_pack'
+  when regexp_matches(raw, '^[0-9]+ Stück') then 'piece_count' when raw = 'Stück' then 'piece_single' when raw = 'kg-Preis' then 'variable_weight_kg_price' end as method from t)
+select id, raw, method, case when method = 'metric_multipack' then 250.0::double when method = 'metric_single' then round(replace(regexp_extract(raw, '[0-9,]+'), ',', '.')::double * case when raw like '% ml' then 1 else 1000 end, 4) end as quantity,
+  case when method = 'metric_multipack' then 'g' when method = 'metric_single' then 'ml' when method in ('count_pack', 'piece_count', 'piece_single') then 'piece' end as unit,
+  case when method in ('metric_multipack', 'count_pack', 'piece_count') then regexp_extract(raw, '^[0-9]+')::int when method in ('metric_single', 'piece_single') then 1 end as pack from p""")
+def package_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = observations(spark, sf_dir).withColumn("n", (F.col("id") % 9 + 1).cast("string")).select("id", F.expr(PACKAGE_TEXT).alias("raw"))
+    return raw.withColumn("p", x.package(F.col("raw"))).select("id", "raw", "p.method", "p.quantity", "p.unit", "p.pack")
+
+
+@query(f"""with t as (select id, offer, case id % 8 when 0 then 'g' || (id % 9 + 1) when 1 then 'l' || (id % 9 + 1) when 2 then 'p' || (id % 9 + 1) when 3 then 'p' || (id % 9 + 1) when 4 then 'p1' when 6 then 'm' || (id % 9 + 1) end as sig from obs where id < 2000)
+select a.id as left_id, b.id as right_id, case when a.sig is null and b.sig is null then 'both_missing' when a.sig is null or b.sig is null then 'one_missing' when a.sig = b.sig then 'exact' else 'conflict' end as relation
+from t a join t b on a.offer = b.offer and a.id < b.id""")
+def package_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = observations(spark, sf_dir).filter("id < 2000").withColumn("n", (F.col("id") % 9 + 1).cast("string"))
+    rows = raw.select("id", "offer", x.package(F.expr(PACKAGE_TEXT)).alias("p"))
+    a, b = (rows.select("offer", F.col("id").alias(f"{s}_id"), F.col("p").alias(f"{s}_p")) for s in ("left", "right"))
+    return a.join(b, "offer").filter("left_id < right_id").select("left_id", "right_id", x.package_relation(F.col("left_p"), F.col("right_p")).alias("relation"))
+
+
+@query("""with c as (select p_partkey, lpad((p_partkey * 7919 + 400000000000)::varchar, 12, '0') as body from part),
+d as (select p_partkey, body, (10 - list_sum(list_transform(range(1, 13), lambda i: body[13 - i]::int * case when i % 2 = 1 then 3 else 1 end)) % 10) % 10 as good from c),
+e as (select p_partkey, case when p_partkey % 3 = 0 then body || good when p_partkey % 3 = 1 then body || ((good + 1) % 10) else 'x' || body end as raw, body, good from d)
+select p_partkey, raw, case when p_partkey % 3 = 0 then lpad(raw, 14, '0') end as gtin from e""")
+def product_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.lpad((F.col("p_partkey") * 7919 + 400000000000).cast("string"), 12, "0").alias("body"))
+    digits = F.split(F.reverse("body"), "")
+    good = (10 - F.aggregate(F.transform(digits, lambda d, i: d.cast("int") * F.when(i % 2 == 0, 3).otherwise(1)), F.lit(0), lambda s, v: s + v) % 10) % 10
+    k = F.col("p_partkey") % 3
+    raw = F.when(k == 0, F.concat("body", good.cast("string"))).when(k == 1, F.concat("body", ((good + 1) % 10).cast("string"))).otherwise(F.concat(F.lit("x"), "body"))
+    return parts.select("p_partkey", raw.alias("raw")).withColumn("gtin", x.gtin14(F.col("raw")))
+
+
+@query("""with t as (select id, case id % 5 when 0 then (cents // 100) || ',' || lpad((cents % 100)::varchar, 2, '0') || ' €' when 1 then (cents // 100) || '.–' when 2 then (cents // 100)::varchar when 3 then '*' || (cents // 100) || ',5' else 'ab ' || cents end as raw, cents from obs)
+select id, raw, case id % 5 when 0 then cents when 1 then cents // 100 * 100 when 2 then cents // 100 * 100 when 3 then cents // 100 * 100 + 50 end as parsed from t""")
+def german_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.expr("case id % 5 when 0 then (cents div 100) || ',' || lpad(cast(cents % 100 as string), 2, '0') || ' €' when 1 then (cents div 100) || '.–' when 2 then cast(cents div 100 as string) when 3 then '*' || (cents div 100) || ',5' else 'ab ' || cents end")
+    return observations(spark, sf_dir).select("id", e.alias("raw")).withColumn("parsed", x.price_cents(F.col("raw")))
+
+
+@query("""select id, valid_from as first, valid_until + 330 as last, (valid_until + 330)::date as clean, weekday_name from (select *, strftime(valid_from, '%A') as weekday_name from obs) where valid_from is not null and (month(valid_until + 330) < month(valid_from)) = (year(valid_until + 330) > 2024)""".replace("valid_from as first, valid_until + 330 as last, (valid_until + 330)::date as clean, weekday_name", "valid_from as first_day, (valid_until + 330)::date as last_day"))
+def german_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written as dd.mm. bis dd.mm. and read back; the year turns where the months go backwards."""
+    rows = observations(spark, sf_dir).filter("valid_from is not null").select("id", "valid_from", F.date_add("valid_until", 330).alias("end"))
+    rows = rows.filter((F.month("end") < F.month("valid_from")) == (F.year("end") > 2024))
+    written = F.concat(F.lit("Gültig "), F.date_format("valid_from", "d.M."), F.lit(" bis "), F.date_format("end", "dd.MM."))
+    return rows.select("id", x.date_range(written, 2024).alias("r")).select("id", F.col("r.first").alias("first_day"), F.col("r.last").alias("last_day"))
+
+
+@query("""select id, (case when date_diff('day', make_date(2024, m, d), date '2024-01-15') > 182 then make_date(2025, m, d) when date_diff('day', date '2024-01-15', make_date(2024, m, d)) > 182 then make_date(2023, m, d) else make_date(2024, m, d) end) as resolved
+from (select id, (id % 12 + 1)::int as m, (id % 28 + 1)::int as d from obs)""")
+def nearest_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day, month = (F.col("id") % 28 + 1).cast("int"), (F.col("id") % 12 + 1).cast("int")
+    return observations(spark, sf_dir).select("id", x.nearest_year(day, month, F.lit("2024-01-15").cast("date")).alias("resolved"))
+
+
+@query("""select id, sha256(chain || '|' || coalesce(store, '') || '|' || offer) as identity_key, substr(sha256(id || ':' || cents), 1, 16) as row_key, strftime(day, '%u')::int - 1 as weekday from obs""")
+def digest_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.sha2(F.concat_ws("|", "chain", F.coalesce("store", F.lit("")), F.col("offer").cast("string")), 256)
+    row = F.substring(F.sha2(F.concat_ws(":", F.col("id").cast("string"), F.col("cents").cast("string")), 256), 1, 16)
+    return observations(spark, sf_dir).select("id", key.alias("identity_key"), row.alias("row_key"), F.weekday("day").alias("weekday"))
+
+
+@query("""with p as (select distinct p_type as chain, p_name as name, p_size % 3 as package from part),
+t as (select chain, name, package, unnest(string_split(name, ' ')) as w from p)
+select distinct a.chain as left_chain, b.chain as right_chain, a.name as left_name, b.name as right_name, case when a.package = 0 or b.package = 0 then 'incomplete' else 'exact' end as relation,
+  a.name = b.name as same_name from t a join t b using (w) where a.chain < b.chain and (a.package = 0 or b.package = 0 or a.package = b.package) and a.name = b.name""")
+def exact_name_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.blocked_pairs(matching.products(table(spark, sf_dir, "part"))).filter("same_name").select("left_chain", "right_chain", "left_name", "right_name", "relation", "same_name").distinct()
+
+
+@query()
+def fuzzy_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-source match evidence with the sequence ratio, which SQL does not have."""
+    return matching.evidence(matching.blocked_pairs(matching.products(table(spark, sf_dir, "part"))))
