@@ -1 +1,72 @@
-"""Queries."""
+"""Queries on the append-only log and state folded from it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from pricelode.operators import log
+from pricelode.plans.base import query, table
+from pricelode.sources.observations import observations
+from pricelode.streaming import replay
+
+
+@query("""with old as (select distinct chain, offer from obs where day < date '2024-01-10'), new as (select chain, offer from obs where day >= date '2024-01-10')
+select distinct chain, offer from new where (chain, offer) not in (select (chain, offer) from old)""")
+def insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    obs = observations(spark, sf_dir).select("chain", "offer", "day")
+    cut = F.lit("2024-01-10").cast("date")
+    return log.new_rows(obs.filter(F.col("day") >= cut), obs.filter(F.col("day") < cut), ["chain", "offer"]).select("chain", "offer")
+
+
+@query("""with a as (select id, cents, chain from obs where id < 3000), b as (select id, case when id % 100 = 0 then cents + 1 else cents end as cents, chain from obs where id between 1000 and 4000)
+select count(*) filter (b.id is null) as new, count(*) filter (a.cents = b.cents) as same, count(*) filter (a.cents <> b.cents) as conflicting, count(*) filter (a.id is null) as missing from a full join b on a.id = b.id""")
+def exact_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    obs = observations(spark, sf_dir).select("id", "cents", "chain")
+    changed = F.when(F.col("id") % 100 == 0, F.col("cents") + 1).otherwise(F.col("cents"))
+    return log.exact_set(obs.filter("id < 3000"), obs.filter("id between 1000 and 4000").withColumn("cents", changed), ["id"], ["cents", "chain"])
+
+
+@query("""with a as (select id, cents, coalesce(brand, '-') as brand from obs where id < 3000), b as (select id, case when id % 100 = 0 then cents + 1 else cents end as cents, case when id % 50 = 0 then 'other' else coalesce(brand, '-') end as brand from obs where id >= 1000)
+select a.id, case when b.id is null then 'CREATE' when a.cents = b.cents and a.brand = b.brand then 'NO_OP_IDENTICAL' else 'CONFLICT' end as action,
+  case when b.id is null then '' else concat_ws(',', case when a.brand <> b.brand then 'brand' end, case when a.cents <> b.cents then 'cents' end) end as differ from a left join b on a.id = b.id""")
+def action_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    obs = observations(spark, sf_dir).select("id", "cents", F.coalesce("brand", F.lit("-")).alias("brand"))
+    there = obs.filter("id >= 1000").select("id", F.when(F.col("id") % 100 == 0, F.col("cents") + 1).otherwise(F.col("cents")).alias("cents"), F.when(F.col("id") % 50 == 0, "other").otherwise(F.col("brand")).alias("brand"))
+    return log.plan(obs.filter("id < 3000"), there, ["id"], ["cents", "brand"])
+
+
+@query("""select conv_id, arg_max(role, turn) as status, count(*) as revisions, max(turn) as last_revision from conversations group by conv_id""")
+def review_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status of each item folded from its append-only revisions."""
+    return log.folded(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role")
+
+
+@query("""select conv_id, string_agg(turn || ':' || role, ' ' order by turn, role) as revisions, max(turn) + 1 as next_revision from conversations group by conv_id""")
+def review_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = F.array_sort(F.collect_list(F.struct("turn", "role")))
+    joined = F.array_join(F.transform(parts, lambda p: F.concat_ws(":", p["turn"].cast("string"), p["role"])), " ")
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(joined.alias("revisions"), (F.max("turn") + 1).alias("next_revision"))
+
+
+@query("""select o_orderstatus as status, count(*) as n, count(*) filter (o_orderpriority < '3') as urgent from orders group by 1""")
+def review_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderpriority") < "3").alias("urgent"))
+
+
+@query("select l_orderkey, l_partkey, count(*) as n from lineitem group by all having count(*) > 1")
+def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+@query("""with c as (select chain, day, max(cents)::bigint as f from obs group by all) select chain, day, f as fingerprint, coalesce(f = lag(f) over (partition by chain order by day), false) as no_op from c""")
+def change_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A day with the fingerprint of the day before is no new cycle."""
+    days = observations(spark, sf_dir).groupBy("chain", "day").agg(F.max("cents").alias("fingerprint"))
+    return days.withColumn("no_op", F.coalesce(F.col("fingerprint") == F.lag("fingerprint").over(Window.partitionBy("chain").orderBy("day")), F.lit(False)))
+
+
+@query("""select chain, offer, count(*) as n, max(collected_at) as latest, min(cents) as least from obs group by chain, offer""")
+def streamed_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same aggregate from a stream over the table's files, run until all is read."""
+    return replay.offers_by_stream(spark, sf_dir)

@@ -1 +1,85 @@
-"""Queries."""
+"""Queries that read semi-structured sources."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pricelode.plans.base import query, table
+from pricelode.sources import readers
+from pricelode.sources.observations import observations
+
+OCR_LINE = "concat_ws(chr(9), '5', '1', cast(id % 7 as {s}), '1', cast(id % 5 as {s}), '1', cast(id % 300 as {s}), cast(id % 200 as {s}), '40', '12', cast(id % 100 as {s}), chain || ' \"x' || id)"
+
+
+@query(r"""with a as (select page_id, unnest(regexp_extract_all(html, '<a\s[^>]*?href="([^"]*)"', 1)) as href, generate_subscripts(regexp_extract_all(html, '<a\s[^>]*?href="([^"]*)"', 1), 1) - 1 as place from pages)
+select page_id, href, min(place)::int as place from a group by all""")
+def page_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.anchors(table(spark, sf_dir, "pages"), "page_id", "html")
+
+
+@query(r"""select page_id, sha256(html) as sha256, strlen(html)::int as content_bytes, len(regexp_extract_all(html, 'application/ld\+json'))::int as json_ld_blocks, k::int as keyword_hits,
+  case when k >= 2 then 'http_html_candidate' else 'html_needs_inspection' end as strategy, strlen(html) >= 1000 as success
+from (select *, len(regexp_extract_all(lower(html), 'track')) + len(regexp_extract_all(lower(html), 'copyright')) as k from pages)""")
+def page_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.probe(table(spark, sf_dir, "pages"), "page_id", "html", ["track", "copyright"])
+
+
+@query(r"""select page_id, regexp_extract(url, '^(\w+)://', 1) as scheme, regexp_extract(url, '^\w+://([^/?#]+)', 1) as host, nullif(regexp_extract(url, '^\w+://[^/?#]+(/[^?#]*)', 1), '') as path, contains(url, '?') as has_query,
+  regexp_extract(url, '^\w+://([^/?#]+)', 1).regexp_matches('\.example\.(com|org)$') and starts_with(url, 'https://') and not contains(url, '?') as bound from pages""")
+def url_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = lambda p: F.try_parse_url(F.col("url"), F.lit(p))
+    bound = part("HOST").rlike(r"\.example\.(com|org)$") & (part("PROTOCOL") == "https") & part("QUERY").isNull()
+    return table(spark, sf_dir, "pages").select("page_id", part("PROTOCOL").alias("scheme"), part("HOST").alias("host"), F.nullif(part("PATH"), F.lit("")).alias("path"), part("QUERY").isNotNull().alias("has_query"), bound.alias("bound"))
+
+
+@query("""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as place from documents),
+c as (select *, sum((length(line) < 40)::int) over (partition by doc_id order by place) as card, length(line) < 40 as m from l where trim(line) <> '')
+select doc_id, card::bigint as card, arg_min(line, place) filter (not m) as name, count(*) filter (not m) as n_lines from c where card > 0 group by doc_id, card having bool_or(regexp_matches(line, '[0-9]') and not m)""")
+def line_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short lines mark cards; a card counts if a line of it has a digit."""
+    line = F.col("line")
+    return readers.line_cards(table(spark, sf_dir, "documents"), "doc_id", "text", F.length(line) < 40, line.rlike("[0-9]"))
+
+
+@query(f"""with t as (select id, case when id % 10 = 9 then 'broken' || chr(9) || id else {OCR_LINE.format(s='varchar')} end as line from obs)
+select id, case when id % 10 <> 9 then 5 end as level, case when id % 10 <> 9 then (id % 300)::int end as "left", case when id % 10 <> 9 then (id % 100)::double end as conf,
+  case when id % 10 <> 9 then string_split(line, chr(9))[12] end as text, id % 10 <> 9 as ok from t where id % 10 = 9 or id % 100 >= 30""")
+def ocr_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.expr(f"case when id % 10 = 9 then 'broken' || chr(9) || id else {OCR_LINE.format(s='string')} end")
+    rows = observations(spark, sf_dir).select("id", line.alias("line"))
+    return readers.ocr_words(rows, "line", 30.0).select("id", "level", "left", "conf", "text", "ok")
+
+
+@query("""with l as (select l_orderkey, l_linenumber, l_partkey from lineitem), n as (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey) as rn from l)
+select l_orderkey, ((rn - 1) // 2 + 1)::int as page, ((rn - 1) % 2 + 1)::int as link, l_partkey::varchar as product, case when l_partkey % 4 <> 0 then 'title ' || l_partkey end as title,
+  case when rn % 2 = 1 then 'left' else 'right' end as side from n where l_orderkey < 3000""")
+def flyer_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines written as a flyer's JSON (two links a page, some products unknown) and read back."""
+    lines = table(spark, sf_dir, "lineitem").filter("l_orderkey < 3000").select("l_orderkey", "l_linenumber", F.col("l_partkey").cast("string").alias("p"))
+    one = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("p").cast("long").alias("k"), "p"))).alias("ls"), F.collect_set(F.when(F.col("p") % 4 != 0, F.col("p"))).alias("known"))
+    link = lambda x, i: F.struct(x["p"].alias("product"), (i % 2 * 0.6).alias("left"), F.lit(0.1).alias("top"))
+    links = F.transform("ls", link)
+    pages = F.transform(F.sequence(F.lit(0), F.floor((F.size("ls") - 1) / 2).cast("int")), lambda i: F.struct(F.slice(links, i * 2 + 1, 2).alias("links")))
+    products = F.map_from_entries(F.transform("known", lambda k: F.struct(k, F.struct(F.concat(F.lit("title "), k).alias("title")))))
+    flyers = one.select("l_orderkey", F.to_json(F.struct(products.alias("products"), pages.alias("pages"))).alias("body"))
+    return readers.flyer_products(flyers, "l_orderkey", "body")
+
+
+@query("select event_id, json_extract_string(props, '$.k')::int as k, json_extract_string(props, '$.missing') as missing, len(json_keys(props))::int as n_keys from events")
+def json_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.parse_json("props")
+    events = table(spark, sf_dir, "events")
+    return events.select("event_id", F.variant_get(v, "$.k", "int").alias("k"), F.try_variant_get(v, "$.missing", "string").alias("missing"), F.size(F.json_object_keys("props")).alias("n_keys"))
+
+
+@query()
+def article_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards from the document tree of pages; a parser, not a pattern."""
+    return readers.dom_cards(table(spark, sf_dir, "pages"), "page_id", "html")
+
+
+@query(r"""select page_id, len(list_distinct(regexp_extract_all(html, '"(/[a-zA-Z0-9/._-]+)"', 1)))::int as endpoints, array_to_string(list_sort(list_distinct(regexp_extract_all(html, '"(/[a-zA-Z0-9/._-]+)"', 1)))[1:5], ' ') as first_five from pages""")
+def endpoint_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.array_sort(F.array_distinct(F.regexp_extract_all("html", F.lit(r'"(/[a-zA-Z0-9/._-]+)"'), F.lit(1))))
+    return table(spark, sf_dir, "pages").select("page_id", found.alias("f")).select("page_id", F.size("f").alias("endpoints"), F.array_join(F.slice("f", 1, 5), " ").alias("first_five"))
