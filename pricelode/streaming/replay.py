@@ -2,20 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def _folder(spark: SparkSession, tag: str) -> str:
-    """A new folder in the shared one; a temporary one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+from pricelode.shared import shared_path
 
 
 def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
@@ -31,7 +21,7 @@ def deduplicated(events: DataFrame, keys: list[str], time: str, late: str) -> Da
 def offers_by_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, latest time and least price of each offer: per-batch partial aggregates are appended by a stream, and
     merged when read, so replays and restarts add nothing twice."""
-    folder = _folder(spark, "stream")
+    folder = shared_path(spark, "stream")
     source = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(source).schema
     head, _, name = source.rpartition("/")
