@@ -178,7 +178,7 @@ def training_rows(docs: DataFrame, per_lang: int = PER_LANG) -> list[tuple[str,
     """At most ``per_lang`` documents of each language, the least by hash, as bucket counts of the whole text and of a
     few short pieces."""
     k1, k2 = text_key(F.col("text"))
-    learned = docs.filter("doc_id is not null and lang is not null and text is not null").filter(F.crc32(F.col("doc_id").cast("string")) % FOLDS != 0)
+    learned = docs.select("doc_id", "lang", "text").filter("doc_id is not null and lang is not null and text is not null").filter(F.crc32(F.col("doc_id").cast("string")) % FOLDS != 0)
     # the least hashes of each language: a threshold from an approximate quantile keeps the ranked rows few
     rated = learned.select("lang", F.xxhash64(k1, k2, "doc_id").alias("h"))
     n = F.count(F.lit(1))
@@ -217,8 +217,8 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     return train(training_rows(docs, per_lang))
 
 
-def predictions(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of ``docs`` with lang_pred, score and rejected."""
+def predictions(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """Columns ``keep`` of ``docs`` with language, score and whether it is rejected, under ``names``."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages numbers
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
@@ -227,16 +227,16 @@ def predictions(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         for batch in slices(batches, "__text"):
             lang, score, rejected = own.predict(batch.column("__text").to_pylist())
             columns = [batch.column(c) for c in keep] + [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, [*keep, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays(columns, [*keep, *names])
 
     rows = docs.select(*keep, F.col("text").alias("__text"))
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double, rejected boolean")
+    return rows.mapInArrow(run, f"{schema}, {names[0]} string, {names[1]} double, {names[2]} boolean")
 
 
 def known_languages(docs: DataFrame) -> DataFrame:
     """``docs`` without the documents that the model, fitted on their own labelled rows, rejects."""
-    kept = predictions(docs, fit(docs), docs.columns)
-    return kept.filter("not rejected").select(*docs.columns)
+    kept = predictions(docs, fit(docs), docs.columns, ("__lang", "__score", "__rejected"))
+    return kept.filter("not __rejected").select(*docs.columns)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
