@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pricelode.operators import temporal as t
 from pricelode.plans.base import query, table
 from pricelode.sources.observations import AS_OF, observations
 
-DAY = F.lit(AS_OF).cast("date")
 BASE = "(valid_from is not null and valid_until is not null)"
 APP = "(app_cents is not null and app_from is not null and app_until is not null)"
 STATE_SQL = f"""case
@@ -21,13 +20,17 @@ WINNERS_SQL = f"""winners as materialized (select * from (select *, {STATE_SQL}
   qualify row_number() over (partition by state, chain, store, offer order by collected_at desc, id desc) = 1)"""
 
 
+def as_of() -> Column:
+    return F.lit(AS_OF).cast("date")
+
+
 def winners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t.winners(observations(spark, sf_dir), DAY)
+    return t.winners(observations(spark, sf_dir), as_of())
 
 
 @query(f"select state, count(*) as n, count(distinct offer) as offers from (select *, {STATE_SQL} as state from obs) group by state")
 def observation_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rated = observations(spark, sf_dir).withColumn("state", t.state(DAY))
+    rated = observations(spark, sf_dir).withColumn("state", t.state(as_of()))
     return rated.groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("offer").alias("offers"))
 
 
@@ -40,7 +43,7 @@ def state_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
   coalesce({APP} and date '{AS_OF}' between app_from and app_until, false) as app_price_current from obs""")
 def price_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     no = F.lit(False)
-    return observations(spark, sf_dir).select("id", F.coalesce(t.base_current(DAY), no).alias("base_price_current"), F.coalesce(t.app_current(DAY), no).alias("app_price_current"))
+    return observations(spark, sf_dir).select("id", F.coalesce(t.base_current(as_of()), no).alias("base_price_current"), F.coalesce(t.app_current(as_of()), no).alias("app_price_current"))
 
 
 @query("""select id, chain, offer, d::date as on_day from obs, unnest(generate_series(greatest(valid_from, date '2024-01-15'),
