@@ -4,7 +4,8 @@ A page's record holds an HTTP response whose payload is framed in chunks.  Of pa
 largest page_id is written as ``response``, the others as ``revisit`` without payload.  A block of over ``SEGMENT``
 bytes is cut: the first part is the record, the others are ``continuation`` records that name its id and their number,
 the last one the whole length.  Records go through Spark's text sink (raw bytes, CR LF CR LF is its row end, as WARC
-asks for), so files appear by its commit protocol only and in any store; a file has ``PER_FILE`` records at most.
+asks for), compressed by gzip, so files appear by its commit protocol only and in any store; a file has ``PER_FILE``
+records at most.
 
 Reading parses each file by Content-Length, decodes whole records at once, and groups only the parts of segmented
 ones by origin: they are ordered by number, checked for gaps and whole length, and their chunk framing is taken off.
@@ -16,6 +17,7 @@ null page_id is the smallest and stays null.  Other columns are ignored; an empt
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -120,12 +122,12 @@ def write_archives(pages: DataFrame, path: str) -> None:
     first = roles.filter("first").select("page_id", "url", "copies", "sha")
     full = payloads.join(first, F.col("pid").eqNullSafe(F.col("page_id")) & (F.col("psha") == F.col("sha"))).select("page_id", "url", "copies", "sha", "payload")
     records = full.mapInArrow(responses, "record binary").union(roles.filter("not first").mapInArrow(revisits, "record binary"))
-    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", PER_FILE).text(path)
+    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", PER_FILE).option("compression", "gzip").text(path)
 
 
-def parse_records(data: memoryview) -> Iterator[tuple[dict[str, str], bytes]]:
+def parse_records(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header fields (names in lower case) and block of every record of a file."""
-    raw, at = bytes(data), 0
+    at = 0
     while at < len(raw):
         end = raw.index(b"\r\n\r\n", at)
         first, *lines = raw[at:end].decode().split("\r\n")
@@ -152,7 +154,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column("content"):
                 out: list[tuple] = []
-                for f, block in parse_records(content.as_buffer()):
+                for f, block in parse_records(gzip.decompress(content.as_buffer())):
                     rid, page, copies, kind = f["warc-record-id"], number(f.get("warc-page-id")), number(f.get("warc-page-copies")), f["warc-type"]
                     part = number(f.get("warc-segment-number"))
                     if part is not None:
