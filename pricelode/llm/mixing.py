@@ -64,7 +64,7 @@ def _features(topic_of: Column | None) -> dict[str, Column]:
 def targets(cells: DataFrame, dimension: str, wanted: dict[str, float] | float, rest: float = 0.0) -> DataFrame:
     """(level, aim): tokens each level of a dimension shall have; ``wanted``: an exponent, or shares by level."""
     sums = cells.groupBy(dimension).agg(F.sum("tokens").cast("double").alias("t"))
-    total = sums.agg(F.sum("t").alias("total"))
+    total = sums.agg(F.sum("t")).scalar()
     if isinstance(wanted, dict):
         named = F.lit(None).cast("double")
         for k, v in wanted.items():
@@ -73,10 +73,8 @@ def targets(cells: DataFrame, dimension: str, wanted: dict[str, float] | float,
     else:
         own = F.when(F.col("t") > 0, F.pow("t", F.lit(float(wanted))))
     aims = sums.select(dimension, F.coalesce(own, F.lit(0.0)).alias("own"))
-    norm = aims.agg(F.sum("own").alias("norm"))
-    # one row each: the total and the norm
-    joined = aims.join(F.broadcast(total)).join(F.broadcast(norm))
-    return joined.select(dimension, F.when(F.col("norm") > 0, F.col("own") / F.col("norm") * F.col("total")).otherwise(F.lit(0.0)).alias("aim"))
+    norm = aims.agg(F.sum("own")).scalar()
+    return aims.select(dimension, F.when(norm > 0, F.col("own") / norm * total).otherwise(F.lit(0.0)).alias("aim"))
 
 
 def rake(cells: DataFrame, wanted: dict[str, dict[str, float] | float], sweeps: int = SWEEPS, tolerance: float = TOLERANCE) -> DataFrame:
@@ -103,8 +101,8 @@ def _factors(rows: DataFrame, wanted: dict[str, dict[str, float] | float] | None
     """Per cell of ``rows``: raked over own tokens, and that scaled to 1 at most."""
     cells = staged(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "cells")
     factor = rake(cells, wanted or TEMPER).select(*DIMENSIONS, F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).alias("factor"))
-    largest = factor.agg(F.max("factor").alias("largest"))  # one row
-    scaled = factor.join(F.broadcast(largest)).select(*DIMENSIONS, "factor", F.round(F.col("factor") / F.col("largest"), 6).alias("scaled"))
+    largest = factor.agg(F.max("factor")).scalar()
+    scaled = factor.select(*DIMENSIONS, "factor", F.round(F.col("factor") / largest, 6).alias("scaled"))
     return staged(scaled, "factors")
 
 
