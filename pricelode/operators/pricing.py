@@ -21,11 +21,11 @@ def basket_totals(offers: DataFrame, basket: DataFrame, scope: list[str], produc
     """Per scope: products of the basket covered, the total, the missing ones.  Equal products in the basket add up to
     99 of each at most; ``basket(product, quantity)`` is as small as a request."""
     wanted = basket.groupBy(product).agg(F.least(F.sum("quantity"), F.lit(99).cast("long")).alias("quantity"))
-    size = wanted.agg(F.count(F.lit(1)).alias("wanted"), F.sort_array(F.collect_list(product)).alias("products"))
+    size, products = wanted.agg(F.count(F.lit(1))).scalar(), wanted.agg(F.sort_array(F.collect_list(product))).scalar()
     best = cheapest(offers.join(F.broadcast(wanted), product), [*scope, product], price, *ties)
     sums = best.groupBy(*scope).agg(F.sum(F.col(price) * F.col("quantity")).alias("total"), F.count(F.lit(1)).alias("covered"), F.collect_set(product).alias("_has"))
-    out = sums.join(F.broadcast(size)).withColumn("missing", F.array_except("products", "_has"))
-    return out.withColumn("complete", F.col("covered") == F.col("wanted")).drop("_has", "products")
+    out = sums.withColumn("wanted", size).withColumn("missing", F.array_except(products, F.col("_has")))
+    return out.withColumn("complete", F.col("covered") == F.col("wanted")).drop("_has")
 
 
 def percent_half_up(part: Column, whole: Column) -> Column:

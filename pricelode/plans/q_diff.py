@@ -84,7 +84,8 @@ def flyer_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the active window (the latest that is open) and of the nearest that follows."""
     day = F.lit("2024-01-20").cast("date")
     w = observations(spark, sf_dir).filter("valid_from is not null and chain = 'view'").select("id", F.col("valid_from").alias("f"), F.col("valid_until").alias("u"))
-    edge = w.agg(F.max(F.when(day.between(F.col("f"), F.col("u")), F.struct("f", "u"))).alias("m"), F.min(F.when(F.col("f") > day, F.col("f"))).alias("n"))  # one row
-    active = (F.col("f") == F.col("m.f")) & (F.col("u") == F.col("m.u"))
-    rows = w.join(F.broadcast(edge)).select("id", F.when(active, "active").when(F.col("f") == F.col("n"), "next").alias("role"))
+    is_open = day.between(F.col("f"), F.col("u"))
+    active = w.agg(F.max(F.when(is_open, F.struct("f", "u")))).scalar()
+    following = w.agg(F.min(F.when(F.col("f") > day, F.col("f")))).scalar()
+    rows = w.select("id", F.when(F.struct("f", "u") == active, "active").when(F.col("f") == following, "next").alias("role"))
     return rows.filter("role is not null")

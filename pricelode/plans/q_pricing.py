@@ -73,8 +73,9 @@ def best_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.select(F.col("o_custkey").alias("scope"), (F.col("l_partkey") % 20).alias("product"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"), "l_orderkey", "l_linenumber").filter("product < 3")
     best = pricing.cheapest(rows, ["scope", "product"], "cents", "l_orderkey", "l_linenumber")
     totals = best.groupBy("scope").agg(F.sum("cents").alias("total"), F.count(F.lit(1)).alias("covered")).filter("covered = 3").select("scope", "total")
-    top = totals.orderBy("total", "scope").limit(10).agg(F.max("total").alias("edge"), F.min("total").alias("least"))  # one row
-    return totals.join(F.broadcast(top)).filter("total <= edge").select("scope", "total", (F.col("total") - F.col("least")).alias("over_best"))
+    top = totals.orderBy("total", "scope").limit(10)
+    edge, least = top.agg(F.max("total")).scalar(), top.agg(F.min("total")).scalar()
+    return totals.filter(F.col("total") <= edge).select("scope", "total", (F.col("total") - least).alias("over_best"))
 
 
 @query("""select id, chain, store, offer, collected_at, cents from obs where (chain, coalesce(store, '-'), offer) in (select (chain, coalesce(store, '-'), offer) from obs where id % 3 = 1 and offer % 40 = 7)

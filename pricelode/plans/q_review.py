@@ -118,8 +118,9 @@ def fast_review(spark: SparkSession, sf_dir: str) -> DataFrame:
 def campaign_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One campaign's window for every offer that has none."""
     obs = observations(spark, sf_dir)
-    one = obs.filter("chain = 'view' and day = date '2024-01-10'").agg(F.min("valid_from").alias("f"), F.max("valid_until").alias("u"))  # one row
-    return obs.filter("chain = 'click'").join(F.broadcast(one)).select("id", F.coalesce("valid_from", "f").alias("first_day"), F.coalesce("valid_until", "u").alias("last_day"))
+    campaign = obs.filter("chain = 'view' and day = date '2024-01-10'")
+    first, last = campaign.agg(F.min("valid_from")).scalar(), campaign.agg(F.max("valid_until")).scalar()
+    return obs.filter("chain = 'click'").select("id", F.coalesce(F.col("valid_from"), first).alias("first_day"), F.coalesce(F.col("valid_until"), last).alias("last_day"))
 
 
 @query("""with k as (select p_partkey, string_split(p_name, ' ') as a, p_type as t from part where p_partkey < 400), d as (select distinct string_split(p_name, ' ') as b, p_name from part)

@@ -63,8 +63,8 @@ def deals_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One page of 25 after 10, with the count of all that the filters leave."""
     found = current(spark, sf_dir).filter(search.has_discount() & search.has_image() & F.lower("chain").isin("click", "view"))
     page = found.orderBy(*search.sort_key("price_asc")).offset(10).limit(25)
-    total = found.agg(F.count(F.lit(1)).alias("available"))  # one row
-    return page.select("id", "chain", "name", "cents", search.saving().alias("saving")).join(F.broadcast(total))
+    total = found.agg(F.count(F.lit(1))).scalar()
+    return page.select("id", "chain", "name", "cents", search.saving().alias("saving"), total.alias("available"))
 
 
 @query(f"""with {CURRENT_SQL} select id, chain,
