@@ -5,7 +5,7 @@ word (boundaries included at its ends) is hashed to a bucket.  The text's vector
 embeddings, a linear layer and softmax give the languages.  Both layers are trained in numpy by stochastic gradient
 descent with a falling rate, on a bounded sample of labelled rows: ``PER_LANG`` documents of each language, those with the
 least hash of their id and text, and short pieces cut from them so that short texts are known too.  What a task sends for a training
-document is its bucket counts, not its text.
+document is its bucket counts, not its text, and one task trains on them.
 
 Applied to whole texts the two layers are one table (bucket -> score per language), summed over all substrings.
 
@@ -20,6 +20,7 @@ columns do no harm; lang, source and doc_id are never part of a prediction.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 
@@ -174,9 +175,9 @@ def train(rows: list[tuple[str, bool, np.ndarray, np.ndarray]], dim: int = DIM,
     return model
 
 
-def training_rows(docs: DataFrame, per_lang: int = PER_LANG) -> list[tuple[str, bool, np.ndarray, np.ndarray]]:
+def training_rows(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
     """At most ``per_lang`` documents of each language, the least by hash, as bucket counts of the whole text and of a
-    few short pieces."""
+    few short pieces: lang, held, at, times."""
     k1, k2 = text_key(F.col("text"))
     learned = docs.select("doc_id", "lang", "text").filter("doc_id is not null and lang is not null and text is not null").filter(F.crc32(F.col("doc_id").cast("string")) % FOLDS != 0)
     # the least hashes of each language: a threshold from an approximate quantile keeps the ranked rows few
@@ -204,17 +205,23 @@ def training_rows(docs: DataFrame, per_lang: int = PER_LANG) -> list[tuple[str,
                         pieces.append(text[a : a + size])
                 for piece in pieces:
                     at, times = text_counts(piece)
-                    out.append((lang, h % 5 == 0, at.astype("<i4").tobytes(), times.astype("<i4").tobytes()))
+                    out.append((lang, h % 5 == 0, at.astype("<u2").tobytes(), np.minimum(times, 65535).astype("<u2").tobytes()))
             columns = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.bool_(), pa.binary(), pa.binary()), strict=True)], ["lang", "held", "at", "times"])
 
-    rows = picked.select("lang", "h", "text").mapInArrow(count, "lang string, held boolean, at binary, times binary").toArrow()
-    rows = sorted(zip(*(rows.column(c).to_pylist() for c in ("lang", "held", "at", "times")), strict=True))
-    return [(lang, held, np.frombuffer(at, "<i4"), np.frombuffer(times, "<i4")) for lang, held, at, times in rows]
+    return picked.select("lang", "h", "text").mapInArrow(count, "lang string, held boolean, at binary, times binary")
 
 
 def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
-    return train(training_rows(docs, per_lang))
+    """Train in one task on the bounded sample; only the model comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("lang", "held", "at", "times")), strict=True))
+        model = train([(lang, held, np.frombuffer(at, "<u2"), np.frombuffer(times, "<u2")) for lang, held, at, times in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    found = training_rows(docs, per_lang).repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(found[0]) if found else train([])
 
 
 def predictions(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
