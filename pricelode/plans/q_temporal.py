@@ -85,6 +85,35 @@ def window_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("a", "b", first.alias("first_day"), F.least("ua", "ub").alias("last_day"))
 
 
+@query("""with snaps as (select chain, valid_from as f, valid_until as u, max({'c': collected_at, 'i': id}) as s from obs where valid_from is not null group by all), days as (select distinct day as d from obs)
+select d, chain, max(s).i as snapshot from days join snaps on d between f and u group by d, chain""")
+def newest_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``snapshot_of_day`` with every observation as a snapshot: the newest of each window first, then of each day."""
+    obs = observations(spark, sf_dir)
+    newest = F.max(F.struct("collected_at", "id")).alias("s")
+    snaps = obs.filter("valid_from is not null").groupBy("chain", "valid_from", "valid_until").agg(newest)
+    open_days = snaps.select("chain", "s", F.explode(F.sequence("valid_from", "valid_until")).alias("d"))
+    found = open_days.join(obs.select(F.col("day").alias("d")).distinct(), "d")
+    return found.groupBy("d", "chain").agg(F.max("s")["id"].alias("snapshot"))
+
+
+@query("""with s as (select id, valid_from as f, valid_until as u from obs where valid_from is not null), w as (select f, u, count(*) as n from s group by all),
+p as (select a.f, a.u, b.n - (a.f = b.f and a.u = b.u)::int as n, greatest(a.f, b.f) as x, least(a.u, b.u) as y from w a join w b on a.f <= b.u and a.u >= b.f),
+g as (select f, u, sum(n)::bigint as n_overlaps, min(x) as first_day, max(y) as last_day from p where n > 0 group by all)
+select id, n_overlaps, first_day, last_day from s join g using (f, u)""")
+def window_overlap_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many windows of other observations each one overlaps, over all of them, and the first and last day shared;
+    equal windows are counted before the join."""
+    s = observations(spark, sf_dir).filter("valid_from is not null").select("id", F.col("valid_from").alias("f"), F.col("valid_until").alias("u"))
+    windows = t.interval_buckets(s.groupBy("f", "u").agg(F.count(F.lit(1)).alias("n")), "f", "u")
+    a, b = (windows.select("_bucket", *(F.col(c).alias(f"{c}{n}") for c in ("f", "u", "n"))) for n in ("a", "b"))
+    first, itself = F.greatest("fa", "fb"), (F.col("fa") == F.col("fb")) & (F.col("ua") == F.col("ub"))
+    pairs = a.join(b, "_bucket").filter("fa <= ub and ua >= fb").filter(F.floor(F.unix_date(first) / 8) == F.col("_bucket"))
+    others = pairs.withColumns({"n": F.col("nb") - itself.cast("int"), "x": first, "y": F.least("ua", "ub")}).filter("n > 0")
+    found = others.groupBy(F.col("fa").alias("f"), F.col("ua").alias("u")).agg(F.sum("n").alias("n_overlaps"), F.min("x").alias("first_day"), F.max("y").alias("last_day"))
+    return s.join(found, ["f", "u"]).select("id", "n_overlaps", "first_day", "last_day")
+
+
 @query("""with d as (select distinct offer, day from obs), r as (select offer, day, day - (row_number() over (partition by offer order by day))::int as run from d)
 select offer, max(n)::bigint as longest from (select offer, run, count(*) as n from r group by all) group by offer""")
 def longest_day_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
