@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where none is set (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only where none is set on a local master (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
@@ -29,10 +31,49 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: it cuts lineage, and its size is known."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that are only needed until a result is written: gone when the ``with`` block ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.names = spark, [], []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        for name in self.names:
+            self.spark.sql(f"drop table if exists {name}")
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
+        for path in self.paths:
+            where = hadoop(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    def path(self, tag: str) -> str:
+        self.paths.append(new_path(self.spark, tag))
+        return self.paths[-1]
+
+    def staged(self, df: DataFrame, tag: str) -> DataFrame:
+        path = self.path(tag)
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def bucketed(self, df: DataFrame, tag: str, *keys: str) -> DataFrame:
+        """A table whose joins on ``keys`` need no shuffle."""
+        name = f"{tag}_{uuid.uuid4().hex}"
+        self.names.append(name)
+        writer = df.write.bucketBy(partitions(self.spark), *keys).sortBy(*keys)
+        writer.option("path", self.path(tag)).option("compression", "zstd").saveAsTable(name)
+        return self.spark.table(name)
+
+    def kept(self, df: DataFrame, tag: str) -> DataFrame:
+        """A result: written like the others, but it stays."""
+        return staged(df, tag)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,31 +1,35 @@
 """Removal of repeated byte strings with suffix arrays built per shard.
 
-Every byte covered by a string of ``LENGTH`` (400) bytes that also starts anywhere else in the corpus is removed, in
-all its places; strings never cross documents and are judged on the input.
+Every byte covered by a string of ``length`` bytes that also starts anywhere else in the corpus is removed, in all its
+places, the first one too; strings never cross documents and are judged on the input.  ``LENGTH`` (400) is for whole
+passages of a page, ``PASSAGE`` (240) is short enough for any passage of over 50 words.
 
 1. Distinct texts, with the number of their copies, are written bucketed by content, so later joins leave text alone.
-2. A text's strings of 400 bytes are told apart by an anchor: the least of the hashes of the 32-byte substrings inside
-   (sliding minimum, leftmost of equals).  It depends on the string's content only, so equal strings have equal
-   anchors at the same place.  Consecutive strings with the same anchor make a segment; one row goes out per segment,
-   with the anchor's hash and a 128-bit digest of the segment.  Anchors met once cannot have repeats and end here.
-3. Equal segments repeat as a whole.  Segments of one anchor that differ are sent, one of each, to shards; an anchor
-   with over ``SALT_ROWS`` of them is dealt over several shards.  A shard's suffix array comes from Larsson-Sadakane
+2. A text's strings are told apart by an anchor: the least of the hashes of the 32-byte substrings inside (sliding
+   minimum, leftmost of equals).  It depends on the string's content only, so equal strings have equal anchors at the
+   same place.  Consecutive strings with the same anchor make a segment, known by the anchor's hash and a 128-bit
+   digest.  Anchors met once cannot have repeats and end here.
+3. Equal segments repeat as a whole.  Segments of one anchor that differ are cut by content: a string's distance to its
+   anchor falls in one of a few bands, and all strings of a band have the same bytes in common, so equal strings have an
+   equal core.  Pieces whose core nothing else has end here, pieces that are equal repeat as a whole.  A core with over
+   ``KINDS`` differing pieces is cut again by a quarter of the band; at a band of one distance the core is the string,
+   so this ends.  At each step a piece has four parts at most, of which only that on the edge of a common passage goes on.
+4. What is left goes to shards, all pieces of a core to one.  A shard's suffix array comes from Larsson-Sadakane
    refinement in numpy (only unsorted groups are sorted again, by the rank a known distance on), and common prefixes
    from Kasai's: an entry whose preceding byte continues the previous pair takes that value less one, only the others
-   compare bytes.  Neighbours that share 400 bytes are repeats.
-4. Between shards of a dealt-out anchor the strings not found in their own shard are merged: sorted digests, looked up
-   by binary search for one from another shard.
+   compare bytes.  Neighbours that share ``length`` bytes are repeats.  As equal strings meet in one shard, shards are
+   merged by the sorted digests of their cores alone; strings are never looked up one by one.
 5. The segments' repeats come back as byte ranges of each text.
 
-A null text is as an empty one.  Texts of under 400 bytes keep all.  Repeated rows are copies, so all of their bytes
-go if they have 400 or more.  doc_id may be null or repeated; other columns are kept by ``strip_repeats`` and ignored
-by ``repeats``.
+A null text is as an empty one.  Texts of under ``length`` bytes keep all.  Repeated rows are copies, so all of their
+bytes go if they have ``length`` or more.  doc_id may be null or repeated; other columns are kept by ``strip_repeats``
+and ignored by ``stripped``.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,15 +37,20 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pricelode.llm.common import documents, new_path, partitions, slices, staged, text_key
+from pricelode.llm.common import Scratch, documents, partitions, slices, text_key
 
 LENGTH = 400
+PASSAGE = 240
 GRAM = 32
 SHARD_BYTES = 1 << 20
-SALT_ROWS = 500
-#: A long text is looked at in pieces of so many bytes, which overlap by LENGTH - 1.
+#: A core with more differing pieces is cut by content again before it goes to a shard.
+KINDS = 1000
+#: A long text is looked at in pieces of so many bytes, which overlap by the length of a string less one.
 PIECE = 4 << 20
+#: Segments of a text are fetched from it in rows of those that start within so many bytes.
+CUT_BYTES = 1 << 20
 
 
 def _gram_hashes(b: np.ndarray, gram: int) -> np.ndarray:
@@ -60,13 +69,14 @@ def _gram_hashes(b: np.ndarray, gram: int) -> np.ndarray:
 
 
 def segments(data: bytes, bounds: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Segments of texts laid end to end (text i is bounds[i]:bounds[i+1]): (text, first start, last start, anchor hash).
+    """Segments of texts laid end to end (text i is bounds[i]:bounds[i+1]): (text, first start, last start, anchor hash,
+    anchor place).
 
     Starts count from the beginning of ``data``; every start of a whole string is in exactly one segment.
     """
     b = np.frombuffer(data, np.uint8)
     if len(b) < length:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.int64))
     hashes = _gram_hashes(b, gram)
     place = np.uint64((1 << 24) - 1)
     least = (hashes & ~place) | np.arange(len(hashes), dtype=np.uint64)
@@ -81,11 +91,11 @@ def segments(data: bytes, bounds: np.ndarray, length: int = LENGTH, gram: int =
     text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[: len(at)]
     whole = np.flatnonzero(np.arange(len(at)) + length <= bounds[text + 1])
     if not len(whole):
-        return segments(b"", bounds)
+        return segments(b"", bounds, length, gram)
     key_at, key_text = at[whole], text[whole]
     cut = np.flatnonzero((np.diff(key_at) != 0) | (np.diff(key_text) != 0) | (np.diff(whole) != 1)) + 1
     first, last = np.concatenate([[0], cut]), np.concatenate([cut - 1, [len(whole) - 1]])
-    return key_text[first], whole[first], whole[last], hashes[key_at[first]]
+    return key_text[first], whole[first], whole[last], hashes[key_at[first]], key_at[first]
 
 
 def pack_symbols(codes: np.ndarray) -> np.ndarray:
@@ -199,152 +209,183 @@ def _ranges(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-SEGMENT = "k1 long, k2 long, first long, last long, anchor long, d1 long, d2 long"
+PLACED = "k1 long, k2 long, first array<int>, n array<int>, rel array<int>, anchor array<long>, d1 array<long>, d2 array<long>"
 
 
 def _text_segments(texts: DataFrame, length: int) -> DataFrame:
-    """Segments of every distinct text of ``texts(k1, k2, text)``; first and last are byte places of starts."""
+    """Segments of every distinct text of ``texts(k1, k2, text)``, a row of lists for each piece of a text: byte place
+    of the first start, starts, place of the anchor from the first start, anchor hash and digest."""
+
+    def rows(now: list[tuple[int, int, bytes]], k1: list[int], k2: list[int]) -> Iterator[pa.RecordBatch]:
+        data = b"".join(p[2] for p in now)
+        bounds = np.cumsum([0, *(len(p[2]) for p in now)])
+        text, first, last, anchor, place = segments(data, bounds, length)
+        if not len(text):
+            return
+        view = memoryview(data)
+        digest = b"".join([xxhash.xxh3_128_digest(view[a : b + length]) for a, b in zip(first.tolist(), last.tolist(), strict=True)])
+        digests = np.frombuffer(digest, "<i8").reshape(-1, 2)
+        shift = np.array([p[1] for p in now])[text] - bounds[text]
+        which, at = np.unique(text, return_index=True)
+        offsets = pa.array(np.append(at, len(text)), pa.int32())
+        lists = [(first + shift, pa.int32()), (last - first + 1, pa.int32()), (place - first, pa.int32()), (anchor.view(np.int64), pa.int64()), (digests[:, 0], pa.int64()), (digests[:, 1], pa.int64())]
+        keys = [pa.array([k[now[t][0]] for t in which.tolist()], pa.int64()) for k in (k1, k2)]
+        yield pa.RecordBatch.from_arrays([*keys, *(pa.ListArray.from_arrays(offsets, pa.array(v, t)) for v, t in lists)], ["k1", "k2", "first", "n", "rel", "anchor", "d1", "d2"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", PIECE):
             k1, k2 = (batch.column(k).to_pylist() for k in ("k1", "k2"))
-            pieces: list[tuple[int, int, bytes]] = []
+            now: list[tuple[int, int, bytes]] = []
+            held = 0
             for i, t in enumerate(batch.column("text")):
                 raw = t.as_buffer()
                 for a in range(0, max(1, len(raw) - length + 1), PIECE):
-                    pieces.append((i, a, bytes(raw[a : a + PIECE + length - 1])))
-            while pieces:
-                now, held = [], 0
-                while pieces and (not now or held + len(pieces[0][2]) <= PIECE + length):
-                    now.append(pieces.pop(0))
-                    held += len(now[-1][2])
-                data = b"".join(p[2] for p in now)
-                bounds = np.cumsum([0, *(len(p[2]) for p in now)])
-                text, first, last, anchor = segments(data, bounds, length)
-                if not len(text):
-                    continue
-                view = memoryview(data)
-                digest = b"".join([xxhash.xxh3_128_digest(view[a : b + length]) for a, b in zip(first.tolist(), last.tolist(), strict=True)])
-                digests = np.frombuffer(digest, "<i8").reshape(-1, 2)
-                shift = np.array([p[1] for p in now])[text] - bounds[text]
-                doc = [now[t][0] for t in text.tolist()]
-                columns = [[k1[d] for d in doc], [k2[d] for d in doc], first + shift, last + shift, anchor.view(np.int64), digests[:, 0], digests[:, 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["k1", "k2", "first", "last", "anchor", "d1", "d2"])
-
-    return texts.select("k1", "k2", F.col("text").cast("binary").alias("text")).mapInArrow(cut, SEGMENT)
-
-
-def _shards(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """Of ``rows(anchor, d1, d2, salt, salts, bytes, starts)``: ranges of starts (from, to) repeated within a shard, and digests of the
-    strings of dealt-out anchors, one of each per shard."""
+                    piece = bytes(raw[a : a + PIECE + length - 1])
+                    if now and held + len(piece) > PIECE + length:
+                        yield from rows(now, k1, k2)
+                        now, held = [], 0
+                    now.append((i, a, piece))
+                    held += len(piece)
+            yield from rows(now, k1, k2)
+
+    return texts.select("k1", "k2", F.col("text").cast("binary").alias("text")).mapInArrow(cut, PLACED)
+
+
+def bands(length: int, gram: int = GRAM) -> list[int]:
+    """Widths of the bands of distances between a string and its anchor: each a quarter of the one before, the last 1."""
+    out = [1 << max(0, ((length - gram + 1) // 2).bit_length() - 1)]
+    while out[-1] > 1:
+        out.append(max(1, out[-1] // 4))
+    return out
+
+
+def _cores(rows: DataFrame, length: int, band: int) -> DataFrame:
+    """Of ``rows(anchor, d1, d2, rel, lo, hi, bytes)``, starts lo to hi of a segment, the parts in each band of ``band``
+    distances: number of the band, starts, hash of the core and digest of the part's bytes."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wide, exact = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_digest
+        for batch in batches:
+            out: list[list[int]] = [[], [], [], [], []]
+            digests: list[bytes] = []
+            for i, (rel, lo, hi, raw) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("rel", "lo", "hi", "bytes")), strict=True)):
+                for b in range((rel - hi + 1) // band, (rel - lo) // band + 1):
+                    far = b * band  # distances far to far + band - 1: starts rel - far back to ...
+                    x, y = max(lo, rel - far - band + 1), min(hi, rel - far + 1)
+                    core = raw[rel - far : rel - far + length - band + 1]
+                    for column, value in zip(out, (i, b, x, y, wide(core)), strict=True):
+                        column.append(value)
+                    digests.append(exact(raw[x : y + length - 1]))
+            at = pa.array(out[0], pa.int32())
+            exacts = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+            columns = [batch.column(c).take(at) for c in ("anchor", "d1", "d2")]
+            columns += [pa.array(c, pa.int32()) for c in out[1:4]]
+            columns += [pa.array(np.array(out[4], np.uint64).view(np.int64)), pa.array(exacts[:, 0]), pa.array(exacts[:, 1])]
+            yield pa.RecordBatch.from_arrays(columns, ["anchor", "d1", "d2", "band", "lo", "hi", "core", "c1", "c2"])
+
+    return rows.select("anchor", "d1", "d2", "rel", "lo", "hi", "bytes").mapInArrow(cut, "anchor long, d1 long, d2 long, band int, lo int, hi int, core long, c1 long, c2 long")
+
+
+def _shards(rows: DataFrame, length: int) -> DataFrame:
+    """Of ``rows(anchor, band, core, d1, d2, lo, hi, bytes)``: ranges (lo, hi) of starts repeated within a shard; all rows
+    of a core are in one shard, in any number of shards for each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        size = 0
+        size, last = 0, None
 
-        def shard() -> Iterator[pa.RecordBatch]:
+        def shard() -> pa.RecordBatch:
             table = pa.Table.from_batches(held)
-            parts, starts = [x.as_buffer().to_pybytes() for x in table.column("bytes").combine_chunks()], table.column("starts").to_pylist()
-            mask, segment, group = shard_repeats(parts, starts, length)
-            anchor, d1, d2, salts = (table.column(c).to_pylist() for c in ("anchor", "d1", "d2", "salts"))
-            upto = np.cumsum([0, *starts])
-            out: list[tuple] = []
-            seen: set[tuple[int, int]] = set()
-            for i in range(len(parts)):
-                a, b = int(upto[i]), int(upto[i + 1])
-                out += [(anchor[i], d1[i], d2[i], x, y, None) for x, y in _ranges(mask[a:b])]
-                if salts[i] > 1:
-                    view = memoryview(parts[i])
-                    for k, g in enumerate(group[a:b].tolist()):
-                        if (anchor[i], g) not in seen:  # of a class only the first: the others repeat already
-                            seen.add((anchor[i], g))
-                            out.append((anchor[i], d1[i], d2[i], k, k + 1, xxhash.xxh3_128_digest(view[k : k + length])))
-            columns = list(zip(*out, strict=True)) or [[]] * 6
-            kinds = [pa.int64()] * 5 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["anchor", "d1", "d2", "from", "to", "digest"])
+            parts = [x.as_buffer().to_pybytes() for x in table.column("bytes").combine_chunks()]
+            lo = table.column("lo").to_numpy()
+            starts = table.column("hi").to_numpy() - lo
+            mask, _, _ = shard_repeats(parts, starts.tolist(), length)
+            upto = np.cumsum([0, *starts.tolist()])
+            found = [(i, x + int(lo[i]), y + int(lo[i])) for i in range(len(parts)) for x, y in _ranges(mask[upto[i] : upto[i + 1]])]
+            at, x, y = zip(*found, strict=True) if found else ([], [], [])
+            columns = [table.column(c).combine_chunks().take(pa.array(at, pa.int32())) for c in ("anchor", "d1", "d2")]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(x, pa.int32()), pa.array(y, pa.int32())], ["anchor", "d1", "d2", "lo", "hi"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = batch.column("anchor").to_numpy() * 31 + batch.column("salt").to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("anchor", "band", "core")], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            sizes = np.append(0, np.cumsum(pa.compute.binary_length(batch.column("bytes")).to_numpy()))
+            begin = 0
             for a, b in zip(cuts, cuts[1:], strict=False):
-                part = batch.slice(a, b - a)
-                here = (part.column("anchor")[0].as_py(), part.column("salt")[0].as_py())
-                if size >= SHARD_BYTES and (held[-1].column("anchor")[0].as_py(), held[-1].column("salt")[0].as_py()) != here:
-                    yield from shard()
-                    held, size = [], 0
-                held.append(part)
-                size += pa.compute.sum(pa.compute.binary_length(part.column("bytes"))).as_py()
+                if size >= SHARD_BYTES and last != keys[a].tolist():
+                    if a > begin:
+                        held.append(batch.slice(begin, a - begin))
+                    yield shard()
+                    held, size, begin = [], 0, a
+                size += int(sizes[b] - sizes[a])
+                last = keys[a].tolist()
+            held.append(batch.slice(begin))
         if held:
-            yield from shard()
-
-    n = partitions(rows.sparkSession)
-    dealt = rows.repartition(n, "anchor", "salt").sortWithinPartitions("anchor", "salt")
-    found = staged(dealt.mapInArrow(run, "anchor long, d1 long, d2 long, from long, to long, digest binary"), "shards")
-    return found.filter("digest is null").drop("digest"), found.filter("digest is not null")
-
-
-def _merge(digests: DataFrame) -> DataFrame:
-    """Strings whose digest is also another shard's: sorted digests of a range, looked up by binary search."""
-
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [b for b in batches if b.num_rows]
-        if not rows:
-            return
-        table = pa.Table.from_batches(rows)
-        raw = np.frombuffer(b"".join(table.column("digest").to_pylist()), "S16")
-        order = np.argsort(raw, kind="stable")
-        keys = raw[order]
-        count = np.searchsorted(keys, raw, "right") - np.searchsorted(keys, raw, "left")
-        yield from table.select(["anchor", "d1", "d2", "from", "to"]).filter(pa.array(count > 1)).to_batches()
-
-    # a shard sends a digest once, so digests that meet come from two shards
-    n = partitions(digests.sparkSession)
-    return digests.repartition(n, "digest").mapInArrow(look, "anchor long, d1 long, d2 long, from long, to long")
-
-
-def repeats(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
-    """The distinct texts (a table bucketed by content: k1, k2, text, copies) and per text with repeats the removed
-    byte ranges: (k1, k2, ranges array<struct<from, to>>, not merged)."""
-    spark = docs.sparkSession
-    k1, k2 = text_key(F.coalesce("text", F.lit("")))
-    texts = docs.select(k1.alias("k1"), k2.alias("k2"), F.coalesce("text", F.lit("")).alias("text")).groupBy("k1", "k2")
-    texts = texts.agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    n, name = partitions(spark), f"texts_{uuid.uuid4().hex}"
-    writer = texts.write.bucketBy(n, "k1", "k2").sortBy("k1", "k2")
-    writer.option("path", new_path(spark, "texts")).saveAsTable(name)
-    texts = spark.table(name)
-
-    spans = staged(_text_segments(texts.filter(F.octet_length("text") >= length), length), "segments")
-    one = F.min(F.struct("k1", "k2", "first", "last")).alias("one")
-    kinds = spans.groupBy("anchor", "d1", "d2").agg(F.count(F.lit(1)).alias("times"), one)
-    kinds = staged(kinds, "kinds")
-    met = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum("times").alias("all")).filter("all > 1")
-    met = staged(met, "anchors")
-    kinds = staged(kinds.join(met, "anchor").select("anchor", "d1", "d2", "times", "one", "kinds"), "met")
-
-    salts = F.ceil(F.col("kinds") / F.lit(SALT_ROWS)).cast("long")
-    sent = kinds.filter("kinds > 1").select("one.*", F.struct("anchor", "d1", "d2", F.pmod(F.xxhash64("d1", "d2"), salts).alias("salt"), salts.alias("salts"), F.col("one.first").alias("first"), F.col("one.last").alias("last")).alias("s"))
-    sent = sent.groupBy("k1", "k2").agg(F.collect_list("s").alias("s"))
+            yield shard()
+
+    dealt = rows.repartition(partitions(rows.sparkSession), "anchor", "band", "core").sortWithinPartitions("anchor", "band", "core")
+    return dealt.select("anchor", "band", "core", "d1", "d2", "lo", "hi", "bytes").mapInArrow(run, "anchor long, d1 long, d2 long, lo int, hi int")
+
+
+def distinct_texts(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The distinct texts, a table bucketed by content: k1, k2, text, copies."""
+    text = F.coalesce("text", F.lit(""))
+    k1, k2 = text_key(text)
+    texts = docs.select(k1.alias("k1"), k2.alias("k2"), text.alias("text")).groupBy("k1", "k2")
+    return scratch.bucketed(texts.agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")), "texts", "k1", "k2")
+
+
+def repeats(texts: DataFrame, length: int, scratch: Scratch) -> DataFrame:
+    """Repeated strings of ``length`` bytes among ``distinct_texts``: per text that has some (k1, k2, ranges), where
+    ranges (first, starts array<struct<lo, hi>>) tell the starts, not merged."""
+    kind = ["anchor", "d1", "d2"]
+    placed = scratch.staged(_text_segments(texts.filter(F.octet_length("text") >= length), length), "segments")
+    met = placed.select(F.explode("anchor").alias("anchor")).groupBy("anchor").agg(F.count(F.lit(1)).alias("all")).filter("all > 1")
+    spans = placed.select("k1", "k2", F.inline(F.arrays_zip("first", "n", "rel", "anchor", "d1", "d2")))
+    spans = scratch.staged(spans.join(met.select("anchor"), "anchor", "left_semi"), "met")
+    one = F.min(F.struct("k1", "k2", "first", "n", "rel")).alias("one")
+    kinds = scratch.staged(spans.groupBy(*kind).agg(F.count(F.lit(1)).alias("times"), one), "kinds")
+    several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("anchor")
+
+    # bytes of the segments to compare, from one text of each
+    sent = kinds.join(several, "anchor", "left_semi").select("one.*", *kind)
+    sent = sent.groupBy("k1", "k2", F.expr(f"first div {CUT_BYTES}").alias("part")).agg(F.collect_list(F.struct(*kind, "first", "n", "rel")).alias("s"))
     sent = texts.select("k1", "k2", "text").join(sent, ["k1", "k2"]).select(F.explode("s").alias("s"), F.col("text").cast("binary").alias("b"))
-    cut = F.expr(f"substring(b, cast(s.first + 1 as int), cast(s.last - s.first + {length} as int))")
-    inside, digests = _shards(sent.select("s.anchor", "s.d1", "s.d2", "s.salt", "s.salts", cut.alias("bytes"), (F.col("s.last") - F.col("s.first") + 1).alias("starts")), length)
-    across = _merge(digests)
-
-    whole = kinds.filter("times > 1").select("anchor", "d1", "d2", F.lit(0).cast("long").alias("from"), (F.col("one.last") - F.col("one.first") + 1).alias("to"))
-    found = inside.unionByName(across).unionByName(whole).groupBy("anchor", "d1", "d2")
-    found = staged(found.agg(F.collect_set(F.struct("from", "to")).alias("starts")), "found")
-    placed = spans.join(found, ["anchor", "d1", "d2"]).select("k1", "k2", "first", "starts")
-    ranges = placed.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "starts")).alias("ranges"))
-    return texts, ranges
-
-
-def _removed(ranges: list[dict] | None, size: int, copies: int, length: int) -> list[tuple[int, int]]:
+    raw = F.expr(f"substring(b, s.first + 1, s.n + {length - 1})").alias("bytes")
+    cut = scratch.staged(sent.select(*(f"s.{c}" for c in (*kind, "n", "rel")), raw), "cut")
+
+    rows, found, ready = cut.select(*kind, "rel", F.lit(0).alias("lo"), F.col("n").alias("hi"), "bytes"), [], []
+    core = ["anchor", "band", "core"]
+    for band in bands(length):
+        parts = scratch.staged(_cores(rows, length, band), "cores")
+        least = F.min(F.struct("d1", "d2", "lo", "hi")).alias("one")
+        contents = parts.groupBy(*core, "c1", "c2").agg(F.count(F.lit(1)).alias("times"), least)
+        cores = contents.groupBy(*core).agg(F.count(F.lit(1)).alias("kinds"), F.sum("times").alias("all")).filter("all > 1")
+        alive = scratch.staged(contents.join(cores, core).drop("all"), "shared-cores")
+        found.append(parts.join(alive.filter("times > 1").select(*core, "c1", "c2"), [*core, "c1", "c2"]).select(*kind, "lo", "hi"))
+        apart = alive.filter("kinds > 1").select(*core, "kinds", "one.*")
+        ready.append(apart.filter(F.col("kinds") <= KINDS).drop("kinds"))
+        hot = apart.filter(F.col("kinds") > KINDS)
+        if hot.isEmpty():
+            break
+        rows = hot.drop("band", "core").join(cut.select(*kind, "rel", "bytes"), kind)
+    dealt = functools.reduce(DataFrame.unionByName, ready).join(cut.select(*kind, "bytes"), kind)
+    piece = F.expr(f"substring(bytes, lo + 1, hi - lo + {length - 1})").alias("bytes")
+    found.append(_shards(dealt.select(*core, "d1", "d2", "lo", "hi", piece), length))
+    found.append(kinds.filter("times > 1").select(*kind, F.lit(0).alias("lo"), F.col("one.n").alias("hi")))
+    starts = functools.reduce(DataFrame.unionByName, found).groupBy(*kind).agg(F.collect_set(F.struct("lo", "hi")).alias("starts"))
+    starts = scratch.staged(starts, "found")
+    back = spans.join(starts, kind).select("k1", "k2", "first", "starts")
+    return scratch.staged(back.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "starts")).alias("ranges")), "ranges")
+
+
+def removed(ranges: list[dict] | None, size: int, copies: int, length: int) -> list[tuple[int, int]]:
     """Maximal removed runs of a text."""
     if size >= length and copies > 1:
         return [(0, size)]
-    runs = sorted((r["first"] + s["from"], r["first"] + s["to"] - 1 + length) for r in ranges or () for s in r["starts"])
+    runs = sorted((r["first"] + s["lo"], r["first"] + s["hi"] - 1 + length) for r in ranges or () for s in r["starts"])
     out: list[tuple[int, int]] = []
     for a, b in runs:
         if out and a <= out[-1][1]:
@@ -354,50 +395,81 @@ def _removed(ranges: list[dict] | None, size: int, copies: int, length: int) ->
     return out
 
 
-def stripped(docs: DataFrame, length: int = LENGTH, with_text: bool = True) -> DataFrame:
-    """Per distinct text (k1, k2): n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the text that is left.
+def _left(raw: memoryview, gone: list[tuple[int, int]]) -> bytes:
+    at, left = 0, []
+    for a, b in gone:
+        left.append(raw[at:a])
+        at = b
+    return b"".join([*left, raw[at:]])
 
-    Where a range cuts a character of several bytes, what is left of it is dropped from ``kept`` (not from the hash).
-    """
-    texts, ranges = repeats(docs, length)
+
+def stripped(docs: DataFrame, length: int = LENGTH, passage: int | None = None) -> DataFrame:
+    """Per distinct text (k1, k2): n_bytes, n_removed, n_spans, kept_sha256, and ``n_passage``: bytes covered by repeated
+    strings of ``passage`` bytes (null if none is asked for)."""
+    spark = docs.sparkSession
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "b"):
             out: list[tuple] = []
-            for t, r, c in zip(batch.column("b"), batch.column("ranges").to_pylist(), batch.column("copies").to_pylist(), strict=True):
+            for t, r, p, c in zip(batch.column("b"), *(batch.column(k).to_pylist() for k in ("ranges", "passages", "copies")), strict=True):
                 raw = memoryview(t.as_buffer())
-                gone, at, left = _removed(r, len(raw), c, length), 0, []
-                for a, b in gone:
-                    left.append(raw[at:a])
-                    at = b
-                kept = b"".join([*left, raw[at:]])
-                text = kept.decode("utf-8", "ignore") if with_text else None
-                out.append((len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), text))
-            n, removed, spans, sha, text = zip(*out, strict=True)
-            columns = [batch.column("k1"), batch.column("k2"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha), pa.array(text, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["k1", "k2", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    joined = texts.join(ranges, ["k1", "k2"], "left").select("k1", "k2", F.col("text").cast("binary").alias("b"), "copies", "ranges")
-    return joined.mapInArrow(apply, "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+                gone = removed(r, len(raw), c, length)
+                kept = _left(raw, gone)
+                covered = None if passage is None else sum(b - a for a, b in removed(p, len(raw), c, passage))
+                out.append((len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), covered))
+            n, less, spans, sha, covered = zip(*out, strict=True)
+            columns = [batch.column("k1"), batch.column("k2"), pa.array(n, pa.int64()), pa.array(less, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha), pa.array(covered, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["k1", "k2", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage"])
+
+    with Scratch(spark) as scratch:
+        texts = distinct_texts(docs, scratch)
+        joined = texts.join(repeats(texts, length, scratch), ["k1", "k2"], "left")
+        ranges = joined.schema["ranges"].dataType
+        if passage is None:
+            joined = joined.withColumn("passages", F.lit(None).cast(ranges))
+        else:
+            joined = joined.join(repeats(texts, passage, scratch).withColumnRenamed("ranges", "passages"), ["k1", "k2"], "left")
+        rows = joined.select("k1", "k2", F.col("text").cast("binary").alias("b"), "copies", "ranges", "passages")
+        return scratch.kept(rows.mapInArrow(apply, "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage long"), "stripped")
 
 
 def strip_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with the repeated strings cut out of text and n_chars (where there is one) counted again; a document
-    of which nothing is left is dropped, one that was empty before stays."""
-    done = staged(stripped(docs, length).filter("n_removed > 0").select(F.col("k1").alias("__a"), F.col("k2").alias("__b"), F.col("kept").alias("__kept"), (F.col("n_removed") == F.col("n_bytes")).alias("__all")), "stripped")
-    k1, k2 = text_key(F.coalesce("text", F.lit("")))
-    keyed = docs.withColumns({"__k1": k1, "__k2": k2})
-    joined = keyed.join(done, (keyed["__k1"] == done["__a"]) & (keyed["__k2"] == done["__b"]), "left")
-    joined = joined.filter(~F.coalesce("__all", F.lit(False)))
-    new = {"text": F.coalesce("__kept", "text")}
-    if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("__kept").isNull(), F.col("n_chars")).otherwise(F.length("__kept").cast(docs.schema["n_chars"].dataType))
-    return joined.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))
+    of which nothing is left is dropped, one that was empty before stays.  Where a range cuts a character of several
+    bytes, what is left of it goes too."""
+    keep = [c for c in docs.columns if c != "text"]
+    text = F.coalesce("text", F.lit(""))
+    k1, k2 = text_key(text)
+    own = docs.select(k1.alias("__k1"), k2.alias("__k2"), F.col("text").isNull().alias("__null"), *keep)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "__b"):
+            kept: list[str | None] = []
+            for t, r, none in zip(batch.column("__b"), *(batch.column(c).to_pylist() for c in ("__ranges", "__null")), strict=True):
+                raw = memoryview(t.as_buffer())
+                left = _left(raw, removed(r, len(raw), 1, length))
+                kept.append(None if none else left.decode("utf-8", "ignore"))
+            columns = [batch.column(c) for c in keep] + [pa.array(kept, pa.string()), batch.column("__size"), batch.column("__changed")]
+            yield pa.RecordBatch.from_arrays(columns, [*keep, "__text", "__size", "__changed"])
+
+    with Scratch(docs.sparkSession) as scratch:
+        texts = distinct_texts(docs, scratch)
+        ranges = repeats(texts, length, scratch).withColumnRenamed("ranges", "__ranges")
+        size = F.octet_length("text")
+        left = texts.filter((F.col("copies") == 1) | (size < length)).join(ranges, ["k1", "k2"], "left")
+        left = left.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("text").cast("binary").alias("__b"), size.alias("__size"), "__ranges", F.col("__ranges").isNotNull().alias("__changed"))
+        schema = T.StructType([*(docs.schema[c] for c in keep), *T.StructType.fromDDL("__text string, __size int, __changed boolean")])
+        done = left.join(own, ["__k1", "__k2"]).mapInArrow(apply, schema)
+        done = done.filter((F.col("__size") == 0) | F.coalesce(F.col("__text") != "", F.lit(True)))
+        new = {"text": F.col("__text")}
+        if "n_chars" in docs.columns:
+            new["n_chars"] = F.when(F.col("__changed"), F.length("__text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        return scratch.kept(done.select(*(new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns)), "no-repeats")
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    done = staged(stripped(docs, with_text=False).drop("kept"), "removed")
+    done = stripped(docs, LENGTH, PASSAGE)
     k1, k2 = text_key(F.coalesce("text", F.lit("")))
     rows = docs.select("doc_id", k1.alias("k1"), k2.alias("k2"))
-    return rows.join(done, ["k1", "k2"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return rows.join(done, ["k1", "k2"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.col("n_passage").alias("n_repeated_passages"))

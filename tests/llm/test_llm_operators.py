@@ -80,22 +80,61 @@ def brute_repeats(length):
 
 
 def test_suffix_dedup(docs, none):
-    done = suffix.stripped(docs, with_text=False)
-    k1, k2 = suffix.text_key(F.coalesce("text", F.lit("")))
-    rows = docs.select("doc_id", k1.alias("k1"), k2.alias("k2")).join(done, ["k1", "k2"])
-    same(rows.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect(), list(brute_repeats(400)))
+    same(suffix_rows(docs, 400).collect(), list(brute_repeats(400)))
     kept = suffix.strip_repeats(docs)
     assert kept.columns == docs.columns and kept.filter("doc_id = 70").count() == 1
     assert suffix.strip_repeats(none).count() == 0
 
 
-def test_suffix_dedup_over_shards(docs, monkeypatch):
-    """Many shards for one anchor: repeats then come from the merge."""
-    monkeypatch.setattr(suffix, "SALT_ROWS", 1)
-    done = suffix.stripped(docs, length=64, with_text=False)
+def suffix_rows(docs, length, passage=None):
     k1, k2 = suffix.text_key(F.coalesce("text", F.lit("")))
-    rows = docs.select("doc_id", k1.alias("k1"), k2.alias("k2")).join(done, ["k1", "k2"])
-    same(rows.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect(), list(brute_repeats(64)))
+    rows = docs.select("doc_id", k1.alias("k1"), k2.alias("k2")).join(suffix.stripped(docs, length, passage), ["k1", "k2"])
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["n_passage"] if passage else []))
+
+
+@pytest.mark.parametrize("kinds", [1, 3, 1000])
+def test_suffix_dedup_cuts_hot_cores(docs, monkeypatch, kinds):
+    """Cores with more pieces than the limit are cut by content until equal strings meet."""
+    monkeypatch.setattr(suffix, "KINDS", kinds)
+    same(suffix_rows(docs, 64).collect(), list(brute_repeats(64)))
+
+
+def test_passages(docs):
+    """The longer strings and the shorter ones of one run."""
+    got = suffix_rows(docs, 400, 240).collect()
+    same([r[:5] for r in got], list(brute_repeats(400)))
+    same([(r["doc_id"], r["n_bytes"], r["n_passage"]) for r in got], [r[:3] for r in brute_repeats(240)])
+
+
+@pytest.mark.parametrize("size", [235, 300, 400, 500])
+def test_planted_passages(spark, size):
+    """A passage in texts that have nothing else in common goes if it has the length, in all of its places."""
+    passage = prose(4321, 200)[:size]
+    rows = [(i, f"{i} " + "".join(chr(97 + x) for x in np.random.default_rng(i).integers(0, 26, 700)) + passage + f" {i} end" * 40) for i in range(12)]
+    out = {r["doc_id"]: r["text"] for r in suffix.strip_repeats(spark.createDataFrame(rows, "doc_id long, text string"), suffix.PASSAGE).collect()}
+    for i, t in rows:
+        assert (passage in out[i]) == (size < suffix.PASSAGE) and out[i].startswith(t[:300])
+
+
+@pytest.mark.parametrize("kinds", [19, 20, 200])
+def test_rows_stay_linear_at_a_hot_anchor(spark, monkeypatch, kinds):
+    """A passage that many texts share, each in its own surroundings: rows of cores grow with the segments, on both
+    sides of the limit."""
+    monkeypatch.setattr(suffix, "KINDS", 20)
+    made = []
+    real = suffix._cores
+
+    def counted(rows, length, band):
+        out = real(rows, length, band)
+        made.append((rows.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(suffix, "_cores", counted)
+    passage = prose(77, 80)[:330]
+    rows = [(i, "".join(chr(97 + x) for x in np.random.default_rng(i).integers(0, 26, 500)) + passage + "".join(chr(97 + x) for x in np.random.default_rng(1000 + i).integers(0, 26, 9)) + str(i)) for i in range(kinds)]
+    out = suffix.strip_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 240)
+    assert out.filter(F.contains("text", F.lit(passage[20:-20]))).count() == 0
+    assert sum(b for _, b in made) <= 5 * sum(a for a, _ in made) and all(a <= 2 * made[0][0] for a, _ in made)  # a segment may lie on both edges
 
 
 def test_suffix_array_and_prefixes():

@@ -52,7 +52,8 @@ def test_records_come_back(payload, chunk, segment):
 def test_segments_cover_every_start_once(texts, length):
     """Segments tell every start of a whole string once, and equal strings have equal anchors."""
     data, bounds = b"".join(texts), np.cumsum([0, *map(len, texts)])
-    text, first, last, anchor = suffix.segments(data, bounds, length, gram=4)
+    text, first, last, anchor, place = suffix.segments(data, bounds, length, gram=4)
+    assert ((first <= place + length) & (place >= last) & (place <= first + length - 4)).all()
     starts = [(int(t), int(s)) for t, a, b in zip(text, first, last, strict=True) for s in range(a, b + 1)]
     assert sorted(starts) == [(t, s) for t in range(len(texts)) for s in range(bounds[t], bounds[t + 1] - length + 1)]
     of: dict[bytes, set] = {}
