@@ -1,24 +1,29 @@
 """Quality classifier by co-training of two views.
 
 Content: a linear model over the hashed words of the text (shares of words in buckets; long runs count alike).
-Metadata: a linear model over what is known of the page without reading it: language, source (hashed), and the size
-and layout of the text (characters, lines, words, letters, capitals, signs, repetition).
+Metadata: a linear model over what the other columns say: language and source (hashed levels, and the pair of them) and
+the size ``n_chars`` (its logarithm and its power of two); it never sees the text.
 
 Both are logistic regressions trained in numpy by stochastic gradient descent.  They start from the labelled rows;
-in each of ``ROUNDS`` rounds each view labels the documents of an unlabelled pool that it is most sure of, in the
-labels' proportion, and gives them to the other view, which is trained again.  Each view's score is then calibrated
-by a logistic curve on a fold of the labels that training never sees; so is the sum of the two calibrated log-odds.
-
-Fitting takes ``LABELLED`` labelled and ``POOL`` unlabelled documents at most, those with the least hash of doc_id and
-text; a task sends their features, not their texts.  Scoring takes every document, whole.
-
-A label row of null counts as none; of several labels of a document the larger share wins, a tie is good.  Null text
-is as empty; null lang and source are levels of their own.  Without both classes among the labels every score is the
-share of good labels (0.5 without any).  Repeated rows and other columns do no harm.
+in each of ``ROUNDS`` rounds each view scores all documents without a label and gives the ``ADDED`` that it is most sure of,
+in the labels' proportion, to the other view, which is trained again.  A task keeps its own most certain ones
+only, with their features, so a round sends a bounded number of rows to the next step whatever the input.  Each view's score
+is then calibrated by a logistic curve on a fold of the labels that training never sees; so is the sum of the two
+calibrated log-odds.
+
+Fitting takes ``LABELLED`` labelled documents at most, those with the least hash of text and metadata, as features; it runs
+in one task, and only the weights come to the driver.  Scoring takes every document, whole.
+
+A label row of null counts as none; of several labels of a document the larger share wins, a tie is good.  Rows with equal
+text and metadata are one for fitting (good, if any of them is).  Null text is as empty; null lang, source and n_chars are
+levels of their own, a missing n_chars column is as null.  Without both classes among the labels every score is the share of
+good labels (0.5 without any).  Other columns do no harm.
 """
 
 from __future__ import annotations
 
+import functools
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,18 +32,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelode.llm.common import documents, slices, text_key
-from pricelode.llm.rules import figures
+from pricelode.llm.common import Scratch, documents, slices, text_key
 from pricelode.llm.words import words_of
 
 WORD_BUCKETS = 1 << 16
 LEVELS = 64
+SIZES = 32
 LABELLED = 4000
-POOL = 4000
-ROUNDS = 4
-SHARE = 0.05
+ADDED = 200
+ROUNDS = 3
 EPOCHS = 8
-NUMBERS = 11
 
 
 def content(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -59,19 +62,15 @@ def content_scores(texts: list[str | None], weight: np.ndarray) -> np.ndarray:
     return w.per_words_sum(weight[bucket][w.ids] if len(w.ids) else np.zeros(0)) / np.maximum(1, np.diff(w.upto))
 
 
-def metadata(texts: list[str | None], langs: list[str | None], sources: list[str | None]) -> np.ndarray:
-    """Rows of: hashed language and source levels, then sizes and layout."""
-    f = figures(texts)
-    out = np.zeros((len(texts), 2 * LEVELS + NUMBERS), np.float32)
-    for i, (lang, source) in enumerate(zip(langs, sources, strict=True)):
-        out[i, xxhash.xxh32_intdigest(repr(lang)) % LEVELS] = 1
-        out[i, LEVELS + xxhash.xxh32_intdigest(repr(source)) % LEVELS] = 0.2
-    share = lambda a, b: f[a] / np.maximum(1, f[b])
-    numbers = [
-        np.log1p(f["word_chars"]) / 10, np.log1p(f["n_lines"]) / 5, np.log1p(f["n_words"] / np.maximum(1, f["n_lines"])) / 5, np.minimum(2, share("word_chars", "n_words") / 10),
-        share("n_letters", "word_chars"), share("n_upper", "n_letters"), np.minimum(2, share("n_symbols", "n_words")), share("n_signs", "n_words"), share("n_dup_lines", "n_lines"), share("n_repeat_words", "n_words"), np.ones(len(texts)),
-    ]
-    out[:, 2 * LEVELS :] = np.stack(numbers, axis=1)
+def metadata(langs: list[str | None], sources: list[str | None], sizes: list[int | None]) -> np.ndarray:
+    """Rows of: hashed levels of language, source and both, the size's power of two and logarithm, and one."""
+    out = np.zeros((len(langs), 3 * LEVELS + SIZES + 2), np.float32)
+    for i, (lang, source, size) in enumerate(zip(langs, sources, sizes, strict=True)):
+        for k, level in enumerate((repr(lang), repr(source), repr((lang, source)))):
+            out[i, k * LEVELS + xxhash.xxh32_intdigest(level) % LEVELS] = 1
+        out[i, 3 * LEVELS + (SIZES - 1 if size is None else min(SIZES - 2, max(0, int(size)).bit_length()))] = 1
+        out[i, -2] = np.log1p(max(0, size or 0)) / 10
+    out[:, -1] = 1
     return out
 
 
@@ -133,81 +132,147 @@ class Model:
     def __init__(self, share: float, content_w: np.ndarray | None = None, metadata_w: np.ndarray | None = None, curves: list[tuple[float, float]] | None = None):
         self.share, self.content_w, self.metadata_w, self.curves = share, content_w, metadata_w, curves or []
 
-    def scores(self, texts: list[str | None], langs: list[str | None], sources: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def views(self, texts: list[str | None], meta: tuple[list, list, list]) -> tuple[np.ndarray, np.ndarray]:
+        """Log-odds of good by content and by metadata, calibrated."""
+        c = self.curves[0][0] * (content_scores(texts, self.content_w[:-1]) + self.content_w[-1]) + self.curves[0][1]
+        return c, self.curves[1][0] * (metadata(*meta) @ self.metadata_w) + self.curves[1][1]
+
+    def scores(self, texts: list[str | None], meta: tuple[list, list, list]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Probability of good: by content, by metadata, and combined."""
         if self.content_w is None:
             same = np.full(len(texts), self.share)
             return same, same, same
-        c = self.curves[0][0] * (content_scores(texts, self.content_w[:-1]) + self.content_w[-1]) + self.curves[0][1]
-        m = self.curves[1][0] * (metadata(texts, langs, sources) @ self.metadata_w) + self.curves[1][1]
+        c, m = self.views(texts, meta)
         return _sigmoid(c), _sigmoid(m), _sigmoid(self.curves[2][0] * (c + m) + self.curves[2][1])
 
 
-Row = tuple[int | None, bool, tuple[np.ndarray, np.ndarray], np.ndarray]
+ROW = "h long, label int, teaches int, at binary, x binary, meta binary"
+#: Of ``teaches``: a label for both views, or a pseudo-label for the content or for the metadata view.
+BOTH, CONTENT, METADATA = -1, 0, 1
+
+
+def fit(rows: list[tuple[int, int, int, bytes, bytes, bytes]]) -> Model:
+    """Both views and their calibration from rows as in ``ROW``; a quarter of the labels (by h) is for calibration."""
+    labels = {r[0]: r for r in sorted(rows, key=lambda r: r[:2]) if r[2] == BOTH}  # of one h the good label
+    y = np.array([r[1] for r in labels.values()], np.float64)
+    if not len(y) or y.min() == y.max():
+        return Model(float(y.mean()) if len(y) else 0.5)
+    held = [r for r in labels.values() if r[0] % 4 == 0]
+    train = [r for r in labels.values() if r[0] % 4 != 0]
+    if len({r[1] for r in train}) < 2 or len({r[1] for r in held}) < 2:
+        train = held = list(labels.values())
+    words = lambda of: [(np.frombuffer(r[3], np.int32), np.frombuffer(r[4], np.float32)) for r in of]
+    meta = lambda of: np.stack([np.frombuffer(r[5], np.float32) for r in of])
+    sets = [[*train, *(r for r in sorted(rows) if r[2] == k)] for k in (CONTENT, METADATA)]
+    target = [np.array([float(r[1]) for r in s]) for s in sets]
+    w = [fit_content(words(sets[0]), target[0], 1), fit_metadata(meta(sets[1]), target[1], 2)]
+    z = [np.array([w[0][at] @ x + w[0][-1] for at, x in words(held)]), meta(held) @ w[1]]
+    truth = np.array([float(r[1]) for r in held])
+    curves = [calibrate(v, truth) for v in z]
+    curves.append(calibrate(sum(a * v + b for (a, b), v in zip(curves, z, strict=True)), truth))
+    return Model(float(y.mean()), w[0], w[1], curves)
+
+
+def _described(docs: DataFrame) -> DataFrame:
+    size = F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
+    k1, k2 = text_key(F.col("text"))
+    rows = docs.select("doc_id", "text", "lang", "source", size.alias("size"))
+    return rows.withColumn("h", F.xxhash64(k1, k2, "lang", "source", "size"))
 
 
-def co_train(rows: list[Row], rounds: int = ROUNDS, share: float = SHARE) -> Model:
-    """Fit on rows of (label or None, held for calibration, content, metadata)."""
-    labels = np.array([r[0] for r in rows if r[0] is not None], np.float64)
-    if not len(labels) or labels.min() == labels.max():
-        return Model(float(labels.mean()) if len(labels) else 0.5)
-    train = [r for r in rows if r[0] is not None and not r[1]]
-    held = [r for r in rows if r[0] is not None and r[1]]
-    if len({r[0] for r in train}) < 2 or len({r[0] for r in held}) < 2:
-        train = held = [r for r in rows if r[0] is not None]
-    pool = [r for r in rows if r[0] is None]
-    sets = [[(r, float(r[0])) for r in train] for _ in (0, 1)]  # content, metadata
-    good = float(labels.mean())
+def _meta(batch: pa.RecordBatch) -> tuple[list, list, list]:
+    return tuple(batch.column(c).to_pylist() for c in ("lang", "source", "size"))
 
-    def fit(k: int, seed: int) -> np.ndarray:
-        y = np.array([v for _, v in sets[k]])
-        return fit_content([r[2] for r, _ in sets[0]], y, seed) if k == 0 else fit_metadata(np.stack([r[3] for r, _ in sets[1]]), y, seed)
 
-    def score(k: int, w: np.ndarray, of: list[Row]) -> np.ndarray:
-        return np.array([w[r[2][0]] @ r[2][1] + w[-1] for r in of]) if k == 0 else np.stack([r[3] for r in of]) @ w
+def _features(texts: list[str | None], meta: tuple[list, list, list]) -> list[tuple[bytes, bytes, bytes]]:
+    return [(at.tobytes(), x.tobytes(), m.tobytes()) for (at, x), m in zip(content(texts), metadata(*meta), strict=True)]
 
-    w = [fit(0, 1), fit(1, 2)]
-    for i in range(rounds):
-        if len(pool) < 20:
-            break
-        n = max(1, int(len(pool) * share))
-        taken: set[int] = set()
-        for k in (0, 1):
-            order = np.argsort(score(k, w[k], pool), kind="stable")
-            bad = max(1, round(n * (1 - good)))
-            for j in [*order[:bad], *order[len(order) - (n - bad) :]]:
-                if int(j) not in taken:
-                    taken.add(int(j))
-                    sets[1 - k].append((pool[j], float(j not in order[:bad])))
-        pool = [r for j, r in enumerate(pool) if j not in taken]
-        w = [fit(0, 3 + 2 * i), fit(1, 4 + 2 * i)]
-    y = np.array([float(r[0]) for r in held])
-    z = [score(k, w[k], held) for k in (0, 1)]
-    curves = [calibrate(s, y) for s in z]
-    curves.append(calibrate(sum(a * s + b for (a, b), s in zip(curves, z, strict=True)), y))
-    return Model(good, w[0], w[1], curves)
-
-
-def sample(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> list[Row]:
-    """Features of at most ``labelled`` labelled and ``pool`` other documents."""
-    votes = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("__label"))
-    k1, k2 = text_key(F.col("text"))
-    ids = docs.select("doc_id", k1.alias("k1"), k2.alias("k2")).join(votes, "doc_id", "left").withColumn("h", F.xxhash64("k1", "k2", "doc_id"))
-    few = [ids.filter(F.col("__label").isNotNull()).orderBy("h", "doc_id").limit(labelled), ids.filter(F.col("__label").isNull()).orderBy("h", "doc_id").limit(pool)]
-    few = few[0].union(few[1]).select(F.col("doc_id").alias("__id"), F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), "__label", "h")
-    keyed = docs.select("doc_id", "text", "lang", "source", k1.alias("__a"), k2.alias("__b"))
-    picked = keyed.join(F.broadcast(few), keyed["doc_id"].eqNullSafe(few["__id"]) & (keyed["__a"] == few["__k1"]) & (keyed["__b"] == few["__k2"]))  # labelled + pool rows
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.float64())
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], ["h", "label", "teaches", "at", "x", "meta", "sure"][: len(columns)])
+
+
+def labelled(docs: DataFrame, votes: DataFrame, most: int = LABELLED) -> DataFrame:
+    """Features of at most ``most`` different labelled documents, of one h once for each label."""
+    rows = _described(docs).join(votes, "doc_id")
+    least = rows.select("h").distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()  # at most ``most`` texts
         for batch in slices(batches, "text"):
-            texts, langs, sources = (batch.column(c).to_pylist() for c in ("text", "lang", "source"))
-            words, meta = content(texts), metadata(texts, langs, sources)
-            columns = [pa.array([w[0].tobytes() for w in words], pa.binary()), pa.array([w[1].tobytes() for w in words], pa.binary()), pa.array([m.tobytes() for m in meta], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("h"), *columns], ["label", "h", "at", "x", "meta"])
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("h", "label")), strict=True))
+            new = [i for i, k in enumerate(keys) if k not in seen and not seen.add(k)]
+            if new:
+                part = batch.take(pa.array(new))
+                yield _batch([(*keys[i], BOTH, *f) for i, f in zip(new, _features(part.column("text").to_pylist(), _meta(part)), strict=True)])
+
+    rows = rows.filter(F.col("h") <= F.lit(least)).select("h", "label", "text", "lang", "source", "size")
+    return rows.mapInArrow(features, ROW).dropDuplicates(["h", "label"])
+
+
+def most_certain(pool: DataFrame, model: Model, taken: set[int], scratch: Scratch, added: int = ADDED) -> DataFrame:
+    """The documents of ``pool`` of which a view is most sure, as rows that teach the other view; without those of
+    ``taken``.  At most ``added`` for each view, bad and good in the labels' proportion."""
+    sent = pool.sparkSession.sparkContext.broadcast((model, taken))  # weights, and at most 2 * added hashes a round
+    bad = min(added - 1, max(1, round(added * (1 - model.share))))
+    quota = {(k, label): added - bad if label else bad for k in (CONTENT, METADATA) for label in (0, 1)}
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, gone = sent.value
+        best: dict[tuple[int, int], dict[int, tuple]] = {q: {} for q in quota}
+        for batch in slices(batches, "text"):
+            h, texts, meta = batch.column("h").to_pylist(), batch.column("text").to_pylist(), _meta(batch)
+            views = own.views(texts, meta)
+            wanted: dict[int, list[tuple[tuple[int, int], float]]] = {}
+            for (k, label), n in quota.items():
+                sure = views[1 - k] if label else -views[1 - k]  # the other view teaches k
+                held = best[k, label]
+                edge = min(v[-1] for v in held.values()) if len(held) >= n else -np.inf
+                for i in np.argsort(-sure, kind="stable")[: 4 * n].tolist():
+                    if sure[i] > edge and h[i] not in gone and h[i] not in held:
+                        wanted.setdefault(i, []).append(((k, label), float(sure[i])))
+            if not wanted:
+                continue
+            at = list(wanted)
+            part = [[column[i] for i in at] for column in meta]
+            for i, f in zip(at, _features([texts[i] for i in at], part), strict=True):
+                for (k, label), sure in wanted[i]:
+                    best[k, label][h[i]] = (h[i], label, k, *f, sure)
+            for q, n in quota.items():
+                best[q] = {r[0]: r for r in sorted(best[q].values(), key=lambda r: (-r[-1], r[0]))[:n]}
+        yield _batch([r for rows in best.values() for r in rows.values()])
+
+    rows = pool.select("h", "text", "lang", "source", "size").mapInArrow(keep, f"{ROW}, sure double")
+    rows = scratch.staged(rows, "certain")  # at most 2 * added rows of each task
+    each = [rows.filter((F.col("teaches") == k) & (F.col("label") == label)).dropDuplicates(["h"]).orderBy(F.col("sure").desc(), "h").limit(n) for (k, label), n in quota.items()]
+    return functools.reduce(DataFrame.unionByName, each).drop("sure")
+
+
+def train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, most: int = LABELLED, added: int = ADDED) -> Model:
+    """The model from documents and their labels."""
+    votes = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("h", "label", "teaches", "at", "x", "meta")), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows))], pa.binary())], ["model"])
 
-    got = picked.select(F.col("__label").alias("label"), "h", "text", "lang", "source").mapInArrow(features, "label int, h long, at binary, x binary, meta binary").toArrow().to_pylist()
-    got.sort(key=lambda r: (r["h"], r["meta"]))
-    return [(r["label"], r["h"] % 4 == 0, (np.frombuffer(r["at"], np.int32), np.frombuffer(r["x"], np.float32)), np.frombuffer(r["meta"], np.float32)) for r in got]
+    with Scratch(docs.sparkSession) as scratch:
+        votes = scratch.staged(votes, "votes")
+        rows = [scratch.staged(labelled(docs, votes, most), "labelled")]
+        pool = _described(docs).join(votes, "doc_id", "left_anti")
+        taken: set[int] = set()
+        for i in range(rounds + 1):
+            teaching = functools.reduce(DataFrame.unionByName, rows)  # bounded: labels, and 2 * added rows a round
+            found = teaching.repartition(1).mapInArrow(run, "model binary").first()
+            model = pickle.loads(found[0]) if found else fit([])
+            if i == rounds or model.content_w is None:
+                return model
+            chosen = scratch.staged(most_certain(pool, model, taken, scratch, added), "pseudo-labels")
+            taken |= {r[0] for r in chosen.select("h").collect()}
+            rows.append(chosen)
+    return model
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -216,13 +281,13 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            c, m, both = sent.value.scores(*(batch.column(k).to_pylist() for k in ("text", "lang", "source")))
+            c, m, both = sent.value.scores(batch.column("text").to_pylist(), _meta(batch))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(both), pa.array(c), pa.array(m), pa.array(both >= 0.5)], ["doc_id", "score", "content_score", "metadata_score", "quality"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source")
+    rows = _described(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source", "size")
     return rows.mapInArrow(run, "doc_id long, score double, content_score double, metadata_score double, quality boolean")
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return scored(docs, co_train(sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))))
+    return scored(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))

@@ -10,7 +10,8 @@ A file is a row of segments, each followed by a line feed.  A segment holds whol
 All numbers are little-endian.  A block subtracts its minimum, packs the low ``width`` bits of each difference, where
 ``width`` holds the given percentile of the differences, and lists the high parts of the others as exceptions.
 Segments are written through Spark's text sink (raw bytes, the line feed is its row end) with its commit protocol, so
-a lost executor leaves no half-written file; ``SEGMENTS`` bounds a file, which is read back whole.
+a lost executor leaves no half-written file; ``SEGMENTS`` bounds a file, which is read back whole.  Files are dealt by
+ranges of doc_id, of rows with one doc_id by text and then by place in the input, so no id makes a task large.
 
 Null or empty text: the end id alone.  Null doc_id comes first and stays null; repeated rows are all written.  Other
 columns are ignored, an empty table gives an empty result.
@@ -139,8 +140,9 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str) -> None:
             yield pa.RecordBatch.from_arrays([pa.array([encode_segment(held)], pa.binary())], ["segment"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = rows.repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    segments = ordered.mapInArrow(encode, "segment binary").select(F.col("segment").cast("string").alias("value"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("hash").asc(), F.col("place").asc()]
+    ordered = rows.withColumns({"hash": F.xxhash64("text"), "place": F.monotonically_increasing_id()}).repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    segments = ordered.select("doc_id", "text").mapInArrow(encode, "segment binary").select(F.col("segment").cast("string").alias("value"))
     segments.write.option("maxRecordsPerFile", SEGMENTS).text(path)
 
 
@@ -170,8 +172,12 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     files = files.select(number(r"part-(\d+)-").alias("part"), number(r"-c(\d+)[^/]*$").alias("file"), "content")
     rows = staged(files.mapInArrow(decode, "part long, file long, doc_id long, local long, n_tokens long, ids_crc32 long"), "ids")
     sizes = rows.groupBy("part", "file").agg(F.sum("n_tokens").alias("n"))  # one row for each file
-    before = F.sum("n").over(Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1))
-    firsts = sizes.select("part", "file", F.coalesce(before, F.lit(0)).alias("before"))
+    sizes = staged(sizes, "id-files")
+    parts = sizes.groupBy("part").agg(F.sum("n").alias("n"))  # one row for each task that wrote
+    earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("part", earlier(Window.orderBy("part")).alias("parts_before"))
+    within = sizes.select("part", "file", earlier(Window.partitionBy("part").orderBy("file")).alias("files_before"))
+    firsts = within.join(parts, "part").select("part", "file", (F.col("parts_before") + F.col("files_before")).alias("before"))
     joined = rows.join(firsts, ["part", "file"])
     return joined.select("doc_id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 

@@ -4,7 +4,7 @@ A text is lower-cased, everything but letters becomes a word boundary, and every
 word (boundaries included at its ends) is hashed to a bucket.  The text's vector is the mean of its buckets'
 embeddings, a linear layer and softmax give the languages.  Both layers are trained in numpy by stochastic gradient
 descent with a falling rate, on a bounded sample of labelled rows: ``PER_LANG`` documents of each language, those with the
-least hash of their id and text, and short pieces cut from them so that short texts are known too.  What a task sends for a training
+least hash of their id and text (repeated rows are one), and short pieces cut from them so that short texts are known too.  What a task sends for a training
 document is its bucket counts, not its text, and one task trains on them.
 
 Applied to whole texts the two layers are one table (bucket -> score per language), summed over all substrings.
@@ -21,11 +21,11 @@ columns do no harm; lang, source and doc_id are never part of a prediction.
 from __future__ import annotations
 
 import pickle
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,7 +39,7 @@ EPOCHS = 6
 LOSE = 0.001
 HIGHEST = 0.5
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 FOLDS = 5
 
 
@@ -180,36 +180,41 @@ def training_rows(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
     few short pieces: lang, held, at, times."""
     k1, k2 = text_key(F.col("text"))
     learned = docs.select("doc_id", "lang", "text").filter("doc_id is not null and lang is not null and text is not null").filter(F.crc32(F.col("doc_id").cast("string")) % FOLDS != 0)
-    # the least hashes of each language: a threshold from an approximate quantile keeps the ranked rows few
-    rated = learned.select("lang", F.xxhash64(k1, k2, "doc_id").alias("h"))
-    n = F.count(F.lit(1))
-    share = F.least(F.lit(1.0), F.lit(2.0 * per_lang) / n + 0.001)
-    per = staged(rated.groupBy("lang").agg(share.alias("share")), "lang-shares")
-    picked = learned.withColumn("h", F.xxhash64(k1, k2, "doc_id")).join(per, "lang")
+    # the least hashes of each language: a threshold that about 3 * per_lang distinct rows are under keeps the ranked rows few
+    hashed = F.xxhash64(k1, k2, "doc_id")
+    share = F.least(F.lit(1.0), F.lit(3.0 * per_lang) / F.approx_count_distinct("h", 0.02))
+    per = staged(learned.select("lang", hashed.alias("h")).groupBy("lang").agg(share.alias("share")), "lang-shares")
+    picked = learned.withColumn("h", hashed).join(per, "lang")
     picked = picked.filter(F.col("h").cast("double") / F.lit(2.0**64) + 0.5 <= F.col("share"))
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    picked = picked.select("lang", "h", "doc_id", k1.alias("k1"), k2.alias("k2"), "text")
-    ranks = picked.select("lang", "h", "doc_id").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_lang)
-    ranks = staged(ranks.groupBy("lang").agg(F.max("h").alias("most")), "lang-ranks")
-    picked = picked.join(ranks, "lang").filter("h <= most")
+    ranks = picked.select("lang", "h", "doc_id").distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_lang)
+    ranks = staged(ranks.select(F.col("lang").alias("of"), F.col("h").alias("own"), F.col("doc_id").alias("id")), "lang-ranks")
+    picked = picked.join(ranks, (F.col("lang") == F.col("of")) & (F.col("h") == F.col("own")) & (F.col("doc_id") == F.col("id")), "left_semi")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, int, str]] = set()  # at most ``per_lang`` of each language
         for batch in slices(batches, "text"):
             out: list[tuple] = []
-            for lang, h, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "h", "text")), strict=True):
+            for lang, h, doc, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "h", "doc", "text")), strict=True):
+                if (lang, h, doc) in seen:
+                    continue  # a repeated row
+                seen.add((lang, h, doc))
                 rng = np.random.default_rng(h & 0xFFFFFFFF)
                 pieces = [text]
                 for size in SHORT:
                     if len(text) > 2 * size:
                         a = int(rng.integers(0, len(text) - size))
                         pieces.append(text[a : a + size])
-                for piece in pieces:
+                for number, piece in enumerate(pieces):
                     at, times = text_counts(piece)
-                    out.append((lang, h % 5 == 0, at.astype("<u2").tobytes(), np.minimum(times, 65535).astype("<u2").tobytes()))
-            columns = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.bool_(), pa.binary(), pa.binary()), strict=True)], ["lang", "held", "at", "times"])
-
-    return picked.select("lang", "h", "text").mapInArrow(count, "lang string, held boolean, at binary, times binary")
+                    out.append((lang, h, doc, number, h % 5 == 0, at.astype("<u2").tobytes(), np.minimum(times, 65535).astype("<u2").tobytes()))
+            columns = zip(*out, strict=True) if out else [[]] * 7
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.bool_(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["lang", "h", "doc", "piece", "held", "at", "times"])
+
+    rows = picked.select("lang", "h", F.col("doc_id").cast("string").alias("doc"), "text")
+    rows = rows.mapInArrow(count, "lang string, h long, doc string, piece int, held boolean, at binary, times binary")
+    return rows.dropDuplicates(["lang", "h", "doc", "piece"]).select("lang", "held", "at", "times")
 
 
 def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:

@@ -11,6 +11,9 @@ to one: 1 keeps the corpus's own mix, 0 gives every level the same.  A dict give
 name share ``rest``.  Raking ends when every sum is within ``TOLERANCE`` of its target, or after ``SWEEPS`` (where cells
 that are not there keep the targets from being met together).
 
+The tables hold no topic, so by default a document's topic is its kind of writing by ``TOPICS``, which holds in any
+language (topics by a language's own words would repeat the language marginal); any other column can be given.
+
 Null source, lang or topic is a level of its own, ``(none)``; a null or wordless text has no tokens, does not count
 and is kept.  Repeated rows are drawn alike; null doc_ids are drawn by their text alone.  An empty table gives an
 empty result; other columns are ignored by ``weights`` and kept by ``mix``.
@@ -18,7 +21,7 @@ empty result; other columns are ignored by ``weights`` and kept by ``mix``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pricelode.llm.common import documents, staged
@@ -32,6 +35,8 @@ DIMENSIONS = ("source", "lang", "topic")
 TEMPER = {"source": 0.8, "lang": 0.8, "topic": 0.9}
 #: Topics by what a text is written like, the first that holds: (topic, one of these strings is in the text).
 TOPICS = (("table", (" | ",)), ("contact", ("@",)), ("legal", ("License", "license", "Copyright", "copyright")), ("marked", ("***", "%%%", "###", "!!")), ("question", ("?",)))
+#: Sweeps in a job, after which convergence is tested.
+SWEEPS_A_JOB = 5
 
 
 def topic(text: Column) -> Column:
@@ -49,16 +54,16 @@ def _level(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(NONE))
 
 
-def _features(topic_of: Column | None) -> dict[str, Column]:
-    """A row's source, lang, topic, tokens (words), and draw in [0, 1)."""
+def _described(docs: DataFrame, topic_of: Column | None) -> DataFrame:
+    """``docs`` with every row's cell (__source, __lang, __topic), __tokens (words), and __draw in [0, 1)."""
     hashed = F.md5(F.concat_ws("#", F.coalesce(F.col("doc_id").cast("string"), F.sha2("text", 256), F.lit("")), F.lit("mix")))
-    return {
-        "source": _level(F.col("source")),
-        "lang": _level(F.col("lang")),
-        "topic": _level(topic_of if topic_of is not None else topic(F.col("text"))),
-        "tokens": F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long"),
-        "draw": F.conv(F.substring(hashed, 1, 13), 16, 10).cast("double") / F.lit(float(16**13)),
-    }
+    return docs.withColumns({
+        "__source": _level(F.col("source")),
+        "__lang": _level(F.col("lang")),
+        "__topic": _level(topic_of if topic_of is not None else topic(F.col("text"))),
+        "__tokens": F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long"),
+        "__draw": F.conv(F.substring(hashed, 1, 13), 16, 10).cast("double") / F.lit(float(16**13)),
+    })
 
 
 def targets(cells: DataFrame, dimension: str, wanted: dict[str, float] | float, rest: float = 0.0) -> DataFrame:
@@ -80,21 +85,24 @@ def targets(cells: DataFrame, dimension: str, wanted: dict[str, float] | float,
 def rake(cells: DataFrame, wanted: dict[str, dict[str, float] | float], sweeps: int = SWEEPS, tolerance: float = TOLERANCE) -> DataFrame:
     """``cells(source, lang, topic, tokens)`` with the raked ``weight``; the cells are few against the documents, but
     stay a table of their own all the way."""
-    aims = {d: staged(targets(cells, d, w), f"aims-{d}") for d, w in wanted.items()}
     now = cells.withColumn("weight", F.col("tokens").cast("double"))
-    for _ in range(sweeps):
-        off = F.lit(0.0)
-        for d, aim in aims.items():
-            scale = now.groupBy(d).agg(F.sum("weight").alias("s")).join(aim, d).select(d, F.when(F.col("s") > 0, F.col("aim") / F.col("s")).otherwise(F.lit(1.0)).alias("scale"))
-            now = now.join(scale, d).withColumn("weight", F.col("weight") * F.col("scale"))
-            now = now.withColumn(f"off_{d}", F.abs(F.col("scale") - 1)).drop("scale")
-            off = F.greatest(off, F.col(f"off_{d}"))
-        now = staged(now.withColumn("off", off).drop(*(f"off_{d}" for d in aims)), "raked")
+    for d, w in wanted.items():
+        now = now.join(targets(cells, d, w).withColumnRenamed("aim", f"aim_{d}"), d)
+    now, columns = staged(now, "aims"), cells.columns
+    for done in range(0, sweeps, SWEEPS_A_JOB):
+        for _ in range(min(SWEEPS_A_JOB, sweeps - done)):
+            off = F.lit(0.0)
+            for d in wanted:
+                now = now.withColumn("sum", F.sum("weight").over(Window.partitionBy(d)))
+                now = now.withColumn(f"off_{d}", F.when(F.col("sum") > 0, F.col(f"aim_{d}") / F.col("sum")).otherwise(F.lit(1.0)))
+                now = now.withColumn("weight", F.col("weight") * F.col(f"off_{d}"))
+                off = F.greatest(off, F.abs(F.col(f"off_{d}") - 1))
+            now = now.withColumn("off", off)
+        now = staged(now, "raked")
         worst = now.filter("tokens > 0").agg(F.max("off")).first()[0]
-        now = now.drop("off")
         if worst is None or worst <= tolerance:
             break
-    return now
+    return now.select(*columns, "weight")
 
 
 def _factors(rows: DataFrame, wanted: dict[str, dict[str, float] | float] | None) -> DataFrame:
@@ -108,7 +116,8 @@ def _factors(rows: DataFrame, wanted: dict[str, dict[str, float] | float] | None
 
 def weights(docs: DataFrame, wanted: dict[str, dict[str, float] | float] | None = None, topic_of: Column | None = None) -> DataFrame:
     """Every row's cell, tokens, relative ``weight`` (raked over own tokens), ``probability`` and whether it is kept."""
-    rows = staged(docs.select("doc_id", *(c.alias(k) for k, c in _features(topic_of).items())), "described")
+    names = (*DIMENSIONS, "tokens", "draw")
+    rows = staged(_described(docs, topic_of).select("doc_id", *(F.col(f"__{k}").alias(k) for k in names)), "described")
     p = F.when(F.col("tokens") > 0, F.col("scaled")).otherwise(F.lit(1.0)).alias("probability")
     out = rows.join(_factors(rows, wanted), list(DIMENSIONS)).select("doc_id", *DIMENSIONS, "tokens", F.round("factor", 6).alias("weight"), p, "draw")
     return out.withColumn("kept", F.col("draw") < F.col("probability")).drop("draw")
@@ -116,11 +125,10 @@ def weights(docs: DataFrame, wanted: dict[str, dict[str, float] | float] | None
 
 def mix(docs: DataFrame, wanted: dict[str, dict[str, float] | float] | None = None, topic_of: Column | None = None) -> DataFrame:
     """The rows of ``docs`` that the calibrated draw keeps."""
-    features = _features(topic_of)
-    cells = docs.select(*(features[k].alias(k) for k in (*DIMENSIONS, "tokens"))).groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
+    keyed = _described(docs, topic_of)
+    cells = keyed.select(*(F.col(f"__{k}").alias(k) for k in (*DIMENSIONS, "tokens"))).groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
     factors = _factors(cells, wanted)
     table = factors.select(*(F.col(d).alias(f"__{d}_of") for d in DIMENSIONS), F.col("scaled").alias("__scaled"))
-    keyed = docs.withColumns({f"__{k}": features[k] for k in (*DIMENSIONS, "tokens", "draw")})
     same = [keyed[f"__{d}"] == table[f"__{d}_of"] for d in DIMENSIONS]
     kept = (F.col("__tokens") == 0) | (F.col("__draw") < F.col("__scaled"))
     return keyed.join(table, same, "left").filter(kept).select(*docs.columns)

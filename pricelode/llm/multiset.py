@@ -1,18 +1,21 @@
 """Document fingerprints: a homomorphic multiset hash over paragraphs, with DataFrame functions only.
 
-A paragraph (a line) is hashed to a wide vector: the sum of the vectors of its five-word shingles (fewer words: all of
-them at once).  A shingle's 64-bit hash gives 64 narrow lanes of +1 or -1, one for each bit, and two dense lanes of 32
-bits.  A document's fingerprint is the sum over its paragraphs, narrow lanes modulo 2**16 and dense lanes modulo
-2**32.  So the order of paragraphs does not matter, and a paragraph is put in or taken out by adding or subtracting
-its vector (``combine``), without the rest of the text.  Equal texts have equal fingerprints.
+A paragraph (a line with a word) is hashed to a wide vector of two parts.  Four dense lanes of 32 bits come from two
+hashes of the paragraph itself, white space included; they tell multisets of paragraphs apart.  64 narrow lanes are the
+sum, over the paragraph's five-word shingles (fewer words: all of them at once), of +1 or -1 for each bit of a shingle's
+64-bit hash; they tell how much alike two documents are.  A document's fingerprint is the sum over its paragraphs, narrow
+lanes modulo 2**16 and dense lanes modulo 2**32.  So the order of paragraphs does not matter, other multisets of
+paragraphs have other fingerprints (but for a collision of 128 bits), and a paragraph is put in or taken out by adding or
+subtracting its vector (``combine``), without the rest of the text.
 
 Likeness of two fingerprints is the cosine of their narrow lanes read as signed numbers, from 0 to 1: it estimates
 the cosine of the two shingle multisets (standard error about 1/8), and is 1 for equal fingerprints.
 
 Null text is as empty; texts without a word have the zero fingerprint.  The next document is by descending doc_id
-(null last; of equal doc_ids by the text's hash).  Documents are dealt into groups by doc_id, at bounds that are
-doc_ids of the table (approximate quantiles); a group also gets a copy of the document that follows its last, so no
-window spans groups.  Repeated rows stay; an empty table gives an empty result; other columns are ignored.
+(null last; of equal doc_ids by the text's hash).  Documents are dealt into cells that follow each other in that order:
+ranges of doc_id between approximate quantiles, and for null or a doc_id that is several quantiles, as many ranges of the
+text's hash.  A cell also gets a copy of the row that follows its last, so no window spans cells.  Repeated rows stay
+(those equal in doc_id and text in one cell); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from pyspark.sql import functions as F
 from pricelode.llm.common import documents, partitions, text_key
 
 LANES = 64
+DENSE_LANES = 4
 SHINGLE = 5
 SPACE = r"[\x20\x09-\x0D]+"
 NARROW, DENSE = 1 << 16, 1 << 32
@@ -36,24 +40,26 @@ def shingles(paragraph: Column, n: int = SHINGLE) -> tuple[Column, Column]:
     return words, F.when(F.size(own) >= n, rolling).when(F.size(own) > 0, F.array(F.xxhash64(F.array_join(own, " "))))
 
 
-def lane_sums(h: Column) -> list[Column]:
-    """Aggregates that sum the lanes of shingle hashes: bits set in each narrow lane, shingles, two dense lanes."""
+def lane_sums(h: Column, first: Column, own: list[Column]) -> list[Column]:
+    """Aggregates that sum the lanes of shingle hashes ``h``: bits set in each narrow lane and shingles; and of the hashes
+    ``own`` of their paragraphs, counted where ``first`` holds: two dense lanes of each."""
     bits = [F.sum(F.shiftrightunsigned(h, j).bitwiseAND(F.lit(1).cast("long"))).alias(f"b{j}") for j in range(LANES)]
     low = F.lit(DENSE - 1).cast("long")
-    return [*bits, F.count(h).alias("n"), F.sum(h.bitwiseAND(low)).alias("d0"), F.sum(F.shiftrightunsigned(h, 32)).alias("d1")]
+    halves = [x for p in own for x in (p.bitwiseAND(low), F.shiftrightunsigned(p, 32))]
+    return [*bits, F.count(h).alias("n"), *(F.sum(F.when(first, x)).alias(f"d{i}") for i, x in enumerate(halves))]
 
 
 def vector() -> Column:
     """The wide vector from the columns of ``lane_sums``: 64 signed narrow lanes, then the dense lanes."""
     n = F.col("n")
     narrow = [(2 * F.coalesce(F.col(f"b{j}"), F.lit(0)) - n).cast("long") for j in range(LANES)]
-    return F.array(*narrow, *(F.coalesce(F.col(d), F.lit(0)).cast("long") for d in ("d0", "d1")))
+    return F.array(*narrow, *(F.coalesce(F.col(f"d{i}"), F.lit(0)).cast("long") for i in range(DENSE_LANES)))
 
 
 def digest(v: Column) -> Column:
     """Fingerprint text: lanes modulo their powers, in hexadecimal."""
     narrow = F.transform(F.slice(v, 1, LANES), lambda x: F.lpad(F.hex(F.pmod(x, F.lit(NARROW))), 4, "0"))
-    dense = F.transform(F.slice(v, LANES + 1, 2), lambda x: F.lpad(F.hex(F.pmod(x, F.lit(DENSE))), 8, "0"))
+    dense = F.transform(F.slice(v, LANES + 1, DENSE_LANES), lambda x: F.lpad(F.hex(F.pmod(x, F.lit(DENSE))), 8, "0"))
     return F.lower(F.concat(F.array_join(narrow, ""), F.array_join(dense, "")))
 
 
@@ -61,7 +67,7 @@ def lanes(fingerprint: Column) -> Column:
     """A fingerprint text's lanes, the narrow ones signed."""
     hexed = lambda i, w: F.conv(F.substring(fingerprint, i, F.lit(w)), 16, 10).cast("long")
     narrow = F.transform(F.sequence(F.lit(0), F.lit(LANES - 1)), lambda i: F.pmod(hexed(i * 4 + 1, 4) + NARROW // 2, F.lit(NARROW)) - NARROW // 2)
-    dense = F.transform(F.sequence(F.lit(0), F.lit(1)), lambda i: hexed(i * 8 + 1 + 4 * LANES, 8))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(DENSE_LANES - 1)), lambda i: hexed(i * 8 + 1 + 4 * LANES, 8))
     return F.concat(narrow, dense)
 
 
@@ -84,28 +90,42 @@ def fingerprints(docs: DataFrame, keys: list[str]) -> DataFrame:
     """``keys`` and the wide vector ``v`` of each row of ``docs(keys, text)``; rows with equal keys are one multiset."""
     paragraphs = docs.select(*keys, F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("paragraph"))
     words, hashes = shingles(F.col("paragraph"))
-    hashed = paragraphs.select(*keys, words.alias("words")).select(*keys, F.explode_outer(hashes).alias("h"))
-    return hashed.groupBy(*keys).agg(*lane_sums(F.col("h"))).select(*keys, vector().alias("v"))
+    own = [F.xxhash64("paragraph").alias("p0"), F.xxhash64(F.lit("paragraph"), "paragraph").alias("p1")]
+    hashed = paragraphs.select(*keys, words.alias("words"), *own).select(*keys, "p0", "p1", F.posexplode_outer(hashes).alias("i", "h"))
+    sums = lane_sums(F.col("h"), F.col("i") == 0, [F.col("p0"), F.col("p1")])
+    return hashed.groupBy(*keys).agg(*sums).select(*keys, vector().alias("v"))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text (null as empty), group ``g``, place ``rn`` in it, ``copy`` (true: only there for the one before
+    """doc_id, text (null as empty), cell ``g``, place ``rn`` in it, ``copy`` (true: only there for the one before
     it), and ``next_text``."""
     spark = docs.sparkSession
     groups = 4 * partitions(spark)
-    found = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [(i + 1) / groups for i in range(groups)], 100_000)).first()[0]
-    bounds = sorted(set(found or [0]))  # a few ids of the table, the largest among them
-    last, steps = len(bounds), [1 << k for k in reversed(range(len(bounds).bit_length()))]
-    held, ident = F.lit(bounds).cast("array<bigint>"), F.col("doc_id")
-    below = F.aggregate(F.lit(steps), F.lit(0), lambda lo, s: F.when(F.get(held, lo + s - 1) < ident, lo + s).otherwise(lo))
+    ident = F.col("doc_id").cast("long")
+    found, nulls, count = docs.agg(F.percentile_approx(ident, [(i + 1) / groups for i in range(groups)], 100_000), F.count_if(ident.isNull()), F.count(F.lit(1))).first()
+    bounds = sorted(set(found or []))  # ids of the table, at most ``groups`` of them, the largest among them
+    shares = [max(1, (found or []).count(b)) for b in bounds]
+    steps = [1 << k for k in reversed(range(max(1, len(bounds)).bit_length()))]
+    held, own = F.lit(bounds).cast("array<bigint>"), F.col("doc_id")
+    at = F.aggregate(F.lit(steps), F.lit(0), lambda lo, s: F.when(F.get(held, lo + s - 1) < own, lo + s).otherwise(lo))
     k1, k2 = text_key(F.coalesce("text", F.lit("")))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("doc_id", "text", k1.alias("k1"), k2.alias("k2"), F.coalesce(below, F.lit(0)).alias("own"))
-    is_bound = F.get(held, F.col("own")) == F.col("doc_id")
-    if not found:
-        is_bound = F.lit(True)  # no ids at all: one group, any of its rows can be the first
-    at = F.when(is_bound, F.array(F.col("own"), F.pmod(F.col("own") + 1, F.lit(last)))).otherwise(F.array("own"))
-    rows = rows.select("*", F.posexplode(at).alias("copy", "g")).withColumn("copy", F.col("copy") == 1)
+    rows = docs.select(ident.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), k1.alias("k1"), k2.alias("k2")).withColumn("at", at)
+    # ids from the largest down; an id that is a bound with several shares has cells of its own in front of the range below
+    part = lambda n: F.floor((F.col("k1").cast("double") / F.lit(2.0**64) + 0.5) * n).cast("long")
+    share = F.get(F.lit(shares).cast("array<bigint>"), F.col("at"))
+    hot = (F.get(held, F.col("at")) == own) & (share > 1)
+    place = (F.lit(len(bounds)) - F.col("at")).cast("long") * (groups + 1)
+    last = F.lit((len(bounds) + 2) * (groups + 1)).cast("long") + part(max(1, -(-groups * nulls // max(1, count))))
+    rows = rows.withColumn("g", F.when(own.isNull(), last).when(hot, place + part(share)).otherwise(place + groups)).drop("at")
+    key = F.struct(own.isNull().alias("none"), F.bitwise_not(own).alias("down"), "k1", "k2")
+    heads = rows.groupBy("g").agg(F.min(key).alias("head"))  # a row for each cell, at most twice ``groups``
+    order = Window.orderBy("g")
+    before = F.coalesce(F.lag("g").over(order), F.last("g").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    heads = heads.select(before.alias("to"), F.col("head.down").alias("h_down"), F.col("head.k1").alias("h_k1"), F.col("head.k2").alias("h_k2"))
+    same = F.bitwise_not(own).eqNullSafe(F.col("h_down")) & (F.col("k1") == F.col("h_k1")) & (F.col("k2") == F.col("h_k2"))
+    copies = rows.join(F.broadcast(heads), same).groupBy("to").agg(*(F.first(c).alias(c) for c in ("doc_id", "text", "k1", "k2")))
+    rows = rows.select("doc_id", "text", "k1", "k2", "g", F.lit(False).alias("copy"))
+    rows = rows.union(copies.select("doc_id", "text", "k1", "k2", F.col("to").alias("g"), F.lit(True)))
     order = Window.partitionBy("g").orderBy("copy", F.col("doc_id").desc_nulls_last(), "k1", "k2")
     return rows.select("doc_id", "text", "g", "copy", F.row_number().over(order).alias("rn"), F.lead("text").over(order).alias("next_text"))
 

@@ -1,7 +1,8 @@
 """Packing documents into fixed windows: best-fit decreasing with a segment tree over remaining capacity.
 
 A document's ids are cut into full windows first; what is left over is placed, longest first, into the open window
-whose remaining capacity is the tightest that still holds it.  Left-overs are dealt by hash into shards of about
+whose remaining capacity is the tightest that still holds it.  Left-overs are dealt by hash (of the row and its number
+in its task, so that repeated rows part) into shards of about
 ``SHARD_PIECES`` pieces, so each shard's packing is bounded and the padding a shard wastes (a window or two) is small
 against the thousands it fills.  Windows count from 0 within a shard; ``sequence_id`` is shard * 2**32 + window.
 
@@ -25,6 +26,7 @@ from pricelode.llm.tokens import encoder, public_path
 WINDOW = 4096
 SHARD_PIECES = 4000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+NAMES = [c.split()[0] for c in PIECES.split(", ")]
 
 
 class CapacityTree:
@@ -78,10 +80,11 @@ def best_fit_decreasing(lengths: np.ndarray, window: int = WINDOW) -> tuple[np.n
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
-    """Every document's ids cut into full windows and one left-over: a row of figures for each piece."""
+    """Every document's ids cut into full windows and one left-over: a row of figures for each piece, with its number
+    among those of its task."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = encoder(tokenizer)
+        tokens, made = encoder(tokenizer), 0
         for batch in slices(batches, "text"):
             rows: list[list] = [[], [], [], [], []]
             for doc, ids in zip(batch.column("doc_id").to_pylist(), tokens.encode(batch.column("text").to_pylist()), strict=True):
@@ -90,9 +93,11 @@ def token_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataF
                     m = min(window, n - s)
                     for column, value in zip(rows, (doc, s, m, zlib.crc32(raw[4 * s : 4 * (s + m)]), n), strict=True):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            numbers = np.arange(made, made + len(rows[0]))
+            made += len(rows[0])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in rows), pa.array(numbers)], [*NAMES, "number"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, f"{PIECES}, number long")
 
 
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, shard_pieces: int = SHARD_PIECES) -> DataFrame:
@@ -100,7 +105,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, shard_pieces: in
     spark = docs.sparkSession
     pieces = staged(token_pieces(docs, tokenizer, window), "pieces")
     shards = max(1, -(-pieces.count() // shard_pieces))
-    mix = F.xxhash64(F.lit("shard"), "doc_id", "start", "ids_crc32", "doc_tokens")
+    mix = F.xxhash64(F.lit("shard"), "doc_id", "start", "ids_crc32", "doc_tokens", "number")
     dealt = pieces.withColumn("_shard", F.pmod(mix, F.lit(shards))).repartition(partitions(spark), "_shard")
     order = ["_shard", F.col("length").desc(), "doc_id", "start", "ids_crc32"]
 
@@ -112,8 +117,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, shard_pieces: in
             number, offset = best_fit_decreasing(rows.column("length").to_numpy(), window)
             used = np.bincount(number, rows.column("length").to_numpy()).astype(np.int64)[number]
             ids = (rows.column("_shard").to_numpy() << 32) + number
-            columns = [rows.column(c) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")]
-            return pa.RecordBatch.from_arrays([*columns, pa.array(ids), pa.array(offset), pa.array(used)], [*PIECES.replace(" long", "").split(", "), "sequence_id", "offset", "used"])
+            columns = [rows.column(c) for c in NAMES]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(ids), pa.array(offset), pa.array(used)], [*NAMES, "sequence_id", "offset", "used"])
 
         for batch in batches:
             if not batch.num_rows:

@@ -7,7 +7,7 @@ most 3 ** rules of them, so the estimate takes all documents at any size.
 
 The model: a document is good with some probability; given that, each rule votes by itself, with its own
 probabilities to drop and to keep, where it votes, for good and for bad documents (its accuracy on either).  ``START`` holds where
-these begin, and weighs ``WEIGHT`` documents throughout, so that a rule can't turn against its meaning.
+these begin, and weighs ``WEIGHT`` documents throughout (a rule that never votes keeps it); all else is estimated.
 
 Base checks come first: a text of under 20 words, or with over 30 words in 100 in repeated eight-word windows, fails.
 
@@ -31,9 +31,7 @@ WINDOW = 8
 FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_exclaim", "n_signs")
 #: Probabilities to drop and to keep, where a rule votes, for good and for bad documents, before any document is seen.
 START = ((0.01, 0.99), (0.40, 0.60))
-WEIGHT = 20.0
-#: A rule votes to drop a good document at most so often: what many of them drop is bad, not a kind of good.
-MOST_WRONG = 0.002
+WEIGHT = 2.0
 ROUNDS = 50
 KEEP_AT = 0.5
 #: (name, figure, per, keep below or at, drop above): votes keep, drop, or abstains between; least figure first.
@@ -146,8 +144,6 @@ def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> tuple[
         post /= post.sum(axis=0)
         seen = np.einsum("cp,prv->crv", post * counts, onehot) + WEIGHT * np.array(START)[:, None, :]
         table = seen / seen.sum(axis=2, keepdims=True)
-        table[0, :, 0] = np.minimum(table[0, :, 0], MOST_WRONG)
-        table /= table.sum(axis=2, keepdims=True)
         prior = float(np.clip((post[0] * counts).sum() / max(1.0, counts.sum()), 0.05, 0.95))
     return post[0], table, prior
 

@@ -5,7 +5,8 @@ joins letters to what is written after them.  So the ids of a text are the ids o
 cut only in front of white space, after letters, and between letters and a digit or sign (not an apostrophe) in front
 of them.  A batch is cut so, distinct chunks are found by Arrow's dictionary encoding, and only chunks not seen before
 go through the tokenizer.  Only ASCII's and the Latin letters of two bytes count as letters here, other characters
-stay with their neighbours.  A text with white space outside ASCII goes through the tokenizer whole.
+stay with their neighbours.  A text with white space outside ASCII, or with the string of an added token (which the file
+turns into that token's id), goes through the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -67,7 +68,7 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.keep = keep
         self.lower = not self.tokenizer.encode(" \n", add_special_tokens=False).ids and self.tokenizer.encode("A").ids == self.tokenizer.encode("a").ids
         self._clear()
@@ -103,7 +104,7 @@ class ChunkEncoder:
         out: list[np.ndarray | None] = [None] * len(texts)
         plain = []
         for i, t in enumerate(texts):
-            if t and not t.isascii() and WIDE_SPACE.search(t):
+            if t and (any(x in t for x in self.added) or not t.isascii() and WIDE_SPACE.search(t)):
                 out[i] = np.array([*self.tokenizer.encode(t, add_special_tokens=False).ids, END_ID], np.uint32)
             else:
                 plain.append(i)

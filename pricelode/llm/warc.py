@@ -1,17 +1,18 @@
 """WARC archives: written with duplicates as revisits and long records in segments, read back and put together.
 
-A page's record holds an HTTP response whose payload is framed in chunks.  Of pages with equal payloads that with the
-largest page_id is written as ``response``, the others as ``revisit`` without payload.  A block of over ``SEGMENT``
-bytes is cut: the first part is the record, the others are ``continuation`` records that name its id and their number,
-the last one the whole length.  Records go through Spark's text sink (raw bytes, CR LF CR LF is its row end, as WARC
-asks for), compressed by gzip, so files appear by its commit protocol only and in any store; a file has ``PER_FILE``
-records at most.
+Every page has a record of its own, with its url.  A record holds an HTTP response whose payload is framed in chunks.  Of
+pages with equal payloads that with the largest page_id (of several, with the largest url) is written as ``response``,
+the others as ``revisit`` without payload, repeated rows too.  A block of over ``SEGMENT`` bytes is cut: the first part is
+the record, the others are ``continuation`` records that name its id and their number, the last one the whole length.
+Records, parts included, go through Spark's text sink (raw bytes, CR LF CR LF is its row end, as WARC asks for),
+compressed by gzip, so files appear by its commit protocol only and in any store; a file has ``PER_FILE`` of them at
+most, none longer than its head and ``SEGMENT`` bytes, so no page makes a file large.
 
 Reading parses each file by Content-Length, decodes whole records at once, and groups only the parts of segmented
 ones by origin: they are ordered by number, checked for gaps and whole length, and their chunk framing is taken off.
 
-A null html is an empty payload.  Rows with equal page_id and payload share a record that says how often they come.  A
-null page_id is the smallest and stays null.  Other columns are ignored; an empty table gives an empty result.
+A null html is an empty payload.  A null page_id or url is the smallest and stays null.  Other columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelode.llm.common import new_path, slices, staged
+from pricelode.llm.common import Scratch, new_path, slices, staged
 
 SEGMENT = 32 << 10
 CHUNK = 4 << 10
 PER_FILE = 512
 CRLF = b"\r\n"
 DATE = "2024-01-01T00:00:00Z"
-ROW = "record_id string, page_id long, copies long, record_type string, payload_bytes long, payload_digest string, refers_to long, origin string, number int, total long, block binary"
+ROW = "record_id string, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, origin string, number int, total long, block binary"
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -62,8 +63,9 @@ def unchunked(framed: bytes) -> bytes:
         at += size + 2
 
 
-def record_id(page_id: int | None, sha: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{sha}')}>"
+def record_id(sha: str, row: int | None = None) -> str:
+    """Id of the response with a payload, or of the revisit by a row."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'response:{sha}' if row is None else f'revisit:{sha}:{row}')}>"
 
 
 def _record(fields: list[tuple[str, object]], block: bytes) -> bytes:
@@ -72,11 +74,11 @@ def _record(fields: list[tuple[str, object]], block: bytes) -> bytes:
     return "\r\n".join(head).encode() + block
 
 
-def page_records(page_id: int | None, url: str | None, copies: int, sha: str, payload: bytes, segment: int = SEGMENT) -> list[bytes]:
+def page_records(page_id: int | None, url: str | None, sha: str, payload: bytes, segment: int = SEGMENT) -> list[bytes]:
     """The response record of a page, in as many parts as it takes."""
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
-    rid, parts = record_id(page_id, sha), [block[i : i + segment] for i in range(0, len(block), segment)]
-    fields = [("WARC-Type", "response"), ("WARC-Record-ID", rid), ("WARC-Date", DATE), ("WARC-Target-URI", uri(url)), ("WARC-Page-ID", page_id), ("WARC-Page-Copies", copies), ("WARC-Payload-Digest", f"sha1:{base32_sha1(payload)}"), ("Content-Type", "application/http;msgtype=response")]
+    rid, parts = record_id(sha), [block[i : i + segment] for i in range(0, len(block), segment)]
+    fields = [("WARC-Type", "response"), ("WARC-Record-ID", rid), ("WARC-Date", DATE), ("WARC-Target-URI", uri(url)), ("WARC-Page-ID", page_id), ("WARC-Payload-Digest", f"sha1:{base32_sha1(payload)}"), ("Content-Type", "application/http;msgtype=response")]
     if len(parts) == 1:
         return [_record(fields, block)]
     out = [_record([*fields, ("WARC-Segment-Number", 1)], parts[0])]
@@ -87,10 +89,10 @@ def page_records(page_id: int | None, url: str | None, copies: int, sha: str, pa
     return out
 
 
-def revisit_record(page_id: int | None, url: str | None, copies: int, sha: str, n: int, refers: int | None) -> bytes:
+def revisit_record(page_id: int | None, url: str | None, row: int, sha: str, n: int, refers: int | None) -> bytes:
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n}\r\n\r\n".encode()
     digest = base64.b32encode(bytes.fromhex(sha)).decode()
-    fields = [("WARC-Type", "revisit"), ("WARC-Record-ID", record_id(page_id, sha)), ("WARC-Date", DATE), ("WARC-Target-URI", uri(url)), ("WARC-Page-ID", page_id), ("WARC-Page-Copies", copies), ("WARC-Refers-To", record_id(refers, sha)), ("WARC-Refers-To-Page-ID", refers)]
+    fields = [("WARC-Type", "revisit"), ("WARC-Record-ID", record_id(sha, row)), ("WARC-Date", DATE), ("WARC-Target-URI", uri(url)), ("WARC-Page-ID", page_id), ("WARC-Refers-To", record_id(sha)), ("WARC-Refers-To-Page-ID", refers)]
     return _record([*fields, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http;msgtype=response")], block)
 
 
@@ -101,28 +103,30 @@ def uri(url: str | None) -> str | None:
 def write_archives(pages: DataFrame, path: str) -> None:
     """Write ``pages(page_id, url, html)`` as WARC files under ``path``."""
     html = F.coalesce("html", F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.sha1(html).alias("sha"), F.octet_length(html).cast("long").alias("n"))
-    few = staged(rows.groupBy("page_id", "sha", "n").agg(F.count(F.lit(1)).alias("copies"), F.min("url").alias("url")), "page-keys")
-    best = staged(few.groupBy("sha").agg(F.max("page_id").alias("best")), "page-best")
-    roles = staged(few.join(best, "sha").withColumn("first", F.col("page_id").eqNullSafe(F.col("best"))), "page-roles")
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.sha1(html).alias("sha"), html.cast("binary").alias("payload"))
+    first = F.max(F.struct("page_id", "url")).alias("first")
 
     def responses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "payload"):
             out: list[bytes] = []
-            for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "copies", "sha", "payload")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "sha", "payload")), strict=True):
                 out += page_records(*row)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
     def revisits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "copies", "sha", "n", "best")), strict=True)
+            rows = zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "row", "sha", "n", "refers")), strict=True)
             yield pa.RecordBatch.from_arrays([pa.array([revisit_record(*r) for r in rows], pa.binary())], ["record"])
 
-    payloads = pages.select(F.col("page_id").cast("long").alias("pid"), F.sha1(html).alias("psha"), html.cast("binary").alias("payload"))
-    first = roles.filter("first").select("page_id", "url", "copies", "sha")
-    full = payloads.join(first, F.col("pid").eqNullSafe(F.col("page_id")) & (F.col("psha") == F.col("sha"))).select("page_id", "url", "copies", "sha", "payload")
-    records = full.mapInArrow(responses, "record binary").union(roles.filter("not first").mapInArrow(revisits, "record binary"))
-    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", PER_FILE).option("compression", "gzip").text(path)
+    with Scratch(pages.sparkSession) as scratch:
+        # a narrow row for each page; which of a payload's is first is an aggregate, so many copies of one make no large task
+        rows = own.select("page_id", "url", "sha", F.octet_length("payload").cast("long").alias("n"), F.monotonically_increasing_id().alias("row"))
+        rows = scratch.staged(rows, "page-keys")
+        best = rows.groupBy("sha").agg(F.max(F.struct("page_id", "url", "row")).alias("best"))
+        again = rows.join(best, "sha").filter("row <> best.row").select("page_id", "url", "row", "sha", "n", F.col("best.page_id").alias("refers"))
+        full = own.groupBy("sha").agg(first, F.first("payload").alias("payload")).select("first.page_id", "first.url", "sha", "payload")
+        records = full.mapInArrow(responses, "record binary").union(again.mapInArrow(revisits, "record binary"))
+        records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", PER_FILE).option("compression", "gzip").text(path)
 
 
 def parse_records(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -155,20 +159,20 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             for content in batch.column("content"):
                 out: list[tuple] = []
                 for f, block in parse_records(gzip.decompress(content.as_buffer())):
-                    rid, page, copies, kind = f["warc-record-id"], number(f.get("warc-page-id")), number(f.get("warc-page-copies")), f["warc-type"]
+                    rid, page, url, kind = f["warc-record-id"], number(f.get("warc-page-id")), f.get("warc-target-uri"), f["warc-type"]
                     part = number(f.get("warc-segment-number"))
                     if part is not None:
                         digest = f.get("warc-payload-digest", "").removeprefix("sha1:") or None
-                        out.append((rid, page, copies, kind, None, digest, None, f.get("warc-segment-origin-id", rid), part, number(f.get("warc-segment-total-length")), block))
+                        out.append((rid, page, url, kind, None, digest, None, f.get("warc-segment-origin-id", rid), part, number(f.get("warc-segment-total-length")), block))
                     elif kind == "revisit":
                         n = next(int(x[15:]) for x in block.decode().split("\r\n") if x.startswith("Content-Length:"))
-                        out.append((rid, page, copies, kind, n, f["warc-payload-digest"].removeprefix("sha1:"), number(f.get("warc-refers-to-page-id")), None, None, None, None))
+                        out.append((rid, page, url, kind, n, f["warc-payload-digest"].removeprefix("sha1:"), number(f.get("warc-refers-to-page-id")), None, None, None, None))
                     else:
                         payload = payload_of(block)
                         digest = base32_sha1(payload)
                         if f["warc-payload-digest"] != f"sha1:{digest}":
                             raise ValueError(f"{rid}: the payload has another digest")
-                        out.append((rid, page, copies, kind, len(payload), digest, None, None, None, None, None))
+                        out.append((rid, page, url, kind, len(payload), digest, None, None, None, None, None))
                 names, kinds = zip(*(x.split() for x in ROW.split(", ")), strict=True)
                 types = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
                 yield pa.RecordBatch.from_arrays([pa.array(c, types[k]) for c, k in zip(zip(*out, strict=True) if out else [[]] * len(names), kinds, strict=True)], list(names))
@@ -185,9 +189,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 digest = base32_sha1(payload)
                 if digest != r["payload_digest"]:
                     raise ValueError(f"{r['record_id']}: the payload has another digest")
-                out.append((r["record_id"], r["page_id"], r["copies"], "response", len(payload), digest, None))
+                out.append((r["record_id"], r["page_id"], r["url"], "response", len(payload), digest, None))
             columns = zip(*out, strict=True) if out else [[]] * 7
-            types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+            types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             names = [x.split()[0] for x in ROW.split(", ")[:7]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
@@ -195,15 +199,14 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     rows = staged(files.mapInArrow(parse, ROW), "records")
     plain = rows.filter("origin is null").drop("origin", "number", "total", "block")
     parts = rows.filter("origin is not null").groupBy("origin").agg(
-        F.max("page_id").alias("page_id"), F.max("copies").alias("copies"), F.max("payload_digest").alias("payload_digest"), F.max("total").alias("total"),
-        F.array_sort(F.collect_set(F.struct("number", "block"))).alias("parts"),
+        F.max("page_id").alias("page_id"), F.max("url").alias("url"), F.max("payload_digest").alias("payload_digest"), F.max("total").alias("total"),
+        F.array_sort(F.collect_list(F.struct("number", "block"))).alias("parts"),
     )
     put = parts.withColumnRenamed("origin", "record_id").mapInArrow(whole, ", ".join(ROW.split(", ")[:7]))
-    one = plain.union(put).groupBy("record_id").agg(*(F.first(c).alias(c) for c in ("page_id", "copies", "record_type", "payload_bytes", "payload_digest", "refers_to")))
-    return one.select(F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"), "*").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return plain.union(put).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "record_id")
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    return read_archives(spark, path)
+    return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
