@@ -87,6 +87,16 @@ def text_key(text: Column) -> tuple[Column, Column]:
     return F.xxhash64(text), F.xxhash64(F.lit("k2"), text)
 
 
+def only_rows(docs: DataFrame, keep: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each of ``keep(doc_id, k1, k2)``, doc_id and text keys (of text, null as it is).  Equal rows
+    are told apart after the join, where they lie together already, so texts are shuffled once."""
+    k1, k2 = text_key(F.col("text"))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id")
+    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "__k1": k1, "__k2": k2})
+    wanted = keep.select(name, F.col("k1").alias("__k1"), F.col("k2").alias("__k2"))
+    return keyed.join(wanted, ["__id", "__k1", "__k2"], "left_semi").dropDuplicates(["__id", "__k1", "__k2"]).select(*docs.columns)
+
+
 def text_bytes(value: str | None) -> bytes:
     return value.encode("utf-8", "surrogatepass") if value else b""
 

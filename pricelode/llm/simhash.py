@@ -10,8 +10,9 @@ its nearest anchor as resident, and as visitor to every anchor that is the neare
 linked pair meets at the anchor of either one.  Longer blocks mean fewer anchors and fewer visits, and the code is
 chosen so that an anchor has about ``PER_ANCHOR`` residents; any code of the family finds every pair.
 
-At an anchor the residents are compared with all who came; where one anchor has very many, each looks up its own
-neighbours (all flips of up to ``BITS`` bits) by binary search instead, which is linear.  Only the links that join
+At an anchor the residents are held and compared with themselves and with the visitors, who stream past.  An anchor with
+over ``RESIDENTS`` of them is dealt again, residents and visitors, to the anchors of a code with more blocks, in which
+each pair still meets; the finest code has an anchor for every fingerprint, so this ends.  Only the links that join
 classes at the anchor are kept, so no group of near copies is expanded into all its pairs; exact copies share one
 fingerprint from the start.  Components of what remains come from min-label rounds with pointer jumping over
 written tables.
@@ -23,6 +24,7 @@ equal or null doc_id are kept; a component of null doc_ids only has a null id.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,14 +33,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelode.llm.common import documents, partitions, slices, staged, text_key
+from pricelode.llm.common import Scratch, documents, only_rows, partitions, slices, text_key
 
 BITS = 2
 SHINGLE = 3
 SEED = 42
 PER_ANCHOR = 48
-#: Above this many comparisons at an anchor, neighbours are looked up instead.
-COMPARE = 50_000_000
+#: An anchor with more residents is dealt again, by a code with ``FINER`` more blocks.
+RESIDENTS = 4096
+FINER = 6
 
 
 def shingle_hashes(text: str | None, n: int = SHINGLE) -> np.ndarray:
@@ -78,27 +81,27 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(sketch, "doc_id long, k1 long, k2 long, fp long")
 
 
-def code_blocks(residents: int, per_anchor: int = PER_ANCHOR) -> list[tuple[int, int]]:
-    """(first bit, odd length) of the blocks: the code has 2**blocks anchors."""
-    want = min(21, max(4, (max(1, residents) // per_anchor).bit_length()))
-    short = max(3, 64 // want - 1 + 64 // want % 2)
+def code_blocks(residents: int, per_anchor: int = PER_ANCHOR, finer: int = 0) -> list[tuple[int, int]]:
+    """(first bit, odd length) of the blocks: the code has 2**blocks anchors, at the finest one for each fingerprint."""
+    want = min(64, max(4, (max(1, residents) // per_anchor).bit_length()) + finer)
+    short = max(1, 64 // want - 1 + 64 // want % 2)
     longer = min(want, (64 - short * want) // 2)
     lengths = [short + 2] * longer + [short] * (want - longer)
     starts = np.cumsum([0, *lengths])[:-1].tolist()
     return list(zip(starts, lengths, strict=True))
 
 
-def anchors(fps: np.ndarray, blocks: list[tuple[int, int]]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Nearest anchor of each fingerprint, and per visit pattern (fingerprint rows, anchors) of the others.
+def anchors(fps: np.ndarray, blocks: list[tuple[int, int]], visits: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``fps`` and anchors: the nearest one of each fingerprint first, then (with ``visits``) the others.
 
     A block's bit can turn with one flip where its majority is by one, with two where it is by three.
     """
-    home = np.zeros(len(fps), np.int64)
+    home = np.zeros(len(fps), np.uint64)
     one, two = [], []
     for j, (first, length) in enumerate(blocks):
         part = (fps >> np.uint64(first)) & np.uint64((1 << length) - 1)
         ones = np.bitwise_count(part).astype(np.int64)
-        home |= (2 * ones > length).astype(np.int64) << j
+        home |= (2 * ones > length).astype(np.uint64) << np.uint64(j)
         margin = np.abs(2 * ones - length)
         one.append(margin == 1)
         two.append(margin == 3)
@@ -107,9 +110,9 @@ def anchors(fps: np.ndarray, blocks: list[tuple[int, int]]) -> tuple[np.ndarray,
     def visit(mask: np.ndarray, turn: int) -> None:
         which = np.flatnonzero(mask)
         rows.append(which)
-        at.append(home[which] ^ turn)
+        at.append(home[which] ^ np.uint64(turn))
 
-    for j in range(len(blocks)):
+    for j in range(len(blocks) if visits else 0):
         visit(one[j] | two[j], 1 << j)
         for k in range(j):
             visit(one[j] & one[k], 1 << j | 1 << k)
@@ -137,85 +140,114 @@ def _join(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return parent
 
 
-def links_at_anchor(fps: np.ndarray, resident: np.ndarray, compare: int = COMPARE) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect, per class at this anchor, each member with the class's first; ``fps`` distinct."""
-    order = np.argsort(fps)
-    fps, resident = fps[order], resident[order]
-    n, here = len(fps), np.flatnonzero(resident)
-    parent = np.arange(n)
-    if len(here) * n <= compare:
-        step = max(1, (1 << 20) // max(1, n))
-        for i in range(0, len(here), step):
-            rows = here[i : i + step]
-            near = np.bitwise_count(fps[rows, None] ^ fps[None, :]) <= BITS
-            r, c = np.nonzero(near)
-            parent = _join(parent, rows[r], c)
-    else:
-        single = np.uint64(1) << np.arange(64, dtype=np.uint64)
-        flips = np.concatenate([single, *[single[i] ^ single[i + 1 :] for i in range(63)]])
-        for flip in flips:
-            want = fps[here] ^ flip
-            at = np.minimum(np.searchsorted(fps, want), n - 1)
-            hit = fps[at] == want
-            parent = _join(parent, here[hit], at[hit])
-    own = np.flatnonzero(parent != np.arange(n))
-    return fps[parent[own]], fps[own]
-
-
-def links(distinct: DataFrame, count: int) -> DataFrame:
-    """Links (a, b) among distinct fingerprints ``fp``; their components are those of all links of 2 bits or fewer."""
-    blocks = code_blocks(count)
+class Anchor:
+    """An anchor at work: its residents' classes, which visitors join as well.  Fingerprints are distinct."""
+
+    def __init__(self, residents: np.ndarray, step: int = 1 << 20):
+        self.fps, self.step = residents, step
+        self.parent = np.arange(len(residents))
+        self.meet(residents)
+
+    def meet(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Links of those of ``fps`` that are near a resident, one for each; residents near the same one are joined."""
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        rows = max(1, self.step // max(1, len(self.fps)))
+        for i in range(0, len(fps), rows):
+            part = fps[i : i + rows]
+            who, near = np.nonzero(np.bitwise_count(part[:, None] ^ self.fps[None, :]) <= BITS)
+            linked, first = np.unique(who, return_index=True)
+            self.parent = _join(self.parent, np.repeat(near[first], np.diff(np.append(first, len(who)))), near)
+            out.append((self.fps[near[first]], part[linked]))
+        return tuple(np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.uint64) for k in (0, 1))
+
+    def own(self) -> tuple[np.ndarray, np.ndarray]:
+        """Links of the residents with the first of their class."""
+        which = np.flatnonzero(self.parent != np.arange(len(self.fps)))
+        return self.fps[self.parent[which]], self.fps[which]
+
+
+def _dealt(rows: DataFrame, blocks: list[tuple[int, int]], visits: bool = True) -> DataFrame:
+    """``rows(anchor, fp)`` at the anchors of a code within their own anchor; ``home``: as resident."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            all_fps = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            for i in range(0, len(all_fps), 2000):
-                fps = all_fps[i : i + 2000]
-                rows, at = anchors(fps, blocks)
-                home = np.zeros(len(rows), bool)
+            outer = batch.column("anchor").to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            every = batch.column("fp").to_numpy().view(np.uint64)
+            for i in range(0, len(every), 2000):
+                fps = every[i : i + 2000]
+                which, at = anchors(fps, blocks, visits)
+                home = np.zeros(len(which), bool)
                 home[: len(fps)] = True
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(fps[rows].view(np.int64)), pa.array(home)], ["anchor", "fp", "home"])
+                at = (at * np.uint64(0xC2B2AE3D27D4EB4F)) ^ outer[i : i + 2000][which]
+                yield pa.RecordBatch.from_arrays([pa.array(at.view(np.int64)), pa.array(fps[which].view(np.int64)), pa.array(home)], ["anchor", "fp", "home"])
+
+    return rows.select("anchor", "fp").mapInArrow(deal, "anchor long, fp long, home boolean")
+
+
+def _met(dealt: DataFrame) -> DataFrame:
+    """Links found at the anchors of ``dealt(anchor, fp, home)``."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        now, held, at = None, [], None
 
-        def out(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray) -> pa.RecordBatch:
-            cuts = [0, *(np.flatnonzero(np.diff(anchor)) + 1).tolist(), len(anchor)]
-            found = [links_at_anchor(fp[a:b], home[a:b]) for a, b in zip(cuts, cuts[1:], strict=False) if b - a > 1 and home[a:b].any()]
-            pairs = [np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.uint64) for i in (0, 1)]
+        def batch_of(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            pairs = [np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.uint64) for k in (0, 1)]
             return pa.RecordBatch.from_arrays([pa.array(p.view(np.int64)) for p in pairs], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = (batch.column("anchor").to_numpy(), batch.column("fp").to_numpy().view(np.uint64), batch.column("home").to_numpy(zero_copy_only=False))
-            held.append(now)
-            if held[0][0][0] == now[0][-1]:
-                continue  # one anchor so far
-            anchor, fp, home = (np.concatenate([h[i] for h in held]) for i in range(3))
-            last = int(np.searchsorted(anchor, anchor[-1]))
-            yield out(anchor[:last], fp[:last], home[:last])
-            held = [(anchor[last:], fp[last:], home[last:])]
-        if held:
-            yield out(*(np.concatenate([h[i] for h in held]) for i in range(3)))
-
-    dealt = distinct.select("fp").mapInArrow(deal, "anchor long, fp long, home boolean")
-    met = dealt.repartition(partitions(distinct.sparkSession), "anchor").sortWithinPartitions("anchor")
-    return met.mapInArrow(meet, "a long, b long").distinct()
-
-
-def components(edges: DataFrame, tag: str = "components") -> DataFrame:
+            anchor, fp, home = batch.column("anchor").to_numpy(), batch.column("fp").to_numpy().view(np.uint64), batch.column("home").to_numpy(zero_copy_only=False)
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            cuts = [0, *(np.flatnonzero(np.diff(anchor)) + 1).tolist(), len(anchor)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if at != anchor[a]:
+                    if held or now:
+                        found.append((now or Anchor(np.concatenate(held))).own())
+                    now, held, at = None, [], anchor[a]
+                k = a + int(home[a:b].sum())  # residents come first
+                if k > a:
+                    held.append(fp[a:k])
+                if b > k and held and not now:
+                    now = Anchor(np.concatenate(held))
+                if b > k and now:
+                    found.append(now.meet(fp[k:b]))
+            yield batch_of(found)
+        if held or now:
+            yield batch_of([(now or Anchor(np.concatenate(held))).own()])
+
+    met = dealt.repartition(partitions(dealt.sparkSession), "anchor").sortWithinPartitions("anchor", F.col("home").desc())
+    return met.mapInArrow(meet, "a long, b long")
+
+
+def links(distinct: DataFrame, count: int, scratch: Scratch, most: int | None = None) -> DataFrame:
+    """Links (a, b) among distinct fingerprints ``fp``; their components are those of all links of 2 bits or fewer."""
+    rows, finer, found = distinct.select(F.lit(0).cast("long").alias("anchor"), "fp"), 0, []
+    while True:
+        blocks = code_blocks(count, finer=finer)
+        dealt = _dealt(rows, blocks)
+        crowded = _dealt(rows, blocks, visits=False).groupBy("anchor").count().filter(F.col("count") > (most or RESIDENTS)).select("anchor")
+        crowded = scratch.staged(crowded, "crowded-anchors")
+        if crowded.isEmpty():
+            found.append(_met(dealt))
+            return functools.reduce(DataFrame.union, found).distinct()
+        found.append(_met(dealt.join(crowded, "anchor", "left_anti")))
+        rows = scratch.staged(dealt.join(crowded, "anchor", "left_semi").select("anchor", "fp"), "crowded")
+        finer += FINER
+
+
+def components(edges: DataFrame, scratch: Scratch, tag: str = "components") -> DataFrame:
     """(node, root) of every node with a link; ``edges(a, b)``.  Each round takes the least label of a node and its
     neighbours, then follows the label's own label; a round's table is written before the next."""
-    both = staged(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), f"{tag}-edges")
-    labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), tag)
+    both = scratch.staged(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), f"{tag}-edges")
+    labels = scratch.staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), tag)
     while True:
         seen = labels.select(F.col("node").alias("b"), F.col("root").alias("near"))
         least = both.join(seen, "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
         lower = labels.join(least, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
         up = labels.select(F.col("node").alias("root"), F.col("root").alias("top"))
         jumped = lower.join(up, "root", "left").select("node", "was", F.least("root", F.coalesce("top", "root")).alias("root"))
-        new = staged(jumped, tag)
+        new = scratch.staged(jumped, tag)
         if new.filter("root < was").isEmpty():
             return new.select("node", "root")
         labels = new.select("node", "root")
@@ -223,25 +255,22 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Every row's doc_id, text keys, fingerprint ``fp`` (signed), and its class: least doc_id and ``class_fp``."""
-    rows = staged(fingerprints(docs), "fingerprints")
-    distinct = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(links(distinct, distinct.count()))
-    classed = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("class_fp"))
-    classed = staged(classed, "classed")
-    least = classed.groupBy("class_fp").agg(F.min("least").alias("component_id"))
-    named = staged(classed.join(least, "class_fp").select("fp", "class_fp", "component_id"), "classes")
-    return rows.join(named, "fp")
+    with Scratch(docs.sparkSession) as scratch:
+        rows = scratch.staged(fingerprints(docs), "fingerprints")
+        distinct = scratch.staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+        roots = components(links(distinct, distinct.count(), scratch), scratch)
+        classed = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("class_fp"))
+        classed = scratch.staged(classed, "classed")
+        least = classed.groupBy("class_fp").agg(F.min("least").alias("component_id"))
+        named = scratch.staged(classed.join(least, "class_fp").select("fp", "class_fp", "component_id"), "classes")
+        return scratch.kept(rows.join(named, "fp"), "near-duplicates")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """Keep one row of each class: that with the least doc_id (null last), and of equal ones that with the least key."""
-    rows = near_duplicates(docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("f")
-    keep = rows.groupBy("class_fp").agg(first).select(F.col("f.doc_id").alias("__id"), F.col("f.k1").alias("__k1"), F.col("f.k2").alias("__k2"))
-    k1, k2 = text_key(F.col("text"))
-    keyed = docs.withColumns({"__a": k1, "__b": k2})
-    same = keyed["doc_id"].eqNullSafe(keep["__id"]) & (keyed["__a"] == keep["__k1"]) & (keyed["__b"] == keep["__k2"])
-    return keyed.join(keep, same, "left_semi").dropDuplicates(["doc_id", "__a", "__b"]).select(*docs.columns)
+    keep = near_duplicates(docs).groupBy("class_fp").agg(first)
+    return only_rows(docs, keep.select("f.doc_id", "f.k1", "f.k2"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
