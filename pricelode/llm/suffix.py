@@ -48,7 +48,7 @@ SHARD_BYTES = 1 << 20
 #: A core with more differing pieces is cut by content again before it goes to a shard.
 KINDS = 1000
 #: A long text is looked at in pieces of so many bytes, which overlap by the length of a string less one.
-PIECE = 4 << 20
+PIECE = 1 << 20
 #: Segments of a text are fetched from it in rows of those that start within so many bytes.
 CUT_BYTES = 1 << 20
 
