@@ -403,9 +403,30 @@ def _left(raw: memoryview, gone: list[tuple[int, int]]) -> bytes:
     return b"".join([*left, raw[at:]])
 
 
+def _within(texts: DataFrame, short: int, length: int, scratch: Scratch) -> DataFrame:
+    """As ``repeats``, from ``texts(k1, k2, text, passages)`` with the repeats of a shorter length: a longer string that
+    repeats lies in a run of shorter ones that do, so only runs that are long enough are looked at, each as a text."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "b"):
+            out: list[tuple] = []
+            for k1, k2, t, p in zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), batch.column("b"), batch.column("passages").to_pylist(), strict=True):
+                raw = t.as_buffer()
+                out += [(k1, k2, a, bytes(raw[a:b])) for a, b in removed(p, len(raw), 1, short) if b - a >= length]
+            columns = zip(*out, strict=True) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["k1", "k2", "at", "text"])
+
+    runs = texts.select("k1", "k2", F.col("text").cast("binary").alias("b"), "passages").mapInArrow(cut, "k1 long, k2 long, at long, text binary")
+    key = [F.xxhash64("k1", "k2", "at").alias("k1"), F.xxhash64(F.lit("run"), "k1", "k2", "at").alias("k2")]
+    runs = scratch.bucketed(runs.select(*key, F.struct("k1", "k2", "at").alias("of"), "text"), "runs", "k1", "k2")
+    found = runs.select("k1", "k2", "of").join(repeats(runs, length, scratch), ["k1", "k2"])
+    moved = found.select("of.k1", "of.k2", F.explode(F.transform("ranges", lambda r: F.struct((r["first"] + F.col("of.at")).alias("first"), r["starts"].alias("starts")))).alias("r"))
+    return scratch.staged(moved.groupBy("k1", "k2").agg(F.collect_list("r").alias("ranges")), "long-ranges")
+
+
 def stripped(docs: DataFrame, length: int = LENGTH, passage: int | None = None) -> DataFrame:
     """Per distinct text (k1, k2): n_bytes, n_removed, n_spans, kept_sha256, and ``n_passage``: bytes covered by repeated
-    strings of ``passage`` bytes (null if none is asked for)."""
+    strings of ``passage`` bytes, fewer than ``length`` (null if none is asked for)."""
     spark = docs.sparkSession
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -423,12 +444,12 @@ def stripped(docs: DataFrame, length: int = LENGTH, passage: int | None = None)
 
     with Scratch(spark) as scratch:
         texts = distinct_texts(docs, scratch)
-        joined = texts.join(repeats(texts, length, scratch), ["k1", "k2"], "left")
-        ranges = joined.schema["ranges"].dataType
         if passage is None:
-            joined = joined.withColumn("passages", F.lit(None).cast(ranges))
+            joined = texts.join(repeats(texts, length, scratch), ["k1", "k2"], "left")
+            joined = joined.withColumn("passages", F.lit(None).cast(joined.schema["ranges"].dataType))
         else:
-            joined = joined.join(repeats(texts, passage, scratch).withColumnRenamed("ranges", "passages"), ["k1", "k2"], "left")
+            passages = repeats(texts, passage, scratch).withColumnRenamed("ranges", "passages")
+            joined = texts.join(_within(texts.join(passages, ["k1", "k2"]), passage, length, scratch), ["k1", "k2"], "left").join(passages, ["k1", "k2"], "left")
         rows = joined.select("k1", "k2", F.col("text").cast("binary").alias("b"), "copies", "ranges", "passages")
         return scratch.kept(rows.mapInArrow(apply, "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage long"), "stripped")
 
