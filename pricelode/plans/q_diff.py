@@ -48,15 +48,15 @@ def table_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observations(spark, sf_dir).groupBy("chain").agg(diff.multiset_digest(columns).cast("string").alias("digest"), F.count(F.lit(1)).alias("n"))
 
 
-@query("""with a as (select id as place, cents as c from obs where id between 0 and 999), b as (select id - 1000 as place, cents as c from obs where id between 1000 and 1999),
+@query("""with a as (select id // 2 as place, cents as c from obs where id % 2 = 0), b as (select id // 2 as place, cents as c from obs where id % 2 = 1),
 same as (select a.c, a.place as old_place, b.place as new_place from a join b on a.c = b.c and a.place = b.place),
 ra as (select *, row_number() over (partition by c order by place) as rn from a where (c, place) not in (select (c, old_place) from same)), rb as (select *, row_number() over (partition by c order by place) as rn from b where (c, place) not in (select (c, new_place) from same))
 select c, old_place, new_place, 'same' as kind from same union all
 select coalesce(ra.c, rb.c), ra.place, rb.place, case when rb.c is null then 'old_only' when ra.c is null then 'new_only' else 'moved' end from ra full join rb on ra.c = rb.c and ra.rn = rb.rn""")
 def content_rollover(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = observations(spark, sf_dir)
-    a = obs.filter("id between 0 and 999").select(F.col("id").alias("place"), F.col("cents").alias("content"))
-    b = obs.filter("id between 1000 and 1999").select((F.col("id") - 1000).alias("place"), F.col("cents").alias("content"))
+    place = F.expr("id div 2").alias("place")  # two sides of one size: even ids are the old places, odd ids the new ones
+    a, b = (obs.filter(F.col("id") % 2 == k).select(place, F.col("cents").alias("content")) for k in (0, 1))
     return diff.rollover(a, b, "place", "content")
 
 

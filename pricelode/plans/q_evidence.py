@@ -15,10 +15,10 @@ from pricelode.sources.observations import observations
 NAMESPACE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
 
 
-@query("""select l_orderkey as page, l_partkey::varchar as object_id, (max(l_extendedprice) * 100)::bigint as cents, count(*) as times from lineitem where l_orderkey < 2000 and l_quantity > 5 group by all""".replace("(max(l_extendedprice) * 100)::bigint", "round(max(l_extendedprice) * 100)::bigint"))
+@query("""select l_orderkey as page, l_partkey::varchar as object_id, (max(l_extendedprice) * 100)::bigint as cents, count(*) as times from lineitem where l_quantity > 5 group by all""".replace("(max(l_extendedprice) * 100)::bigint", "round(max(l_extendedprice) * 100)::bigint"))
 def embedded_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's script block holds JSON that holds JSON (a map by object id); entries without a price are left out."""
-    lines = table(spark, sf_dir, "lineitem").filter("l_orderkey < 2000").select("l_orderkey", F.col("l_partkey").cast("string").alias("object_id"), F.when(F.col("l_quantity") > 5, F.round(F.col("l_extendedprice") * 100).cast("long")).alias("cents"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").cast("string").alias("object_id"), F.when(F.col("l_quantity") > 5, F.round(F.col("l_extendedprice") * 100).cast("long")).alias("cents"))
     entry = F.struct("object_id", F.struct("cents").alias("price"))
     inner = lines.groupBy("l_orderkey").agg(F.to_json(F.collect_list(entry)).alias("data"))
     page = F.concat(F.lit('<html><script id="__NEXT_DATA__" type="application/json">'), F.to_json(F.struct(F.struct("data").alias("props"))), F.lit("</script></html>"))
@@ -267,10 +267,10 @@ def business_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observations(spark, sf_dir).select("id", day.alias("berlin_day"), begins.alias("yesterday_begins"))
 
 
-@query("select id::varchar as id, chain, coalesce(brand, '') as brand, (rescue)::varchar as rescue from obs where id < 2000")
+@query("select id::varchar as id, chain, coalesce(brand, '') as brand, (rescue)::varchar as rescue from obs")
 def tsv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written as tab-separated text (null empty, booleans in lower case) and read back as text."""
-    rows = observations(spark, sf_dir).filter("id < 2000").select(F.col("id").cast("string").alias("id"), "chain", F.coalesce("brand", F.lit("")).alias("brand"), F.lower(F.col("rescue").cast("string")).alias("rescue"))
+    rows = observations(spark, sf_dir).select(F.col("id").cast("string").alias("id"), "chain", F.coalesce("brand", F.lit("")).alias("brand"), F.lower(F.col("rescue").cast("string")).alias("rescue"))
     path = shared_path(spark, "tsv")
     rows.write.option("sep", "\t").option("header", True).option("emptyValue", "").csv(path)
     return spark.read.option("sep", "\t").option("header", True).option("quote", "").schema(rows.schema).csv(path).fillna("")

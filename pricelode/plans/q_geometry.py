@@ -9,7 +9,7 @@ from pricelode.operators import geometry as g
 from pricelode.plans.base import query, table
 
 #: x0, y0 from components 1 and 2, size from 3 and 4, on a grid of whole numbers so that both engines agree.
-BOXES_SQL = """boxes as materialized (select vec_id as id, label as page, x0, y0, x0 + w as x1, y0 + h as y1 from (select vec_id, label, floor(embedding[1]::double * 1000) as x0, floor(embedding[2]::double * 1000) as y0,
+BOXES_SQL = """boxes as materialized (select vec_id as id, label::bigint * 1000000 + vec_id // 500 as page, x0, y0, x0 + w as x1, y0 + h as y1 from (select vec_id, label, floor(embedding[1]::double * 1000) as x0, floor(embedding[2]::double * 1000) as y0,
   10 + floor(abs(embedding[3]::double) * 200) as w, 10 + floor(abs(embedding[4]::double) * 200) as h from embeddings))"""
 GAP = "sqrt(pow(greatest(a.x0 - b.x1, b.x0 - a.x1, 0), 2) + pow(greatest(a.y0 - b.y1, b.y0 - a.y1, 0), 2))"
 CENTRE = "sqrt(pow((a.x0 + a.x1 - b.x0 - b.x1) / 2, 2) + pow((a.y0 + a.y1 - b.y0 - b.y1) / 2, 2))"
@@ -18,7 +18,7 @@ BOTH = "(greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = lambda i: F.col("embedding")[i].cast("double")
-    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("page"), F.floor(e(0) * 1000).cast("double").alias("x0"), F.floor(e(1) * 1000).cast("double").alias("y0"), (10 + F.floor(F.abs(e(2)) * 200)).cast("double").alias("w"), (10 + F.floor(F.abs(e(3)) * 200)).cast("double").alias("h"))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), (F.col("label").cast("long") * 1000000 + F.expr("vec_id div 500")).alias("page"), F.floor(e(0) * 1000).cast("double").alias("x0"), F.floor(e(1) * 1000).cast("double").alias("y0"), (10 + F.floor(F.abs(e(2)) * 200)).cast("double").alias("w"), (10 + F.floor(F.abs(e(3)) * 200)).cast("double").alias("h"))
     return rows.select("id", "page", "x0", "y0", (F.col("x0") + F.col("w")).alias("x1"), (F.col("y0") + F.col("h")).alias("y1"))
 
 

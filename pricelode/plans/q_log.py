@@ -19,21 +19,21 @@ def insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.new_rows(obs.filter(F.col("day") >= cut), obs.filter(F.col("day") < cut), ["chain", "offer"]).select("chain", "offer")
 
 
-@query("""with a as (select id, cents, chain from obs where id < 3000), b as (select id, case when id % 100 = 0 then cents + 1 else cents end as cents, chain from obs where id between 1000 and 4000)
+@query("""with a as (select id, cents, chain from obs where day < date '2024-01-20'), b as (select id, case when id % 100 = 0 then cents + 1 else cents end as cents, chain from obs where day >= date '2024-01-10')
 select count(*) filter (b.id is null) as new, count(*) filter (a.cents = b.cents) as same, count(*) filter (a.cents <> b.cents) as conflicting, count(*) filter (a.id is null) as missing from a full join b on a.id = b.id""")
 def exact_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    obs = observations(spark, sf_dir).select("id", "cents", "chain")
+    obs = observations(spark, sf_dir).select("id", "cents", "chain", "day")
     changed = F.when(F.col("id") % 100 == 0, F.col("cents") + 1).otherwise(F.col("cents"))
-    return log.exact_set(obs.filter("id < 3000"), obs.filter("id between 1000 and 4000").withColumn("cents", changed), ["id"], ["cents", "chain"])
+    return log.exact_set(obs.filter("day < date '2024-01-20'"), obs.filter("day >= date '2024-01-10'").withColumn("cents", changed), ["id"], ["cents", "chain"])
 
 
-@query("""with a as (select id, cents, coalesce(brand, '-') as brand from obs where id < 3000), b as (select id, case when id % 100 = 0 then cents + 1 else cents end as cents, case when id % 50 = 0 then 'other' else coalesce(brand, '-') end as brand from obs where id >= 1000)
+@query("""with a as (select id, cents, coalesce(brand, '-') as brand from obs where day < date '2024-01-20'), b as (select id, case when id % 100 = 0 then cents + 1 else cents end as cents, case when id % 50 = 0 then 'other' else coalesce(brand, '-') end as brand from obs where day >= date '2024-01-10')
 select a.id, case when b.id is null then 'CREATE' when a.cents = b.cents and a.brand = b.brand then 'NO_OP_IDENTICAL' else 'CONFLICT' end as action,
   case when b.id is null then '' else concat_ws(',', case when a.brand <> b.brand then 'brand' end, case when a.cents <> b.cents then 'cents' end) end as differ from a left join b on a.id = b.id""")
 def action_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    obs = observations(spark, sf_dir).select("id", "cents", F.coalesce("brand", F.lit("-")).alias("brand"))
-    there = obs.filter("id >= 1000").select("id", F.when(F.col("id") % 100 == 0, F.col("cents") + 1).otherwise(F.col("cents")).alias("cents"), F.when(F.col("id") % 50 == 0, "other").otherwise(F.col("brand")).alias("brand"))
-    return log.plan(obs.filter("id < 3000"), there, ["id"], ["cents", "brand"])
+    obs = observations(spark, sf_dir).select("id", "cents", F.coalesce("brand", F.lit("-")).alias("brand"), "day")
+    there = obs.filter("day >= date '2024-01-10'").select("id", F.when(F.col("id") % 100 == 0, F.col("cents") + 1).otherwise(F.col("cents")).alias("cents"), F.when(F.col("id") % 50 == 0, "other").otherwise(F.col("brand")).alias("brand"))
+    return log.plan(obs.filter("day < date '2024-01-20'").drop("day"), there, ["id"], ["cents", "brand"])
 
 
 @query("""select conv_id, arg_max(role, turn) as status, count(*) as revisions, max(turn) as last_revision from conversations group by conv_id""")

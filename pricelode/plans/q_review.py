@@ -123,14 +123,17 @@ def campaign_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return obs.filter("chain = 'click'").select("id", F.coalesce(F.col("valid_from"), first).alias("first_day"), F.coalesce(F.col("valid_until"), last).alias("last_day"))
 
 
-@query("""with k as (select p_partkey, string_split(p_name, ' ') as a, p_type as t from part where p_partkey < 400), d as (select distinct string_split(p_name, ' ') as b, p_name from part)
+@query("""with k as (select p_partkey, string_split(p_name, ' ') as a, p_type as t from part), d as (select distinct string_split(p_name, ' ') as b, p_name from part)
 select p_partkey, p_name, (len(list_intersect(a, b)) * 3.0 + case when len(list_intersect(a, b)) = 2 then 1.5 else 0 end + case when t = 'SMALL' then 1.0 else 0 end)::double as score from k join d on list_has_any(a, b) where len(list_intersect(a, b)) * 3.0 + case when len(list_intersect(a, b)) = 2 then 1.5 else 0 end + case when t = 'SMALL' then 1.0 else 0 end >= 5.5""")
 def pairing_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlap of words and metadata as a score; 5.5 accepts."""
     part = table(spark, sf_dir, "part")
-    a = part.filter("p_partkey < 400").select("p_partkey", F.split("p_name", " ").alias("a"), "p_type")
-    b = part.select("p_name").distinct().select("p_name", F.split("p_name", " ").alias("b"))
-    met = a.select("p_partkey", "a", "p_type", F.explode("a").alias("w")).join(b.select("p_name", "b", F.explode("b").alias("w")), "w").select("p_partkey", "a", "p_type", "p_name", "b").distinct()
+    names = part.select("p_name").distinct().select("p_name", F.split("p_name", " ").alias("b"))
+    # names that accept each other share two words; names are paired once and parts come back by their name
+    words = names.select("p_name", F.explode(F.array_distinct("b")).alias("w"))
+    met = words.join(words.withColumnRenamed("p_name", "own"), "w").groupBy("own", "p_name").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
+    a = part.select("p_partkey", F.col("p_name").alias("own"), F.split("p_name", " ").alias("a"), "p_type")
+    met = a.join(met, "own").withColumn("b", F.split("p_name", " "))
     common = F.size(F.array_intersect("a", "b"))
     score = common * 3.0 + gates.score([(1.5, common == 2), (1.0, F.col("p_type") == "SMALL")])
     return met.select("p_partkey", "p_name", score.alias("score")).filter("score >= 5.5")

@@ -53,10 +53,10 @@ def ocr_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""with l as (select l_orderkey, l_linenumber, l_partkey from lineitem), n as (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey) as rn from l)
 select l_orderkey, ((rn - 1) // 2 + 1)::int as page, ((rn - 1) % 2 + 1)::int as link, l_partkey::varchar as product, case when l_partkey % 4 <> 0 then 'title ' || l_partkey end as title,
-  case when rn % 2 = 1 then 'left' else 'right' end as side from n where l_orderkey < 3000""")
+  case when rn % 2 = 1 then 'left' else 'right' end as side from n""")
 def flyer_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines written as a flyer's JSON (two links a page, some products unknown) and read back."""
-    lines = table(spark, sf_dir, "lineitem").filter("l_orderkey < 3000").select("l_orderkey", "l_linenumber", F.col("l_partkey").cast("string").alias("p"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").cast("string").alias("p"))
     one = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("p").cast("long").alias("k"), "p"))).alias("ls"), F.collect_set(F.when(F.col("p") % 4 != 0, F.col("p"))).alias("known"))
     link = lambda x, i: F.struct(x["p"].alias("product"), (i % 2 * 0.6).alias("left"), F.lit(0.1).alias("top"))
     links = F.transform("ls", link)

@@ -62,13 +62,13 @@ def short_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "chain", "w.*").withColumn("days", days).filter("first_day is not null and last_day >= first_day and days <= 3")
 
 
-@query("""with snaps as (select id, chain, collected_at, valid_from, valid_until from obs where id % 50 = 1 and valid_from is not null),
+@query("""with snaps as (select id, chain, collected_at, valid_from, valid_until from obs where valid_from is not null),
 days as (select distinct day as d from obs)
 select d, chain, id as snapshot from (select d, chain, id, row_number() over (partition by d, chain order by collected_at desc, id desc) as rn
   from days join snaps on d between valid_from and valid_until) where rn = 1""")
 def snapshot_of_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = observations(spark, sf_dir)
-    snaps = obs.filter("id % 50 = 1 and valid_from is not null").select("id", "chain", "collected_at", "valid_from", "valid_until")
+    snaps = obs.filter("valid_from is not null").select("id", "chain", "collected_at", "valid_from", "valid_until")
     open_days = snaps.withColumn("d", F.explode(F.sequence("valid_from", "valid_until")))
     found = open_days.join(obs.select(F.col("day").alias("d")).distinct(), "d")
     return t.newest(found, ["d", "chain"], F.desc("collected_at"), F.desc("id")).select("d", "chain", F.col("id").alias("snapshot"))
@@ -165,7 +165,7 @@ def latest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""with c as (select chain, day, valid_until as u, count(*) as n from obs where valid_until - day between -2 and 8 group by all),
 t as (select chain, day, sum(n) as total, max({'n': n, 'u': u}) as top from c group by all),
-e as (select chain, day, top.u as week_end, top.n::bigint as support, top.n >= greatest(3, ceil(total / 10.0)) as sure from t)
+e as (select chain, day, top.u as week_end, top.n::bigint as support, top.n >= greatest(10, ceil(total / 10.0)) as sure from t)
 select o.chain, o.day, week_end, support, sure, count(*) as rows, count(*) filter (sure and o.valid_until > week_end) as clamped,
   max(case when sure then least(o.valid_until, week_end) else o.valid_until end) as last_day
 from obs o join e on o.chain = e.chain and o.day = e.day group by all""")
@@ -174,7 +174,7 @@ def page_week_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = observations(spark, sf_dir)
     near = obs.filter(F.datediff("valid_until", "day").between(-2, 8)).groupBy("chain", "day", F.col("valid_until").alias("u")).agg(F.count(F.lit(1)).alias("n"))
     ends = near.groupBy("chain", "day").agg(F.sum("n").alias("total"), F.max(F.struct("n", "u")).alias("top"))
-    ends = ends.select("chain", "day", F.col("top.u").alias("week_end"), F.col("top.n").alias("support"), (F.col("top.n") >= F.greatest(F.lit(3), F.ceil(F.col("total") / 10))).alias("sure"))
+    ends = ends.select("chain", "day", F.col("top.u").alias("week_end"), F.col("top.n").alias("support"), (F.col("top.n") >= F.greatest(F.lit(10), F.ceil(F.col("total") / 10))).alias("sure"))
     cut = F.when(F.col("sure"), F.least("valid_until", "week_end")).otherwise(F.col("valid_until"))
     joined = obs.join(ends, ["chain", "day"])
     return joined.groupBy("chain", "day", "week_end", "support", "sure").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("sure") & (F.col("valid_until") > F.col("week_end"))).alias("clamped"), F.max(cut).alias("last_day"))

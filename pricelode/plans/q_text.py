@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pricelode.functions import text as x
@@ -26,13 +26,13 @@ def ascii_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", x.ascii_folded(F.concat("p_name", F.lit(" Größe Crème Señor"))).alias("folded"))
 
 
-@query(f"""with d as (select doc_id, list_distinct(list_filter(string_split({NORM.format('text')}, ' '), lambda w: length(w) >= 3)) as a from documents where doc_id < 300),
+@query(f"""with d as (select doc_id, list_distinct(list_filter(string_split({NORM.format('text')}, ' '), lambda w: length(w) >= 3)) as a from documents),
 b as (select item_id, list_distinct(list_filter(string_split({NORM.format('text')}, ' '), lambda w: length(w) >= 3)) as b from benchmark),
 t as (select doc_id, item_id, count(*) as common from (select doc_id, unnest(a) as w from d) join (select item_id, unnest(b) as w from b) using (w) group by all)
 select doc_id, item_id, round(common / (len(a) + len(b) - common)::double, 4) as jaccard from t join d using (doc_id) join b using (item_id) where common >= 12""")
 def token_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token overlap of documents and benchmark items, joined on shared words rather than in all pairs."""
-    docs = table(spark, sf_dir, "documents").filter("doc_id < 300").select("doc_id", x.tokens(F.col("text")).alias("a"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", x.tokens(F.col("text")).alias("a"))
     items = table(spark, sf_dir, "benchmark").select("item_id", x.tokens(F.col("text")).alias("b"))
     common = docs.select("doc_id", F.explode("a").alias("w")).join(items.select("item_id", F.explode("b").alias("w")), "w").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("common"))
     both = common.filter("common >= 12").join(docs, "doc_id").join(items, "item_id")
@@ -50,14 +50,17 @@ def package_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.withColumn("p", x.package(F.col("raw"))).select("id", "raw", "p.method", "p.quantity", "p.unit", "p.pack")
 
 
-@query(f"""with t as (select id, offer, case id % 8 when 0 then 'g' || (id % 9 + 1) when 1 then 'l' || (id % 9 + 1) when 2 then 'p' || (id % 9 + 1) when 3 then 'p' || (id % 9 + 1) when 4 then 'p1' when 6 then 'm' || (id % 9 + 1) end as sig from obs where id < 2000)
-select a.id as left_id, b.id as right_id, case when a.sig is null and b.sig is null then 'both_missing' when a.sig is null or b.sig is null then 'one_missing' when a.sig = b.sig then 'exact' else 'conflict' end as relation
-from t a join t b on a.offer = b.offer and a.id < b.id""")
+@query(f"""with t as (select id, offer, case id % 8 when 0 then 'g' || (id % 9 + 1) when 1 then 'l' || (id % 9 + 1) when 2 then 'p' || (id % 9 + 1) when 3 then 'p' || (id % 9 + 1) when 4 then 'p1' when 6 then 'm' || (id % 9 + 1) end as sig from obs),
+n as (select id, sig, lag(id) over w as before, lag(sig) over w as was from t window w as (partition by offer order by id))
+select before as left_id, id as right_id, case when was is null and sig is null then 'both_missing' when was is null or sig is null then 'one_missing' when was = sig then 'exact' else 'conflict' end as relation
+from n where before is not null""")
 def package_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = observations(spark, sf_dir).filter("id < 2000").withColumn("n", (F.col("id") % 9 + 1).cast("string"))
+    """The package of every observation against that of the one before of its offer."""
+    raw = observations(spark, sf_dir).withColumn("n", (F.col("id") % 9 + 1).cast("string"))
     rows = raw.select("id", "offer", x.package(F.expr(PACKAGE_TEXT)).alias("p"))
-    a, b = (rows.select("offer", F.col("id").alias(f"{s}_id"), F.col("p").alias(f"{s}_p")) for s in ("left", "right"))
-    return a.join(b, "offer").filter("left_id < right_id").select("left_id", "right_id", x.package_relation(F.col("left_p"), F.col("right_p")).alias("relation"))
+    w = Window.partitionBy("offer").orderBy("id")
+    rows = rows.withColumns({"left_id": F.lag("id").over(w), "was": F.lag("p").over(w)}).filter("left_id is not null")
+    return rows.select("left_id", F.col("id").alias("right_id"), x.package_relation(F.col("was"), F.col("p")).alias("relation"))
 
 
 @query("""with c as (select p_partkey, lpad((p_partkey * 7919 + 400000000000)::varchar, 12, '0') as body from part),
