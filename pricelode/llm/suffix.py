@@ -339,7 +339,7 @@ def distinct_texts(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 def repeats(texts: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     """Repeated strings of ``length`` bytes among ``distinct_texts``: per text that has some (k1, k2, ranges), where
-    ranges (first, starts array<struct<lo, hi>>) tell the starts, not merged."""
+    ranges array<struct<a, b>> tell the starts from a up to b, not merged."""
     kind = ["anchor", "d1", "d2"]
     placed = scratch.staged(_text_segments(texts.filter(F.octet_length("text") >= length), length), "segments")
     met = placed.select(F.explode("anchor").alias("anchor")).groupBy("anchor").agg(F.count(F.lit(1)).alias("all")).filter("all > 1")
@@ -377,22 +377,29 @@ def repeats(texts: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     found.append(kinds.filter("times > 1").select(*kind, F.lit(0).alias("lo"), F.col("one.n").alias("hi")))
     starts = functools.reduce(DataFrame.unionByName, found).groupBy(*kind).agg(F.collect_set(F.struct("lo", "hi")).alias("starts"))
     starts = scratch.staged(starts, "found")
-    back = spans.join(starts, kind).select("k1", "k2", "first", "starts")
-    return scratch.staged(back.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "starts")).alias("ranges")), "ranges")
+    back = spans.join(starts, kind).select("k1", "k2", "first", F.inline("starts"))
+    place = F.struct((F.col("first") + F.col("lo")).alias("a"), (F.col("first") + F.col("hi")).alias("b"))
+    return scratch.staged(back.groupBy("k1", "k2").agg(F.collect_list(place).alias("ranges")), "ranges")
 
 
-def removed(ranges: list[dict] | None, size: int, copies: int, length: int) -> list[tuple[int, int]]:
+def starts_of(column: pa.ListArray) -> Iterator[np.ndarray]:
+    """For each text the repeated starts, an array of (first, end); empty where there are none."""
+    both = np.stack([c.to_numpy() for c in column.values.flatten()], axis=1)
+    edges = column.offsets.to_numpy()
+    for a, b in zip(edges, edges[1:], strict=False):
+        yield both[a:b].astype(np.int64)
+
+
+def removed(starts: np.ndarray, size: int, copies: int, length: int) -> list[tuple[int, int]]:
     """Maximal removed runs of a text."""
     if size >= length and copies > 1:
         return [(0, size)]
-    runs = sorted((r["first"] + s["lo"], r["first"] + s["hi"] - 1 + length) for r in ranges or () for s in r["starts"])
-    out: list[tuple[int, int]] = []
-    for a, b in runs:
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+    if not len(starts):
+        return []
+    starts = starts[np.argsort(starts[:, 0], kind="stable")]
+    begin, end = starts[:, 0], np.maximum.accumulate(starts[:, 1] - 1 + length)
+    head = np.flatnonzero(np.append(True, begin[1:] > end[:-1]))
+    return list(zip(begin[head].tolist(), end[np.append(head[1:] - 1, len(end) - 1)].tolist(), strict=True))
 
 
 def _left(raw: memoryview, gone: list[tuple[int, int]]) -> bytes:
@@ -410,7 +417,7 @@ def _within(texts: DataFrame, short: int, length: int, scratch: Scratch) -> Data
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "b"):
             out: list[tuple] = []
-            for k1, k2, t, p in zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), batch.column("b"), batch.column("passages").to_pylist(), strict=True):
+            for k1, k2, t, p in zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), batch.column("b"), starts_of(batch.column("passages")), strict=True):
                 raw = t.as_buffer()
                 out += [(k1, k2, a, bytes(raw[a:b])) for a, b in removed(p, len(raw), 1, short) if b - a >= length]
             columns = zip(*out, strict=True) if out else [[]] * 4
@@ -420,8 +427,9 @@ def _within(texts: DataFrame, short: int, length: int, scratch: Scratch) -> Data
     key = [F.xxhash64("k1", "k2", "at").alias("k1"), F.xxhash64(F.lit("run"), "k1", "k2", "at").alias("k2")]
     runs = scratch.bucketed(runs.select(*key, F.struct("k1", "k2", "at").alias("of"), "text"), "runs", "k1", "k2")
     found = runs.select("k1", "k2", "of").join(repeats(runs, length, scratch), ["k1", "k2"])
-    moved = found.select("of.k1", "of.k2", F.explode(F.transform("ranges", lambda r: F.struct((r["first"] + F.col("of.at")).alias("first"), r["starts"].alias("starts")))).alias("r"))
-    return scratch.staged(moved.groupBy("k1", "k2").agg(F.collect_list("r").alias("ranges")), "long-ranges")
+    at = F.col("of.at").cast("int")
+    moved = found.select("of.k1", "of.k2", F.transform("ranges", lambda r: F.struct((r["a"] + at).alias("a"), (r["b"] + at).alias("b"))).alias("r"))
+    return scratch.staged(moved.groupBy("k1", "k2").agg(F.flatten(F.collect_list("r")).alias("ranges")), "long-ranges")
 
 
 def stripped(docs: DataFrame, length: int = LENGTH, passage: int | None = None) -> DataFrame:
@@ -432,7 +440,7 @@ def stripped(docs: DataFrame, length: int = LENGTH, passage: int | None = None)
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "b"):
             out: list[tuple] = []
-            for t, r, p, c in zip(batch.column("b"), *(batch.column(k).to_pylist() for k in ("ranges", "passages", "copies")), strict=True):
+            for t, r, p, c in zip(batch.column("b"), starts_of(batch.column("ranges")), starts_of(batch.column("passages")), batch.column("copies").to_pylist(), strict=True):
                 raw = memoryview(t.as_buffer())
                 gone = removed(r, len(raw), c, length)
                 kept = _left(raw, gone)
@@ -466,7 +474,7 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "__b"):
             kept: list[str | None] = []
-            for t, r, none in zip(batch.column("__b"), *(batch.column(c).to_pylist() for c in ("__ranges", "__null")), strict=True):
+            for t, r, none in zip(batch.column("__b"), starts_of(batch.column("__ranges")), batch.column("__null").to_pylist(), strict=True):
                 raw = memoryview(t.as_buffer())
                 left = _left(raw, removed(r, len(raw), 1, length))
                 kept.append(None if none else left.decode("utf-8", "ignore"))
