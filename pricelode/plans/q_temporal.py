@@ -74,15 +74,20 @@ def snapshot_of_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.newest(found, ["d", "chain"], F.desc("collected_at"), F.desc("id")).select("d", "chain", F.col("id").alias("snapshot"))
 
 
-@query("""with s as (select id, valid_from as f, valid_until as u from obs where id % 40 = 3 and valid_from is not null)
-select a.id as a, b.id as b, greatest(a.f, b.f) as first_day, least(a.u, b.u) as last_day from s a join s b on a.id < b.id and a.f <= b.u and a.u >= b.f""")
+@query("""with s as (select valid_from as f, valid_until as u, min(id) as id, count(*) as n from obs where valid_from is not null group by all)
+select a.id as a, b.id as b, greatest(a.f, b.f) as first_day, least(a.u, b.u) as last_day, case when a.id = b.id then a.n * (a.n - 1) // 2 else a.n * b.n end::bigint as pairs
+from s a join s b on a.id <= b.id and a.f <= b.u and a.u >= b.f where a.id < b.id or a.n > 1""")
 def window_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = observations(spark, sf_dir).filter("id % 40 = 3 and valid_from is not null").select("id", F.col("valid_from").alias("f"), F.col("valid_until").alias("u"))
-    a, b = (t.interval_buckets(s, "f", "u").select("_bucket", F.col("id").alias(n), F.col("f").alias(f"f{n}"), F.col("u").alias(f"u{n}")) for n in ("a", "b"))
+    """Overlapping windows of all observations.  Equal windows are one class, named by its least id; ``pairs`` is the
+    number of pairs of observations that a row stands for."""
+    obs = observations(spark, sf_dir).filter("valid_from is not null")
+    s = obs.groupBy(F.col("valid_from").alias("f"), F.col("valid_until").alias("u")).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    a, b = (t.interval_buckets(s, "f", "u").select("_bucket", F.col("id").alias(k), *(F.col(c).alias(c + k) for c in "fun")) for k in "ab")
     # a pair that shares several buckets is taken in the one where the overlap begins
     first = F.greatest("fa", "fb")
-    pairs = a.join(b, "_bucket").filter("a < b and fa <= ub and ua >= fb").filter(F.floor(F.unix_date(first) / 8) == F.col("_bucket"))
-    return pairs.select("a", "b", first.alias("first_day"), F.least("ua", "ub").alias("last_day"))
+    met = a.join(b, "_bucket").filter("a <= b and fa <= ub and ua >= fb").filter(F.floor(F.unix_date(first) / 8) == F.col("_bucket")).filter("a < b or na > 1")
+    pairs = F.when(F.col("a") == F.col("b"), F.expr("na * (na - 1) div 2")).otherwise(F.col("na") * F.col("nb"))
+    return met.select("a", "b", first.alias("first_day"), F.least("ua", "ub").alias("last_day"), pairs.alias("pairs"))
 
 
 @query("""with snaps as (select chain, valid_from as f, valid_until as u, max({'c': collected_at, 'i': id}) as s from obs where valid_from is not null group by all), days as (select distinct day as d from obs)

@@ -15,6 +15,8 @@ def test_windows_of_all_observations(spark, sf):
     got = [tuple(r) for r in registry.queries()["window_overlap_counts"](spark, sf).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert {r[0] % 40 for r in got} == set(range(40))
+    classes = registry.queries()["window_overlaps"](spark, sf).collect()
+    assert sum(r["pairs"] for r in classes) * 2 == sum(n for _, n, _, _ in want)
 
     newest = {}
     for d in {r.day for r in rows}:
