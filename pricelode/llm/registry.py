@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.op1_sql()}
+    return {"op1_mixing": mixing.op1_sql(), "op2_suffix_dedup": suffix.op2_sql(), "op8_warc": warc.op8_sql()}

@@ -502,3 +502,25 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     k1, k2 = text_key(F.coalesce("text", F.lit("")))
     rows = docs.select("doc_id", k1.alias("k1"), k2.alias("k2"))
     return rows.join(done, ["k1", "k2"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.col("n_passage").alias("n_repeated_passages"))
+
+
+def op2_sql(length: int = LENGTH, passage: int = PASSAGE) -> str:
+    """The same in DuckDB's SQL: every string of the length by its hash, no suffix arrays."""
+
+    def covered(n: int) -> str:
+        return f"""w{n} as (select r, unnest(range(1, n_bytes - {n} + 2)) as i from t where n_bytes >= {n}),
+d{n} as materialized (select r, i, md5(b[i:i + {n - 1}]) as d from w{n} join t using (r)),
+s{n} as materialized (select r, i from d{n} where d in (select d from d{n} group by d having count(*) > 1)),
+c{n} as (select r, sum(least(coalesce(next - i, {n}), {n}))::bigint as gone, count(*) filter (prev is null or i - prev > {n}) as spans
+  from (select *, lead(i) over (partition by r order by i) as next, lag(i) over (partition by r order by i) as prev from s{n}) group by r)"""
+
+    return f"""with t as materialized (select row_number() over () as r, doc_id, encode(coalesce(text, '')) as b, octet_length(encode(coalesce(text, ''))) as n_bytes from documents),
+{covered(length)},
+{covered(passage)},
+heads as (select r, i, lag(last) over (partition by r order by i) as before, row_number() over (partition by r order by i desc) = 1 as tail, last from
+  (select r, min(i) as i, max(i) + {length} as last from (select r, i, sum(new) over (partition by r order by i) as run from
+    (select r, i, case when i - lag(i) over (partition by r order by i) <= {length} then 0 else 1 end as new from s{length})) group by r, run)),
+rest as (select r, string_agg(hex(b[coalesce(before, 1):i - 1]) || case when tail then hex(b[last:n_bytes]) else '' end, '' order by i) as h from heads join t using (r) group by r)
+select doc_id, n_bytes::bigint as n_bytes, coalesce(c{length}.gone, 0) as n_removed, coalesce(c{length}.spans, 0) as n_spans,
+  sha256(case when h is null then b else unhex(h) end) as kept_sha256, coalesce(c{passage}.gone, 0) as n_repeated_passages
+from t left join c{length} using (r) left join c{passage} using (r) left join rest using (r)"""

@@ -210,3 +210,11 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_sql() -> str:
+    """The same in DuckDB's SQL, without archives."""
+    base32 = "array_to_string(list_transform(range(0, 32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(sha, (j // 4 * 5 + 1)::int, 5))::bigint >> (15 - j % 4 * 5)::int) & 31) + 1)::int, 1)), '')"
+    return f"""with p as (select page_id::bigint as page_id, url, sha1(coalesce(html, '')) as sha, octet_length(encode(coalesce(html, '')))::bigint as n from pages),
+k as (select *, row_number() over w as rn, first(page_id) over w as best from p window w as (partition by sha order by page_id desc nulls last, url desc nulls last))
+select page_id, n as payload_bytes, {base32} as payload_digest, case when rn = 1 then 'response' else 'revisit' end as record_type, case when rn > 1 then best end as refers_to from k"""
