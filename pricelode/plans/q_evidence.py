@@ -43,7 +43,8 @@ def explicit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walk.explicit_codes(rows, "event_id", "body")
 
 
-@query()
+@query("""with h as (select id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(chain || ':' || offer || ':' || id)) as h from obs)
+select id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab', (('0x' || h[17:17])::int % 4 + 1)::int, 1) || h[18:20] || '-' || h[21:32] as uuid from h""")
 def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Name-based ids, from built-in functions."""
     name = F.concat_ws(":", "chain", F.col("offer").cast("string"), F.col("id").cast("string"))

@@ -177,3 +177,14 @@ def test_stream_takes_up_where_it_ended(spark, tmp_path):
     rows.filter("id < 2").union(rows.filter("id = 4").selectExpr("id + 5", "t")).write.mode("append").parquet(f"{tmp_path}/in")
     replay.run_to_end(stream(), f"{tmp_path}/out", f"{tmp_path}/state")
     assert sorted(r[0] for r in spark.read.parquet(f"{tmp_path}/out").select("id").collect()) == [0, 1, 2, 3, 4, 9]
+
+
+def test_block_lines(spark):
+    """Prices, package and name of a text block: hyphenated names, prices that end in a digit of their line's number, none."""
+    from pricelode.functions import blocks as b
+
+    texts = ["Ries-\nling\n0,75 l\nUVP 5,99\n3,45\n(1 l = 4,60)\nzzgl. Pfand 0,25", "Bio-\nMilch \n 1 l \n1,10", "  ", None, "Käse\n(1 kg = 9,90)\n2,99"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").withColumn("rows", b.lines(F.col("t")))
+    at = b.package_line(F.col("rows"))
+    got = rows.select(b.joined_name(F.col("rows"), at), b.package(F.col("rows"), at), b.primary_price(F.col("rows")), b.regular_price(F.col("rows")), b.deposit(F.col("t")), *b.unit_price(F.col("t"))).collect()
+    assert [tuple(r) for r in got] == [("Riesling", "0,75 l", 345, 599, 25, 460, "l"), ("Bio-Milch", "1 l", 110, None, None, None, None), (None,) * 7, (None,) * 7, (None, None, 299, None, None, 990, "kg")]
