@@ -11,7 +11,7 @@ import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricelode.operators import identity, search, temporal
+from pricelode.operators import identity, pricing, search, temporal
 
 # The parameters' domains and limits, and the states of a comparison.
 VIEWS = ("current", "upcoming")
@@ -120,3 +120,41 @@ def catalogue(
         "name": [F.asc_nulls_last(F.lower("brand")), search.folded("name")],
     }
     return rows.orderBy(*orders[sort], F.col("product")).limit(limit).drop("_asked")
+
+
+def price_history(obs: DataFrame, links: DataFrame, product: int, until: str | datetime.date | None = None, limit: int = 200) -> DataFrame:
+    """What was seen of a product's identities, newest first; of equal times the smaller id comes first."""
+    if not 1 <= limit <= MOST:
+        raise ValueError(f"limit is 1 to {MOST}")
+    keys = links.filter(F.col("product") == product).select(*(F.col(k).alias(f"_{k}") for k in ("chain", "store", "offer")))
+    same = F.col("chain").eqNullSafe(F.col("_chain")) & F.col("store").eqNullSafe(F.col("_store")) & F.col("offer").eqNullSafe(F.col("_offer"))
+    rows = obs if until is None else obs.filter(F.to_date("collected_at") <= _day(until))
+    return rows.join(keys, same, "left_semi").orderBy(F.desc("collected_at"), "id").limit(limit)
+
+
+def basket(obs: DataFrame, links: DataFrame, items: list[tuple[int, int]], as_of: str | datetime.date) -> DataFrame:
+    """The total of a basket of (product, quantity) at every store, cheapest complete ones first; a store that lacks some is
+    told which."""
+    if not items or any(n < 1 for _, n in items):
+        raise ValueError("a basket has items, each at least once")
+    wanted = obs.sparkSession.createDataFrame(items, "product long, quantity long")
+    offers = current_offers(obs, links, as_of).withColumn("product", F.col("product").cast("long"))
+    totals = pricing.basket_totals(offers, wanted, ["chain", "store"], "product", "cents", "offer", "id")
+    return totals.orderBy(F.desc("complete"), F.desc("covered"), "total", "chain", "store")
+
+
+def weekly(obs: DataFrame, week_start: str | datetime.date) -> DataFrame:
+    """The newest offer of each identity that is open in the week of a Monday, with the days it is open in it."""
+    first = datetime.date.fromisoformat(str(week_start))
+    if first.weekday():
+        raise ValueError("a week starts on a Monday")
+    monday, sunday = _day(first), _day(first + datetime.timedelta(days=6))
+    touching = obs.filter((F.col("valid_from") <= sunday) & (F.col("valid_until") >= monday))
+    days = F.datediff(F.least("valid_until", sunday), F.greatest("valid_from", monday)) + 1
+    return temporal.newest(touching.withColumn("days", days), ["chain", "store", "offer"], F.desc("collected_at"), F.col("id"))
+
+
+def daily_specials(obs: DataFrame, as_of: str | datetime.date) -> DataFrame:
+    """The newest of each identity's offers that are open on this one day only."""
+    day = _day(as_of)
+    return temporal.newest(obs.filter((F.col("valid_from") == day) & (F.col("valid_until") == day)), ["chain", "store", "offer"], F.desc("collected_at"), F.col("id"))

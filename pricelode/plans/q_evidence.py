@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pricelode.functions import walk
 from pricelode.functions.text import normalized, sequence_ratio, tokens
-from pricelode.operators import gates
+from pricelode.operators import gates, ranking
 from pricelode.plans.base import query, table
 from pricelode.shared import shared_path
 from pricelode.sources.observations import observations
@@ -124,8 +124,9 @@ def merged_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 select chain, id, rn from n join k on rn = (i * (total - 1) + 2) // 5 + 1""")
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six rows of each chain, evenly spaced: places round(i * (n - 1) / 5) + 1."""
-    w = Window.partitionBy("chain")
-    rows = observations(spark, sf_dir).select("chain", "id", F.row_number().over(w.orderBy("id")).alias("rn"), F.count(F.lit(1)).over(w).alias("total"))
+    obs = observations(spark, sf_dir).select("chain", "id")
+    total = obs.groupBy("chain").agg(F.count(F.lit(1)).alias("total"))  # a row for each chain
+    rows = ranking.numbered(obs, "rn", [F.col("id")], ["chain"]).join(total, "chain")
     places = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.floor((i * (F.col("total") - 1) + 2) / 5) + 1)
     return rows.filter(F.array_contains(places, F.col("rn").cast("long"))).select("chain", "id", "rn")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pricelode.functions import labels as b
+from pricelode.operators import ranking
 from pricelode.plans.base import query, table
 from pricelode.shared import written
 from pricelode.sources.observations import observations
@@ -143,9 +144,11 @@ def scope_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""select chain, id, row_number() over (partition by chain order by valid_from desc nulls last, store is null, store, collected_at, id)::int as review_place, row_number() over (partition by chain, day order by lower(name), cents, offer, id)::int as merged_place from obs""")
 def review_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order of a review list (newest flyer first, pages that are missing last) and of a day's merged list, within a chain."""
-    review = Window.partitionBy("chain").orderBy(F.col("valid_from").desc_nulls_last(), F.col("store").isNull(), "store", "collected_at", "id")
+    review = [F.col("valid_from").desc_nulls_last(), F.col("store").isNull(), F.col("store"), F.col("collected_at"), F.col("id")]
     merged = Window.partitionBy("chain", "day").orderBy(F.lower("name"), "cents", "offer", "id")
-    return observations(spark, sf_dir).select("chain", "id", F.row_number().over(review).alias("review_place"), F.row_number().over(merged).alias("merged_place"))
+    rows = observations(spark, sf_dir).select("chain", "day", "id", "valid_from", "store", "collected_at", "name", "cents", "offer")
+    rows = ranking.numbered(rows, "review_place", review, ["chain"])
+    return rows.select("chain", "id", F.col("review_place").cast("int").alias("review_place"), F.row_number().over(merged).alias("merged_place"))
 
 
 @query("""with s as (select chain, day, count(*) as n, sum(hash_part) as print from (select *, (id % 1000 * 31 + cents) % 65521 as hash_part from obs) group by all), p as (select *, lag(n) over w as was, lag(print) over w as before from s window w as (partition by chain order by day))

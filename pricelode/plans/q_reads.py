@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pricelode.operators import reads
 from pricelode.plans.base import query, table
+from pricelode.plans.q_pricing import BASKET, BASKET_SQL
 from pricelode.plans.q_search import DISCOUNT
 from pricelode.plans.q_temporal import WINNERS_SQL
 from pricelode.sources.observations import AS_OF, observations
@@ -43,3 +44,36 @@ def requested_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     products = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"))
     links = obs.select((F.col("offer") % 40).alias("product"), "chain", "store", "offer")
     return reads.catalogue(obs, products, links, AS_OF, q="A", retailer="Click", comparison_only=True, sort="retailers_desc")
+
+
+CUR_SQL = f"""seeds as (select distinct chain, store, offer, offer % 40 as product from obs), cur as (select product, o.chain, o.store, o.offer, o.id, o.cents from seeds s join obs o on s.chain = o.chain and s.store is not distinct from o.store and s.offer = o.offer
+  where (mode is null or mode = 'fixed_package') and date '{AS_OF}' between valid_from and valid_until qualify row_number() over (partition by product, o.chain, o.store, o.offer order by collected_at desc, o.id) = 1)"""
+
+
+def _links(obs: DataFrame) -> DataFrame:
+    return obs.select((F.col("offer") % 40).alias("product"), "chain", "store", "offer")
+
+
+@query(f"""select id, chain, store, offer, collected_at, cents from obs where offer % 40 = 7 and collected_at::date <= date '{AS_OF}' order by collected_at desc, id limit 300""")
+def requested_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A product's observations up to a day, newest first."""
+    obs = observations(spark, sf_dir)
+    return reads.price_history(obs, _links(obs), 7, AS_OF, 300).select("id", "chain", "store", "offer", "collected_at", "cents")
+
+
+@query(f"""with {CUR_SQL}, {BASKET_SQL}, want as (select product, least(sum(quantity), 99)::bigint as quantity from basket group by product),
+best as (select c.*, quantity from cur c join want using (product) qualify row_number() over (partition by chain, store, product order by cents, offer, id) = 1)
+select chain, store, sum(cents * quantity)::bigint as total, count(*) as covered, count(*) = (select count(*) from want) as complete,
+  coalesce((select string_agg(product::varchar, ',' order by product) from want where not list_contains(list(best.product), product)), '') as missing from best group by chain, store""")
+def requested_basket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A caller's basket at every store."""
+    obs = observations(spark, sf_dir)
+    found = reads.basket(obs, _links(obs), BASKET, AS_OF)
+    return found.select("chain", "store", "total", "covered", "complete", F.array_join(F.array_sort("missing"), ",").alias("missing"))
+
+
+@query("""with w as (select * from obs where valid_from <= date '2024-01-21' and valid_until >= date '2024-01-15' qualify row_number() over (partition by chain, store, offer order by collected_at desc, id) = 1)
+select id, chain, store, offer, cents, (least(valid_until, date '2024-01-21') - greatest(valid_from, date '2024-01-15') + 1)::int as days from w""")
+def requested_week(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offers of the week that starts on a Monday."""
+    return reads.weekly(observations(spark, sf_dir), "2024-01-15").select("id", "chain", "store", "offer", "cents", "days")

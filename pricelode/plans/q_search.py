@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pricelode.operators import identity, search
+from pricelode.operators import identity, ranking, search
 from pricelode.operators.temporal import STATES, newest
 from pricelode.plans.base import query, table
 from pricelode.plans.q_temporal import WINNERS_SQL, winners
@@ -74,8 +74,10 @@ def deals_page(spark: SparkSession, sf_dir: str) -> DataFrame:
   row_number() over (partition by chain order by {SAVING} desc, coalesce(percent, 0) desc, cents, lower(name), id) as by_discount_desc from cur""")
 def deal_sort_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each row's place within its chain under the five orders."""
-    rank = lambda s: F.row_number().over(Window.partitionBy("chain").orderBy(*search.sort_key(s))).alias(f"by_{s}")
-    return current(spark, sf_dir).select("id", "chain", *(rank(s) for s in search.SORTS))
+    rows = current(spark, sf_dir).select("id", "chain", "store", "offer", "name", "brand", "cents", "regular_cents", "percent", "collected_at")
+    for s in search.SORTS:
+        rows = ranking.numbered(rows, f"by_{s}", search.sort_key(s), ["chain"])
+    return rows.select("id", "chain", *(F.col(f"by_{s}").cast("long").alias(f"by_{s}") for s in search.SORTS))
 
 
 @query(f"""select id, (app_cents is not null or requires_app) as has_app, {DISCOUNT} as has_discount, {SAVING} as saving, image <> '' as has_image,

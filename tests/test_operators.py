@@ -188,3 +188,17 @@ def test_block_lines(spark):
     at = b.package_line(F.col("rows"))
     got = rows.select(b.joined_name(F.col("rows"), at), b.package(F.col("rows"), at), b.primary_price(F.col("rows")), b.regular_price(F.col("rows")), b.deposit(F.col("t")), *b.unit_price(F.col("t"))).collect()
     assert [tuple(r) for r in got] == [("Riesling", "0,75 l", 345, 599, 25, 460, "l"), ("Bio-Milch", "1 l", 110, None, None, None, None), (None,) * 7, (None,) * 7, (None, None, 299, None, None, 990, "kg")]
+
+
+def test_numbered_in_a_hot_group(spark):
+    """Places are those of a window, though one group holds most rows and a group is null."""
+    from pricelode.operators import ranking
+
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 50 == 0, None).when(F.col("id") % 10 == 1, "rare").otherwise("hot").alias("g"), (F.col("id") * 37 % 101).alias("v"))
+    got = {r["id"]: r["place"] for r in ranking.numbered(rows, "place", [F.desc("v"), F.col("id")], ["g"]).collect()}
+    want, seen = {}, {}
+    for r in sorted(rows.collect(), key=lambda r: (-r["v"], r["id"])):
+        seen[r["g"]] = want[r["id"]] = seen.get(r["g"], 0) + 1
+    assert got == want
+    assert ranking.numbered(rows.limit(0), "place", [F.col("id")]).count() == 0
+    assert sorted(r["place"] for r in ranking.numbered(rows, "place", [F.col("id")]).collect()) == list(range(1, 3001))
