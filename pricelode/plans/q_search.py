@@ -9,6 +9,7 @@ from pricelode.operators import identity, ranking, search
 from pricelode.operators.temporal import STATES, newest
 from pricelode.plans.base import query, table
 from pricelode.plans.q_temporal import WINNERS_SQL, winners
+from pricelode.shared import written
 from pricelode.sources.observations import IDENTITY, observations
 
 CURRENT_SQL = f"{WINNERS_SQL}, cur as materialized (select * from winners where state = 'current')"
@@ -75,6 +76,7 @@ def deals_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 def deal_sort_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each row's place within its chain under the five orders."""
     rows = current(spark, sf_dir).select("id", "chain", "store", "offer", "name", "brand", "cents", "regular_cents", "percent", "collected_at")
+    rows = written(rows, "current")  # each of the five orders reads it twice
     for s in search.SORTS:
         rows = ranking.numbered(rows, f"by_{s}", search.sort_key(s), ["chain"])
     return rows.select("id", "chain", *(F.col(f"by_{s}").cast("long").alias(f"by_{s}") for s in search.SORTS))
