@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pricelode.llm import cotrain, idfiles, langid, mixing, multiset, packing, rules, simhash, suffix, warc
+from pricelode.llm import cotrain, idfiles, langid, linededup, mixing, multiset, negatives, packing, rules, simhash, suffix, veccodes, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": warc.op8_warc,
         "op9_packing": packing.op9_packing,
         "op10_token_ids": idfiles.op10_token_ids,
+        "op11_vector_codes": veccodes.op11_vector_codes,
+        "op12_hard_negatives": negatives.op12_hard_negatives,
+        "op13_line_dedup": linededup.op13_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.op1_sql(), "op2_suffix_dedup": suffix.op2_sql(), "op8_warc": warc.op8_sql()}
+    return {
+        "op1_mixing": mixing.op1_sql(),
+        "op2_suffix_dedup": suffix.op2_sql(),
+        "op8_warc": warc.op8_sql(),
+        "op11_vector_codes": veccodes.op11_sql(),
+        "op12_hard_negatives": negatives.op12_sql(),
+        "op13_line_dedup": linededup.op13_sql(),
+    }
