@@ -14,7 +14,7 @@ text is rejected if it has no letter, or if its calibrated probability is below
 rightly predicted calibration texts fall, at most ``HIGHEST``.
 
 Rows whose crc32(doc_id as text) mod 5 is 0, or whose doc_id or lang is null, are never learned from.  Null or
-letterless texts get ``und`` with score 0.  Without any labelled row every text gets ``und``.  Repeated rows and other
+letterless texts get ``und`` with score 0.  Without any labelled row that has a letter every text gets ``und``.  Repeated rows and other
 columns do no harm; lang, source and doc_id are never part of a prediction.
 """
 
@@ -128,11 +128,12 @@ class Model:
 
 def train(rows: list[tuple[str, bool, np.ndarray, np.ndarray]], dim: int = DIM, epochs: int = EPOCHS, seed: int = 7) -> Model:
     """Fit on rows of (language, for calibration, buckets, counts)."""
+    rows = [r for r in rows if len(r[2])]  # others have nothing to learn from
     langs = sorted({r[0] for r in rows})
     if not langs:
         return Model([], np.zeros((BUCKETS, 1), np.float32), np.zeros(1))
     number = {x: i for i, x in enumerate(langs)}
-    fit = [r for r in rows if not r[1] and len(r[2])] or [r for r in rows if len(r[2])]
+    fit = [r for r in rows if not r[1]] or rows
     rng = np.random.default_rng(seed)
     embed = rng.normal(0, 0.1, (BUCKETS, dim)).astype(np.float32)
     layer, bias = rng.normal(0, 0.1, (dim, len(langs))).astype(np.float32), np.zeros(len(langs), np.float32)
@@ -160,7 +161,7 @@ def train(rows: list[tuple[str, bool, np.ndarray, np.ndarray]], dim: int = DIM,
             bias -= rate / len(batch) * grad.sum(axis=0)
             embed[used] = own - rate * 20 / len(batch) * (x.T @ back)
     model = Model(langs, (embed @ layer).astype(np.float32), bias.astype(np.float64))
-    held = [r for r in rows if r[1] and len(r[2])] or fit
+    held = [r for r in rows if r[1]] or fit
     total = np.stack([(model.table[r[2]] * r[3][:, None]).sum(axis=0, dtype=np.float64) for r in held])
     count, truth = np.array([r[3].sum() for r in held]), np.array([number[r[0]] for r in held])
     loss = {}

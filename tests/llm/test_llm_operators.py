@@ -536,3 +536,21 @@ def test_segments_round_trip(kind):
     got, back, size = idfiles.decode_segment(memoryview(data + b"\nrest"))
     assert size == len(data) and (back == ids).all() and got["n"].tolist() == [10, 0, len(ids) - 10] and got["null"].tolist() == [1, 0, 0]
     assert kind != "outliers" or len(data) < len(ids)
+
+
+@pytest.mark.parametrize(
+    "rows",
+    [
+        [(0, "123 456", "en"), (2, "", "de"), (3, "!!!", "en"), (4, "some text", None)],  # labelled rows, none with a letter
+        [(i, None, "en") for i in range(9)], [(i, "", "en") for i in range(9)], [(7, "only one row", "en")] * 8,
+        [(1, "words and words " * 40000, "en"), (2, "wörter und mehr", "de")], [(None, "no id", "en"), (1, "x", "en")],
+    ],
+)
+def test_language_of_odd_tables(spark, rows):
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = langid.predictions(frame, langid.fit(frame), ["doc_id"]).collect()
+    assert len(out) == len(rows) and all(0 <= r["score"] <= 1 for r in out)
+    assert all(r["lang_pred"] in ("und", "en", "de") for r in out)
+    if not any(r[2] and r[1] and re.search("[a-z]", r[1]) for r in rows):
+        assert all(r["lang_pred"] == "und" and r["score"] == 0 for r in out)
+    assert langid.known_languages(frame).count() <= len(rows)
