@@ -1,44 +1,99 @@
-"""Cross-source entity matches: candidates that share a word, no package conflict, then a cascade of evidence."""
+"""Cross-source entity matches: candidates by product code, by name, by brand and name, or by a set-similarity join of
+their words; no conflict of package or code; then a cascade of evidence."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricelode.functions import text as x
+from pricelode.operators.setjoin import Jaccard, similar_pairs
+from pricelode.shared import written
 
 # Thresholds of the two fuzzy methods, and the scores of the exact ones.
 DUAL = (0.60, 0.78)
 WEIGHTED = (0.82, 0.50, 0.75)
-EXACT_NAME = 0.88
+EXACT_CODE, EXACT_NAME = 1.0, 0.88
 BRAND_EXACT, BRAND_INCOMPLETE = 0.99, 0.93
 
 
-def products(part: DataFrame) -> DataFrame:
-    """Distinct (chain, name, package, words) of a product table; package 0 is unknown."""
-    rows = part.select(F.col("p_type").alias("chain"), F.col("p_name").alias("name"), F.lower("p_brand").alias("brand"), (F.col("p_size") % 3).alias("package")).distinct()
+def products(part: DataFrame, code: Column | None = None) -> DataFrame:
+    """Distinct (chain, name, brand, package, code, words) of a product table; package 0 is unknown, code null is none."""
+    own = F.lit(None).cast("string") if code is None else x.gtin14(code)
+    rows = part.select(F.col("p_type").alias("chain"), F.col("p_name").alias("name"), F.lower("p_brand").alias("brand"), (F.col("p_size") % 3).alias("package"), own.alias("code")).distinct()
     return rows.withColumn("normal", x.normalized(F.col("name"))).withColumn("words", x.tokens(F.col("name")))
 
 
-def blocked_pairs(p: DataFrame) -> DataFrame:
-    """Pairs of distinct product names of different chains that share a word, without a package conflict."""
-    own = p.groupBy("chain", "name", "normal", "words", "package").agg(F.min("brand").alias("brand"))
-    side = lambda s: own.select(*(F.col(c).alias(f"{s}_{c}") for c in own.columns), F.explode("words").alias("_w"))
-    pairs = side("left").join(side("right"), "_w").filter("left_chain < right_chain").drop("_w").distinct()
-    free = (F.col("left_package") == 0) | (F.col("right_package") == 0) | (F.col("left_package") == F.col("right_package"))
+def free(left: str = "left", right: str = "right") -> Column:
+    """No conflict of packages, nor of codes where both have one."""
+    package = (F.col(f"{left}_package") == 0) | (F.col(f"{right}_package") == 0) | (F.col(f"{left}_package") == F.col(f"{right}_package"))
+    return package & F.coalesce(F.col(f"{left}_code") == F.col(f"{right}_code"), F.lit(True))
+
+
+def word_pairs(rows: DataFrame, least: float = WEIGHTED[1]) -> DataFrame:
+    """left_normal, right_normal of distinct names that share so many of their words, in both orders."""
+    names = rows.select(F.col("normal").alias("id"), "words").dropDuplicates(["id"])
+    found = similar_pairs(names, None, Jaccard(least)).select(F.col("left_id").alias("left_normal"), F.col("right_id").alias("right_normal"))
+    return found.union(found.select("right_normal", "left_normal"))
+
+
+def _sides(p: DataFrame) -> tuple[DataFrame, DataFrame]:
+    own = written(p.groupBy("chain", "name", "normal", "words", "package", "code").agg(F.min("brand").alias("brand")), "products")
+    side = lambda s: own.select(*(F.col(c).alias(f"{s}_{c}") for c in own.columns))
+    return side("left"), side("right")
+
+
+def _related(arms: list[DataFrame]) -> DataFrame:
+    pairs = arms[0].filter("left_chain < right_chain")
+    for arm in arms[1:]:
+        pairs = pairs.unionByName(arm.filter("left_chain < right_chain"))
     relation = F.when((F.col("left_package") == 0) | (F.col("right_package") == 0), "incomplete").otherwise("exact")
-    return pairs.filter(free).withColumn("relation", relation).withColumn("same_name", F.col("left_normal") == F.col("right_normal"))
+    return pairs.filter(free()).distinct().withColumn("relation", relation).withColumn("same_name", F.col("left_normal") == F.col("right_normal"))
+
+
+def same_names(p: DataFrame) -> DataFrame:
+    """Pairs of products of different chains with one name, without conflict of package or code."""
+    left, right = _sides(p)
+    return _related([left.join(right, F.col("left_normal") == F.col("right_normal"))])
+
+
+def blocked_pairs(p: DataFrame) -> DataFrame:
+    """Pairs of products of different chains with the same code or name, names that differ by the brand in front, or names
+    with enough words in common; each arm is a join on its own key.  No conflict of package or code."""
+    left, right = _sides(p)
+    full = lambda s: F.when(F.col(f"{s}_brand") != "", F.concat_ws(" ", F.col(f"{s}_brand"), F.col(f"{s}_normal")))
+    names = word_pairs(left.select(F.col("left_normal").alias("normal"), F.col("left_words").alias("words")))
+    return _related([
+        left.join(right, F.col("left_code") == F.col("right_code")),
+        left.join(right, F.col("left_normal") == F.col("right_normal")),
+        left.join(right, full("left") == F.col("right_normal")),
+        left.join(right, F.col("left_normal") == full("right")),
+        left.join(names, "left_normal").join(right, "right_normal").select(*left.columns, *right.columns),
+    ])
+
+
+def fuzzy_names(pairs: DataFrame) -> DataFrame:
+    """left_normal, right_normal, jaccard, sequence of distinct name pairs that can still reach a fuzzy method: the ratio
+    itself runs only where the letters in common allow it."""
+    names = pairs.filter("not same_name").select("left_normal", "right_normal", "left_words", "right_words").distinct().withColumn("jaccard", x.jaccard(F.col("left_words"), F.col("right_words"))).filter(F.col("jaccard") >= WEIGHTED[1])
+    most = x.with_letter_bound(names, "left_normal", "right_normal", "most")
+    hope = ((F.col("jaccard") >= DUAL[0]) & (F.col("most") >= DUAL[1])) | ((F.col("most") >= WEIGHTED[2]) & (0.6 * F.col("jaccard") + 0.4 * F.col("most") >= WEIGHTED[0] - 1e-4))
+    return most.filter(hope).select("left_normal", "right_normal", "jaccard", x.sequence_ratio("left_normal", "right_normal").alias("sequence"))
 
 
 def evidence(pairs: DataFrame) -> DataFrame:
-    """Method and score of each pair with evidence; the ratio runs on distinct name pairs only."""
-    names = pairs.select("left_normal", "right_normal", "left_words", "right_words").distinct()
-    names = names.withColumn("jaccard", x.jaccard(F.col("left_words"), F.col("right_words"))).withColumn("sequence", x.sequence_ratio("left_normal", "right_normal"))
-    rows = pairs.join(names.drop("left_words", "right_words"), ["left_normal", "right_normal"])
+    """Method and score of each pair with evidence."""
+    rows = pairs.join(fuzzy_names(pairs), ["left_normal", "right_normal"], "left")
     score = F.round(0.6 * F.col("jaccard") + 0.4 * F.col("sequence"), 4)
+    coded = F.coalesce(F.col("left_code") == F.col("right_code"), F.lit(False))
     prefixed = (F.concat_ws(" ", "left_brand", "left_normal") == F.col("right_normal")) | (F.concat_ws(" ", "right_brand", "right_normal") == F.col("left_normal"))
     dual = (F.col("jaccard") >= DUAL[0]) & (F.col("sequence") >= DUAL[1])
     weighted = (score >= WEIGHTED[0]) & (F.col("jaccard") >= WEIGHTED[1]) & (F.col("sequence") >= WEIGHTED[2])
-    method = F.when(prefixed, "brand_prefix").when(F.col("same_name"), "exact_name").when(dual, "dual_threshold").when(weighted, "weighted_fuzzy")
-    own = F.when(prefixed, F.when(F.col("relation") == "exact", BRAND_EXACT).otherwise(BRAND_INCOMPLETE)).when(F.col("same_name"), EXACT_NAME).otherwise(score)
+    cascade = [
+        (coded, "code_exact", F.lit(EXACT_CODE)), (prefixed, "brand_prefix", F.when(F.col("relation") == "exact", BRAND_EXACT).otherwise(BRAND_INCOMPLETE)),
+        (F.col("same_name"), "exact_name", F.lit(EXACT_NAME)), (dual, "dual_threshold", score), (weighted, "weighted_fuzzy", score),
+    ]
+    method, own = F.lit(None).cast("string"), F.lit(None).cast("double")
+    for holds, name, value in reversed(cascade):
+        method, own = F.when(holds, name).otherwise(method), F.when(holds, value).otherwise(own)
     return rows.select("left_chain", "right_chain", "left_name", "right_name", "relation", method.alias("method"), own.alias("score")).filter("method is not null").distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pricelode.functions import walk
-from pricelode.functions.text import normalized, sequence_ratio, tokens
+from pricelode.functions.text import normalized, sequence_ratio, tokens, with_letter_bound
 from pricelode.operators import gates, ranking
 from pricelode.plans.base import query, table
 from pricelode.shared import shared_path
@@ -165,7 +165,8 @@ def best_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "part").select(F.col("p_name").alias("title")).distinct()
     nations = table(spark, sf_dir, "part").select(F.concat_ws(" ", "p_name", F.lower("p_type")).alias("other")).distinct()
     a, b = names.select("title", F.explode(tokens(F.col("title"), 4)).alias("w")), nations.select("other", F.explode(tokens(F.col("other"), 4)).alias("w"))
-    pairs = a.join(b, "w").select("title", "other").distinct().withColumn("ratio", sequence_ratio(normalized(F.col("title")), normalized(F.col("other")))).filter("ratio >= 0.55")
+    met = a.join(b, "w").select(normalized(F.col("title")).alias("a"), normalized(F.col("other")).alias("b"), "title", "other").distinct()
+    pairs = with_letter_bound(met, "a", "b", "most").filter("most >= 0.55").withColumn("ratio", sequence_ratio("a", "b")).filter("ratio >= 0.55")
     rank = F.row_number().over(Window.partitionBy("title").orderBy(F.desc("ratio"), "other"))
     return pairs.withColumn("rn", rank).filter("rn = 1").select("title", "other", "ratio")
 

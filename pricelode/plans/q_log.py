@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pricelode.operators import log
+from pricelode.operators import importlog, log
 from pricelode.plans.base import query, table
+from pricelode.shared import shared_path
 from pricelode.sources.observations import observations
 from pricelode.streaming import replay
 
@@ -70,3 +71,56 @@ def change_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
 def streamed_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same aggregate from a stream over the table's files, run until all is read."""
     return replay.offers_by_stream(spark, sf_dir)
+
+
+def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The observations before and from 15 January as two batches with string keys."""
+    obs = observations(spark, sf_dir).select(F.col("id").cast("string").alias("source_id"), "chain", "offer", "cents", F.when(F.col("day") < F.lit("2024-01-15").cast("date"), "early").otherwise("late").alias("snapshot"))
+    return obs.filter("snapshot = 'early'"), obs.filter("snapshot = 'late'")
+
+
+@query("""with s as (select case when day < date '2024-01-15' then 'early' else 'late' end as snapshot from obs), c as (select count(*) filter (snapshot = 'early') as e, count(*) filter (snapshot = 'late') as l from s)
+select * from (select 1 as step, 'early' as snapshot, 'committed' as state, e as written, e as visible from c union all select 2, 'early', 'replayed', 0, e from c union all select 3, 'late', 'rejected', 0, e from c
+union all select 4, 'late', 'committed', l, e + l from c union all select 5, 'early', 'rejected', 0, e + l from c union all select 6, 'late', 'rejected', 0, e + l from c)""")
+def atomic_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Imports through the log: the first of each snapshot is written as a whole, a replay writes nothing, and a batch of
+    two snapshots, one with changed prices, or one that lacks rows leaves nothing to see."""
+    path = shared_path(spark, "imports")
+    early, late = snapshots(spark, sf_dir)
+    steps = [
+        (early, "early"), (early.repartition("chain"), "early"), (late.withColumn("snapshot", F.when(F.col("cents") % 2 == 0, "late").otherwise("other")), "late"),
+        (late, "late"), (early.withColumn("cents", F.col("cents") + 1), "early"), (late.filter("cents % 2 = 0"), "late"),
+    ]
+    out = []
+    for number, (batch, snapshot) in enumerate(steps, 1):
+        try:
+            receipt = importlog.import_snapshot(batch, path, snapshot, "source_id", ["chain", "offer", "cents"])
+            state, count = receipt.state, receipt.written
+        except importlog.ImportRejected:
+            state, count = "rejected", 0
+        out.append((number, snapshot, state, count, importlog.committed(spark, path, batch.schema).count()))
+    return spark.createDataFrame(out, "step int, snapshot string, state string, written long, visible long")
+
+
+@query("""select id::varchar as source_id, chain, offer, cents, case when day < date '2024-01-15' then 'early' else 'late' end as snapshot from obs""")
+def imported_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that readers of the log see after both snapshots were imported and one replayed."""
+    path = shared_path(spark, "imports")
+    early, late = snapshots(spark, sf_dir)
+    for batch, name in ((late, "late"), (early, "early"), (late, "late")):
+        importlog.import_snapshot(batch, path, name, "source_id", ["chain", "offer", "cents"])
+    return importlog.committed(spark, path, early.schema)
+
+
+@query("""with c as (select count(*) as n, count(*) filter (day < date '2024-01-15') as e from obs)
+select * from (select 1 as step, 'written' as action, e as rows, 1 as version from c union all select 2, 'reused', e, 1 from c union all select 3, 'written', e, 2 from c union all select 4, 'written', n, 3 from c union all select 5, 'reused', n, 3 from c)""")
+def content_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source's content is written under its fingerprint, and used again while fingerprint, count and window stay."""
+    path = shared_path(spark, "content")
+    obs = observations(spark, sf_dir).select(F.col("id").cast("string").alias("source_id"), "chain", "cents", "day")
+    early = obs.filter("day < date '2024-01-15'")
+    out = []
+    for number, (batch, window) in enumerate([(early, "w1"), (early.repartition("chain"), "w1"), (early, "w2"), (obs, "w2"), (obs.orderBy("cents"), "w2")], 1):
+        receipt = importlog.import_content(batch, path, "observations", window, "source_id", ["chain", "cents"])
+        out.append((number, "reused" if receipt.state == "reused" else "written", receipt.rows, receipt.version))
+    return spark.createDataFrame(out, "step int, action string, rows long, version int")

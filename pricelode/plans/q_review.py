@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pricelode.functions.text import sequence_ratio, tokens
+from pricelode.functions.text import sequence_ratio, tokens, with_letter_bound
 from pricelode.operators import diff, gates, geometry, identity
+from pricelode.operators.setjoin import Overlap, similar_pairs
 from pricelode.plans.base import query, table
 from pricelode.plans.q_geometry import BOXES_SQL, boxes
 from pricelode.sources.observations import observations
@@ -50,7 +51,8 @@ def unrepresented_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = part.filter("p_size > 25").select(F.concat_ws(" ", "p_name", F.lower("p_type")).alias("title")).distinct()
     b = part.filter("p_size <= 25").select(F.col("p_name").alias("other")).distinct()
     words = lambda df, c: df.select(c, F.explode(tokens(F.col(c), 4)).alias("w"))
-    like = words(a, "title").join(words(b, "other"), "w").select("title", "other").distinct().withColumn("r", sequence_ratio("title", "other")).filter("r >= 0.82")
+    met = words(a, "title").join(words(b, "other"), "w").select("title", "other").distinct()
+    like = with_letter_bound(met, "title", "other", "most").filter("most >= 0.82").withColumn("r", sequence_ratio("title", "other")).filter("r >= 0.82")
     return a.join(like.select("title").distinct(), "title", "left_anti")
 
 
@@ -129,9 +131,10 @@ def pairing_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlap of words and metadata as a score; 5.5 accepts."""
     part = table(spark, sf_dir, "part")
     names = part.select("p_name").distinct().select("p_name", F.split("p_name", " ").alias("b"))
-    # names that accept each other share two words; names are paired once and parts come back by their name
-    words = names.select("p_name", F.explode(F.array_distinct("b")).alias("w"))
-    met = words.join(words.withColumnRenamed("p_name", "own"), "w").groupBy("own", "p_name").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
+    # names that accept each other share two words, which are the key; parts come back by their name
+    found = similar_pairs(names.select(F.col("p_name").alias("id"), F.col("b").alias("words")), None, Overlap(2))
+    self = names.filter(F.size(F.array_distinct("b")) >= 2).select(F.col("p_name").alias("own"), "p_name")
+    met = found.select(F.col("left_id").alias("own"), F.col("right_id").alias("p_name")).union(found.select("right_id", "left_id")).union(self)
     a = part.select("p_partkey", F.col("p_name").alias("own"), F.split("p_name", " ").alias("a"), "p_type")
     met = a.join(met, "own").withColumn("b", F.split("p_name", " "))
     common = F.size(F.array_intersect("a", "b"))

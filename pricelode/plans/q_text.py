@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pricelode.functions import text as x
-from pricelode.operators import matching
+from pricelode.operators import matching, setjoin
 from pricelode.plans.base import query, table
 from pricelode.sources.observations import observations
 
@@ -31,12 +31,11 @@ b as (select item_id, list_distinct(list_filter(string_split({NORM.format('text'
 t as (select doc_id, item_id, count(*) as common from (select doc_id, unnest(a) as w from d) join (select item_id, unnest(b) as w from b) using (w) group by all)
 select doc_id, item_id, round(common / (len(a) + len(b) - common)::double, 4) as jaccard from t join d using (doc_id) join b using (item_id) where common >= 12""")
 def token_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token overlap of documents and benchmark items, joined on shared words rather than in all pairs."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", x.tokens(F.col("text")).alias("a"))
-    items = table(spark, sf_dir, "benchmark").select("item_id", x.tokens(F.col("text")).alias("b"))
-    common = docs.select("doc_id", F.explode("a").alias("w")).join(items.select("item_id", F.explode("b").alias("w")), "w").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("common"))
-    both = common.filter("common >= 12").join(docs, "doc_id").join(items, "item_id")
-    return both.select("doc_id", "item_id", F.round(F.col("common") / (F.size("a") + F.size("b") - F.col("common")), 4).alias("jaccard"))
+    """Token overlap of documents and benchmark items; an item is found by its rarest words."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), x.tokens(F.col("text")).alias("words"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), x.tokens(F.col("text")).alias("words"))
+    found = setjoin.containing(docs, items, 12)
+    return found.select(F.col("left_id").alias("doc_id"), F.col("right_id").alias("item_id"), F.round("jaccard", 4).alias("jaccard"))
 
 
 @query(f"""with t as (select id, {PACKAGE_TEXT} as raw from (select id, (id % 9 + 1)::varchar as n from obs)),
@@ -111,10 +110,42 @@ t as (select chain, name, package, unnest(string_split(name, ' ')) as w from p)
 select distinct a.chain as left_chain, b.chain as right_chain, a.name as left_name, b.name as right_name, case when a.package = 0 or b.package = 0 then 'incomplete' else 'exact' end as relation,
   a.name = b.name as same_name from t a join t b using (w) where a.chain < b.chain and (a.package = 0 or b.package = 0 or a.package = b.package) and a.name = b.name""")
 def exact_name_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.blocked_pairs(matching.products(table(spark, sf_dir, "part"))).filter("same_name").select("left_chain", "right_chain", "left_name", "right_name", "relation", "same_name").distinct()
+    return matching.same_names(matching.products(table(spark, sf_dir, "part"))).select("left_chain", "right_chain", "left_name", "right_name", "relation", "same_name").distinct()
+
+
+CODE = "(case when p_partkey % 4 = 0 then lpad(cast(400000000000 + p_partkey % 500 * 7919 as string), 12, '0') end)"
+
+
+def coded_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts with a product code on every fourth, some codes on several parts."""
+    body = table(spark, sf_dir, "part").withColumn("body", F.expr(CODE))
+    digits = F.split(F.reverse("body"), "")
+    check = (10 - F.aggregate(F.transform(digits, lambda d, i: d.cast("int") * F.when(i % 2 == 0, 3).otherwise(1)), F.lit(0), lambda s, v: s + v) % 10) % 10
+    return matching.products(body, F.concat("body", check.cast("string")))
 
 
 @query()
 def fuzzy_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-source match evidence with the sequence ratio, which SQL does not have."""
-    return matching.evidence(matching.blocked_pairs(matching.products(table(spark, sf_dir, "part"))))
+    return matching.evidence(matching.blocked_pairs(coded_parts(spark, sf_dir)))
+
+
+@query("""with p as (select distinct p_type as chain, p_name as name, p_size % 3 as package, case when p_partkey % 4 = 0 then p_partkey % 500 end as code from part)
+select distinct a.chain as left_chain, b.chain as right_chain, a.name as left_name, b.name as right_name, case when a.package = 0 or b.package = 0 then 'incomplete' else 'exact' end as relation
+from p a join p b using (code) where a.chain < b.chain and (a.package = 0 or b.package = 0 or a.package = b.package)""")
+def code_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-source matches by an equal product code, which outranks all other evidence."""
+    found = matching.evidence(matching.blocked_pairs(coded_parts(spark, sf_dir))).filter("method = 'code_exact'")
+    return found.select("left_chain", "right_chain", "left_name", "right_name", "relation")
+
+
+@query(f"""with w as materialized (select page_id as id, list_distinct(list_filter(string_split({NORM.format("regexp_replace(html, '<[^>]*>', ' ', 'g')")}, ' '), lambda w: length(w) >= 3)) as a from pages),
+s as (select array_to_string(list_sort(a), ' ') as k, any_value(a) as a, min(id) as id from w group by 1 having k <> ''),
+c as (select a.id as i, b.id as j, count(*) as shared from (select id, unnest(a) as x from s) a join (select id, unnest(a) as x from s) b on a.x = b.x and a.id < b.id group by all)
+select i as left_id, j as right_id, round(shared / (len(a.a) + len(b.a) - shared)::double, 6) as jaccard from c join s a on a.id = i join s b on b.id = j where shared * 10 >= (len(a.a) + len(b.a) - shared) * 8""")
+def similar_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose words agree to 0.8 or more, each set of words once, named by its least page."""
+    bare = F.regexp_replace("html", "<[^>]*>", " ")
+    words = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.array_sort(x.tokens(bare)).alias("words"))
+    sets = words.groupBy("words").agg(F.min("id").alias("id"))
+    return setjoin.similar_pairs(sets, None, setjoin.Jaccard(0.8)).select("left_id", "right_id", F.round("jaccard", 6).alias("jaccard"))
