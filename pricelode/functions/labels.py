@@ -5,12 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pricelode.functions.text import AMOUNT, normalized
+from pricelode.functions.text import normalized
 
-# Words that a label does not end with, words of promotion that are no product, and kinds of price context.
+# Words that a label does not end with, and words of promotion that are no product.
 GLUE_WORDS = ["und", "oder", "mit", "aus", "von", "für", "je", "in", "im"]
 PROMO_WORDS = ["aktion", "rabatt", "gutschein", "payback", "gewinnspiel", "newsletter", "coupon"]
-CONTEXTS = [("shipping", "versand|lieferung"), ("installment", "rate|monat"), ("unit", "1 kg|1 l|100 g|100 ml"), ("reference", "uvp|statt|vorher"), ("deposit", "pfand"), ("package", "packung|beutel|dose")]
+# Whole words that tell what a price in a line is, in the order in which they are tried.
+CONTEXT_WORDS = {
+    "shipping": ["versand", "versandkosten", "versandkostenpauschale", "porto", "lieferkosten", "lieferung"],
+    "installment": ["ratenzahlung", "monat", "laufzeit", "gesamtpreis"],
+    "unit": ["grundpreis"],
+    "reference": ["normalpreis", "uvp", "statt", "vorher", "regulär"],
+}
+# Units of a base price and of an amount in a package, words in front of a package's amount.
+BASE_UNITS, SMALL_BASE_UNITS = ["kg", "l", "ltr", "liter"], ["g", "ml"]
+AMOUNT_UNITS = ["kg", "g", "l", "ltr", "liter", "ml", "cl"]
+PACKAGING_WORDS = ["gebinde", "standardpackung", "packung"]
 WEEKDAYS = ["montag", "dienstag", "mittwoch", "donnerstag", "freitag", "samstag", "sonntag"]
 
 
@@ -75,11 +85,46 @@ def clean_label(c: Column) -> Column:
     return F.trim(F.regexp_replace(bare, rf"(?i) ({'|'.join(GLUE_WORDS)})$", ""))
 
 
-def price_context(c: Column) -> Column:
-    """The first kind of context whose words are in a line, else sale."""
-    low, out = F.lower(c), F.lit("sale")
-    for name, words in reversed(CONTEXTS):
-        out = F.when(low.rlike(words), name).otherwise(out)
+def _whole(*patterns: str) -> str:
+    """A pattern for any of these with no letter, digit or underline on either side."""
+    return rf"(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(patterns)})(?![\p{{L}}\p{{N}}_])"
+
+
+def context_patterns() -> dict[str, str]:
+    base = rf"1\s*(?:{'|'.join(BASE_UNITS)})"
+    small = rf"100\s*(?:{'|'.join(SMALL_BASE_UNITS)})"
+    out = {name: _whole(*words) for name, words in CONTEXT_WORDS.items()}
+    out["shipping"] += r"|(?<![\p{L}\p{N}_])zzgl\.?\s+liefer(?![\p{L}\p{N}_])"
+    out["unit"] += rf"|{_whole(base, small)}|(?<![\p{{L}}\p{{N}}_])(?:kg|l)\s*="
+    return out
+
+
+def same_amount(line: Column, pattern: str, token: Column) -> Column:
+    """Whether one of the numbers that the pattern's first group finds in a line is the token's number."""
+    number = lambda x: F.replace(x, F.lit(","), F.lit(".")).try_cast("decimal(12,4)")
+    own = number(F.regexp_replace(token, r"[€\s]|eur", ""))
+    return F.exists(F.regexp_extract_all(line, F.lit(pattern), F.lit(1)), lambda x: F.coalesce(number(x) == own, F.lit(False)))
+
+
+def price_context(line: Column, token: Column | None = None, nearby: Column | None = None) -> Column:
+    """What a price is by the words of its line and of the text ``nearby``: shipping, installment, unit, reference, else
+    sale.  Of a sale the exact number ``token`` is looked at: it is a ``deposit`` if it stands before Pfand, a ``package`` amount if it
+    stands before a unit, after a count or after a word for packaging, unless the line names a currency."""
+    low = F.lower(F.coalesce(line, F.lit("")))
+    whole = low if nearby is None else F.concat_ws(" ", low, F.lower(nearby))
+    out = F.lit("sale")
+    if token is not None:
+        t = F.lower(token)
+        number = r"(\d{1,4}(?:[,.]\d{1,3})?)"
+        units = rf"(?<!\d){number}\s*(?:{'|'.join(AMOUNT_UNITS)})(?![\p{{L}}\p{{N}}_])"
+        times = rf"(?<![\p{{L}}\p{{N}}_])\d{{1,3}}\s*[x×]\s*{number}(?![\p{{L}}\p{{N}}_])"
+        packed = rf"(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(PACKAGING_WORDS)})\s*:?\s*{number}(?![\p{{L}}\p{{N}}_])"
+        deposit = r"(\d{1,4}(?:[,.]\d{1,2})?)\s*(?:€|eur)?\s*pfand(?![\p{L}\p{N}_])"
+        package_amount = same_amount(low, units, t) | same_amount(low, times, t) | same_amount(low, packed, t)
+        currency = low.rlike(rf"€|{_whole('eur')}")
+        out = F.when(same_amount(low, deposit, t), "deposit").when(package_amount & ~currency, "package").otherwise(out)
+    for name, pattern in reversed(context_patterns().items()):
+        out = F.when(whole.rlike(pattern), name).otherwise(out)
     return out
 
 
@@ -101,12 +146,6 @@ def bundle(c: Column) -> Column:
     return F.when(c.rlike(p), F.struct(n[0].alias("count"), (n[1] * 100 + n[2]).cast("long").alias("cents")))
 
 
-def image_package(c: Column) -> Column:
-    """The last amount with a unit in an image's file name, as written."""
-    name = F.regexp_extract(F.lower(F.url_decode(c)), r"([^/]*)\.[a-z]+$", 1)
-    return F.nullif(F.element_at(F.concat(F.array(F.lit("")), F.regexp_extract_all(name, F.lit(AMOUNT), 0)), -1), F.lit(""))
-
-
 def only_one(values: Column) -> Column:
     """The one distinct value of an array; null for none or several."""
     known = F.array_distinct(F.filter(values, lambda v: v.isNotNull()))

@@ -134,18 +134,56 @@ def assign(costs: DataFrame, page: str, row: str, col: str, cost: str) -> DataFr
     return costs.groupBy(page).applyInPandas(run, f"{page} {kind[page]}, {row} {kind[row]}, {col} {kind[col]}, {cost} double")
 
 
-def greedy_distinct(boxes: DataFrame, least: float = 0.8) -> DataFrame:
-    """Boxes in order of rank that overlap no earlier kept one of their page by ``least`` or more (greedy, so by page)."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame, kept = frame.sort_values(["rank", "id"]), []
-        for r in frame.itertuples():
-            def alike(k: tuple, r: tuple = r) -> bool:
-                w, h = min(r.x1, k.x1) - max(r.x0, k.x0), min(r.y1, k.y1) - max(r.y0, k.y0)
-                both = max(w, 0) * max(h, 0)
-                return both / ((r.x1 - r.x0) * (r.y1 - r.y0) + (k.x1 - k.x0) * (k.y1 - k.y0) - both) >= least
-            if not any(map(alike, kept)):
-                kept.append(r)
-        return pd.DataFrame([(r.page, r.id) for r in kept], columns=["page", "id"])
-
-    return boxes.groupBy("page").applyInPandas(run, f"page {boxes.schema['page'].dataType.simpleString()}, id {boxes.schema['id'].dataType.simpleString()}")
+def overlapping_pairs(boxes: DataFrame, least: float, same: tuple[str, ...] = ("page",)) -> DataFrame:
+    """Pairs of boxes that agree in ``same`` and whose overlap over union is ``least`` (above 0) or more: a_* and b_*, a_id < b_id.
+
+    Such boxes are alike in width and height by the factor ``least``, and their centres are near: they meet in a cell of a
+    grid whose step follows their size, not in all pairs of a page.  Boxes without an area overlap nothing."""
+    base = 1.01 / least
+    real = boxes.filter((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")))
+    number = lambda size: F.floor(F.log(size) / F.log(F.lit(base))).cast("int")
+    step = lambda k: F.pow(F.lit(base), k + 1)
+    cell = lambda at, k: F.floor(at / step(k)).cast("long")
+    axes = [("x", "x0", "x1"), ("y", "y0", "y1")]
+    a, b = prefixed(real, "a_"), prefixed(real, "b_")
+    for axis, lo, hi in axes:
+        size, mid = F.col(f"a_{hi}") - F.col(f"a_{lo}"), (F.col(f"a_{hi}") + F.col(f"a_{lo}")) / 2
+        a = a.withColumn(f"_k{axis}", number(size)).withColumn(f"_c{axis}", cell(mid, F.col(f"_k{axis}")))
+        size, mid = F.col(f"b_{hi}") - F.col(f"b_{lo}"), (F.col(f"b_{hi}") + F.col(f"b_{lo}")) / 2
+        b = b.withColumn(f"_k{axis}", F.explode(F.sequence(number(size) - 1, number(size) + 1)))
+        far = step(F.col(f"_k{axis}")) * ((1 - least) * base + 1e-6)
+        b = b.withColumn(f"_c{axis}", F.explode(F.sequence(cell(mid - far, F.col(f"_k{axis}")), cell(mid + far, F.col(f"_k{axis}")))))
+    met = a.join(b, ["_kx", "_cx", "_ky", "_cy"]).filter("a_id < b_id")
+    for c in same:
+        met = met.filter(F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")))
+    return met.filter(iou("a_", "b_") >= least).drop("_kx", "_cx", "_ky", "_cy")
+
+
+def first_independent(edges: DataFrame) -> DataFrame:
+    """id of the nodes that a greedy walk leaves out, where ``edges(first, second)`` point from the earlier to the later node:
+    a node is left out if an earlier one next to it is kept.
+
+    All nodes whose earlier neighbours are decided are decided at once, so a round settles many at every place: the number of
+    rounds is the length of the longest chain of decisions that depend on each other, not the number of nodes."""
+    edges = written(edges.select("first", "second"), "edges")
+    gone = []
+    while not edges.isEmpty():
+        heads = edges.select("first").distinct().join(edges.select(F.col("second").alias("first")).distinct(), "first", "left_anti")
+        out = written(edges.join(heads, "first").select(F.col("second").alias("id")).distinct(), "gone")
+        gone.append(out)
+        # what a kept node points at is out; what is out decides nothing; kept nodes have no open edges left
+        edges = written(edges.join(out.withColumnRenamed("id", "first"), "first", "left_anti").join(out.withColumnRenamed("id", "second"), "second", "left_anti"), "edges")
+    every = edges.select(F.col("first").alias("id"))
+    for out in gone:
+        every = every.union(out)
+    return every
+
+
+def greedy_distinct(boxes: DataFrame, least: float = 0.8, same: tuple[str, ...] = ("page",)) -> DataFrame:
+    """page and id of boxes that, in order of rank and id, overlap no earlier kept one that agrees in ``same`` by ``least`` or
+    more.  A page is not walked box by box: it is the lexicographically first independent set of the graph of overlaps."""
+    own = boxes.select("page", "id", "rank", "x0", "y0", "x1", "y1", *(c for c in same if c != "page"))
+    met = overlapping_pairs(own, least, same)
+    turned = F.col("a_rank") <= F.col("b_rank")  # a_id < b_id
+    edges = met.select(F.when(turned, F.col("a_id")).otherwise(F.col("b_id")).alias("first"), F.when(turned, F.col("b_id")).otherwise(F.col("a_id")).alias("second"))
+    return boxes.select("page", "id").join(first_independent(edges), "id", "left_anti").select("page", "id")

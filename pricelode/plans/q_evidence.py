@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pricelode.functions import walk
-from pricelode.functions.text import normalized, sequence_ratio, tokens, with_letter_bound
-from pricelode.operators import gates, ranking
+from pricelode.functions.text import CODE_KEYS, normalized, sequence_ratio, tokens, with_letter_bound
+from pricelode.operators import gates, ranking, scan
 from pricelode.plans.base import query, table
 from pricelode.shared import shared_path
 from pricelode.sources.observations import observations
@@ -29,14 +29,21 @@ def embedded_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("page", "object_id").agg(F.max("cents").alias("cents"), F.count(F.lit(1)).alias("times"))
 
 
-@query()
+WALKED_SQL = "select event_id, t.key as name, replace(t.fullkey, '\"', '') as path, t.type, t.atom ->> '$' as value, t.id as spot from {}, json_tree(body::json) t where t.fullkey <> '$' and not ends_with(t.fullkey, ']')"
+
+
+@query(f"""with j as (select event_id, '{{"a":[' || props || ',{{"b":{{"EAN-13":"4006381333931"}}}}]}}' as body from events), w as ({WALKED_SQL.format("j")})
+select event_id, (row_number() over (partition by event_id order by spot) - 1)::int as place, path, name, case when type not in ('OBJECT', 'ARRAY', 'NULL') then value end as value from w""")
 def json_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every key at any depth of nested JSON made of the events."""
     rows = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit('{"a":['), F.col("props"), F.lit(',{"b":{"EAN-13":"4006381333931"}}]}')).alias("body"))
     return walk.walked(rows, "event_id", "body")
 
 
-@query("select event_id, '04006381333931' as gtin, '$.a[1].b.EAN-13' as path from events where event_id % 3 = 0")
+@query(f"""with j as (select event_id, '{{"ean":"123","a":[' || props || ',{{"b":{{"EAN-13":"' || case when event_id % 3 = 0 then '4006381333931' else '4006381333932' end || '"}}}}]}}' as body from events), w as ({WALKED_SQL.format("j")}),
+c as (select *, reverse(value) as r from w where regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') in {tuple(CODE_KEYS)} and regexp_full_match(value, '[0-9]{{8}}|[0-9]{{12,14}}')),
+g as (select *, (10 - list_sum(list_transform(range(2, len(r) + 1), lambda i: r[i]::int * case when i % 2 = 0 then 3 else 1 end)) % 10) % 10 = r[1]::int as good from c)
+select event_id, lpad(arg_min(value, spot), 14, '0') as gtin, arg_min(path, spot) as path from g where good group by event_id""")
 def explicit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.when(F.col("event_id") % 3 == 0, "4006381333931").otherwise("4006381333932")
     rows = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit('{"ean":"123","a":['), F.col("props"), F.lit(',{"b":{"EAN-13":"'), code, F.lit('"}}]}')).alias("body"))
@@ -188,9 +195,8 @@ def split_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 r as (select *, sum(fresh) over (partition by page order by y, id) as line from g) select page, line::bigint as line, min(y) as top, max(y) as bottom, count(*) as words, round(avg(conf), 6) as confidence, string_agg(id::varchar, ' ' order by y, id) as joined from r group by page, line""")
 def line_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words joined to lines by a vertical gap of 2.6 at most: bounds, mean confidence, words in order."""
-    w = Window.partitionBy("page").orderBy("y", "id")
     rows = observations(spark, sf_dir).select("id", (F.col("id") % 50).alias("page"), (F.col("id") * 53 % 1000).cast("double").alias("y"), F.col("cents").alias("conf"))
-    rows = rows.withColumn("fresh", F.coalesce(F.col("y") - F.lag("y").over(w) > 2.6, F.lit(True)).cast("int")).withColumn("line", F.sum("fresh").over(w))
+    rows = scan.segments(rows, ["page"], ["y", "id"], ["y"], lambda prev: F.col("y") - prev["y"] > 2.6, "line")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "id"))), lambda s: s["id"].cast("string")), " ")
     return rows.groupBy("page", "line").agg(F.min("y").alias("top"), F.max("y").alias("bottom"), F.count(F.lit(1)).alias("words"), F.round(F.avg("conf"), 6).alias("confidence"), joined.alias("joined"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pricelode.operators import geometry as g
+from pricelode.operators import scan
 from pricelode.plans.base import query, table
 
 #: x0, y0 from components 1 and 2, size from 3 and 4, on a grid of whole numbers so that both engines agree.
@@ -117,7 +118,48 @@ def page_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.assign(pairs.select(F.col("a_page").alias("page"), F.col("a_id").alias("price"), F.col("b_id").alias("title"), cost.alias("cost")), "page", "price", "title", "cost")
 
 
-@query()
+@query(f"""with recursive {BOXES_SQL}, n as materialized (select *, (x1 - x0) * (y1 - y0) as area, row_number() over (partition by page order by (x1 - x0) * (y1 - y0) desc, id) as place from boxes),
+r as (select page, place, [{{'id': id, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}}] as kept from n where place = 1
+union all select n.page, n.place, case when len(list_filter(kept, lambda k: greatest(least(n.x1, k.x1) - greatest(n.x0, k.x0), 0) * greatest(least(n.y1, k.y1) - greatest(n.y0, k.y0), 0) / (n.area + (k.x1 - k.x0) * (k.y1 - k.y0) - greatest(least(n.x1, k.x1) - greatest(n.x0, k.x0), 0) * greatest(least(n.y1, k.y1) - greatest(n.y0, k.y0), 0)) >= 0.5)) > 0 then kept
+  else list_append(kept, {{'id': n.id, 'x0': n.x0, 'y0': n.y0, 'x1': n.x1, 'y1': n.y1}}) end from r join n on n.page = r.page and n.place = r.place + 1)
+select page, unnest(list_transform(arg_max(kept, place), lambda k: k.id)) as id from r group by page""")
 def distinct_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy spatial de-duplication by overlap, in order of size."""
     return g.greedy_distinct(boxes(spark, sf_dir).withColumn("rank", -g.area()), 0.5)
+
+
+@query(f"""with {BOXES_SQL}, c as (select *, (y0 + y1) / 2 as cy from boxes), r as (select *, sum(fresh) over (partition by page order by cy, id) as row from (select *, case when cy - lag(cy) over (partition by page order by cy, id) <= 2.6 then 0 else 1 end as fresh from c)),
+l as (select * exclude (fresh), case when x0 - max(x1) over (partition by page, row order by x0, id rows between unbounded preceding and 1 preceding) <= 8 then 0 else 1 end as fresh from r), n as (select *, sum(fresh) over (partition by page, row order by x0, id) as line from l)
+select page, row::bigint as row, line::bigint as line, min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1, count(*) as words, median(y1 - y0) as height, string_agg(id::varchar, ' ' order by x0, id) as joined from n group by page, row, line""")
+def word_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words joined to lines by gaps downwards and then across: bounds, median height, words from left to right."""
+    words = scan.text_lines(boxes(spark, sf_dir), "page")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "id"))), lambda s: s["id"].cast("string")), " ")
+    bounds = [fold(c).alias(c) for c, fold in (("x0", F.min), ("y0", F.min), ("x1", F.max), ("y1", F.max))]
+    return words.groupBy("page", "row", "line").agg(*bounds, F.count(F.lit(1)).alias("words"), F.median(F.col("y1") - F.col("y0")).alias("height"), joined.alias("joined"))
+
+
+@query(f"""with {BOXES_SQL}, g as (select page, 'x' as axis, max(x1) over w as start, x0 as stop from boxes window w as (partition by page order by x0, id rows between unbounded preceding and 1 preceding) union all select page, 'y', max(y1) over w, y0 from boxes window w as (partition by page order by y0, id rows between unbounded preceding and 1 preceding)),
+c as (select page, axis, (start + stop) / 2 as position from g where stop > start qualify row_number() over (partition by page order by start - stop, axis, start) = 1),
+e as (select c.*, b.x0, b.y0, b.x1, b.y1, greatest(0.5, 0.02 * case when axis = 'x' then max(x1) over (partition by page) - min(x0) over (partition by page) else max(y1) over (partition by page) - min(y0) over (partition by page) end) as t from c join boxes b using (page)),
+m as (select page, axis, position, t, case when axis = 'x' then (x0 + x1) / 2 else (y0 + y1) / 2 end as mid from e)
+select page, axis, position, count(*) filter (mid < position - t) as before, count(*) filter (abs(mid - position) <= t) as near, count(*) filter (mid > position + t) as after from m group by all""")
+def widest_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The widest gap of each page that no box covers, and the boxes on both sides of it."""
+    return scan.around_cut(boxes(spark, sf_dir), ["page"]).withColumnRenamed("at", "position")
+
+
+def _regions_sql(least: float, rounds: int = 12) -> str:
+    """Cuts on both axes in turn, so often that none is left."""
+    text = f"with {BOXES_SQL}, r0 as (select *, '' as r from boxes)"
+    for i in range(rounds):
+        low, high = ("x0", "x1") if i % 2 == 0 else ("y0", "y1")
+        text += f""", g{i} as (select *, case when {low} - max({high}) over (partition by page, r order by {low}, id rows between unbounded preceding and 1 preceding) >= {least} then 1 else 0 end as cut from r{i}),
+r{i + 1} as materialized (select * exclude (cut, r), r || '.' || sum(cut) over (partition by page, r order by {low}, id) as r from g{i})"""
+    return f"{text} select page, id, min(id) over (partition by page, r) as region from r{rounds}"
+
+
+@query(_regions_sql(12.0))
+def page_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions of each page by cuts at its gaps on both axes, again and again."""
+    return scan.regions(boxes(spark, sf_dir).select("page", "id", "x0", "y0", "x1", "y1"), "page", 12.0).select("page", "id", "region")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pricelode.functions import labels as b
+from pricelode.functions import text as x
 from pricelode.operators import ranking
 from pricelode.plans.base import query, table
 from pricelode.shared import written
@@ -48,30 +49,66 @@ def brand_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", b.brand(F.col("brand")).alias("brand"), b.without_brand(F.col("full"), F.col("brand")).alias("rest"), b.brandlike(F.col("shown")).alias("brandlike"), b.clean_label(F.col("label")).alias("label"))
 
 
-@query("""select id, case id % 3 when 0 then (id % 90 + 10) || 'g' when 1 then '1.5 l' end as package, case when id % 4 in (0, 1) then '250 g' end as described from obs""")
-def image_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packages from image file names, and from a description where it names only one."""
-    k, n = F.col("id") % 3, (F.col("id") % 90 + 10).cast("string")
-    path = F.when(k == 0, F.concat(F.lit("https://img.example/a/500ml-item_2_"), n, F.lit("g.png"))).when(k == 1, "https://img.example/a/item%201,5%20l.jpg").otherwise("https://img.example/250g/item.png")
-    said = F.when(F.col("id") % 4 == 0, "je 250 g").when(F.col("id") % 4 == 1, "250 g, auch als 250 g").when(F.col("id") % 4 == 2, "250 g oder 500 g").otherwise("lose")
-    rows = observations(spark, sf_dir).select("id", F.regexp_replace(path, r"(\d),(\d)", "$1.$2").alias("path"), said.alias("said"))
-    return rows.select("id", b.image_package(F.col("path")).alias("package"), b.only_one(F.regexp_extract_all("said", F.lit(b.AMOUNT), 0)).alias("described"))
+AMOUNTS = """case id % 7 when 0 then '_70Prz_' || n || 'g_' || id when 1 then '_3_7_' || (id % 8 + 2) || 'x' || n || 'g_' || id || '003' when 2 then '_' || (id % 30 + 2) || 'x0_' || n || 'l' when 3 then '-' || n || '-ML' when 4 then '_Nr_' || n
+  when 5 then '_' || n || 'g_' || (n::int + 5) || 'cl.v2' else '_x' || n || 'gr' end"""
+SAID = """case id % 6 when 0 then 'je ' || n || ' g (1 kg = 9,90)' when 1 then n || ' g, auch als <b>' || n || '–g</b>' when 2 then n || ' g oder ' || (n::int + 1) || ' g' when 3 then 'lose'
+  when 4 then '6 x 0,' || n || ' l Flasche, 1 l = 1,11' else '2x' || n || ' ml und ' || n || ' g' end"""
+FACTORS = "{0} * case {1} when 'kg' then 1000 when 'l' then 1000 when 'cl' then 10 when 'mg' then 0.001 else 1 end"
 
 
-@query("""select id, case id % 7 when 0 then 'shipping' when 1 then 'installment' when 2 then 'unit' when 3 then 'reference' when 4 then 'deposit' when 5 then 'package' else 'sale' end as context,
-  case when id % 4 in (0, 1) then cents end as money, case when id % 6 < 2 then valid_from end as day, case when id % 2 = 0 then 2 + id % 5 end::int as pieces, case when id % 2 = 0 then cents % 100000 end as bundle_cents from obs""")
+@query(f"""with t as (select id, (id % 90 + 10)::varchar as n, cents from obs), u as (select id, lower('Item_' || cents || {AMOUNTS}) as stem, {SAID} as said from t),
+s as (select id, stem, regexp_extract(stem, '(?:^|[^a-z0-9])([0-9]{{1,3}})x([0-9]+(?:[.,_][0-9]+)?)[-_]?(kg|mg|ml|cl|g|l)(?:[_.-]|$)', ['n', 'q', 'u']) as m, regexp_extract('_' || stem, '^.*[^a-z0-9]([0-9]+)[-_]?(kg|mg|ml|cl|g|l)(?:[_.-]|$)', ['q', 'u']) as x,
+  regexp_replace(regexp_replace(regexp_replace(lower(said), '<[^>]+>', ' ', 'g'), '\\([^)]*1 *(kg|l) *=[^)]*\\)', ' ', 'g'), '[,;]? *1 *(kg|l) *=.*$', ' ', 'g') as d from u),
+a as (select *, list_distinct(regexp_extract_all(d, '[0-9]+ ?x ?[0-9,.]+ ?[-–—]? ?(?:kg|mg|ml|cl|g|l)\\b')) as multi, list_distinct(list_transform(regexp_extract_all(d, '[0-9][0-9,.]* ?[-–—]? ?(?:kg|mg|ml|cl|g|l)\\b'), lambda y: regexp_replace(y, ' ?[-–—]? ?([a-z])', '\\1'))) as single from s),
+p as (select id, case when m.n <> '' then round({FACTORS.format("try_cast(replace(replace(m.q, '_', '.'), ',', '.') as double)", "m.u")}, 4) when x.q <> '' then round({FACTORS.format("try_cast(x.q as double)", "x.u")}, 4) end as quantity,
+  case when m.n <> '' then case when m.u in ('kg', 'g', 'mg') then 'g' else 'ml' end when x.q <> '' then case when x.u in ('kg', 'g', 'mg') then 'g' else 'ml' end end as unit, case when m.n <> '' then try_cast(m.n as int) when x.q <> '' then 1 end as pack,
+  case when len(multi) = 1 then multi[1] when len(multi) = 0 and len(single) = 1 then single[1] end as told from a),
+q as (select *, regexp_extract(told, '^(?:([0-9]+) ?x ?)?([0-9][0-9,.]*) ?[-–—]? ?(kg|mg|ml|cl|g|l)$', ['n', 'q', 'u']) as w from p)
+select id, quantity, unit, pack, case when told is not null then round({FACTORS.format("try_cast(replace(w.q, ',', '.') as double)", "w.u")}, 4) end as said_quantity, case when told is not null then case when w.u in ('kg', 'g', 'mg') then 'g' else 'ml' end end as said_unit,
+  case when told is not null then coalesce(try_cast(w.n as int), 1) end as said_pack from q""")
+def image_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packages from image file names, and from a description where all it says is the same."""
+    as_spark = lambda e: F.expr(e.replace("n::int", "cast(n as int)"))
+    rows = observations(spark, sf_dir).select("id", "cents", (F.col("id") % 90 + 10).cast("string").alias("n"))
+    url = F.concat(F.lit("https://img.example/250g/a%20b/Item_"), F.col("cents").cast("string"), as_spark(AMOUNTS), F.lit(".png?w=500ml"))
+    rows = rows.select("id", x.image_package(url).alias("p"), x.described_package(as_spark(SAID)).alias("d"))
+    return rows.select("id", "p.quantity", "p.unit", "p.pack", F.col("d.quantity").alias("said_quantity"), F.col("d.unit").alias("said_unit"), F.col("d.pack").alias("said_pack"))
+
+
+LINES = ["Versandkosten 4,99", "24 Monate Laufzeit", "Monat 9,99", "1 kg = 3,99", "statt 5,99", "inkl. {} Pfand", "Packung: {}", "6 x {}", "je {} g", "je {} g nur € {}", "Karate-Anzug {}", "Apparate {}", "Monatsangebot {}", "UVP {}", "nur heute {}", "{} kg=1,00"]
+LINE_SQL = "replace([{}][id % {} + 1], '{{}}', (cents // 100) || ',' || lpad((cents % 100)::varchar, 2, '0'))".format(", ".join(f"'{x}'" for x in LINES), len(LINES))
+#: The contexts in the other engine's pattern language, which has no look-around: the characters on both sides are matched.
+CONTEXT_SQL = r"""case when regexp_matches({0}, '(^|[^\p{{L}}\p{{N}}_])(versand|versandkosten|versandkostenpauschale|porto|lieferkosten|lieferung|zzgl\.?\s+liefer)($|[^\p{{L}}\p{{N}}_])') then 'shipping'
+  when regexp_matches({0}, '(^|[^\p{{L}}\p{{N}}_])(ratenzahlung|monat|laufzeit|gesamtpreis)($|[^\p{{L}}\p{{N}}_])') then 'installment'
+  when regexp_matches({0}, '(^|[^\p{{L}}\p{{N}}_])(grundpreis|1\s*(kg|l|ltr|liter)|100\s*(g|ml))($|[^\p{{L}}\p{{N}}_])') or regexp_matches({0}, '(^|[^\p{{L}}\p{{N}}_])(kg|l)\s*=') then 'unit'
+  when regexp_matches({0}, '(^|[^\p{{L}}\p{{N}}_])(normalpreis|uvp|statt|vorher|regulär)($|[^\p{{L}}\p{{N}}_])') then 'reference' {1} else 'sale' end"""
+REFINED = r"""when regexp_extract(l, '([0-9]{1,4}([,.][0-9]{1,2})?)\s*(€|eur)?\s*pfand($|[^\p{L}\p{N}_])', 1) = t then 'deposit'
+  when not contains(l, '€') and (regexp_extract(l, '([0-9]{1,4}([,.][0-9]{1,3})?)\s*(kg|g|l|ltr|liter|ml|cl)($|[^\p{L}\p{N}_])', 1) = t or regexp_extract(l, '[0-9]{1,3}\s*[x×]\s*([0-9]{1,4}([,.][0-9]{1,3})?)', 1) = t or regexp_extract(l, '(gebinde|standardpackung|packung)\s*:?\s*([0-9]{1,4}([,.][0-9]{1,3})?)', 2) = t) then 'package'"""
+
+
+@query(f"""with z as (select *, lower({LINE_SQL}) as l, (cents // 100) || ',' || lpad((cents % 100)::varchar, 2, '0') as t from obs)
+select id, {CONTEXT_SQL.format("l", REFINED)} as context,
+  case when id % 4 in (0, 1) then cents end as money, case when id % 6 < 2 then valid_from end as day, case when id % 2 = 0 then 2 + id % 5 end::int as pieces, case when id % 2 = 0 then cents % 100000 end as bundle_cents from z""")
 def price_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Context of a price's line, money in canonical form, days written in two ways, and "N für P" bundles."""
-    lines = ["Versand 4,99", "24 Raten", "1 kg = 3,99", "statt 5,99", "zzgl. Pfand", "je Packung", "nur heute"]
+    """Context of a price by its line's words and its own number, money in canonical form, days written in two ways, and "N für P" bundles."""
     i, c = F.col("id"), F.col("cents")
-    line = F.element_at(F.array(*(F.lit(x) for x in lines)), (i % 7 + 1).cast("int"))
     whole, rest = F.expr("cents div 100").cast("string"), F.lpad((c % 100).cast("string"), 2, "0")
+    token = F.concat(whole, F.lit(","), rest)
+    line = F.replace(F.element_at(F.array(*(F.lit(x) for x in LINES)), (i % len(LINES) + 1).cast("int")), F.lit("{}"), token)
     money = F.when(i % 4 < 2, F.concat(whole, F.lit("."), rest)).when(i % 4 == 2, F.concat(F.lit("0"), whole, F.lit("."), rest)).otherwise(F.concat(whole, F.lit(",5")))
     seconds = F.unix_timestamp(F.col("valid_from").cast("timestamp")).cast("string")
     day = F.when(i % 6 == 0, F.col("valid_from").cast("string")).when(i % 6 == 1, seconds).otherwise("soon")
     said = F.when(i % 2 == 0, F.concat((i % 5 + 2).cast("string"), F.lit(" für "), F.expr("cents % 100000 div 100").cast("string"), F.lit(","), rest)).otherwise("einzeln")
-    rows = observations(spark, sf_dir).select("id", line.alias("line"), money.alias("money"), day.alias("day"), b.bundle(said).alias("bundle"))
-    return rows.select("id", b.price_context(F.col("line")).alias("context"), b.canonical_cents(F.col("money")).alias("money"), b.day_of(F.col("day")).alias("day"), F.col("bundle.count").alias("pieces"), F.col("bundle.cents").alias("bundle_cents"))
+    rows = observations(spark, sf_dir).select("id", line.alias("line"), token.alias("token"), money.alias("money"), day.alias("day"), b.bundle(said).alias("bundle"))
+    return rows.select("id", b.price_context(F.col("line"), F.col("token")).alias("context"), b.canonical_cents(F.col("money")).alias("money"), b.day_of(F.col("day")).alias("day"), F.col("bundle.count").alias("pieces"), F.col("bundle.cents").alias("bundle_cents"))
+
+
+@query(f"""with l as (select doc_id, lower(unnest(string_split(text, chr(10)))) as l from documents), c as (select doc_id, {CONTEXT_SQL.format("l", "")} as context from l where regexp_matches(l, '[0-9]'))
+select doc_id, context, count(*) as n_lines from c group by all""")
+def document_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many lines with a number of each document are of each context."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).filter(F.col("line").rlike("[0-9]"))
+    return lines.groupBy("doc_id", b.price_context(F.col("line")).alias("context")).agg(F.count(F.lit(1)).alias("n_lines"))
 
 
 @query("""select l_orderkey, l_linenumber, l_partkey, round(l_extendedprice * 100)::bigint as price, 1 + l_partkey % 900 as unit, case when l_quantity > 3 and l_partkey % 5 <> 0 then (round(l_extendedprice * 100)::bigint * 2000 + 1 + l_partkey % 900) // (2 * (1 + l_partkey % 900)) end as grams,

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pricelode.operators import pointers
 from pricelode.plans.base import query, table
-from pricelode.sources import readers
+from pricelode.sources import readers, tree
 from pricelode.sources.observations import observations
 
 OCR_LINE = "concat_ws(chr(9), '5', '1', cast(id % 7 as {s}), '1', cast(id % 5 as {s}), '1', cast(id % 300 as {s}), cast(id % 200 as {s}), '40', '12', cast(id % 100 as {s}), chain || ' \"x' || id)"
@@ -83,3 +84,58 @@ def article_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def endpoint_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = F.array_sort(F.array_distinct(F.regexp_extract_all("html", F.lit(r'"(/[a-zA-Z0-9/._-]+)"'), F.lit(1))))
     return table(spark, sf_dir, "pages").select("page_id", found.alias("f")).select("page_id", F.size("f").alias("endpoints"), F.array_join(F.slice("f", 1, 5), " ").alias("first_five"))
+
+
+#: A card of each observation on pages of at most 200: a label in the article, in the dialog, an app price only, or just a
+#: deposit; every tenth repeats the id before; a price word nobody knows on some.
+CARD_SQL = """c as (select *, chain || ':' || day || ':' || id // 200 as page, id - (id % 10 = 9)::int as own from obs),
+f as (select * from c qualify row_number() over (partition by page, own order by id) = 1),
+o as (select *, case when cents % 997 = 0 then 'unknown' when id % 5 < 4 then case when cents > 0 then 'offer' else 'unknown' end when app_cents > 0 then 'offer' when app_cents is not null then 'unknown' else 'left_out' end as outcome from f),
+s as (select page, any_value(day) as day, list_sort(list_filter([case when bool_or(outcome = 'unknown') then 'card of unknown price' end, case when count(*) filter (outcome = 'offer') = 0 then 'no offer card' end, case when day(any_value(day)) % 7 = 0 then 'window too long' end], lambda x: x is not null)) as reasons, count(*) filter (outcome = 'offer') as n from o group by page)"""
+
+
+def card_pages_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page, html, url, day, store."""
+    obs = observations(spark, sf_dir).select("id", "chain", "day", "name", "cents", "app_cents")
+    own = F.md5((F.col("id") - (F.col("id") % 10 == 9).cast("int")).cast("string"))
+    uuid = F.concat_ws("-", F.substring(own, 1, 8), F.substring(own, 9, 4), F.substring(own, 13, 4), F.substring(own, 17, 4), F.substring(own, 21, 12))
+    price = lambda label, c: F.concat(F.lit(f'<div class="x sr-only">{label} von '), F.expr(f"{c} div 100").cast("string"), F.lit(","), F.lpad((F.col(c) % 100).cast("string"), 2, "0"), F.lit(" €</div>"))
+    kind = F.col("id") % 5
+    app = F.coalesce(price("App-Preis", "app_cents"), F.lit(""))
+    label = F.when(F.col("cents") % 997 == 0, price("Mondpreis", "cents")).when(kind < 3, F.concat(app, price("Festpreis", "cents"))).when(kind == 3, "").when(F.col("app_cents").isNotNull(), app).otherwise("<p>Kasten</p><p>zzgl. 0,25 € Pfand</p>")
+    dialog = F.when(kind == 3, price("Rabattierter Preis", "cents")).otherwise("")
+    card = F.concat(F.lit('<article><h3><a href="#angebot-'), uuid, F.lit('">Angebot: '), "name", F.lit("</a></h3>"), label, F.lit('<img src="x.png"></article><dialog id="dialog-angebot-'), uuid, F.lit('"><p>mehr</p>'), dialog, F.lit("</dialog>"))
+    name = F.concat_ws(":", "chain", F.col("day").cast("string"), F.expr("id div 200").cast("string"))
+    cards = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", card.alias("card")))), lambda x: x["card"]), "\n")  # 200 at most
+    pages = obs.groupBy(name.alias("page"), "chain", "day").agg(cards.alias("cards"))
+    long = F.when(F.dayofmonth("day") % 7 == 0, 8).otherwise(3)
+    dates = F.concat(F.lit("<p>Gültig ab "), F.date_format(F.date_sub("day", 1), "dd.MM.yyyy"), F.lit("</p><p>Alle Angebote gültig bis Samstag, den "), F.date_format(F.date_add("day", long), "dd.MM.yyyy"), F.lit("</p>"))
+    html = F.concat(F.lit("<html><head><title>Angebote "), "chain", F.lit("</title></head><body>"), dates, "cards", F.lit("</body></html>"))
+    return pages.select("page", html.alias("html"), F.lit("https://shop.example/angebote/").alias("url"), "day", F.col("chain").alias("store"))
+
+
+@query(f"""with {CARD_SQL} select o.page, md5(own::varchar) as card, name, case when id % 5 < 4 then cents else app_cents end as cents, case when id % 5 <> 3 then app_cents end as app_cents, id % 5 = 4 as requires_app, o.day - 1 as valid_from, o.day + 3 as valid_until
+from o join s using (page) where outcome = 'offer' and len(reasons) = 0""")
+def offer_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offers of pages by their document tree; pages of unclear meaning give none."""
+    offers, _ = tree.offer_cards(card_pages_html(spark, sf_dir), "page", "html", "url", "day", "store")
+    return offers.select("page", F.replace("offer_id", F.lit("-"), F.lit("")).alias("card"), "name", "cents", "app_cents", "requires_app", "valid_from", "valid_until")
+
+
+@query(f"""with {CARD_SQL} select page, case when len(reasons) = 0 then 'ok' else 'rejected' end as state, array_to_string(reasons, '; ') as reasons, case when len(reasons) = 0 then n else 0 end as n_offers from s""")
+def card_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State of each page of cards, and why it was refused."""
+    return tree.offer_cards(card_pages_html(spark, sf_dir), "page", "html", "url", "day", "store")[1]
+
+
+@query("""with recursive n as materialized (select id, case when cents % 3 <> 0 then (id * 7 + cents) % (select count(*) from obs) end as target from obs),
+r as (select id, target, 0 as steps, id as spot from n union all select r.id, n.target, r.steps + 1, n.id from r join n on n.id = r.target where r.steps < 200),
+l as (select id, arg_max(spot, steps) as last, max(steps) as steps, arg_max(target, steps) as open, arg_max(target is not null and exists (select 1 from n where n.id = target), steps) as more from r group by id)
+select id, case when more then null else last end as last, case when more then 'cycle' when steps > 10 then 'too_deep' else 'resolved' end as outcome from l""")
+def reference_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where references by index lead at last, by jumps that double; cycles and chains of over ten steps are told."""
+    obs = observations(spark, sf_dir).select("id", "cents")
+    n = obs.agg(F.count(F.lit(1)).alias("n")).scalar()
+    to = F.when(F.col("cents") % 3 != 0, (F.col("id") * 7 + F.col("cents")) % n)
+    nodes = obs.select(F.lit(0).alias("doc"), F.col("id").alias("node"), to.alias("target"))
+    return pointers.chased(nodes).select(F.col("node").alias("id"), "last", "outcome")

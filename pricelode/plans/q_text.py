@@ -75,8 +75,9 @@ def product_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("p_partkey", raw.alias("raw")).withColumn("gtin", x.gtin14(F.col("raw")))
 
 
-@query("""with t as (select id, case id % 5 when 0 then (cents // 100) || ',' || lpad((cents % 100)::varchar, 2, '0') || ' €' when 1 then (cents // 100) || '.–' when 2 then (cents // 100)::varchar when 3 then '*' || (cents // 100) || ',5' else 'ab ' || cents end as raw, cents from obs)
-select id, raw, case id % 5 when 0 then cents when 1 then cents // 100 * 100 when 2 then cents // 100 * 100 when 3 then cents // 100 * 100 + 50 end as parsed from t""")
+@query(r"""with t as (select id, case id % 5 when 0 then (cents // 100) || ',' || lpad((cents % 100)::varchar, 2, '0') || ' €' when 1 then (cents // 100) || '.–' when 2 then (cents // 100)::varchar when 3 then '*' || (cents // 100) || ',5' else 'ab ' || cents end as raw from obs),
+c as (select id, raw, regexp_extract(regexp_replace(raw, '[€*\s]', '', 'g'), '^([0-9]{1,4})(?:[.,]([0-9]{1,2})|[.,–—-]+)?$', ['w', 'f']) as m from t)
+select id, raw, case when m.w <> '' then try_cast(m.w as bigint) * 100 + coalesce(try_cast(nullif(rpad(m.f, 2, '0'), '00') as bigint), 0) end as parsed from c""")
 def german_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.expr("case id % 5 when 0 then (cents div 100) || ',' || lpad(cast(cents % 100 as string), 2, '0') || ' €' when 1 then (cents div 100) || '.–' when 2 then cast(cents div 100 as string) when 3 then '*' || (cents div 100) || ',5' else 'ab ' || cents end")
     return observations(spark, sf_dir).select("id", e.alias("raw")).withColumn("parsed", x.price_cents(F.col("raw")))

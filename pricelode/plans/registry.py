@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pricelode.plans import q_blocks, q_diff, q_evidence, q_gates, q_geometry, q_labels, q_log, q_pricing, q_reads, q_review, q_search, q_sources, q_state, q_temporal, q_text  # noqa: F401
+from pricelode.plans import q_blocks, q_diff, q_evidence, q_gates, q_geometry, q_index, q_labels, q_log, q_pricing, q_reads, q_review, q_search, q_sources, q_state, q_temporal, q_text  # noqa: F401
 from pricelode.plans.base import QUERIES, SQL, Query
 from pricelode.sources.observations import OBS_SQL
 
