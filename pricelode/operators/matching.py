@@ -33,7 +33,7 @@ def free(left: str = "left", right: str = "right") -> Column:
 def word_pairs(rows: DataFrame, least: float = WEIGHTED[1]) -> DataFrame:
     """left_normal, right_normal of distinct names that share so many of their words, in both orders."""
     names = rows.select(F.col("normal").alias("id"), "words").dropDuplicates(["id"])
-    found = similar_pairs(names, None, Jaccard(least)).select(F.col("left_id").alias("left_normal"), F.col("right_id").alias("right_normal"))
+    found = similar_pairs(names, None, Jaccard(least), width=2).select(F.col("left_id").alias("left_normal"), F.col("right_id").alias("right_normal"))
     return found.union(found.select("right_normal", "left_normal"))
 
 

@@ -78,8 +78,9 @@ def ranked(sides: dict[str, DataFrame]) -> DataFrame:
     return written(sets.select("side", "id", F.transform("o", lambda x: x["word"]).alias("words"), F.size("o").alias("size")), "sets")
 
 
-def keyed(sets: DataFrame, measure: Measure, width: int = 2) -> DataFrame:
-    """side, id, size, width, key, place of each key of the sets: rare words, and from two needed words on pairs of them."""
+def keyed(sets: DataFrame, measure: Measure, width: int = 1) -> DataFrame:
+    """side, id, size, width, key, place of each key of the sets: rare words, or with ``width`` 2 pairs of them where two words
+    are needed.  Pairs are for short sets over few words, such as names; a set has as many as the square of its rare words."""
     size = F.col("size")
     need, least = measure.need(size), measure.need(measure.smallest(size))
 
@@ -101,7 +102,7 @@ def keyed(sets: DataFrame, measure: Measure, width: int = 2) -> DataFrame:
     return sets.select("side", "id", "size", F.explode(F.transform(keys, lambda k: F.struct(k["width"].cast("int").alias("width"), k["key"].alias("key"), k["place"].cast("int").alias("place")))).alias("k")).select("side", "id", "size", "k.*")
 
 
-def candidates(sets: DataFrame, left: str, right: str, measure: Measure, width: int = 2) -> DataFrame:
+def candidates(sets: DataFrame, left: str, right: str, measure: Measure, width: int = 1) -> DataFrame:
     """left_id, right_id of the pairs that must be counted; of one side with itself, left_id < right_id."""
     keys = keyed(sets, measure, width)
     side = lambda name, p: keys.filter(F.col("side") == name).select(F.col("id").alias(f"{p}_id"), F.col("size").alias(f"{p}_size"), F.col("place").alias(f"{p}_place"), "width", "key")
@@ -114,7 +115,7 @@ def candidates(sets: DataFrame, left: str, right: str, measure: Measure, width:
     return met.select("left_id", "right_id").distinct()
 
 
-def similar_pairs(left: DataFrame, right: DataFrame | None, measure: Measure, width: int = 2) -> DataFrame:
+def similar_pairs(left: DataFrame, right: DataFrame | None, measure: Measure, width: int = 1) -> DataFrame:
     """left_id, right_id, shared (words), jaccard of all pairs of sets that reach the measure; without ``right`` the pairs
     within ``left``.  Frames have columns id and words."""
     sets = ranked({"left": left} if right is None else {"left": left, "right": right})
@@ -131,18 +132,22 @@ def counted(pairs: DataFrame, sets: DataFrame, other: str, measure: Measure) ->
     return found.select("left_id", "right_id", "shared", (F.col("shared") / (F.col("a") + F.col("b") - F.col("shared"))).alias("jaccard"))
 
 
-def containing(sets: DataFrame, items: DataFrame, least: int) -> DataFrame:
+def containing(sets: DataFrame, items: DataFrame, least: int, depth: int = 4) -> DataFrame:
     """left_id, right_id, shared, jaccard of sets and items with ``least`` or more words in common, where the sets may be
-    whole texts: an item is found by its rarest words but ``least - 1``, the sets' words are looked up among those alone."""
-    own = written(sets.select("id", F.array_distinct("words").alias("words")), "sets")
-    few = items.select("id", F.array_distinct("words").alias("words")).filter(F.size("words") >= least)
+    whole texts: an item is found by ``depth`` words among its rarest, of which it has ``least - depth`` more than it can do without;
+    the sets' words are looked up among those alone.  Words are told apart by 64-bit hashes, as texts have many: that two of the
+    few hundred words of a pair have one hash has a chance of under 1e-13."""
+    depth = min(depth, least)
+    hashed = F.array_distinct(F.transform(F.array_compact("words"), lambda w: F.xxhash64(w))).alias("words")
+    own = written(sets.select("id", hashed), "sets")
+    few = written(items.select("id", hashed).filter(F.size("words") >= least), "items")
     item_words = few.select(F.col("id").alias("right_id"), F.size("words").alias("size"), F.explode("words").alias("word"))
     each = own.select(F.col("id").alias("left_id"), F.explode("words").alias("word"))
     there = each.join(item_words.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     order = F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")))
     heads = item_words.join(there, "word", "left").groupBy("right_id", "size").agg(order.alias("o"))
-    heads = written(heads.select("right_id", F.explode(F.slice("o", 1, F.col("size") - (least - 1))).alias("x")).select("right_id", "x.word", "x.n"), "heads")
-    met = each.join(heads.filter("n > 0").select("right_id", "word"), "word").select("left_id", "right_id").distinct()
+    heads = written(heads.select("right_id", F.explode(F.slice("o", 1, F.col("size") - least + depth)).alias("x")).select("right_id", "x.word", "x.n"), "heads")
+    met = each.join(heads.filter("n > 0").select("right_id", "word"), "word").groupBy("left_id", "right_id").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= depth).drop("m")
     both = met.join(own.select(F.col("id").alias("left_id"), F.col("words").alias("_left")), "left_id").join(few.select(F.col("id").alias("right_id"), F.col("words").alias("_right")), "right_id")
-    n = both.select("left_id", "right_id", F.size(F.array_intersect("_left", "_right")).alias("shared"), F.size("_left").alias("a"), F.size("_right").alias("b")).filter(F.col("shared") >= least)
+    n = both.select("left_id", "right_id", F.size(F.array_intersect("_right", "_left")).alias("shared"), F.size("_left").alias("a"), F.size("_right").alias("b")).filter(F.col("shared") >= least)
     return n.select("left_id", "right_id", "shared", (F.col("shared") / (F.col("a") + F.col("b") - F.col("shared"))).alias("jaccard"))

@@ -132,7 +132,7 @@ def pairing_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     names = part.select("p_name").distinct().select("p_name", F.split("p_name", " ").alias("b"))
     # names that accept each other share two words, which are the key; parts come back by their name
-    found = similar_pairs(names.select(F.col("p_name").alias("id"), F.col("b").alias("words")), None, Overlap(2))
+    found = similar_pairs(names.select(F.col("p_name").alias("id"), F.col("b").alias("words")), None, Overlap(2), width=2)
     self = names.filter(F.size(F.array_distinct("b")) >= 2).select(F.col("p_name").alias("own"), "p_name")
     met = found.select(F.col("left_id").alias("own"), F.col("right_id").alias("p_name")).union(found.select("right_id", "left_id")).union(self)
     a = part.select("p_partkey", F.col("p_name").alias("own"), F.split("p_name", " ").alias("a"), "p_type")

@@ -130,7 +130,7 @@ def card_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""with recursive n as materialized (select id, case when cents % 3 <> 0 then (id * 7 + cents) % (select count(*) from obs) end as target from obs),
 r as (select id, target, 0 as steps, id as spot from n union all select r.id, n.target, r.steps + 1, n.id from r join n on n.id = r.target where r.steps < 200),
-l as (select id, arg_max(spot, steps) as last, max(steps) as steps, arg_max(target, steps) as open, arg_max(target is not null and exists (select 1 from n where n.id = target), steps) as more from r group by id)
+l as (select id, arg_max(spot, steps) as last, max(steps) as steps, arg_max(coalesce(target in (select n.id from n), false), steps) as more from r group by id)
 select id, case when more then null else last end as last, case when more then 'cycle' when steps > 10 then 'too_deep' else 'resolved' end as outcome from l""")
 def reference_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where references by index lead at last, by jumps that double; cycles and chains of over ten steps are told."""

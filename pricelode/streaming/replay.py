@@ -23,9 +23,12 @@ def offers_by_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged when read, so replays and restarts add nothing twice."""
     folder = shared_path(spark, "stream")
     source = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(source).schema
-    head, _, name = source.rpartition("/")
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{head}/{name[:-1]}?")
+    read = spark.read.parquet(source)
+    stream = spark.readStream.schema(read.schema)
+    if all(f.endswith("/events.parquet") for f in read.inputFiles()):  # a table of one file: a stream reads folders
+        events = stream.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    else:
+        events = stream.parquet(source)
 
     def merge(batch: DataFrame, number: int) -> None:
         part = batch.groupBy(F.col("event_type").alias("chain"), F.col("user_id").alias("offer")).agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("latest"), F.min(F.round(F.col("value") * 100).cast("long")).alias("least"))

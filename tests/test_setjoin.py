@@ -47,7 +47,7 @@ def test_pairs_are_all_pairs(spark, measure, width):
     assert rows(setjoin.similar_pairs(frame(left), frame(right), measure, width)) == brute(left, right, measure, False)
 
 
-@pytest.mark.parametrize("least", [1, 2, 5])
+@pytest.mark.parametrize("least", [1, 2, 5, 7])
 def test_items_in_texts(spark, least):
     left, right = sets(80, 3, most=40), sets(40, 4, most=12)
     frame = lambda x: spark.createDataFrame(x, "id int, words array<string>")
@@ -55,7 +55,8 @@ def test_items_in_texts(spark, least):
     assert setjoin.containing(frame(left).limit(0), frame(right), least).count() == setjoin.similar_pairs(frame(left).limit(0), None, Jaccard(0.5)).count() == 0
 
 
-def test_candidates_grow_with_input_and_output(spark):
+@pytest.mark.parametrize("width", [1, 2])
+def test_candidates_grow_with_input_and_output(spark, width):
     """A word in every set, and three that are in two thirds: all pairs share it, hardly any is a candidate."""
     made = {}
     for n in (300, 1200):
@@ -64,7 +65,7 @@ def test_candidates_grow_with_input_and_output(spark):
         data += [(n + i, [*data[i][1][:-1], f"x{i}"]) for i in range(n // 10)]  # near copies
         frame = spark.createDataFrame(data, "id int, words array<string>")
         ranked = setjoin.ranked({"left": frame})
-        found = setjoin.candidates(ranked, "left", "left", Jaccard(0.7))
+        found = setjoin.candidates(ranked, "left", "left", Jaccard(0.7), width)
         made[n] = found.count()
         assert setjoin.counted(found, ranked, "left", Jaccard(0.7)).count() >= n // 10
     assert made[1200] <= 2 * 1320 and made[1200] <= 6 * max(made[300], 1)
