@@ -30,7 +30,7 @@ def open_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {OPEN_SQL}, d as (select distinct day from obs) select day, count(w.id) as n_open from d left join w on day >= valid_from and day <= coalesce(valid_until, date '2140-01-01') group by day""")
-def open_on_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+def window_day_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many windows are open on each day, open ends included."""
     days = observations(spark, sf_dir).select("day").distinct()
     return dyadic.open_counts(open_windows(spark, sf_dir), days, F.col("first"), F.col("last"), dyadic.day_number(F.col("day")))
@@ -38,7 +38,7 @@ def open_on_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""with {OPEN_SQL}, c as materialized (select valid_from, valid_until, min(id) as id, count(*) as n from w group by all)
 select a.id as left_id, b.id as right_id, a.n * b.n as n_pairs from c a join c b on (a.valid_from < b.valid_from or (a.valid_from = b.valid_from and a.id < b.id)) and coalesce(a.valid_until, date '2140-01-01') >= b.valid_from and coalesce(b.valid_until, date '2140-01-01') >= b.valid_from""")
-def open_window_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+def endless_window_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of classes of equal windows with a day in common, and how many pairs of observations they stand for."""
     classes = open_windows(spark, sf_dir).groupBy("first", "last").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
     pairs = dyadic.overlapping(classes, "id", F.col("first"), F.col("last"))
