@@ -7,8 +7,8 @@ import pytest
 
 from pricelode.sources import tree
 
-URL = "https://www.shop.example/maerkte/071897/angebote/"
-IDS = [f"{i:08x}-3617-45e4-a1f2-9f2503c0669b" for i in range(20)]
+URL = "https://www.shop.example/maerkte/4711/angebote/"
+IDS = [f"{i:08x}-1111-4222-8333-abcdefabcdef" for i in range(20)]
 WINDOW = "<p>Gültig ab 20.07.2026</p><p>Alle Angebote gültig bis Samstag, den 25.07.2026, KW 30.</p>"
 
 
@@ -16,7 +16,7 @@ def card(i, body, name="Angebot: Mini&nbsp;Tomaten", dialog="", href=None, dialo
     return f'<article><h3><a href="{href or f"#angebot-{IDS[i]}"}">{name}</a></h3>{body}</article><dialog id="dialog-angebot-{dialog_id or IDS[i]}"><b>x</b>{dialog}{WINDOW}</dialog>'
 
 
-def page(*cards, title="Angebote Markt Patzer", extra=""):
+def page(*cards, title="Angebote Markt Nord", extra=""):
     return f"<!doctype html><html><head><title>{title}</title><script>Festpreis von 9.99 €</script></head><body>{extra}{''.join(cards)}</body></html>"
 
 
@@ -24,7 +24,7 @@ FIXED, APP, REDUCED = ('<div class="sr-only">{} von {} €</div>'.format(*x) for
 
 
 def read(spark, *htmls, day=date(2026, 7, 21), url=URL):
-    frame = spark.createDataFrame([(i, h, url, day, "Markt Patzer") for i, h in enumerate(htmls)], "page int, html string, url string, day date, store string")
+    frame = spark.createDataFrame([(i, h, url, day, "Markt Nord") for i, h in enumerate(htmls)], "page int, html string, url string, day date, store string")
     offers, states = tree.offer_cards(frame, "page", "html", "url", "day", "store")
     return sorted((r["page"], r["offer_id"][:8], r["name"], r["cents"], r["app_cents"], r["requires_app"]) for r in offers.collect()), {r["page"]: (r["state"], r["reasons"], r["n_offers"]) for r in states.collect()}
 
@@ -34,7 +34,7 @@ def test_prices_of_cards(spark):
         card(0, FIXED), card(1, APP + FIXED), card(2, APP), card(3, "<p>Rabattierter <b>Preis</b> von 2,50 €</p>"), card(4, "<p>lose</p>", dialog=REDUCED),
         card(5, '<div class="a sr-only b"><span>Festpreis</span> von 3 €</div><div class="sr-only">Festpreis von 4 €</div>'), card(0, FIXED.replace("1.11", "7.77")),  # the first of an id counts
         card(6, "<p>10 Extra°Punkte</p><p>Mit PAYBACK 10 Extra Punkte sammeln, Normalpreis 3,99 €</p>"), card(7, "<p>Mehrweg</p><p>zzgl. 0,25 € Pfand</p>"),
-        card(8, '<div class="sr-only">zum Merkzettel</div>', dialog=FIXED), card(9, FIXED, href=f"/maerkte/071897/angebote/#angebot-{IDS[9].upper()}"), '<a href="#other">x</a><a>y</a>',
+        card(8, '<div class="sr-only">zum Merkzettel</div>', dialog=FIXED), card(9, FIXED, href=f"/maerkte/4711/angebote/#angebot-{IDS[9].upper()}"), '<a href="#other">x</a><a>y</a>',
     )
     offers, states = read(spark, html)
     name = "Mini Tomaten"
