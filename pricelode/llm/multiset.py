@@ -14,7 +14,8 @@ the cosine of the two shingle multisets (standard error about 1/8), and is 1 for
 Null text is as empty; texts without a word have the zero fingerprint.  The next document is by descending doc_id
 (null last; of equal doc_ids by the text's hash).  Documents are dealt into cells that follow each other in that order:
 ranges of doc_id between approximate quantiles, and for null or a doc_id that is several quantiles, as many ranges of the
-text's hash.  A cell also gets a copy of the row that follows its last, so no window spans cells.  Repeated rows stay
+text's hash.  Their number follows the bytes of the texts (``TASK`` for each ``CELLS`` cells), so what a task reads does not grow with
+the table.  A cell also gets a copy of the row that follows its last, so no window spans cells.  Repeated rows stay
 (those equal in doc_id and text in one cell); an empty table gives an empty result; other columns are ignored.
 """
 
@@ -30,6 +31,8 @@ DENSE_LANES = 4
 SHINGLE = 5
 SPACE = r"[\x20\x09-\x0D]+"
 NARROW, DENSE = 1 << 16, 1 << 32
+#: Bytes of text that a task takes, and cells for each task.
+TASK, CELLS = 32 << 20, 4
 
 
 def shingles(paragraph: Column, n: int = SHINGLE) -> tuple[Column, Column]:
@@ -100,8 +103,9 @@ def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text (null as empty), cell ``g``, place ``rn`` in it, ``copy`` (true: only there for the one before
     it), and ``next_text``."""
     spark = docs.sparkSession
-    groups = 4 * partitions(spark)
     ident = F.col("doc_id").cast("long")
+    tasks = max(partitions(spark), -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // TASK))
+    groups = CELLS * tasks
     found, nulls, count = docs.agg(F.percentile_approx(ident, [(i + 1) / groups for i in range(groups)], 100_000), F.count_if(ident.isNull()), F.count(F.lit(1))).first()
     bounds = sorted(set(found or []))  # ids of the table, at most ``groups`` of them, the largest among them
     shares = [max(1, (found or []).count(b)) for b in bounds]
@@ -125,7 +129,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     same = F.bitwise_not(own).eqNullSafe(F.col("h_down")) & (F.col("k1") == F.col("h_k1")) & (F.col("k2") == F.col("h_k2"))
     copies = rows.join(F.broadcast(heads), same).groupBy("to").agg(*(F.first(c).alias(c) for c in ("doc_id", "text", "k1", "k2")))
     rows = rows.select("doc_id", "text", "k1", "k2", "g", F.lit(False).alias("copy"))
-    rows = rows.union(copies.select("doc_id", "text", "k1", "k2", F.col("to").alias("g"), F.lit(True)))
+    rows = rows.union(copies.select("doc_id", "text", "k1", "k2", F.col("to").alias("g"), F.lit(True))).repartition(tasks, "g")
     order = Window.partitionBy("g").orderBy("copy", F.col("doc_id").desc_nulls_last(), "k1", "k2")
     return rows.select("doc_id", "text", "g", "copy", F.row_number().over(order).alias("rn"), F.lead("text").over(order).alias("next_text"))
 
