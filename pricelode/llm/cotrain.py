@@ -6,9 +6,11 @@ the size ``n_chars`` (its logarithm and its power of two); it never sees the tex
 
 Both are logistic regressions trained in numpy by stochastic gradient descent.  They start from the labelled rows;
 in each of ``ROUNDS`` rounds each view scores all documents without a label and gives the ``ADDED`` that it is most sure of,
-in the labels' proportion, to the other view, which is trained again.  A task keeps its own most certain ones
-only, with their features, so a round sends a bounded number of rows to the next step whatever the input.  Each view's score
-is then calibrated by a logistic curve on a fold of the labels that training never sees; so is the sum of the two
+in the labels' proportion, to the other view, which is trained again.  A view teaches only if it is better than the share of good labels
+on a fold of the labels that training never sees: its log-loss there must be lower by two standard errors.  Rounds end when no view may
+teach, or when a round does not lower the log-loss of both views together on that fold; then the model before it stays.  A task keeps
+its own most certain ones only, with their features, so a round sends a bounded number of rows to the next step whatever the input.  Each view's score
+is then calibrated by a logistic curve on that fold; so is the sum of the two
 calibrated log-odds.
 
 Fitting takes ``LABELLED`` labelled documents at most, those with the least hash of text and metadata, as features; it runs
@@ -17,7 +19,7 @@ in one task, and only the weights come to the driver.  Scoring takes every docum
 A label row of null counts as none; of several labels of a document the larger share wins, a tie is good.  Rows with equal
 text and metadata are one for fitting (good, if any of them is).  Null text is as empty; null lang, source and n_chars are
 levels of their own, a missing n_chars column is as null.  Without both classes among the labels every score is the share of
-good labels (0.5 without any).  Other columns do no harm.
+good labels (0.5 without any); without both classes in the fold nothing is exchanged.  Other columns do no harm.
 """
 
 from __future__ import annotations
@@ -126,11 +128,29 @@ def calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(a, 1e-3)), float(b)
 
 
+def held_losses(z: np.ndarray, y: np.ndarray, half: np.ndarray) -> np.ndarray:
+    """Log-loss of each held label, by the curve that is fitted to the other half of them."""
+    out = np.zeros(len(z))
+    for k in (0, 1):
+        a, b = calibrate(z[half != k], y[half != k])
+        p = _sigmoid(a * z[half == k] + b)
+        out[half == k] = -np.log(np.where(y[half == k] > 0, p, 1 - p))
+    return out
+
+
+def better(losses: np.ndarray, base: np.ndarray) -> bool:
+    """Whether losses are lower than those of the base rate by two standard errors of the mean difference."""
+    gain = base - losses
+    return len(gain) > 1 and bool(gain.mean() > 2 * gain.std(ddof=1) / np.sqrt(len(gain)))
+
+
 class Model:
-    """Weights and calibration of both views, and of their sum."""
+    """Weights and calibration of both views, and of their sum; the mean log-loss of both together on the held fold, and whether
+    each view (content, metadata) may teach the other."""
 
-    def __init__(self, share: float, content_w: np.ndarray | None = None, metadata_w: np.ndarray | None = None, curves: list[tuple[float, float]] | None = None):
+    def __init__(self, share: float, content_w: np.ndarray | None = None, metadata_w: np.ndarray | None = None, curves: list[tuple[float, float]] | None = None, loss: float = np.inf, may_teach: tuple[bool, bool] = (False, False)):
         self.share, self.content_w, self.metadata_w, self.curves = share, content_w, metadata_w, curves or []
+        self.loss, self.may_teach = loss, may_teach
 
     def views(self, texts: list[str | None], meta: tuple[list, list, list]) -> tuple[np.ndarray, np.ndarray]:
         """Log-odds of good by content and by metadata, calibrated."""
@@ -159,7 +179,8 @@ def fit(rows: list[tuple[int, int, int, bytes, bytes, bytes]]) -> Model:
         return Model(float(y.mean()) if len(y) else 0.5)
     held = [r for r in labels.values() if r[0] % 4 == 0]
     train = [r for r in labels.values() if r[0] % 4 != 0]
-    if len({r[1] for r in train}) < 2 or len({r[1] for r in held}) < 2:
+    apart = len({r[1] for r in train}) == 2 and len({r[1] for r in held}) == 2
+    if not apart:
         train = held = list(labels.values())
     words = lambda of: [(np.frombuffer(r[3], np.int32), np.frombuffer(r[4], np.float32)) for r in of]
     meta = lambda of: np.stack([np.frombuffer(r[5], np.float32) for r in of])
@@ -169,8 +190,12 @@ def fit(rows: list[tuple[int, int, int, bytes, bytes, bytes]]) -> Model:
     z = [np.array([w[0][at] @ x + w[0][-1] for at, x in words(held)]), meta(held) @ w[1]]
     truth = np.array([float(r[1]) for r in held])
     curves = [calibrate(v, truth) for v in z]
-    curves.append(calibrate(sum(a * v + b for (a, b), v in zip(curves, z, strict=True)), truth))
-    return Model(float(y.mean()), w[0], w[1], curves)
+    both = sum(a * v + b for (a, b), v in zip(curves, z, strict=True))
+    curves.append(calibrate(both, truth))
+    half = np.array([r[0] >> 2 & 1 for r in held])
+    base = held_losses(np.zeros(len(held)), truth, half)
+    may_teach = tuple(apart and better(held_losses(v, truth, half), base) for v in z)
+    return Model(float(y.mean()), w[0], w[1], curves, float(held_losses(both, truth, half).mean()), may_teach)
 
 
 def _described(docs: DataFrame) -> DataFrame:
@@ -213,11 +238,11 @@ def labelled(docs: DataFrame, votes: DataFrame, most: int = LABELLED) -> DataFra
 
 
 def most_certain(pool: DataFrame, model: Model, taken: set[int], scratch: Scratch, added: int = ADDED) -> DataFrame:
-    """The documents of ``pool`` of which a view is most sure, as rows that teach the other view; without those of
+    """The documents of ``pool`` of which a view that may teach is most sure, as rows that teach the other view; without those of
     ``taken``.  At most ``added`` for each view, bad and good in the labels' proportion."""
     sent = pool.sparkSession.sparkContext.broadcast((model, taken))  # weights, and at most 2 * added hashes a round
     bad = min(added - 1, max(1, round(added * (1 - model.share))))
-    quota = {(k, label): added - bad if label else bad for k in (CONTENT, METADATA) for label in (0, 1)}
+    quota = {(k, label): added - bad if label else bad for k in (CONTENT, METADATA) if model.may_teach[1 - k] for label in (0, 1)}
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, gone = sent.value
@@ -263,16 +288,20 @@ def train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, most: int =
         rows = [scratch.staged(labelled(docs, votes, most), "labelled")]
         pool = _described(docs).join(votes, "doc_id", "left_anti")
         taken: set[int] = set()
+        best = fit([])
         for i in range(rounds + 1):
             teaching = functools.reduce(DataFrame.unionByName, rows)  # bounded: labels, and 2 * added rows a round
             found = teaching.repartition(1).mapInArrow(run, "model binary").first()
             model = pickle.loads(found[0]) if found else fit([])
-            if i == rounds or model.content_w is None:
-                return model
-            chosen = scratch.staged(most_certain(pool, model, taken, scratch, added), "pseudo-labels")
+            if i > 0 and not model.loss < best.loss:
+                return best
+            best = model
+            if i == rounds or not any(best.may_teach):
+                return best
+            chosen = scratch.staged(most_certain(pool, best, taken, scratch, added), "pseudo-labels")
             taken |= {r[0] for r in chosen.select("h").collect()}
             rows.append(chosen)
-    return model
+    return best
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

@@ -554,3 +554,52 @@ def test_language_of_odd_tables(spark, rows):
     if not any(r[2] and r[1] and re.search("[a-z]", r[1]) for r in rows):
         assert all(r["lang_pred"] == "und" and r["score"] == 0 for r in out)
     assert langid.known_languages(frame).count() <= len(rows)
+
+
+def test_most_certain_by_brute_force(spark):
+    """The surest of all unlabelled documents of each view that may teach; none by a view that may not."""
+    rows = [(i, prose(i, 40) if i % 4 else prose(i, 40).upper(), "en", f"s{i % 3}", 40 * (1 + i % 4)) for i in range(300)]
+    many = cotrain._described(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")).repartition(5)
+    labels = cotrain.labelled(many.drop("h").withColumnRenamed("size", "n_chars"), spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(0, 300, 2)], "doc_id long, label int"))
+    model = cotrain.fit([tuple(r) for r in labels.select("h", "label", "teaches", "at", "x", "meta").collect()])
+    pool = many.filter("doc_id % 2 = 1")
+    held = pool.toPandas()
+    views = model.views(held.text.tolist(), (held.lang.tolist(), held.source.tolist(), held["size"].tolist()))
+    taken = set(held.h.tolist()[:5])
+    for may_teach in ((True, True), (True, False), (False, True)):
+        model.may_teach = may_teach
+        with cotrain.Scratch(spark) as scratch:
+            got = sorted((r["teaches"], r["label"], r["h"]) for r in cotrain.most_certain(pool, model, taken, scratch, 12).collect())
+        bad = min(11, max(1, round(12 * (1 - model.share))))
+        want = []
+        for k in (cotrain.CONTENT, cotrain.METADATA):
+            if may_teach[1 - k]:
+                for label, n in ((0, bad), (1, 12 - bad)):
+                    sure = sorted(((-z if label else z), h) for z, h in zip(views[1 - k].tolist(), held.h.tolist(), strict=True) if h not in taken)
+                    want += [(k, label, h) for _, h in sure[:n]]
+        assert got == sorted(want)
+
+
+def test_a_view_like_the_base_rate_does_not_teach(spark):
+    rng = np.random.default_rng(5)
+    y = (rng.random(400) < 0.8).astype(float)
+    half = np.arange(400) % 2
+    base = cotrain.held_losses(np.zeros(400), y, half)
+    p = [(y[half != k].sum() / (half != k).sum()) for k in (0, 1)]
+    assert np.allclose(base, [-np.log(p[h] if t else 1 - p[h]) for t, h in zip(y, half, strict=True)], atol=0.02)
+    assert not cotrain.better(cotrain.held_losses(rng.normal(0, 1, 400), y, half), base)
+    assert cotrain.better(cotrain.held_losses(y * 2 - 1 + rng.normal(0, 1, 400), y, half), base)
+    rows = [(i, prose(i, 40) if i % 4 else prose(i, 40).upper(), "en", "s", 40) for i in range(400)]
+    many = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    model = cotrain.train(many, spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(0, 400, 2)], "doc_id long, quality int"), 2, added=20)
+    assert model.may_teach == (True, False)
+
+
+def test_cells_of_fingerprints_follow_the_bytes(spark, docs, monkeypatch):
+    """Many small cells: the same next texts, more tasks."""
+    few = sorted(map(str, multiset.with_next(docs.dropDuplicates(["doc_id"])).filter("not copy").select("doc_id", "text", "next_text").collect()))
+    monkeypatch.setattr(multiset, "TASK", 2000)
+    rows = multiset.with_next(docs.dropDuplicates(["doc_id"]))
+    assert sorted(map(str, rows.filter("not copy").select("doc_id", "text", "next_text").collect())) == few
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    assert rows.select("g").distinct().count() > total // 4000 and rows.select(F.spark_partition_id()).distinct().count() > 8
