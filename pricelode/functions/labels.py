@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pricelode.functions.text import normalized
 
-# Words that a label does not end with, and words of promotion that are no product.
+# Words that a label does not end with, and words of promotion that are no product: this library's own lists.
 GLUE_WORDS = ["und", "oder", "mit", "aus", "von", "für", "je", "in", "im"]
 PROMO_WORDS = ["aktion", "rabatt", "gutschein", "payback", "gewinnspiel", "newsletter", "coupon"]
 # Whole words that tell what a price in a line is, in the order in which they are tried.
@@ -82,7 +82,7 @@ def brandlike(c: Column, share: float = 0.75) -> Column:
 def clean_label(c: Column) -> Column:
     """One-blank text without trade-mark signs and without a glue word at its end."""
     bare = one_blank(F.regexp_replace(c, "[®™©]", ""))
-    return F.trim(F.regexp_replace(bare, rf"(?i) ({'|'.join(GLUE_WORDS)})$", ""))
+    return F.trim(F.regexp_replace(bare, rf"(?iu) ({'|'.join(GLUE_WORDS)})$", ""))
 
 
 def _whole(*patterns: str) -> str:

@@ -9,6 +9,7 @@ from pricelode.functions import labels as b
 from pricelode.functions import text as x
 from pricelode.operators import ranking
 from pricelode.plans.base import query, table
+from pricelode.plans.q_text import NORM
 from pricelode.shared import written
 from pricelode.sources.observations import observations
 
@@ -26,27 +27,41 @@ def text_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", "raw", b.compact(r).alias("compact"), b.words_only(r).alias("words"), b.one_blank(r).alias("blanks"), b.search_text(r).alias("search"), b.normalized(r).alias("normal"))
 
 
-@query("""with n as (select p_partkey, lower(p_name) as name, lower(case p_partkey % 4 when 0 then replace(p_name, ' ', '') when 1 then split_part(p_name, ' ', 1) when 2 then 'zz' else p_name || ' xl' end) as other from part)
-select p_partkey, case when contains(replace(name, ' ', ''), replace(other, ' ', '')) or contains(replace(other, ' ', ''), replace(name, ' ', '')) then 1.0::double else 0.25::double end as similarity,
-  contains(other, name) or len(list_intersect(list_distinct(string_split(name, ' ')), string_split(other, ' '))) >= len(list_distinct(string_split(name, ' '))) * 0.6 as echo from n""")
-def contained_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similarity with a floor for names that hold each other, and whether a name is read again in a text."""
-    k, name = F.col("p_partkey") % 4, F.col("p_name")
-    other = F.when(k == 0, F.replace(name, F.lit(" "), F.lit(""))).when(k == 1, F.split(name, " ")[0]).when(k == 2, "zz").otherwise(F.concat(name, F.lit(" xl")))
-    rows = table(spark, sf_dir, "part").select("p_partkey", "p_name", other.alias("other"))
-    return rows.select("p_partkey", b.contained(F.col("p_name"), F.col("other"), F.lit(0.25)).alias("similarity"), b.echoes(F.col("other"), F.col("p_name")).alias("echo"))
+TOKENS = "list_distinct(list_filter(string_split({0}, ' '), lambda w: length(w) >= 3))"
 
 
-@query("""select id, case when brand is not null then lower(replace(brand, '#', ' ')) end as brand, case when brand is not null and id % 2 = 0 then lower(name) when brand is null and id % 2 = 0 then 'none ' || lower(name) else lower(name) end as rest,
-  id % 3 = 0 as brandlike, case when id % 5 = 0 then name else name || ' groß' end as label from obs""")
+@query(f"""with t as (select a.p_partkey, a.p_name as name, case a.p_partkey % 4 when 0 then replace(a.p_name, ' ', '') when 1 then split_part(a.p_name, ' ', 1) when 2 then b.p_name else upper(a.p_name) || ' XL' end as other from part a left join part b on b.p_partkey = a.p_partkey - 1),
+n as (select p_partkey, {NORM.format("name")} as n, {NORM.format("other")} as m from t),
+c as (select *, regexp_replace(n, '[ %]', '', 'g') as x, regexp_replace(m, '[ %]', '', 'g') as y, {TOKENS.format("n")} as a, {TOKENS.format("m")} as b, list_distinct(string_split(n, ' ')) as words from n),
+r as (select *, case when len(a) + len(b) = 0 then 0.0 else round(len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b)))::double, 4) end::double as ratio from c)
+select p_partkey, case when x <> '' and y <> '' and (contains(x, y) or contains(y, x)) then 1.0 when x <> '' and y <> '' and (contains(' ' || n || ' ', ' ' || m || ' ') or contains(' ' || m || ' ', ' ' || n || ' ')) then greatest(ratio, 0.9) else ratio end::double as similarity,
+  n <> '' and (contains(m, n) or len(list_intersect(words, string_split(m, ' '))) >= len(words) * 0.6) as echo from r""")
+def contained_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similarity by words with a floor for names that hold each other, and whether a name is read again in a text: of a name
+    with itself in other forms, and with the part before it."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    before = parts.select((F.col("p_partkey") + 1).alias("p_partkey"), F.col("p_name").alias("before"))
+    k, name = F.col("p_partkey") % 4, F.col("p_name")
+    other = F.when(k == 0, F.replace(name, F.lit(" "), F.lit(""))).when(k == 1, F.split(name, " ")[0]).when(k == 2, F.col("before")).otherwise(F.concat(F.upper(name), F.lit(" XL")))
+    rows = parts.join(before, "p_partkey", "left").select("p_partkey", "p_name", other.alias("other"))
+    ratio = x.jaccard(x.tokens(F.col("p_name")), x.tokens(F.col("other")))
+    return rows.select("p_partkey", b.contained(F.col("p_name"), F.col("other"), ratio).alias("similarity"), b.echoes(F.col("other"), F.col("p_name")).alias("echo"))
+
+
+@query(f"""with t as (select id, brand, case when id % 2 = 0 then coalesce(brand, 'None') || ' ' || name when id % 7 = 1 then brand else name end as whole, case id % 3 when 0 then upper(name) when 1 then upper(name) || ' aus der region' else name end as shown,
+  name || case id % 5 when 0 then '®  und' when 1 then '™ groß' when 2 then ' ' || chr(9) || 'FÜR' when 3 then ' ohne' else ' mit je' end as label from obs),
+n as (select *, {NORM.format("whole")} as n, nullif({NORM.format("brand")}, '') as b, trim(regexp_replace(regexp_replace(label, '[®™©]', '', 'g'), '\\s+', ' ', 'g')) as bare,
+  len(regexp_extract_all(shown, '\\p{{L}}')) as letters, len(regexp_extract_all(shown, '\\p{{Lu}}')) as capitals from t)
+select id, b as brand, case when starts_with(n, b || ' ') and trim(substr(n, length(b) + 1)) <> '' then trim(substr(n, length(b) + 1)) else n end as rest,
+  letters > 0 and capitals >= letters * 0.75 as brandlike, trim(regexp_replace(bare, '(?i) ({'|'.join(b.GLUE_WORDS)})$', '')) as label from n""")
 def brand_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Brands normalised and taken off names; names in capitals; labels without signs and trailing glue words."""
-    front = F.coalesce("brand", F.lit("None"))
-    full = F.when(F.col("id") % 2 == 0, F.concat(front, F.lit(" "), "name")).otherwise(F.col("name"))
-    shown = F.when(F.col("id") % 3 == 0, F.upper("name")).otherwise(F.col("name"))
-    label = F.when(F.col("id") % 5 == 0, F.concat("name", F.lit("®  und"))).otherwise(F.concat("name", F.lit("™ groß")))
-    rows = observations(spark, sf_dir).select("id", "brand", full.alias("full"), shown.alias("shown"), label.alias("label"))
-    return rows.select("id", b.brand(F.col("brand")).alias("brand"), b.without_brand(F.col("full"), F.col("brand")).alias("rest"), b.brandlike(F.col("shown")).alias("brandlike"), b.clean_label(F.col("label")).alias("label"))
+    i, name = F.col("id"), F.col("name")
+    whole = F.when(i % 2 == 0, F.concat(F.coalesce("brand", F.lit("None")), F.lit(" "), name)).when(i % 7 == 1, F.col("brand")).otherwise(name)
+    shown = F.when(i % 3 == 0, F.upper(name)).when(i % 3 == 1, F.concat(F.upper(name), F.lit(" aus der region"))).otherwise(name)
+    ends = F.element_at(F.array(*map(F.lit, ("®  und", "™ groß", " \tFÜR", " ohne", " mit je"))), (i % 5 + 1).cast("int"))
+    rows = observations(spark, sf_dir).select("id", "brand", whole.alias("whole"), shown.alias("shown"), F.concat(name, ends).alias("label"))
+    return rows.select("id", b.brand(F.col("brand")).alias("brand"), b.without_brand(F.col("whole"), F.col("brand")).alias("rest"), b.brandlike(F.col("shown")).alias("brandlike"), b.clean_label(F.col("label")).alias("label"))
 
 
 AMOUNTS = """case id % 7 when 0 then '_70Prz_' || n || 'g_' || id when 1 then '_3_7_' || (id % 8 + 2) || 'x' || n || 'g_' || id || '003' when 2 then '_' || (id % 30 + 2) || 'x0_' || n || 'l' when 3 then '-' || n || '-ML' when 4 then '_Nr_' || n
@@ -122,33 +137,52 @@ def variable_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select("l_orderkey", "l_linenumber", "l_partkey", "price", "unit", grams.alias("grams"), (F.col("one").isNotNull() & (F.col("l_linenumber") < 6)).alias("accepted"))
 
 
-@query("""select id, case when id % 4 = 0 then cents when id % 4 = 1 then cents + 1 end as price, case when id % 4 < 2 then cents * 2 end as unit_price, ['montag', 'dienstag', 'mittwoch', 'donnerstag', 'freitag', 'samstag', 'sonntag'][id % 7 + 1] || '_special' as special from obs""")
+#: Price objects and banners as text, in words that both engines read: flat, nested, without units, none, broken.
+BODY = """case id % 5 when 0 then '{"price": {"cents": ' || cents || ', "units": [{"kind": "base", "cents": ' || cents * 2 || '}]}}' when 1 then '{"price": {"current": {"cents": ' || (cents + 1) || '}, "units": [{"kind": "other", "cents": ' || cents || '}, {"kind": "base", "cents": ' || cents * 3 || '}]}}'
+  when 2 then '{"price": {"cents": ' || cents || ', "current": {"cents": 1}}}' when 3 then '{"price": null}' else '{"price": {"units": [{"kind": "base"}]}}' end"""
+
+
+@query(f"""with t as (select id, ({BODY})::json as v, {NORM.format("case id % 3 when 0 then '  Nur am ' || upper(strftime(day, '%a')) || '! ' when 1 then 'Am ' || ['Sonntag', 'MONTAG', 'dienstag', 'Mittwoch', 'Donnerstag', 'Freitag', 'Samstag'][dayofweek(day) + 1] || ' –' else name end")} as banner from obs)
+select id, coalesce(try_cast(v->>'$.price.cents' as bigint), try_cast(v->>'$.price.current.cents' as bigint)) as price,
+  try_cast(list_filter(coalesce(cast(v->'$.price.units' as json[]), []), lambda u: u->>'$.kind' = 'base')[1]->>'$.cents' as bigint) as unit_price,
+  case when list_contains([{', '.join(f"'{d}'" for d in b.WEEKDAYS)}], string_split(banner, ' ')[-1]) then string_split(banner, ' ')[-1] || '_special' end as special from t""")
 def nested_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regular and unit price of a nested price object in either of its forms, and the kind of special of a weekday's banner."""
-    i, c = F.col("id"), F.col("cents")
-    flat = F.struct(F.struct(c.alias("cents"), F.array(F.struct(F.lit("base").alias("kind"), (c * 2).alias("cents"))).alias("units")).alias("price"))
-    deep = F.struct(F.struct(F.struct((c + 1).alias("cents")).alias("current"), F.array(F.struct(F.lit("other").alias("kind"), c.alias("cents")), F.struct(F.lit("base").alias("kind"), (c * 2).alias("cents"))).alias("units")).alias("price"))
-    body = F.when(i % 4 == 0, F.to_json(flat)).when(i % 4 == 1, F.to_json(deep)).otherwise('{"price": null}')
-    banner = F.concat(F.lit("  Nur am "), F.initcap(F.element_at(F.array(*(F.lit(d) for d in b.WEEKDAYS)), (i % 7 + 1).cast("int"))), F.lit("! "))
-    rows = observations(spark, sf_dir).select("id", F.parse_json(body).alias("v"), b.normalized(banner).alias("banner"))
+    """Regular and unit price of a nested price object in its forms, and the kind of special of a banner that ends in a weekday."""
+    i, day = F.col("id"), F.col("day")
+    names = F.array(*map(F.lit, ("Sonntag", "MONTAG", "dienstag", "Mittwoch", "Donnerstag", "Freitag", "Samstag")))
+    banner = F.when(i % 3 == 0, F.concat(F.lit("  Nur am "), F.upper(F.date_format(day, "E")), F.lit("! "))).when(i % 3 == 1, F.concat(F.lit("Am "), F.get(names, F.dayofweek(day) - 1), F.lit(" –"))).otherwise(F.col("name"))
+    rows = observations(spark, sf_dir).select("id", F.parse_json(F.expr(BODY)).alias("v"), x.normalized(banner).alias("banner"))
     price = F.coalesce(F.try_variant_get("v", "$.price.cents", "bigint"), F.try_variant_get("v", "$.price.current.cents", "bigint"))
     units = F.filter(F.try_variant_get("v", "$.price.units", "array<struct<kind: string, cents: bigint>>"), lambda u: u["kind"] == "base")
     kinds = F.create_map(*(F.lit(x) for d in b.WEEKDAYS for x in (d, f"{d}_special")))
-    return rows.select("id", price.alias("price"), F.get(units, 0)["cents"].alias("unit_price"), F.element_at(kinds, F.element_at(F.split("banner", " "), -1)).alias("special"))
+    return rows.select("id", price.alias("price"), F.get(units, 0)["cents"].alias("unit_price"), F.try_element_at(kinds, F.element_at(F.split("banner", " "), -1)).alias("special"))
+
+
+#: Titles around the names of offers, in words that both engines read.
+TITLE = """case id % 8 when 0 then 'Payback Coupon für ' || name when 1 then 'zzgl. 0,25 Pfand' when 2 then '-- ' || cents || ' --' when 3 then name || ' zzgl. Pfand' when 4 then upper(name) || ' GUTSCHEIN' when 5 then 'Pfand ' || cents when 6 then brand else name end"""
 
 
-@query("""select id, case id % 5 when 0 then 'promo' when 1 then 'deposit_only' when 2 then 'noise' else 'product' end as kind, case when id % 5 = 0 then 'noise_recognised' when id % 5 = 4 and cents < 3000 then 'known_miss' else 'candidate' end as miss,
-  case when id % 2 = 0 and id % 3 = 0 then 'math_verified' when id % 2 = 0 then 'math_correction_review' when id % 3 = 0 then 'unresolved_math_conflict' else 'semantic_price_only' end as tier from obs""")
+@query(f"""with t as (select *, {TITLE} as title from obs), k as (select *, case when regexp_matches(lower(title), '{'|'.join(b.PROMO_WORDS)}') then 'promo' when contains(lower(title), 'pfand') and not regexp_matches(lower(title), '[a-z]{{5,}}.*pfand') then 'deposit_only'
+  when not coalesce(regexp_matches(title, '\\p{{L}}{{2}}'), false) then 'noise' else 'product' end as kind from t),
+known as (select distinct {NORM.format("name")} as title from obs where requires_app and app_cents is null and day = (select min(day) from obs))
+select id, kind, case when kind = 'promo' then 'noise_recognised' when kind = 'product' and {NORM.format("k.title")} in (select title from known) then 'known_miss' else 'candidate' end as miss,
+  case when coalesce(abs(regular_cents * (100 - percent) - cents * 100) <= 100, false) then case when mode = 'fixed_package' then 'math_verified' else 'math_correction_review' end
+    when regular_cents is not null and percent is not null and mode = 'fixed_package' then 'unresolved_math_conflict' else 'semantic_price_only' end as tier from k""")
 def title_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles that are promotion, a bare deposit or noise; known misses; the tier of the evidence of a price."""
-    i = F.col("id")
-    title = F.when(i % 5 == 0, "Payback Coupon").when(i % 5 == 1, "zzgl. 0,25 Pfand").when(i % 5 == 2, "-- 12 --").otherwise(F.col("name"))
-    rows = observations(spark, sf_dir).select("id", "cents", title.alias("title"), (i % 2 == 0).alias("math"), (i % 3 == 0).alias("exact"))
+    """Titles that are promotion, a bare deposit or noise; misses known by their title from the first day's app-only offers without
+    an app price; the tier of the evidence of a price: whether the regular price and the percentage give it, to a cent."""
+    obs = observations(spark, sf_dir).withColumn("title", F.expr(TITLE))
+    first = obs.agg(F.min("day").alias("first"))
+    known = obs.filter("requires_app and app_cents is null").join(F.broadcast(first), F.col("day") == F.col("first")).select(x.normalized(F.col("name")).alias("known")).distinct()
     low = F.lower("title")
-    kind = F.when(low.rlike("|".join(b.PROMO_WORDS)), "promo").when(low.rlike("pfand") & ~low.rlike(r"[a-z]{5,}.*pfand"), "deposit_only").when(~F.col("title").rlike(r"\p{L}{2}"), "noise").otherwise("product")
-    miss = F.when(F.col("kind") == "promo", "noise_recognised").when((F.col("kind") == "product") & (F.col("id") % 5 == 4) & (F.col("cents") < 3000), "known_miss").otherwise("candidate")
-    tier = F.when(F.col("math") & F.col("exact"), "math_verified").when(F.col("math"), "math_correction_review").when(F.col("exact"), "unresolved_math_conflict").otherwise("semantic_price_only")
-    return rows.withColumn("kind", kind).select("id", "kind", miss.alias("miss"), tier.alias("tier"))
+    kind = F.when(low.rlike("|".join(b.PROMO_WORDS)), "promo").when(low.rlike("pfand") & ~low.rlike(r"[a-z]{5,}.*pfand"), "deposit_only").when(~F.coalesce(F.col("title").rlike(r"\p{L}{2}"), F.lit(False)), "noise").otherwise("product")
+    rows = obs.withColumns({"kind": kind, "key": x.normalized(F.col("title"))}).join(known, F.col("key") == F.col("known"), "left")
+    miss = F.when(F.col("kind") == "promo", "noise_recognised").when((F.col("kind") == "product") & F.col("known").isNotNull(), "known_miss").otherwise("candidate")
+    math = F.coalesce(F.abs(F.col("regular_cents") * (100 - F.col("percent")) - F.col("cents") * 100) <= 100, F.lit(False))
+    exact = F.coalesce(F.col("mode") == "fixed_package", F.lit(False))
+    tried = F.col("regular_cents").isNotNull() & F.col("percent").isNotNull()
+    tier = F.when(math & exact, "math_verified").when(math, "math_correction_review").when(tried & exact, "unresolved_math_conflict").otherwise("semantic_price_only")
+    return rows.select("id", "kind", miss.alias("miss"), tier.alias("tier"))
 
 
 @query("""with r as (select id, list_sort(list_distinct(list_filter([case when id % 10 = 0 then 'bad_key' end, case when cents <= 0 then 'bad_price' end, case when (app_cents is not null) <> requires_app then 'app_price_mismatch' end, case when valid_until < valid_from then 'bad_window' end, case when mode is null then 'unknown_mode' end, case when o.day > date '2024-01-25' then 'page_out_of_range' end], lambda x: x is not null))) as reasons from obs o)

@@ -77,3 +77,10 @@ select id, chain, store, offer, cents, (least(valid_until, date '2024-01-21') -
 def requested_week(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Offers of the week that starts on a Monday."""
     return reads.weekly(observations(spark, sf_dir), "2024-01-15").select("id", "chain", "store", "offer", "cents", "days")
+
+
+@query(f"""select id, chain, store, offer, cents from obs where valid_from = date '{AS_OF}' and valid_until = date '{AS_OF}'
+qualify row_number() over (partition by chain, store, offer order by collected_at desc, id) = 1""")
+def requested_specials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is on offer on this one day only, the newest of each identity."""
+    return reads.daily_specials(observations(spark, sf_dir), AS_OF).select("id", "chain", "store", "offer", "cents")

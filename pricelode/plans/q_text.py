@@ -20,6 +20,13 @@ def normalized_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("doc_id", F.md5("n").alias("normalized_md5"), F.length("n").cast("long").alias("normalized_chars"))
 
 
+@query()
+def composed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The normalised form of texts in any Unicode form: compatibility composition and full case folding come first."""
+    n = table(spark, sf_dir, "documents").select("doc_id", x.normalized(x.composed(F.col("text"))).alias("n"))
+    return n.select("doc_id", F.md5("n").alias("composed_md5"), F.length("n").cast("long").alias("composed_chars"))
+
+
 @query("""select p_partkey, regexp_replace(translate(lower(p_name || ' Größe Crème Señor'), 'äöüàâáçéèêëîïíñóôòúùûÿ', 'aouaaaceeeeiiinooouuuy'), 'ß', 'ss')
   .regexp_replace('[^a-z0-9]+', '', 'g') as folded from part""")
 def ascii_names(spark: SparkSession, sf_dir: str) -> DataFrame:

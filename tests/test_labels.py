@@ -1,9 +1,12 @@
 """Packages, price contexts and references: the forms their rules turn on, as tables of examples."""
 
+import hashlib
 import json
 import random
+import unicodedata
 
 import pytest
+import regex as re
 from pyspark.sql import functions as F
 
 from pricelode.functions import labels, text
@@ -69,3 +72,32 @@ def test_references_are_followed(spark):
             want[(d, i)] = (None, None, "cycle") if cycle else (at, len(seen), "too_deep" if len(seen) > 10 else "resolved")
     assert got == want
     assert pointers.chased(spark.createDataFrame([], "doc int, node int, target int")).count() == 0
+
+
+def test_names_that_hold_each_other(spark):
+    cases = [("Bio Milch", "biomilch", "0.2", 1.0), ("Bio Milch", "Die Bio-Milch 3,5 %", "0.2", 1.0), ("Milch", "Mehl", "0.2", 0.2), ("", "Mehl", "0.2", 0.2), (None, None, "0.2", 0.2), ("%", "100 % Saft", "0.2", 0.2), ("Straße", "STRASSE 5", "0.5", 1.0)]
+    got = one(spark, [c[:3] for c in cases], labels.contained(F.col("c0"), F.col("c1"), F.col("c2").cast("double")))
+    assert got == [c[3] for c in cases]
+    said = [("frische Bio Milch heute", "Bio Milch", True), ("Milch aus Bio Anbau", "Bio Milch", True), ("Bio Mehl", "Bio Milch Natur", False), ("Bio und Milch", "Bio Milch Natur", True), ("x", None, False), (None, "x", False)]
+    assert one(spark, [c[:2] for c in said], labels.echoes(F.col("c0"), F.col("c1"))) == [c[2] for c in said]
+
+
+def test_brands_and_labels(spark):
+    brands = [("Dr. Oetker Pizza", "Dr. Oetker", "pizza"), ("Dr. Oetker", "Dr. Oetker", "dr oetker"), ("Oetkers Pizza", "Oetker", "oetkers pizza"), ("Pizza", None, "pizza"), ("Pizza", "!", "pizza"), (None, "Oetker", "")]
+    assert one(spark, [c[:2] for c in brands], labels.without_brand(F.col("c0"), F.col("c1"))) == [c[2] for c in brands]
+    loud = [("MILKA", True), ("MILka", False), ("MILKa", True), ("ÄÖÜß", True), ("12 %", False), ("", False)]
+    assert one(spark, [c[0] for c in loud], labels.brandlike(F.col("c0"))) == [c[1] for c in loud]
+    ends = [("Milka® ", "Milka"), ("Käse  und", "Käse"), ("Käse FÜR", "Käse"), ("Hund", "Hund"), ("und", "und"), ("Brot mit je", "Brot mit"), (None, "")]
+    assert one(spark, [c[0] for c in ends], labels.clean_label(F.col("c0"))) == [c[1] for c in ends]
+
+
+def test_composed_text_by_brute_force(spark, sf):
+    """Every document against Python's own tables; forms that the data may lack by hand."""
+    from pricelode.plans.registry import queries
+
+    plain = lambda t: re.sub(r"[^\p{L}\p{N}%]+", " ", unicodedata.normalize("NFKC", t).casefold()).strip() if t is not None else ""
+    texts = {r[0]: r[1] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    got = {r["doc_id"]: (r["composed_md5"], r["composed_chars"]) for r in queries()["composed_text"](spark, sf).collect()}
+    assert got == {d: (hashlib.md5(plain(t).encode()).hexdigest(), len(plain(t))) for d, t in texts.items()}
+    forms = ["Müsli", "ﬁsch", "１００％", "STRAẞE", "①", None, ""]
+    assert one(spark, forms, text.normalized(text.composed(F.col("c0")))) == ["müsli", "fisch", "100%", "strasse", "1", "", ""]
