@@ -134,6 +134,27 @@ def assign(costs: DataFrame, page: str, row: str, col: str, cost: str) -> DataFr
     return costs.groupBy(page).applyInPandas(run, f"{page} {kind[page]}, {row} {kind[row]}, {col} {kind[col]}, {cost} double")
 
 
+def assign_near(costs: DataFrame, row: str, col: str, cost: str) -> DataFrame:
+    """row, col, cost, component: as many one-to-one pairs as there can be, and of such choices one of the least total cost, where
+    ``costs`` holds the pairs that may be made at all (ids are whole numbers).
+
+    Pairs bind only within a connected component of the graph that they make, so each is solved by itself: a component with one row or
+    one column takes its cheapest pair (of equal costs the smallest ids), in a grouped minimum; the others go to tasks by component,
+    never a page at once.  A pair that is there twice counts with its lower cost; null or non-finite costs are no pair."""
+    value = F.col(cost).cast("double")
+    known = costs.filter(value.isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))).groupBy(row, col).agg(F.min(value).alias(cost))
+    a, b = F.col(row).cast("long") * 2, F.col(col).cast("long") * 2 + 1
+    edges = written(known.select(row, col, cost, a.alias("a"), b.alias("b")), "costs")
+    nodes = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
+    dealt = written(edges.join(components(nodes, edges).withColumnRenamed("id", "a"), "a").drop("a", "b"), "dealt")
+    span = [f(c).alias(f"_{i}{c}") for c in (row, col) for i, f in enumerate((F.min, F.max))]
+    kinds = dealt.groupBy("component").agg(*span, F.min_by(F.struct(row, col, cost), F.struct(cost, row, col)).alias("_least"))
+    star = (F.col(f"_0{row}") == F.col(f"_1{row}")) | (F.col(f"_0{col}") == F.col(f"_1{col}"))
+    single = kinds.filter(star).select(f"_least.{row}", f"_least.{col}", f"_least.{cost}", "component")
+    rest = dealt.join(kinds.filter(~star).select("component"), "component", "left_semi")
+    return single.unionByName(assign(rest, "component", row, col, cost))
+
+
 def overlapping_pairs(boxes: DataFrame, least: float, same: tuple[str, ...] = ("page",)) -> DataFrame:
     """Pairs of boxes that agree in ``same`` and whose overlap over union is ``least`` (above 0) or more: a_* and b_*, a_id < b_id.
 

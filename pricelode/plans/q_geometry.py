@@ -118,6 +118,17 @@ def page_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.assign(pairs.select(F.col("a_page").alias("page"), F.col("a_id").alias("price"), F.col("b_id").alias("title"), cost.alias("cost")), "page", "price", "title", "cost")
 
 
+@query()
+def near_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assignment of prices to titles that are at most 40 away, at the least total distance of centres: by components of near boxes."""
+    b = boxes(spark, sf_dir).filter("id % 4 < 2")
+    met = g.near_pairs(b, 40.0).filter("a_id % 4 <> b_id % 4")
+    (ax, ay), (bx, by) = g.centre("a_"), g.centre("b_")
+    price = F.when(F.col("a_id") % 4 == 0, F.col("a_id")).otherwise(F.col("b_id"))
+    costs = met.select(price.alias("price"), (F.col("a_id") + F.col("b_id") - price).alias("title"), F.sqrt(F.pow(ax - bx, F.lit(2)) + F.pow(ay - by, F.lit(2))).alias("cost"))
+    return g.assign_near(costs, "price", "title", "cost").select("price", "title", F.round("cost", 6).alias("cost"))
+
+
 @query(f"""with recursive {BOXES_SQL}, n as materialized (select *, (x1 - x0) * (y1 - y0) as area, row_number() over (partition by page order by (x1 - x0) * (y1 - y0) desc, id) as place from boxes),
 r as (select page, place, [{{'id': id, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}}] as kept from n where place = 1
 union all select n.page, n.place, case when len(list_filter(kept, lambda k: greatest(least(n.x1, k.x1) - greatest(n.x0, k.x0), 0) * greatest(least(n.y1, k.y1) - greatest(n.y0, k.y0), 0) / (n.area + (k.x1 - k.x0) * (k.y1 - k.y0) - greatest(least(n.x1, k.x1) - greatest(n.x0, k.x0), 0) * greatest(least(n.y1, k.y1) - greatest(n.y0, k.y0), 0)) >= 0.5)) > 0 then kept
