@@ -603,3 +603,27 @@ def test_cells_of_fingerprints_follow_the_bytes(spark, docs, monkeypatch):
     assert sorted(map(str, rows.filter("not copy").select("doc_id", "text", "next_text").collect())) == few
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0]
     assert rows.select("g").distinct().count() > total // 4000 and rows.select(F.spark_partition_id()).distinct().count() > 8
+
+
+def test_suffix_dedup_of_texts_of_several_megabytes(spark):
+    """Texts longer than the pieces in which they are read and sent: strings across those cuts, within one text and between two."""
+    rng = np.random.default_rng(11)
+    letters = lambda n: bytearray(rng.integers(97, 123, n, dtype=np.uint8).tobytes())
+    long, twin = letters(3_300_000), letters(1_500_000)
+    assert len(long) > 3 * max(suffix.PIECE, suffix.CUT_BYTES)
+    long[2_500_000 - 1 : 2_500_501] = b"#" + long[300_000:300_500] + b"#"  # 500 bytes again in the same text
+    edges = [(suffix.PIECE - 300, 600), (2 * suffix.CUT_BYTES - 450, 500)]
+    short = b"#" + b"#".join(bytes(long[a : a + n]) for a, n in edges) + b"#"
+    near = b"#" + bytes(long[700_000:700_399]) + b"#"  # one byte too short
+    texts = {1: bytes(long), 2: short, 3: bytes(twin), 4: bytes(twin), 5: near}
+    docs = spark.createDataFrame([(d, t.decode()) for d, t in texts.items()], "doc_id long, text string")
+    gone = {1: [(300_000, 500), *edges, (2_500_000, 500)], 2: [(1, 600), (602, 500)], 3: [(0, len(twin))], 4: [(0, len(twin))], 5: []}
+    want = []
+    for d, t in texts.items():
+        mask = np.ones(len(t), bool)
+        for a, n in gone[d]:
+            mask[a : a + n] = False
+        kept = np.frombuffer(t, np.uint8)[mask].tobytes()
+        want.append((d, len(t), len(t) - len(kept), len(gone[d]), hashlib.sha256(kept).hexdigest()))
+    for passage in (None, 240):
+        assert sorted(tuple(r)[:5] for r in suffix_rows(docs, 400, passage).collect()) == want
