@@ -57,25 +57,89 @@ def same_names(p: DataFrame) -> DataFrame:
     return _related([left.join(right, F.col("left_normal") == F.col("right_normal"))])
 
 
+RELATIONS = ("exact", "incomplete")
+
+
+def _names(p: DataFrame) -> DataFrame:
+    """chain, name, normal, words of each name of a chain, with ``kinds``: its distinct (package, coded, brand).  Which code it
+    is matters to pairs of one code alone; to all others only whether there is one."""
+    own = p.groupBy("chain", "name", "normal", "words", "package", "code").agg(F.min("brand").alias("brand"))
+    kind = F.struct("package", F.col("code").isNotNull().alias("coded"), "brand")
+    return written(own.groupBy("chain", "name", "normal", "words").agg(F.collect_set(kind).alias("kinds")), "names")
+
+
+def _bare(kinds: Column) -> Column:
+    """Kinds without their brand."""
+    return F.array_distinct(F.transform(kinds, lambda k: F.struct(k["package"].alias("package"), k["coded"].alias("coded"))))
+
+
+def _full(brand: Column, normal: Column) -> Column:
+    """The normalised name with its brand in front, null without one."""
+    return F.when(brand != "", F.concat_ws(" ", brand, normal))
+
+
+def _relations(left: Column, right: Column) -> Column:
+    """The relations in which two lists of kinds have a pair without conflict of package that has not two codes."""
+
+    def some(relation: str) -> Column:
+        def meets(a: Column, b: Column) -> Column:
+            unknown = F.coalesce((a["package"] == 0) | (b["package"] == 0), F.lit(False))
+            fits = unknown if relation == "incomplete" else ~unknown & F.coalesce(a["package"] == b["package"], F.lit(False))
+            return fits & ~(a["coded"] & b["coded"])
+
+        return F.exists(left, lambda a: F.exists(right, lambda b: meets(a, b)))
+
+    return F.array_compact(F.array(*(F.when(some(r), F.lit(r)) for r in RELATIONS)))
+
+
+NAMED = ["left_chain", "right_chain", "left_name", "right_name", "left_normal", "right_normal", "left_words", "right_words"]
+
+
+def same_codes(p: DataFrame) -> DataFrame:
+    """left_chain, right_chain, left_name, right_name, relation of names of different chains with one code, without conflict of
+    package.  A name is in the join once for each of its codes, with its packages."""
+    packages = F.collect_set("package")
+    own = written(p.filter("code is not null").groupBy("code", "chain", "name").agg(F.array_remove(packages, 0).alias("known"), F.array_contains(packages, 0).alias("open")), "codes")
+    # few rows make many pairs, so codes are spread whatever the size of the rows
+    own = own.repartition(int(p.sparkSession.conf.get("spark.sql.shuffle.partitions")), "code")
+    left, right = (own.select("code", *(F.col(c).alias(f"{s}_{c}") for c in ("chain", "name", "known", "open"))) for s in ("left", "right"))
+    exact, incomplete = F.arrays_overlap("left_known", "right_known").alias("exact"), (F.col("left_open") | F.col("right_open")).alias("incomplete")
+    pairs = left.join(right, "code").filter("left_chain < right_chain")
+    held = pairs.select("left_chain", "right_chain", "left_name", "right_name", exact, incomplete).distinct()
+    relations = F.array_compact(F.array(*(F.when(F.col(r), F.lit(r)) for r in RELATIONS)))
+    return held.select("left_chain", "right_chain", "left_name", "right_name", F.explode(relations).alias("relation")).distinct()
+
+
 def blocked_pairs(p: DataFrame) -> DataFrame:
-    """Pairs of products of different chains with the same code or name, names that differ by the brand in front, or names
-    with enough words in common; each arm is a join on its own key.  No conflict of package or code."""
-    left, right = _sides(p)
-    full = lambda s: F.when(F.col(f"{s}_brand") != "", F.concat_ws(" ", F.col(f"{s}_brand"), F.col(f"{s}_normal")))
-    names = word_pairs(left.select(F.col("left_normal").alias("normal"), F.col("left_words").alias("words")))
-    return _related([
-        left.join(right, F.col("left_code") == F.col("right_code")),
-        left.join(right, F.col("left_normal") == F.col("right_normal")),
-        left.join(right, full("left") == F.col("right_normal")),
-        left.join(right, F.col("left_normal") == full("right")),
-        left.join(names, "left_normal").join(right, "right_normal").select(*left.columns, *right.columns),
-    ])
+    """Pairs of names of different chains with the same code or name, names that differ by the brand in front, or names with
+    enough words in common, by ``arm`` and relation; each arm is a join on its own key.  No conflict of package or code.
+    Products of one name are one row of a join, so pairs grow with names, not with products."""
+    own = _names(p)
+    side = lambda s, *more: own.select(*(F.col(c).alias(f"{s}_{c}") for c in own.columns), *more)
+    left, right = side("left"), side("right")
+    branded = lambda s: own.select(*(F.col(c).alias(f"{s}_{c}") for c in own.columns if c != "kinds"), F.explode("kinds").alias("k")).select("*", _full(F.col("k.brand"), F.col(f"{s}_normal")).alias("full")).filter("full is not null").groupBy(*(f"{s}_{c}" for c in own.columns if c != "kinds"), "full").agg(F.collect_set("k").alias(f"{s}_kinds"))
+
+    def arm(name: str, pairs: DataFrame, a: Column, b: Column) -> DataFrame:
+        found = pairs.filter("left_chain < right_chain").select(*NAMED, F.explode(_relations(a, b)).alias("relation"))
+        return found.distinct().withColumn("arm", F.lit(name))
+
+    a, b = _bare(F.col("left_kinds")), _bare(F.col("right_kinds"))
+    same = arm("same_name", left.join(right, F.col("left_normal") == F.col("right_normal")), a, b)
+    before = branded("left").join(right, F.col("full") == F.col("right_normal")).drop("full")
+    behind = left.join(branded("right"), F.col("left_normal") == F.col("full")).drop("full")
+    prefixed = arm("prefixed", before.unionByName(behind), a, b)
+    names = word_pairs(own.select("normal", "words")).filter("left_normal <> right_normal")
+    # a pair of products whose names differ by the brand in front has that evidence; others of the two names have not
+    plain = lambda s, other: _bare(F.filter(f"{s}_kinds", lambda k: ~F.coalesce(_full(k["brand"], F.col(f"{s}_normal")) == F.col(f"{other}_normal"), F.lit(False))))
+    alike = arm("alike", left.join(names, "left_normal").join(right, "right_normal"), plain("left", "right"), plain("right", "left"))
+    coded = same_codes(p).select("left_chain", "right_chain", "left_name", "right_name", *(F.lit(None).cast(left.schema[c.replace("right", "left")].dataType).alias(c) for c in NAMED[4:]), "relation", F.lit("coded").alias("arm"))
+    return coded.unionByName(same).unionByName(prefixed).unionByName(alike)
 
 
 def fuzzy_names(pairs: DataFrame) -> DataFrame:
     """left_normal, right_normal, jaccard, sequence of distinct name pairs that can still reach a fuzzy method: the ratio
     itself runs only where the letters in common allow it."""
-    names = pairs.filter("not same_name").select("left_normal", "right_normal", "left_words", "right_words").distinct().withColumn("jaccard", x.jaccard(F.col("left_words"), F.col("right_words"))).filter(F.col("jaccard") >= WEIGHTED[1])
+    names = pairs.filter("arm = 'alike'").select("left_normal", "right_normal", "left_words", "right_words").distinct().withColumn("jaccard", x.jaccard(F.col("left_words"), F.col("right_words"))).filter(F.col("jaccard") >= WEIGHTED[1])
     most = x.with_letter_bound(names, "left_normal", "right_normal", "most")
     hope = ((F.col("jaccard") >= DUAL[0]) & (F.col("most") >= DUAL[1])) | ((F.col("most") >= WEIGHTED[2]) & (0.6 * F.col("jaccard") + 0.4 * F.col("most") >= WEIGHTED[0] - 1e-4))
     return most.filter(hope).select("left_normal", "right_normal", "jaccard", x.sequence_ratio("left_normal", "right_normal").alias("sequence"))
@@ -83,15 +147,15 @@ def fuzzy_names(pairs: DataFrame) -> DataFrame:
 
 def evidence(pairs: DataFrame) -> DataFrame:
     """Method and score of each pair with evidence."""
+    pairs = written(pairs, "pairs")
     rows = pairs.join(fuzzy_names(pairs), ["left_normal", "right_normal"], "left")
     score = F.round(0.6 * F.col("jaccard") + 0.4 * F.col("sequence"), 4)
-    coded = F.coalesce(F.col("left_code") == F.col("right_code"), F.lit(False))
-    prefixed = (F.concat_ws(" ", "left_brand", "left_normal") == F.col("right_normal")) | (F.concat_ws(" ", "right_brand", "right_normal") == F.col("left_normal"))
-    dual = (F.col("jaccard") >= DUAL[0]) & (F.col("sequence") >= DUAL[1])
-    weighted = (score >= WEIGHTED[0]) & (F.col("jaccard") >= WEIGHTED[1]) & (F.col("sequence") >= WEIGHTED[2])
+    is_ = lambda arm: F.col("arm") == arm
+    dual = is_("alike") & (F.col("jaccard") >= DUAL[0]) & (F.col("sequence") >= DUAL[1])
+    weighted = is_("alike") & (score >= WEIGHTED[0]) & (F.col("jaccard") >= WEIGHTED[1]) & (F.col("sequence") >= WEIGHTED[2])
     cascade = [
-        (coded, "code_exact", F.lit(EXACT_CODE)), (prefixed, "brand_prefix", F.when(F.col("relation") == "exact", BRAND_EXACT).otherwise(BRAND_INCOMPLETE)),
-        (F.col("same_name"), "exact_name", F.lit(EXACT_NAME)), (dual, "dual_threshold", score), (weighted, "weighted_fuzzy", score),
+        (is_("coded"), "code_exact", F.lit(EXACT_CODE)), (is_("prefixed"), "brand_prefix", F.when(F.col("relation") == "exact", BRAND_EXACT).otherwise(BRAND_INCOMPLETE)),
+        (is_("same_name"), "exact_name", F.lit(EXACT_NAME)), (dual, "dual_threshold", score), (weighted, "weighted_fuzzy", score),
     ]
     method, own = F.lit(None).cast("string"), F.lit(None).cast("double")
     for holds, name, value in reversed(cascade):
