@@ -121,3 +121,19 @@ def test_short_names_still_match(spark):
     frame = spark.createDataFrame(rows, "p_type string, p_name string, p_brand string, p_size int, code string")
     got = {(r["left_name"], r["right_name"], r["method"]) for r in matching.evidence(matching.blocked_pairs(matching.products(frame, F.col("code")))).collect()}
     assert got == {("a b", "a b", "exact_name"), ("ö", "zz", "code_exact")}
+
+
+def test_products_of_one_name_are_one_row(spark):
+    """Two names with many products and codes are as many pairs as they have kinds of evidence, not as their products."""
+    def code(i):
+        body = f"{400000000000 + i}"
+        return body + str((10 - sum(int(d) * (3 if k % 2 == 0 else 1) for k, d in enumerate(reversed(body))) % 10) % 10)
+
+    rows = [(c, "red ring", f"b{i % 5}", i % 3, code(i) if i % 7 else None) for c in "xy" for i in range(120)]
+    frame = spark.createDataFrame(rows, "p_type string, p_name string, p_brand string, p_size int, code string")
+    p = matching.products(frame, F.col("code"))
+    pairs = matching.blocked_pairs(p)
+    assert pairs.count() == 4
+    want = {("x", "y", "red ring", "red ring", r, m, v) for r in ("exact", "incomplete") for m, v in (("code_exact", 1.0), ("exact_name", 0.88))}
+    assert {tuple(r) for r in matching.evidence(pairs).collect()} == want
+    assert {r["relation"] for r in matching.same_codes(p).collect()} == {"exact", "incomplete"}
