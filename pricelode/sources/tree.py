@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -81,23 +81,29 @@ PRICE_WORDS = ["preis", "€", "eur", "rabatt", "pfand"]
 LONGEST_DAYS = 7
 
 
-def labelled_cents(text: Column, kind: str) -> Column:
-    """Cents of the first price that carries this label in a text."""
+def printed_cents(text: Column, kind: str) -> Column:
+    """Cents of the first price that carries this label in a text, zero included."""
     pattern = rf"(?i){PRICE_LABELS[kind].replace(' ', chr(92) + 's+')}\s+(\d{{1,4}}(?:[.,]\d{{1,2}})?)\s*€"
     number = F.replace(F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")), F.lit(","), F.lit(".")).try_cast("decimal(8,2)")
-    return F.when(number > 0, (number * 100).cast("long"))
+    return (number * 100).cast("long")
+
+
+def labelled_cents(text: Column, kind: str) -> Column:
+    """The same of a price that counts: one above zero."""
+    return F.nullif(printed_cents(text, kind), F.lit(0).cast("long"))
 
 
 def _price(labels: Column, text: Column) -> Column:
-    """struct(cents, app_cents, requires_app) by the labels of a container; where none says so, by its whole text."""
+    """struct(cents, app_cents, requires_app, app_printed) by the labels of a container; where none says so, by its whole text."""
 
-    def read(kind: str) -> Column:
-        return F.get(F.filter(F.transform(labels, lambda x: labelled_cents(x, kind)), lambda c: c.isNotNull()), F.lit(0))
+    def read(kind: str, cents: Callable[[Column, str], Column] = labelled_cents) -> Column:
+        return F.get(F.filter(F.transform(labels, lambda x: cents(x, kind)), lambda c: c.isNotNull()), F.lit(0))
 
     named = F.coalesce(*(read(k) for k in PRICE_LABELS)).isNotNull()
     either = {k: F.when(named, read(k)).otherwise(labelled_cents(text, k)) for k in PRICE_LABELS}
     plain = F.coalesce(either["fixed"], either["reduced"])
-    made = F.struct(F.coalesce(plain, either["app"]).alias("cents"), either["app"].alias("app_cents"), plain.isNull().alias("requires_app"))
+    printed = F.coalesce(either["app"], F.when(named, read("app", printed_cents)).otherwise(printed_cents(text, "app")))
+    made = F.struct(F.coalesce(plain, either["app"]).alias("cents"), either["app"].alias("app_cents"), plain.isNull().alias("requires_app"), printed.alias("app_printed"))
     return F.when(F.coalesce(plain, either["app"]).isNotNull(), made)
 
 
@@ -121,7 +127,8 @@ def _texts(tree: DataFrame, page: str, mark: str, name: str) -> DataFrame:
 def offer_cards(pages: DataFrame, page: str, html: str, url: str, collected: str, store: str) -> tuple[DataFrame, DataFrame]:
     """(offers, states) of store pages with ``url``, day of collection and name of the store.
 
-    offers: page, offer_id, name, cents, app_cents, requires_app, valid_from, valid_until.  states: page, state (ok or
+    offers: page, offer_id, name, cents, app_cents, requires_app, valid_from, valid_until, app_printed (the app price as it
+    is printed: a zero there is no price, so app_cents is null).  states: page, state (ok or
     rejected), reasons (sorted), n_offers.  A card is a link to a fragment with an offer's id, the article around it and the dialog
     of that id; the first link of an id counts.  Its price is what a label in the article says, else in the dialog.  A card
     with points only or with nothing but a deposit is left out.  A page whose meaning is not sure in any point (title of another store, no or several
@@ -186,5 +193,5 @@ def offer_cards(pages: DataFrame, page: str, html: str, url: str, collected: str
     state = F.when(F.size("reasons") == 0, "ok").otherwise("rejected")
     states = written(states.select(page, state.alias("state"), F.array_join("reasons", "; ").alias("reasons"), F.when(F.size("reasons") == 0, F.col("n")).otherwise(0).cast("long").alias("n_offers"), "valid_from", "valid_until"), "states")
     fine = states.filter("state = 'ok'").select(page, "valid_from", "valid_until")
-    offers = cards.filter("outcome = 'offer'").join(fine, page).select(page, "offer_id", "name", "price.cents", "price.app_cents", "price.requires_app", "valid_from", "valid_until")
+    offers = cards.filter("outcome = 'offer'").join(fine, page).select(page, "offer_id", "name", "price.cents", "price.app_cents", "price.requires_app", "valid_from", "valid_until", "price.app_printed")
     return offers, states.drop("valid_from", "valid_until")

@@ -86,3 +86,12 @@ def test_links_within_the_page(spark, url):
     hrefs = [f"{url}#angebot-{IDS[0]}", f"#angebot-{IDS[1]}"]
     offers, states = read(spark, page(*(card(i, FIXED, href=h) for i, h in enumerate(hrefs))), url=url)
     assert states == {0: ("ok", "", 2)} and len(offers) == 2
+
+
+def test_app_price_of_zero(spark):
+    """No price to act on, but printed: the query reports it beside the plain price, and alone it is no price."""
+    zero = APP.replace("0,99", "0,00")
+    frame = spark.createDataFrame([(0, page(card(0, zero + FIXED), card(1, APP + FIXED)), URL, date(2026, 7, 21), "Markt Nord"), (1, page(card(2, zero)), URL, date(2026, 7, 21), "Markt Nord")], "page int, html string, url string, day date, store string")
+    offers, states = tree.offer_cards(frame, "page", "html", "url", "day", "store")
+    assert sorted((r["cents"], r["app_cents"] or -1, r["app_printed"]) for r in offers.collect()) == [(111, -1, 0), (111, 99, 99)]
+    assert {r["page"]: r["state"] for r in states.collect()} == {0: "ok", 1: "rejected"}
