@@ -184,11 +184,13 @@ select euro_id, cent_id, price, gap from p where rn = 1""")
 def split_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A euro word and the nearest cent word to its right on the line, within 120."""
     w = observations(spark, sf_dir).select("id", (F.col("id") % 300).alias("page"), (F.col("id") % 7).alias("line"), F.expr("cents div 100").alias("euro"), (F.col("cents") % 100).alias("cent"), (F.col("id") * 37 % 500).cast("double").alias("x"))
-    a, b = w.select("page", "line", F.col("id").alias("euro_id"), "euro", F.col("x").alias("xa")), w.select("page", "line", F.col("id").alias("cent_id"), "cent", F.col("x").alias("xb"))
-    gap = F.col("xb") - F.col("xa")
-    pairs = a.join(b, ["page", "line"]).filter((gap > 0) & (gap <= 120)).withColumn("gap", gap)
-    rank = F.row_number().over(Window.partitionBy("euro_id").orderBy("gap", "cent_id"))
-    return pairs.withColumn("rn", rank).filter("rn = 1").select("euro_id", "cent_id", (F.col("euro") * 100 + F.col("cent")).alias("price"), "gap")
+    # places that words of a line share are one row: the first cent word of each, and the next place to its right
+    spots = w.groupBy("page", "line", "x").agg(F.min(F.struct(F.col("id").alias("cent_id"), "cent")).alias("word")).withColumn("_left", -F.col("x"))
+    told = scan.before(scan.dealt(spots, ["page", "line"], ["_left"]), ["page", "line"], ["_left"], ["x", "word"], "next")
+    gap = F.col("next.x") - F.col("x")
+    near = told.select("page", "line", "x", gap.alias("gap"), "next.word.cent_id", "next.word.cent").filter("gap <= 120")
+    found = w.join(near.withColumnRenamed("cent", "_cent"), ["page", "line", "x"]).select(F.col("id").alias("euro_id"), "cent_id", (F.col("euro") * 100 + F.col("_cent")).alias("price"), "gap")
+    return found.groupBy("euro_id").agg(F.min(F.struct("gap", "cent_id", "price")).alias("p")).select("euro_id", "p.cent_id", "p.price", "p.gap")
 
 
 @query("""with w as (select id, id % 50 as page, (id * 53 % 1000)::double as y, cents as conf from obs), g as (select *, case when y - lag(y) over (partition by page order by y, id) <= 2.6 then 0 else 1 end as fresh from w),
