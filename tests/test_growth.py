@@ -3,6 +3,7 @@
 import datetime
 
 
+from pricelode.operators import pointers
 from pricelode.plans import q_evidence
 
 
@@ -24,3 +25,13 @@ def test_split_prices_of_one_line(spark, tmp_path):
     found = q_evidence.split_prices(spark, str(tmp_path))
     assert want and {tuple(r) for r in found.collect()} == want
     assert "row_number" not in found._jdf.queryExecution().toString()
+
+
+def test_circles_end_the_rounds(spark, monkeypatch):
+    """A round in which no node comes to its end is the last one: circles do not cost a round for each doubling of the table."""
+    count, write = [], pointers.written
+    monkeypatch.setattr(pointers, "written", lambda df, tag: (count.append(tag), write(df, tag))[1])
+    rows = [(0, i, i + 1 if i < 5 else None) for i in range(6)] + [(0, 10, 11), (0, 11, 10), (0, 12, 10)] + [(0, i, None) for i in range(100, 600)]
+    got = {r["node"]: (r["last"], r["outcome"]) for r in pointers.chased(spark.createDataFrame(rows, "doc int, node int, target int")).collect()}
+    assert got[0] == (5, "resolved") and got[100] == (100, "resolved") and [got[i] for i in (10, 11, 12)] == [(None, "cycle")] * 3 and len(got) == 509
+    assert len(count) <= 6
