@@ -12,6 +12,8 @@ from pricelode.plans.base import query, table
 from pricelode.shared import shared_path
 from pricelode.sources.observations import observations
 
+#: Entries of embedded pages that a task takes.
+ENTRIES = 500_000
 NAMESPACE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
 
 
@@ -19,6 +21,9 @@ NAMESPACE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
 def embedded_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's script block holds JSON that holds JSON (a map by object id); entries without a price are left out."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").cast("string").alias("object_id"), F.when(F.col("l_quantity") > 5, F.round(F.col("l_extendedprice") * 100).cast("long")).alias("cents"))
+    # tasks follow the rows: a task builds and parses the pages of about so many of them, in all steps
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lines = lines.repartition(max(parts, lines.count() // ENTRIES + 1), "l_orderkey")
     entry = F.struct("object_id", F.struct("cents").alias("price"))
     inner = lines.groupBy("l_orderkey").agg(F.to_json(F.collect_list(entry)).alias("data"))
     page = F.concat(F.lit('<html><script id="__NEXT_DATA__" type="application/json">'), F.to_json(F.struct(F.struct("data").alias("props"))), F.lit("</script></html>"))

@@ -1,6 +1,7 @@
 """Queries whose groups hold many rows: what they form follows the rows, not their pairs."""
 
 import datetime
+import re
 
 
 from pricelode.operators import pointers
@@ -35,3 +36,10 @@ def test_circles_end_the_rounds(spark, monkeypatch):
     got = {r["node"]: (r["last"], r["outcome"]) for r in pointers.chased(spark.createDataFrame(rows, "doc int, node int, target int")).collect()}
     assert got[0] == (5, "resolved") and got[100] == (100, "resolved") and [got[i] for i in (10, 11, 12)] == [(None, "cycle")] * 3 and len(got) == 509
     assert len(count) <= 6
+
+
+def test_tasks_follow_embedded_entries(spark, sf, monkeypatch):
+    monkeypatch.setattr(q_evidence, "ENTRIES", 50)
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    plan = q_evidence.embedded_products(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(rf"hashpartitioning\(l_orderkey#\d+L, {rows // 50 + 1}\)", plan)
