@@ -22,8 +22,10 @@ STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 
 @contextmanager
-def with_store(spark: SparkSession, partitions: int = 4) -> Iterator[None]:
-    """Streams started inside use the RocksDB store and at most so many state partitions; settings come back after."""
+def with_store(spark: SparkSession, partitions: int | None = None) -> Iterator[None]:
+    """Streams started inside use the RocksDB store and at most so many state partitions (two a core, unless told); settings
+    come back after."""
+    partitions = partitions or max(4, 2 * spark.sparkContext.defaultParallelism)
     own = {"spark.sql.streaming.stateStore.providerClass": STORE, "spark.sql.shuffle.partitions": str(min(partitions, int(spark.conf.get("spark.sql.shuffle.partitions"))))}
     before = {k: spark.conf.get(k, None) for k in own}
     for k, v in own.items():

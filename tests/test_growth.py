@@ -6,6 +6,7 @@ import re
 
 from pricelode.operators import hamming, pointers
 from pricelode.plans import q_evidence
+from pricelode.streaming import stateful
 
 
 def events(spark, folder, ids):
@@ -54,3 +55,17 @@ def test_near_codes_meet_once(spark):
     assert sorted(tuple(r) for r in pairs.collect()) == want and len(want) > 100
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan and "HashAggregate" not in plan
+
+
+def test_state_partitions_follow_cores(spark):
+    with stateful.with_store(spark):
+        small = spark.conf.get("spark.sql.shuffle.partitions")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "100")
+    try:
+        with stateful.with_store(spark):
+            assert int(spark.conf.get("spark.sql.shuffle.partitions")) == 2 * spark.sparkContext.defaultParallelism
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "100"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert small == before
