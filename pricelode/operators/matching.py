@@ -18,9 +18,16 @@ BRAND_EXACT, BRAND_INCOMPLETE = 0.99, 0.93
 
 
 def products(part: DataFrame, code: Column | None = None) -> DataFrame:
-    """Distinct (chain, name, brand, package, code, words) of a product table; package 0 is unknown, code null is none."""
-    own = F.lit(None).cast("string") if code is None else x.gtin14(code)
-    rows = part.select(F.col("p_type").alias("chain"), F.col("p_name").alias("name"), F.lower("p_brand").alias("brand"), (F.col("p_size") % 3).alias("package"), own.alias("code")).distinct()
+    """(chain, name, brand, package, code, words) of a product table, distinct by the code as it is written; package 0 is
+    unknown, code null is none.  Codes and names are read after the distinct: copies cost no more than being told apart."""
+    raw = F.lit(None).cast("string") if code is None else code.cast("string")
+    rows = part.select(F.col("p_type").alias("chain"), F.col("p_name").alias("name"), F.lower("p_brand").alias("brand"), (F.col("p_size") % 3).alias("package"), raw.alias("raw")).distinct()
+    rows = written(rows, "products")  # else a filter on codes is pushed below the distinct
+    return _worded(rows.select("chain", "name", "brand", "package", (raw if code is None else x.gtin14(F.col("raw"))).alias("code")))
+
+
+def _worded(rows: DataFrame) -> DataFrame:
+    """With the normalised name and its words."""
     return rows.withColumn("normal", x.normalized(F.col("name"))).withColumn("words", x.tokens(F.col("name")))
 
 
@@ -63,9 +70,9 @@ RELATIONS = ("exact", "incomplete")
 def _names(p: DataFrame) -> DataFrame:
     """chain, name, normal, words of each name of a chain, with ``kinds``: its distinct (package, coded, brand).  Which code it
     is matters to pairs of one code alone; to all others only whether there is one."""
-    own = p.groupBy("chain", "name", "normal", "words", "package", "code").agg(F.min("brand").alias("brand"))
+    own = p.groupBy("chain", "name", "package", "code").agg(F.min("brand").alias("brand"))
     kind = F.struct("package", F.col("code").isNotNull().alias("coded"), "brand")
-    return written(own.groupBy("chain", "name", "normal", "words").agg(F.collect_set(kind).alias("kinds")), "names")
+    return written(_worded(own.groupBy("chain", "name").agg(F.collect_set(kind).alias("kinds"))).select("chain", "name", "normal", "words", "kinds"), "names")
 
 
 def _bare(kinds: Column) -> Column:
@@ -120,7 +127,8 @@ def blocked_pairs(p: DataFrame) -> DataFrame:
     branded = lambda s: own.select(*(F.col(c).alias(f"{s}_{c}") for c in own.columns if c != "kinds"), F.explode("kinds").alias("k")).select("*", _full(F.col("k.brand"), F.col(f"{s}_normal")).alias("full")).filter("full is not null").groupBy(*(f"{s}_{c}" for c in own.columns if c != "kinds"), "full").agg(F.collect_set("k").alias(f"{s}_kinds"))
 
     def arm(name: str, pairs: DataFrame, a: Column, b: Column) -> DataFrame:
-        found = pairs.filter("left_chain < right_chain").select(*NAMED, F.explode(_relations(a, b)).alias("relation"))
+        found = pairs.filter("left_chain < right_chain").select(*NAMED, a.alias("_a"), b.alias("_b"))
+        found = found.select(*NAMED, F.explode(_relations(F.col("_a"), F.col("_b"))).alias("relation"))
         return found.distinct().withColumn("arm", F.lit(name))
 
     a, b = _bare(F.col("left_kinds")), _bare(F.col("right_kinds"))

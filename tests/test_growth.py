@@ -3,8 +3,9 @@
 import datetime
 import re
 
+from pyspark.sql import functions as F
 
-from pricelode.operators import hamming, pointers
+from pricelode.operators import hamming, matching, pointers
 from pricelode.plans import q_evidence
 from pricelode.streaming import stateful
 
@@ -69,3 +70,13 @@ def test_state_partitions_follow_cores(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert small == before
+
+
+def test_codes_are_read_after_the_distinct(spark):
+    """Copies of a product are told apart by their columns as they stand; its code and name are read once, not once a copy."""
+    rows = [("x", "red ring", "b", 1, "4006381333931"), ("y", "red ring", "b", 1, "40-06381 333931"), ("y", "red ring", "b", 1, None)] * 50
+    found = matching.products(spark.createDataFrame(rows, "p_type string, p_name string, p_brand string, p_size int, code string"), F.col("code"))
+    coded = found.filter("code is not null")
+    assert found.count() == 3 and {(r["chain"], r["code"]) for r in coded.collect()} == {("x", "04006381333931"), ("y", "04006381333931")}
+    plan = coded._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" in plan and "Exchange" not in plan and "LocalTableScan" not in plan
