@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from pricelode.shared import written
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Elements and one class whose nearest enclosing node every node knows.
 MARKS = ("article", "dialog", "a", "title", "sr-only")
+_MARKS = frozenset(MARKS)
 
 
 class _Nodes(HTMLParser):
@@ -34,11 +37,12 @@ class _Nodes(HTMLParser):
             self.rows[self.open.pop()[1]][1] = len(self.rows) - 1
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        held = {k: v or "" for k, v in attrs}
+        held = {k: v or "" for k, v in attrs} if attrs else {}
         node = self.add(tag, held, None)
         if tag not in VOID:
-            own = {m: node for m in MARKS if m == tag or m in held.get("class", "").split()}
-            self.open.append((tag, node, {**(self.open[-1][2] if self.open else {}), **own}))
+            marks = self.open[-1][2] if self.open else {}
+            named = _MARKS.intersection((tag, *held["class"].split())) if "class" in held else (tag,) if tag in _MARKS else ()
+            self.open.append((tag, node, {**marks, **dict.fromkeys(named, node)} if named else marks))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.add(tag, {k: v or "" for k, v in attrs}, None)
@@ -50,24 +54,82 @@ class _Nodes(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if data.strip() and not (self.open and self.open[-1][0] in ("script", "style")):
-            self.add("#text", None, " ".join(data.replace("\xa0", " ").split()))
+            self.add("#text", None, " ".join(data.split()))  # a no-break space is space to split()
+
+
+#: Plain markup, token by token: an end tag, a start tag with quoted attributes, text, what makes no node; all else is not plain.
+_TOKEN = re.compile(r"""</([a-zA-Z][a-zA-Z0-9]*)[ \t\n\r\f]*>|<([a-zA-Z][a-zA-Z0-9]*)((?:[ \t\n\r\f]+[a-zA-Z][a-zA-Z0-9-]*="[^"]*")*)[ \t\n\r\f]*(/?)>|([^<]+)|(<![dD][oO][cC][tT][yY][pP][eE][^<>]*>|<!--[^->][^-]*-->)|(<)""")
+_ATTRIBUTE = re.compile(r'([a-zA-Z][a-zA-Z0-9-]*)="([^"]*)"')
+# Elements whose content is no markup, so a page with one (or with more than text in its title) is not plain.
+_RAW = re.compile(r"<(?:script|style|textarea|xmp|iframe|noembed|noframes|noscript|plaintext|svg|math)\b|<title\b(?![^<>]*>[^<]*</title>)", re.I)
+
+
+def _parsed(body: str) -> list[list]:
+    """Rows of the nodes of a page.  Plain pages are read by one expression; all others by the parser, with the same rows."""
+    nodes = _Nodes()
+    if not _RAW.search(body):
+        for token in _TOKEN.finditer(body):
+            end, start, attrs, alone, text, _, other = token.groups()
+            if other:
+                break
+            if text:
+                nodes.handle_data(unescape(text) if "&" in text else text)
+            elif end:
+                nodes.handle_endtag(end.lower())
+            elif start:
+                pairs = [(k.lower(), unescape(v) if "&" in v else v) for k, v in _ATTRIBUTE.findall(attrs)] if attrs else []
+                (nodes.handle_startendtag if alone else nodes.handle_starttag)(start.lower(), pairs)
+        else:
+            nodes.close_to(0)
+            return nodes.rows
+        nodes = _Nodes()
+    nodes.feed(body)
+    nodes.close()
+    nodes.close_to(0)
+    return nodes.rows
+
+
+#: Columns of the nearest marks of a node.
+_IN = {mark: f"in_{mark.replace('-', '_')}" for mark in MARKS}
+#: Nodes of a batch that goes back to Spark.
+BATCH = 50_000
+
+
+def _nodes(pages: DataFrame, page: str, html: str, only: frozenset[str] | None = None) -> DataFrame:
+    """page, node, last, tag, attrs, text and a column for each mark; the nodes of ``only`` these tags."""
+    kind = pages.schema[page].dataType
+    marks = list(_IN)
+    schema = f"{page} {kind.simpleString()}, node int, last int, tag string, attrs map<string,string>, text string, {', '.join(f'{c} int' for c in _IN.values())}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, keys = [], []
+
+            def made() -> pa.RecordBatch:
+                node, last, tag, attrs, text, around = ([r[i] for r in held] for i in range(6))
+                pairs = [None if x is None else list(x.items()) for x in attrs]
+                columns = [batch.column(0).take(pa.array(keys, pa.int32())), pa.array(node, pa.int32()), pa.array(last, pa.int32()), pa.array(tag, pa.string()), pa.array(pairs, pa.map_(pa.string(), pa.string())), pa.array(text, pa.string())]
+                columns += [pa.array([x.get(m) for x in around], pa.int32()) for m in marks]
+                return pa.RecordBatch.from_arrays(columns, [batch.schema.names[0], "node", "last", "tag", "attrs", "text", *_IN.values()])
+
+            for i, body in enumerate(batch.column(1)):
+                rows = _parsed(body.as_py() or "")
+                rows = rows if only is None else [r for r in rows if r[2] in only]
+                held += rows
+                keys += [i] * len(rows)
+                if len(held) >= BATCH:
+                    yield made()
+                    held, keys = [], []
+            yield made()
+
+    return pages.select(page, html).mapInArrow(run, schema)
 
 
 def document_tree(pages: DataFrame, page: str, html: str) -> DataFrame:
     """page, node, last, tag, attrs, text, marks (name of a mark -> nearest enclosing node).  A node encloses those from its
     own number to ``last``.  Null pages have no nodes; elements that are never closed end with what encloses them."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for key, body in zip(frame[page], frame[html], strict=True):
-                parser = _Nodes()
-                parser.feed(body or "")
-                parser.close()
-                parser.close_to(0)
-                yield pd.DataFrame([(key, *r) for r in parser.rows], columns=[page, "node", "last", "tag", "attrs", "text", "marks"])
-
-    kind = pages.schema[page].dataType.simpleString()
-    return pages.select(page, html).mapInPandas(run, f"{page} {kind}, node int, last int, tag string, attrs map<string,string>, text string, marks map<string,int>")
+    marks = F.map_filter(F.create_map(*(c for mark, at in _IN.items() for c in (F.lit(mark), F.col(at)))), lambda _, at: at.isNotNull())
+    return _nodes(pages, page, html).select(page, "node", "last", "tag", "attrs", "text", marks.alias("marks"))
 
 
 # Forms of an offer's fragment, of the labels that say what a price is, of the dates of a page, and words.
@@ -88,40 +150,39 @@ def printed_cents(text: Column, kind: str) -> Column:
     return (number * 100).cast("long")
 
 
-def labelled_cents(text: Column, kind: str) -> Column:
-    """The same of a price that counts: one above zero."""
-    return F.nullif(printed_cents(text, kind), F.lit(0).cast("long"))
-
-
-def _price(labels: Column, text: Column) -> Column:
-    """struct(cents, app_cents, requires_app, app_printed) by the labels of a container; where none says so, by its whole text."""
-
-    def read(kind: str, cents: Callable[[Column, str], Column] = labelled_cents) -> Column:
-        return F.get(F.filter(F.transform(labels, lambda x: cents(x, kind)), lambda c: c.isNotNull()), F.lit(0))
-
-    named = F.coalesce(*(read(k) for k in PRICE_LABELS)).isNotNull()
-    either = {k: F.when(named, read(k)).otherwise(labelled_cents(text, k)) for k in PRICE_LABELS}
-    plain = F.coalesce(either["fixed"], either["reduced"])
-    printed = F.coalesce(either["app"], F.when(named, read("app", printed_cents)).otherwise(printed_cents(text, "app")))
-    made = F.struct(F.coalesce(plain, either["app"]).alias("cents"), either["app"].alias("app_cents"), plain.isNull().alias("requires_app"), printed.alias("app_printed"))
-    return F.when(F.coalesce(plain, either["app"]).isNotNull(), made)
-
-
-def _deposit_only(text: Column) -> Column:
-    """The only money in the texts of a card is a deposit: nothing else names a price, a discount or a decimal number."""
-    pieces = F.transform(text, F.lower)
+def _of_containers(tree: DataFrame, page: str, marks: tuple[str, ...]) -> DataFrame:
+    """page, at (node of an element of these marks), pieces (node, text, label_node) of its text in order."""
+    at = F.explode(F.array_compact(F.array(*(_IN[m] for m in marks))))
+    rows = tree.filter("tag = '#text'").select(page, at.alias("at"), F.struct("node", "text", F.col("in_sr_only").alias("label_node")).alias("piece"))
+    return rows.groupBy(page, "at").agg(F.sort_array(F.collect_list("piece")).alias("pieces"))
+
+
+def _readings(tree: DataFrame, page: str) -> DataFrame:
+    """page, at, price and what else is said in each article and dialog, one row of plain values: price struct(cents, app_cents, requires_app, app_printed)
+    by its labels, where none says so by its whole text; points (points only), unknown (a label with a price word), money (a
+    deposit's) and other (what may be a price beside it).  Prices are columns of their own step, as each is read more than once."""
+    said = lambda pieces: F.transform(pieces, lambda p: p["text"])
+    spoken = F.array_sort(F.array_distinct(F.array_compact(F.transform("pieces", lambda p: p["label_node"]))))
+    rows = _of_containers(tree, page, ("article", "dialog")).select(page, "at", "pieces", said("pieces").alias("texts"), spoken.alias("spoken"))
+    labels = F.transform("spoken", lambda n: F.array_join(said(F.filter("pieces", lambda p: p["label_node"] == n)), " "))
+    rows = rows.select(page, "at", "texts", labels.alias("labels"), F.array_join("texts", " ").alias("text"), F.transform("texts", F.lower).alias("low"))
+    of = lambda kind: F.transform("labels", lambda x: printed_cents(x, kind))
+    listed = {f"_l_{k}": of(k) for k in PRICE_LABELS}
+    rows = rows.withColumns(listed | {f"_t_{k}": printed_cents(F.col("text"), k) for k in PRICE_LABELS})
+    counts = lambda c: F.get(F.filter(c, lambda x: x > 0), F.lit(0))
+    rows = rows.withColumns({f"_s_{k}": counts(F.col(f"_l_{k}")) for k in PRICE_LABELS} | {"_p_app": F.get(F.array_compact("_l_app"), F.lit(0))})
+    named = F.coalesce(*(F.col(f"_s_{k}") for k in PRICE_LABELS)).isNotNull()
+    # a price that counts is one above zero
+    rows = rows.withColumns({f"_{k}": F.when(named, F.col(f"_s_{k}")).otherwise(F.nullif(F.col(f"_t_{k}"), F.lit(0).cast("long"))) for k in PRICE_LABELS} | {"_printed": F.when(named, F.col("_p_app")).otherwise(F.col("_t_app"))})
+    plain = F.coalesce("_fixed", "_reduced")
+    made = F.struct(F.coalesce(plain, "_app").alias("cents"), F.col("_app").alias("app_cents"), plain.isNull().alias("requires_app"), F.coalesce("_app", "_printed").alias("app_printed"))
+    money, deposit = lambda p: p.rlike("€|eur"), lambda p: F.contains(p, F.lit("pfand"))
     no_dates = lambda p: F.regexp_replace(p, r"\b\d{2}\.\d{2}\.\d{4}\b", "")
-    money = lambda p: p.rlike("€|eur")
-    deposit = lambda p: F.contains(p, F.lit("pfand"))
-    bad = F.exists(pieces, lambda p: p.rlike("preis|rabatt") | (~deposit(p) & (money(p) | no_dates(p).rlike(r"\b\d{1,4}[.,]\d{1,2}\b"))))
-    return F.exists(pieces, lambda p: deposit(p) & money(p)) & ~bad
-
-
-def _texts(tree: DataFrame, page: str, mark: str, name: str) -> DataFrame:
-    """page, the node of each element of this mark, and its pieces of text in order."""
-    at = F.element_at("marks", mark)
-    rows = tree.filter((F.col("tag") == "#text") & at.isNotNull()).groupBy(page, at.alias(f"{mark}_node"))
-    return rows.agg(F.transform(F.sort_array(F.collect_list(F.struct("node", "text"))), lambda x: x["text"]).alias(name))
+    other = F.exists("low", lambda p: p.rlike("preis|rabatt") | (~deposit(p) & (money(p) | no_dates(p).rlike(r"\b\d{1,4}[.,]\d{1,2}\b"))))
+    return rows.select(
+        page, "at", F.when(F.coalesce(plain, "_app").isNotNull(), made).alias("price"), F.col("text").rlike(POINTS_ONLY).alias("points"),
+        F.exists("labels", lambda x: F.lower(x).rlike("|".join(PRICE_WORDS))).alias("unknown"), F.exists("low", lambda p: deposit(p) & money(p)).alias("money"), other.alias("other"),
+    )
 
 
 def offer_cards(pages: DataFrame, page: str, html: str, url: str, collected: str, store: str) -> tuple[DataFrame, DataFrame]:
@@ -134,10 +195,11 @@ def offer_cards(pages: DataFrame, page: str, html: str, url: str, collected: str
     with points only or with nothing but a deposit is left out.  A page whose meaning is not sure in any point (title of another store, no or several
     dates, dates that do not cover the collection, links to other pages, cards without article, dialog, name or known
     price, no card at all) gives no offer."""
-    tree = written(document_tree(pages, page, html), "tree")
+    tree = written(_nodes(pages, page, html, frozenset(("#text", "a", "dialog"))), "tree")
     of = pages.select(page, url, collected, store)
     pieces = tree.filter("tag = '#text'").groupBy(page).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("node", "text"))), lambda x: x["text"]), " ").alias("text"))
-    titles = _texts(tree, page, "title", "title").groupBy(page).agg(F.min_by(F.array_join("title", " "), "title_node").alias("title"))
+    joined = lambda mark: _of_containers(tree, page, (mark,)).select(page, "at", F.array_join(F.transform("pieces", lambda p: p["text"]), " ").alias("text"))
+    titles = joined("title").groupBy(page).agg(F.min_by("text", "at").alias("title"))
     day = lambda pattern: F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)))
     bound = of.join(pieces, page, "left").join(titles, page, "left").withColumns({"text": F.coalesce("text", F.lit(""))}).withColumns({"froms": day(VALID_FROM), "untils": day(VALID_UNTIL)})
     date = lambda c: F.when(F.size(c) == 1, F.try_to_date(F.get(c, F.lit(0)), "dd.MM.yyyy"))
@@ -150,7 +212,7 @@ def offer_cards(pages: DataFrame, page: str, html: str, url: str, collected: str
 
     href = F.col("href")
     fragment = F.regexp_extract(F.element_at(F.split(href, "#"), -1), FRAGMENT, 1)
-    links = tree.filter("tag = 'a'").select(page, "node", F.element_at("attrs", "href").alias("href"), F.element_at("marks", "article").alias("article_node")).filter(F.contains("href", F.lit("#")))
+    links = tree.filter("tag = 'a'").select(page, "node", F.element_at("attrs", "href").alias("href"), F.col("in_article").alias("article_node")).filter(F.contains("href", F.lit("#")))
     links = links.withColumn("offer_id", F.lower(fragment)).filter("offer_id <> ''").join(of.select(page, F.col(url).alias("_url")), page)
     base, own = F.regexp_extract(href, "^([^#]*)", 1), F.regexp_extract("_url", "^([^#]*)", 1)
     path = F.regexp_extract(own, r"^[a-zA-Z]+://[^/]+(/[^?]*)?", 1)
@@ -160,25 +222,17 @@ def offer_cards(pages: DataFrame, page: str, html: str, url: str, collected: str
 
     dialogs = tree.filter("tag = 'dialog'").select(F.col(page).alias("_p"), F.lower(F.element_at("attrs", "id")).alias("_id"), "node").groupBy("_p", "_id").agg(F.min("node").alias("dialog_node"))
     cards = cards.join(dialogs, (F.col(page) == F.col("_p")) & (F.concat(F.lit("dialog-angebot-"), "offer_id") == F.col("_id")), "left").drop("_p", "_id")
-    label_at = F.element_at("marks", "sr-only")
-    spoken = tree.filter((F.col("tag") == "#text") & label_at.isNotNull()).select(page, "node", "text", label_at.alias("label_node"), F.element_at("marks", "article").alias("article_node"), F.element_at("marks", "dialog").alias("dialog_node"))
-
-    def labels(mark: str) -> DataFrame:
-        one = spoken.filter(F.col(f"{mark}_node").isNotNull()).groupBy(page, f"{mark}_node", "label_node").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("node", "text"))), lambda x: x["text"]), " ").alias("label"))
-        return one.groupBy(page, f"{mark}_node").agg(F.transform(F.sort_array(F.collect_list(F.struct("label_node", "label"))), lambda x: x["label"]).alias(f"{mark}_labels"))
-
+    readings = written(_readings(tree, page), "readings")
     for mark in ("article", "dialog"):
-        cards = cards.join(_texts(tree, page, mark, f"{mark}_text"), [page, f"{mark}_node"], "left").join(labels(mark), [page, f"{mark}_node"], "left")
-    names = _texts(tree, page, "a", "a_text").select(page, F.col("a_node").alias("node"), F.trim(F.regexp_replace(F.array_join("a_text", " "), TITLE_PREFIX, "")).alias("name"))
+        own = readings.select(page, F.col("at").alias(f"{mark}_node"), *(F.col(c).alias(f"{mark}_{c}") for c in ("price", "points", "unknown", "money", "other")))
+        cards = cards.join(own, [page, f"{mark}_node"], "left")
+    names = joined("a").select(page, F.col("at").alias("node"), F.trim(F.regexp_replace("text", TITLE_PREFIX, "")).alias("name"))
     cards = cards.join(names, [page, "node"], "left").withColumns({"name": F.coalesce("name", F.lit(""))})
-    empty = F.array().cast("array<string>")
-    cards = cards.withColumns({c: F.coalesce(c, empty) for c in ("article_text", "article_labels", "dialog_text", "dialog_labels")})
-    said = lambda mark: _price(F.col(f"{mark}_labels"), F.array_join(f"{mark}_text", " "))
-    cards = cards.withColumns({"article_price": said("article"), "dialog_price": said("dialog")})
-    points = F.array_join("article_text", " ").rlike(POINTS_ONLY)
-    unknown = F.exists("article_labels", lambda x: F.lower(x).rlike("|".join(PRICE_WORDS)))
-    out = F.when(F.col("article_price").isNotNull(), "offer").when(points, "left_out").when(unknown, "unknown")
-    out = out.when(F.col("dialog_price").isNotNull(), "offer").when(_deposit_only(F.concat("article_text", "dialog_text")), "left_out").otherwise("unknown")
+    so = lambda c: F.coalesce(c, F.lit(False))
+    # the only money in the texts of a card is a deposit: nothing else names a price, a discount or a decimal number
+    deposit_only = (so("article_money") | so("dialog_money")) & ~so("article_other") & ~so("dialog_other")
+    out = F.when(F.col("article_price").isNotNull(), "offer").when(so("article_points"), "left_out").when(so("article_unknown"), "unknown")
+    out = out.when(F.col("dialog_price").isNotNull(), "offer").when(deposit_only, "left_out").otherwise("unknown")
     cards = written(cards.withColumns({"outcome": out, "price": F.coalesce("article_price", "dialog_price")}).select(page, "offer_id", "name", "outside", "article_node", "dialog_node", "outcome", "price"), "cards")
     card_rules = {
         "link to another page": F.col("outside"), "card without an article": F.col("article_node").isNull(), "card without a dialog": F.col("dialog_node").isNull(),

@@ -95,3 +95,33 @@ def test_app_price_of_zero(spark):
     offers, states = tree.offer_cards(frame, "page", "html", "url", "day", "store")
     assert sorted((r["cents"], r["app_cents"] or -1, r["app_printed"]) for r in offers.collect()) == [(111, -1, 0), (111, 99, 99)]
     assert {r["page"]: r["state"] for r in states.collect()} == {0: "ok", 1: "rejected"}
+
+
+def test_plain_markup_is_read_as_the_parser_reads_it(monkeypatch):
+    """Pages of plain markup take the short way, all others the parser's, with the same nodes; a plain page never meets the parser."""
+    pick = random.Random(7)
+    plain = ["<article>", "</article>", '<a href="#y&amp;z" HREF="q">', "</a >", '<P Class="x sr-only">', "</p>", "text ", "<br>", "<br/>", '<dialog id="d">', "</b>", "&amp; ", "&", "<!-- x -->", "<title>t &lt; u</title>", '<a\n k="v">', "\xa0", "a & b"]
+    odd = ["<a href='#x'>", "<img src=x/>", "<script><a></script>", "<", "<!-->", "<title>a<b>c</title>", "<title>", "<?x>", '<a k="1"l="2">', "</>", "<a-b>", "<p k>"]
+
+    def by_parser(body):
+        nodes = tree._Nodes()
+        nodes.feed(body)
+        nodes.close()
+        nodes.close_to(0)
+        return nodes.rows
+
+    bodies = ["".join(pick.choice(plain + odd * (i % 2)) for _ in range(pick.randrange(0, 30))) for i in range(3000)]
+    want = [by_parser(b) for b in bodies]
+    assert [tree._parsed(b) for b in bodies] == want
+    monkeypatch.setattr(tree._Nodes, "feed", None)
+    assert [tree._parsed(b) for b in bodies[::2]] == want[::2]
+
+
+def test_containers_are_read_once(spark, monkeypatch):
+    """The tree holds the nodes that cards need, and what articles and dialogs say is written as one row of plain values each."""
+    made = {}
+    write = tree.written
+    monkeypatch.setattr(tree, "written", lambda df, tag: made.setdefault(tag, write(df, tag)))
+    read(spark, page(*(card(i, "<p><b>x</b></p>" * 5 + FIXED) for i in range(4))))
+    assert {r["tag"] for r in made["tree"].select("tag").distinct().collect()} == {"#text", "a", "dialog"}
+    assert made["readings"].count() == 8 and not any("array" in t for _, t in made["readings"].dtypes)
