@@ -2,8 +2,9 @@
 
 Words are ranked by rarity over both sides.  Two sets of which at least ``need`` words must agree share one of their ``size - need + 1``
 rarest words, or two of their ``size - need + 2`` rarest: only these words, or pairs of words, are keys of the candidate
-join, so a word that is everywhere is a key of hardly any set.  Candidates also pass a bound on sizes and, for single
-words, on what the words after the shared one can still add.  Candidates are then counted exactly.
+join, so a word that is everywhere is a key of hardly any set.  Candidates also pass a bound on sizes, for single
+words one on what the words after the shared one can still add, and one on the bits in which digests of the sets differ: a word turns
+one bit of its set's digest, so digests differ in no more bits than sets in words.  What passes is then counted exactly.
 
 ``Jaccard(t)``: shared / all words of both >= t.  ``Overlap(c)``: at least c shared words.  Empty sets (and null ones)
 match nothing; repeated words count once.  Ids of a side are taken to be distinct; equal sets are paired like others, so
@@ -13,6 +14,8 @@ callers with many of them pair distinct sets and come back by the set.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,21 +68,33 @@ class Overlap:
 Measure = Jaccard | Overlap
 
 
+#: The digest of a set: 64 bits a column.
+BITS = [f"bits_{i}" for i in range(8)]
+
+
+def _digest() -> list[Column]:
+    h = "xxhash64(word)"
+    turned = f"shiftleft(1L, cast(shiftrightunsigned({h}, 8) & 63 as int))"
+    return [F.expr(f"bit_xor(if(({h} & {len(BITS) - 1}) = {i}, {turned}, 0L))").alias(b) for i, b in enumerate(BITS)]
+
+
 def ranked(sides: dict[str, DataFrame]) -> DataFrame:
-    """side, id, words (rarest first) and size of each set that has a word; ``sides`` are frames of id and words."""
+    """side, id, words (as numbers, rarest first), size and digest of each set that has a word; ``sides`` are frames of id and words."""
     each = None
     for name, df in sides.items():
         one = df.select(F.lit(name).alias("side"), "id", F.explode(F.array_distinct("words")).alias("word"))
         each = one if each is None else each.unionByName(one)
     each = written(each.filter("word is not null"), "words")
     counts = each.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    order = F.sort_array(F.collect_list(F.struct("n", "word")))
-    sets = each.join(counts, "word").groupBy("side", "id").agg(order.alias("o"))
-    return written(sets.select("side", "id", F.transform("o", lambda x: x["word"]).alias("words"), F.size("o").alias("size")), "sets")
+    # numbers that grow with the place in the order, so words are numbers from here on: sets go with each candidate
+    places = counts.repartitionByRange("n", "word").sortWithinPartitions("n", "word").select("word", F.monotonically_increasing_id().alias("place"))
+    placed = each.join(written(places, "places"), "word").select("side", "id", F.col("place").alias("word"))
+    sets = placed.groupBy("side", "id").agg(F.sort_array(F.collect_list("word")).alias("words"), *_digest())
+    return written(sets.select("side", "id", "words", F.size("words").alias("size"), *BITS), "sets")
 
 
 def keyed(sets: DataFrame, measure: Measure, width: int = 1) -> DataFrame:
-    """side, id, size, width, key, place of each key of the sets: rare words, or with ``width`` 2 pairs of them where two words
+    """side, id, size, digest, width, key, place of each key of the sets: rare words, or with ``width`` 2 pairs of them where two words
     are needed.  Pairs are for short sets over few words, such as names; a set has as many as the square of its rare words."""
     size = F.col("size")
     need, least = measure.need(size), measure.need(measure.smallest(size))
@@ -99,17 +114,19 @@ def keyed(sets: DataFrame, measure: Measure, width: int = 1) -> DataFrame:
     else:
         # a pair meets by two words if its smaller set needs two, else by one
         keys = F.concat(F.when((least < 2) & (need <= size), single(words)).otherwise(none), F.when((need >= 2) & (need <= size), double(words)).otherwise(none))
-    return sets.select("side", "id", "size", F.explode(F.transform(keys, lambda k: F.struct(k["width"].cast("int").alias("width"), k["key"].alias("key"), k["place"].cast("int").alias("place")))).alias("k")).select("side", "id", "size", "k.*")
+    return sets.select("side", "id", "size", *BITS, F.explode(F.transform(keys, lambda k: F.struct(k["width"].cast("int").alias("width"), k["key"].alias("key"), k["place"].cast("int").alias("place")))).alias("k")).select("side", "id", "size", *BITS, "k.*")
 
 
 def candidates(sets: DataFrame, left: str, right: str, measure: Measure, width: int = 1) -> DataFrame:
     """left_id, right_id of the pairs that must be counted; of one side with itself, left_id < right_id."""
     keys = keyed(sets, measure, width)
-    side = lambda name, p: keys.filter(F.col("side") == name).select(F.col("id").alias(f"{p}_id"), F.col("size").alias(f"{p}_size"), F.col("place").alias(f"{p}_place"), "width", "key")
+    side = lambda name, p: keys.filter(F.col("side") == name).select(F.col("id").alias(f"{p}_id"), F.col("size").alias(f"{p}_size"), F.col("place").alias(f"{p}_place"), "width", "key", *(F.col(c).alias(f"{p}_{c}") for c in BITS))
     a, b = F.col("left_size"), F.col("right_size")
     more = 1 + F.least(a - F.col("left_place"), b - F.col("right_place"))
     by_one = measure.need(F.least(a, b)) < 2 if width > 1 else F.lit(True)
     met = side(left, "left").join(side(right, "right"), ["width", "key"]).filter(measure.fits(a, b) & (((F.col("width") == 1) & by_one & (more >= measure.required(a, b))) | (F.col("width") == 2)))
+    apart = reduce(add, (F.bit_count(F.col(f"left_{c}").bitwiseXOR(F.col(f"right_{c}"))) for c in BITS))
+    met = met.filter(apart <= a + b - 2 * measure.required(a, b))
     if left == right:
         met = met.filter("left_id < right_id")
     return met.select("left_id", "right_id").distinct()

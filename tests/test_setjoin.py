@@ -137,3 +137,17 @@ def test_products_of_one_name_are_one_row(spark):
     want = {("x", "y", "red ring", "red ring", r, m, v) for r in ("exact", "incomplete") for m, v in (("code_exact", 1.0), ("exact_name", 0.88))}
     assert {tuple(r) for r in matching.evidence(pairs).collect()} == want
     assert {r["relation"] for r in matching.same_codes(p).collect()} == {"exact", "incomplete"}
+
+
+def test_unlike_sets_with_rare_words_in_common_are_no_candidates(spark):
+    """Sets that share their rarest words and little else differ in more bits of their digests than similar sets may."""
+    rare = [f"r{k}" for k in range(6)]
+    data = [(i, [*rare, *(f"c{(i * 37 + k * (2 * i + 1)) % 400}" for k in range(44))]) for i in range(80)]
+    data += [(100 + i, [*data[i][1][:-1], f"x{i}"]) for i in range(5)]
+    frame = spark.createDataFrame(data, "id int, words array<string>")
+    measure = Jaccard(0.8)
+    own = setjoin.ranked({"left": frame})
+    assert own.schema["words"].dataType.simpleString() == "array<bigint>"
+    want = brute(data, data, measure, True)
+    assert rows(setjoin.similar_pairs(frame, None, measure)) == want and len(want) >= 5
+    assert setjoin.candidates(own, "left", "left", measure).count() <= 2 * len(want) + 5
