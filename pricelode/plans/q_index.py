@@ -46,14 +46,16 @@ def endless_window_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.join(n("left"), "left").join(n("right"), "right").select(F.col("left").alias("left_id"), F.col("right").alias("right_id"), (F.col("left_n") * F.col("right_n")).alias("n_pairs"))
 
 
-@query("""with c as (select vec_id, list_sum(list_transform(range(1, 33), lambda i: case when embedding[i] > 0 then (1::bigint << (i - 1)::int) else 0::bigint end))::bigint as code, embedding as v from embeddings),
-k as materialized (select code, min(vec_id) as id from c group by code),
-p as (select a.id as l, b.id as r, bit_count(xor(a.code, b.code))::int as distance from k a join k b on a.id < b.id where bit_count(xor(a.code, b.code)) <= 6),
-d as (select l, r, distance, list_sort(list_transform(list_zip(x.v, y.v), lambda z: abs(z[1]::double - z[2]::double))) as d from p join c x on x.vec_id = l join c y on y.vec_id = r)
+@query("""with c as materialized (select vec_id, list_sum(list_transform(range(1, 33), lambda i: case when embedding[i] > 0 then (1::bigint << (i - 1)::int) else 0::bigint end))::bigint as code, embedding as v, dense_rank() over (order by embedding) as n from embeddings),
+k as materialized (select n, any_value(code) as code, min(vec_id) as id from c group by n),
+p as (select case when b.id is null or a.id <= b.id then a.id else b.id end as l, case when b.id is null or a.id <= b.id then b.id else a.id end as r, a.n as ln, b.n as rn, bit_count(xor(a.code, b.code))::int as distance from k a join k b on a.n < b.n where bit_count(xor(a.code, b.code)) <= 6
+union all select distinct k.id, c.vec_id, c.n, c.n, 0 from c join k on c.n = k.n where c.vec_id is distinct from k.id),
+v as materialized (select distinct on (n) n, v from c),
+d as (select l, r, distance, list_sort(list_transform(list_zip(x.v, y.v), lambda z: abs(z[1]::double - z[2]::double))) as d from p join v x on x.n = p.ln join v y on y.n = p.rn)
 select l as left_id, r as right_id, distance, round(list_sum(d) / len(d), 6) as mae, round(sqrt(list_sum(list_transform(d, lambda x: x * x)) / len(d)), 6) as rms, round(d[ceil(len(d) * 0.99 - 1e-9)::int], 6) as p99, round(d[len(d)], 6) as most from d""")
 def perceptual_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of vectors whose sign codes differ in six of 32 bits at most, and how far apart the vectors are."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", hamming.sign_code(F.col("embedding"), 32).alias("code"))
-    pairs, _ = hamming.near_codes(rows, "vec_id", "code", 32, 6)
-    out = hamming.deviations(pairs, rows, "vec_id", "embedding")
+    """Pairs of different vectors whose sign codes differ in six of 32 bits at most, equal codes included, and copies with the
+    least id of their vector: how far apart they are."""
+    pairs = hamming.near_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 32, 6)
+    out = hamming.measured(pairs, ["left", "right", "distance"])
     return out.select(F.col("left").alias("left_id"), F.col("right").alias("right_id"), "distance", *(F.round(c, 6).alias(c) for c in ("mae", "rms", "p99", "most")))

@@ -3,10 +3,12 @@
 import itertools
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from pricelode.operators import dyadic, hamming, merkle
+from pricelode.plans import q_index, registry
 
 
 @pytest.mark.parametrize("levels", [1, 4])
@@ -89,3 +91,34 @@ def test_deviations(spark):
     r = hamming.deviations(pairs, vectors, "id", "v").first()
     assert (r["mae"], r["p99"], r["most"]) == (99.5, 197.0, 199.0) and abs(r["rms"] - (sum(i * i for i in range(200)) / 200) ** 0.5) < 1e-9
     assert spark.createDataFrame([([0.1, -0.1, 0.0, 2.0],)], "v array<double>").select(hamming.sign_code(F.col("v"), 3), hamming.sign_code(F.col("v"), 60)).first()[:] == (1, 9)
+
+
+def vectors(pick):
+    """Many vectors of few codes, copies, and odd ones: no components, null ones, no numbers, ids that come twice or are null."""
+    base = [[pick.uniform(-1, 1) for _ in range(40)] for _ in range(6)]
+    out = [[x * pick.uniform(0.5, 1) * (-1 if pick.random() < 0.1 else 1) for x in pick.choice(base)] for _ in range(60)]
+    out += [[x * pick.uniform(0.5, 1) for x in base[0]] for _ in range(40)] + [base[0]] * 8
+    out += [None, None, [], [], [0.0] * 40, [-0.0] * 40, [-1.0], [1.0, None], [None, None], [float("nan")] * 3, [float("nan")] * 3, [float("inf"), -1.0]]
+    return [*((i * 7 % 131 if i % 10 else i % 3, v) for i, v in enumerate(out)), (None, base[1]), (None, base[1]), (None, [0.5] * 40), (5, base[2]), (5, base[2])]
+
+
+@pytest.mark.parametrize("together", [5, 256])
+def test_all_vectors_behind_near_codes(spark, tmp_path, monkeypatch, together):
+    """Different vectors of one code are pairs as well, and each vector behind a code counts, not the one with its least id."""
+    monkeypatch.setattr(hamming, "TOGETHER", together)
+    rows = vectors(random.Random(4))
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.sql(registry.oracle_sql()["perceptual_neighbours"])
+    found = q_index.perceptual_neighbours(spark, str(tmp_path))
+    assert found.columns == want.columns
+    got, want = [tuple(r) for r in found.collect()], want.fetchall()
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    code = lambda v: sum(1 << i for i, x in enumerate((v or [])[:32]) if x is not None and not x <= 0)
+    key = lambda v: repr(v and [x if x is None else x + 0.0 for x in v])
+    of = {}
+    for i, v in rows:
+        of.setdefault(key(v), (code(v), set()))[1].add(i)
+    near = sum((a ^ b).bit_count() <= 6 for (a, _), (b, _) in itertools.combinations(of.values(), 2))
+    assert len(got) == near + sum(len(ids) - 1 for _, ids in of.values()) and sum(r[2] == 0 for r in got) > 700
